@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, simhash
 
-QUERIES = {"op2_decontaminate": decontaminate.op2_decontaminate}
+QUERIES = {"op2_decontaminate": decontaminate.op2_decontaminate, "op7_simhash_golay": simhash.op7_simhash_golay}
 ORACLES = {"op2_decontaminate": decontaminate.OP2_SQL}
