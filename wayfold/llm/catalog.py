@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash
+from . import curriculum, decontaminate, simhash, tokens
 
-QUERIES = {"op2_decontaminate": decontaminate.op2_decontaminate, "op7_simhash_golay": simhash.op7_simhash_golay}
+QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op7_simhash_golay": simhash.op7_simhash_golay,
+    "op10_repair_tokens": tokens.op10_repair_tokens,
+    "op8_curriculum_mix": curriculum.op8_curriculum_mix,
+}
 ORACLES = {"op2_decontaminate": decontaminate.OP2_SQL}
