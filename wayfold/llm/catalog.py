@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import curriculum, decontaminate, simhash, tokens
+from . import curriculum, decontaminate, langid, simhash, tokens, toxicity
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op4_language_id": langid.op4_language_id,
     "op7_simhash_golay": simhash.op7_simhash_golay,
+    "op9_toxicity_zstd": toxicity.op9_toxicity_zstd,
     "op10_repair_tokens": tokens.op10_repair_tokens,
     "op8_curriculum_mix": curriculum.op8_curriculum_mix,
 }

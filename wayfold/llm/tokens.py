@@ -22,7 +22,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -50,11 +50,31 @@ PIECE = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 )
 GAP = re.compile(rf"[{SPACES}][{SPACES}]")
-#: Entries of a worker's caches, about 200 bytes each.
-CACHE = 500_000
+#: Entries of each half of a worker's memories, about 200 bytes each.
+PIECES, UNITS = 500_000, 200_000
 LONG = 1 << 20
 
 
+class Memory:
+    """What was worked out for recent keys. When the newer half is full, the older half goes and it takes its place; a key that is
+    asked for again is moved to the newer half."""
+
+    def __init__(self, half: int) -> None:
+        self.half, self.new, self.old = half, {}, {}
+
+    def all(self, keys: list, work_out: Callable[[list], list]) -> list:
+        try:
+            return list(map(self.new.__getitem__, keys))
+        except KeyError:
+            if len(self.new) > self.half:
+                self.old, self.new = self.new, {}
+            absent = [k for k in dict.fromkeys(keys) if k not in self.new]
+            self.new.update((k, self.old[k]) for k in absent if k in self.old)
+            absent = [k for k in absent if k not in self.old]
+            self.new.update(zip(absent, work_out(absent), strict=True))
+            return list(map(self.new.__getitem__, keys))
+
+
 class Encoder:
     """A byte-level BPE tokenizer of the tokenizers library, with the ids of what recurs kept.
 
@@ -70,34 +90,21 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
+        self.pieces, self.units = Memory(PIECES), Memory(UNITS)
+
+    def _library(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(code.ids, "<u4").tobytes() for code in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _cut(self, units: list[str]) -> list[bytes]:
+        cut = [PIECE.findall(" " + u) for u in units]
+        codes = iter(self.pieces.all([p for pieces in cut for p in pieces], self._library))
+        return [b"".join(islice(codes, len(pieces))) for pieces in cut]
 
     def _pieces(self, pieces: list[str]) -> bytes:
-        known = self.pieces
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            new = [p for p in dict.fromkeys(pieces) if p not in known]
-            for piece, code in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[piece] = np.array(code.ids, "<u4").tobytes()
-            return b"".join(map(known.__getitem__, pieces))
+        return b"".join(self.pieces.all(pieces, self._library))
 
     def _units(self, units: list[str]) -> bytes:
-        known = self.units
-        try:
-            return b"".join(map(known.__getitem__, units))
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            new = [u for u in dict.fromkeys(units) if u not in known]
-            cut = [PIECE.findall(" " + u) for u in new]
-            self._pieces([p for pieces in cut for p in pieces])
-            for unit, pieces in zip(new, cut, strict=True):
-                known[unit] = b"".join(map(self.pieces.__getitem__, pieces))
-            return b"".join(map(known.__getitem__, units))
+        return b"".join(self.units.all(units, self._cut))
 
     def encode(self, text: str) -> Iterator[np.ndarray]:
         """The ids of a text, in one or more parts."""
@@ -126,26 +133,27 @@ def encoder_of(path: str) -> Encoder:
 
 def pack(ids: np.ndarray, lengths: np.ndarray, vocabulary: int, end: int = END, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (symbols, symbols of each document, rules) for documents of the given lengths, one after the other."""
-    seq, ends, rules, top = ids.astype(np.int32), np.cumsum(lengths), [], vocabulary
+    seq, ends, rules, top = ids.astype(np.uint32), np.cumsum(lengths), [], vocabulary
+    wide = vocabulary + rounds * RULES > 1 << 16
+    kind, shift = (np.uint64, 32) if wide else (np.uint32, 16)
     for _ in range(rounds):
         if len(seq) < 2 * LEAST:
             break
-        keys = seq[:-1].astype(np.int64) << 32 | seq[1:]
-        keys[seq[:-1] == end] = -1
+        keys = seq[:-1].astype(kind) << kind(shift) | seq[1:]
         pairs, counts = _count(keys)
         often = np.argsort(-counts, kind="stable")[: 4 * RULES]
         chosen, lefts, rights = [], set(), set()
         for pair, count in zip(pairs[often].tolist(), counts[often].tolist(), strict=True):
-            a, b = pair >> 32, pair & 0xFFFFFFFF
+            a, b = pair >> shift, pair & (1 << shift) - 1
             if count < LEAST or len(chosen) == RULES:
                 break
-            if pair >= 0 and a not in rights and b not in lefts and a != b:
+            if a != end and a not in rights and b not in lefts and a != b:
                 chosen.append(pair)
                 lefts.add(a)
                 rights.add(b)
         if not chosen:
             break
-        chosen = np.sort(np.array(chosen, np.int64))
+        chosen = np.sort(np.array(chosen, kind))
         is_left = np.zeros(top, bool)
         is_left[list(lefts)] = True
         at = np.flatnonzero(is_left[seq[:-1]])
@@ -158,9 +166,9 @@ def pack(ids: np.ndarray, lengths: np.ndarray, vocabulary: int, end: int = END,
         kept = np.cumsum(stay)
         ends = np.where(ends > 0, kept[ends - 1], 0)
         seq = seq[stay]
-        rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1))
+        rules.append(np.stack([chosen >> kind(shift), chosen & kind((1 << shift) - 1)], axis=1))
         top += len(chosen)
-    all_rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+    all_rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return seq, np.diff(ends, prepend=0), all_rules.astype(np.uint32)
 
 
