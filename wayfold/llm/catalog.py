@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import curriculum, decontaminate, langid, simhash, tokens, toxicity
+from . import curriculum, decontaminate, langid, matroska, quality, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_language_id": langid.op4_language_id,
     "op7_simhash_golay": simhash.op7_simhash_golay,
+    "op1_arc_to_warc": warc.op1_arc_to_warc,
+    "op3_matroska": matroska.op3_matroska,
+    "op6_quality_lsa": quality.op6_quality_lsa,
     "op9_toxicity_zstd": toxicity.op9_toxicity_zstd,
     "op10_repair_tokens": tokens.op10_repair_tokens,
     "op8_curriculum_mix": curriculum.op8_curriculum_mix,
 }
-ORACLES = {"op2_decontaminate": decontaminate.OP2_SQL}
+ORACLES = {"op1_arc_to_warc": warc.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL}
