@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import curriculum, decontaminate, langid, matroska, quality, simhash, tokens, toxicity, warc
+import corpus_pipeline
+
+from . import curriculum, decontaminate, langid, matroska, quality, simhash, sitetree, tokens, toxicity, warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_language_id": langid.op4_language_id,
     "op7_simhash_golay": simhash.op7_simhash_golay,
     "op1_arc_to_warc": warc.op1_arc_to_warc,
     "op3_matroska": matroska.op3_matroska,
+    "op5_site_style_tree": sitetree.op5_site_style_tree,
     "op6_quality_lsa": quality.op6_quality_lsa,
     "op9_toxicity_zstd": toxicity.op9_toxicity_zstd,
     "op10_repair_tokens": tokens.op10_repair_tokens,

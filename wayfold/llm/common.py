@@ -74,3 +74,10 @@ def append_columns(
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as bytes; null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+def under_own_names(docs: DataFrame, step: Callable[[DataFrame, dict[str, str]], DataFrame]) -> DataFrame:
+    """step(renamed docs, new name of each column), whose rows are given the old names again: a step's own columns can't clash."""
+    names = {c: f"column_{i}" for i, c in enumerate(docs.columns)}
+    out = step(docs.toDF(*names.values()), names)
+    return out.select(*(F.col(new).alias(old) for old, new in names.items()))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, fold, read_table
+from .common import append_columns, fold, read_table, under_own_names
 from .suffix_automaton import SuffixAutomaton
 
 TRAIN_SYMBOLS = 20_000
@@ -183,15 +183,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(fold(F.col(doc_id), 4) == 2, F.lit(False))
 
 
-def _model(docs: DataFrame) -> Model:
-    return learn(docs, ~held_out() & F.col("doc_id").isNotNull())
+def _model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    return learn(docs, ~held_out(doc_id) & F.col(doc_id).isNotNull(), doc_id=doc_id, text=text, lang=lang)
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents of `docs` that have a language, in its columns. The model learns from `docs` itself."""
-    named = docs.withColumns({f"_{c}": F.col(c) for c in ("lang", "doc_id", "text")})
-    found = identify(named, _model(docs), text="_text")
-    return found.filter(F.col("lang_pred") != UNDETERMINED).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+    def step(d: DataFrame, c: dict[str, str]) -> DataFrame:
+        found = identify(d, _model(d, c["doc_id"], c["text"], c["lang"]), text=c["text"])
+        return found.filter(F.col("lang_pred") != UNDETERMINED)
+
+    return under_own_names(docs, step)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

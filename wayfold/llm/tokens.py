@@ -22,11 +22,13 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,38 +51,43 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ‐-‧‰-⁞]*")
 PIECE = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 )
+#: Put before the first unit of a text, which has no space before it.
+FIRST = "\x00"
 GAP = re.compile(rf"[{SPACES}][{SPACES}]")
 #: Entries of each half of a worker's memories, about 200 bytes each.
 PIECES, UNITS = 500_000, 200_000
 LONG = 1 << 20
+#: Texts that are encoded together.
+SOME = 2048
 
 
 class Memory:
-    """What was worked out for recent keys. When the newer half is full, the older half goes and it takes its place; a key that is
-    asked for again is moved to the newer half."""
+    """What was worked out for recent keys. When the newer half is full, it takes the place of the older half; a key that is asked
+    for again is moved to the newer half."""
 
     def __init__(self, half: int) -> None:
         self.half, self.new, self.old = half, {}, {}
 
-    def all(self, keys: list, work_out: Callable[[list], list]) -> list:
-        try:
-            return list(map(self.new.__getitem__, keys))
-        except KeyError:
-            if len(self.new) > self.half:
-                self.old, self.new = self.new, {}
-            absent = [k for k in dict.fromkeys(keys) if k not in self.new]
-            self.new.update((k, self.old[k]) for k in absent if k in self.old)
-            absent = [k for k in absent if k not in self.old]
-            self.new.update(zip(absent, work_out(absent), strict=True))
-            return list(map(self.new.__getitem__, keys))
+    def of(self, keys: set, work_out: Callable[[list], list]) -> dict:
+        """A dictionary that has all of `keys`."""
+        if len(self.new) > self.half:
+            self.old, self.new = self.new, {}
+        absent = []
+        for key in keys.difference(self.new):
+            if (value := self.old.get(key)) is None:
+                absent.append(key)
+            else:
+                self.new[key] = value
+        self.new.update(zip(absent, work_out(absent), strict=True))
+        return self.new
 
 
 class Encoder:
     """A byte-level BPE tokenizer of the tokenizers library, with the ids of what recurs kept.
 
     Byte-level BPE encodes each piece of a text by itself. Where white space is single, a text falls into units at its spaces,
-    and a unit with its space before it into pieces, whatever stands around it. New pieces, the first unit and texts with
-    unusual characters or special tokens go to the library.
+    and a unit with its space before it into pieces, whatever stands around it. New pieces, and texts with unusual characters
+    or special tokens, go to the library.
     """
 
     def __init__(self, path: str) -> None:
@@ -93,32 +100,51 @@ class Encoder:
         self.pieces, self.units = Memory(PIECES), Memory(UNITS)
 
     def _library(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(code.ids, "<u4").tobytes() for code in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [array("I", code.ids).tobytes() for code in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _cut(self, units: list[str]) -> list[bytes]:
-        cut = [PIECE.findall(" " + u) for u in units]
-        codes = iter(self.pieces.all([p for pieces in cut for p in pieces], self._library))
-        return [b"".join(islice(codes, len(pieces))) for pieces in cut]
-
-    def _pieces(self, pieces: list[str]) -> bytes:
-        return b"".join(self.pieces.all(pieces, self._library))
-
-    def _units(self, units: list[str]) -> bytes:
-        return b"".join(self.units.all(units, self._cut))
-
-    def encode(self, text: str) -> Iterator[np.ndarray]:
-        """The ids of a text, in one or more parts."""
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        elif len(text) > LONG:
-            found = PIECE.finditer(text)
-            while part := [m.group() for m in islice(found, 200_000)]:
-                yield np.frombuffer(self._pieces(part), "<u4")
-        elif GAP.search(text):
-            yield np.frombuffer(self._pieces(PIECE.findall(text)), "<u4")
-        else:
-            first, *units = text.split(" ")
-            yield np.frombuffer(self._pieces(PIECE.findall(first)) + self._units(units), "<u4")
+        cut = [PIECE.findall(u[1:] if u[:1] == FIRST else " " + u) for u in units]
+        known = self.pieces.of({p for pieces in cut for p in pieces}, self._library)
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+
+    def _joined(self, lists: list[list[str]]) -> list[bytes]:
+        known = self.pieces.of(set().union(*lists), self._library)
+        return [b"".join(map(known.__getitem__, parts)) for parts in lists]
+
+    def _by_unit(self, texts: list[str]) -> list[bytes]:
+        """Texts of single white space: each different unit is looked up once, and its ids are put wherever it stands."""
+        split = pc.split_pattern(pa.array([FIRST + t for t in texts], pa.string()), " ")
+        units = split.flatten().dictionary_encode()
+        keys = units.dictionary.to_pylist()
+        known = self.units.of(set(keys), self._cut)
+        codes = list(map(known.__getitem__, keys))
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        flat, starts = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(sizes) - sizes
+        at = units.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(starts[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate(([0], ends))[split.offsets.to_numpy()]
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def encode(self, texts: list[str]) -> Iterator[Iterator[bytes]]:
+        """For each text its ids, as bytes of unsigned 32-bit numbers, in one or more parts."""
+        whole: dict[int, bytes] = {}
+        by_unit, by_piece = [], []
+        for i, text in enumerate(texts):
+            if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
+                whole[i] = self._library([text])[0]
+            elif len(text) <= LONG:
+                (by_piece if GAP.search(text) else by_unit).append(i)
+        whole.update(zip(by_piece, self._joined([PIECE.findall(texts[i]) for i in by_piece]), strict=True))
+        whole.update(zip(by_unit, self._by_unit([texts[i] for i in by_unit]), strict=True))
+        for i, text in enumerate(texts):
+            yield iter([whole[i]]) if i in whole else self._by_parts(text)
+
+    def _by_parts(self, text: str) -> Iterator[bytes]:
+        found = PIECE.finditer(text)
+        while part := [m.group() for m in islice(found, 200_000)]:
+            yield from self._joined([part])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -253,30 +279,32 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, doc_id: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, before = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         docs_in, parts, held = [], [], 0
-        last = np.array([end], "<u4")
+        last = end.to_bytes(4, "little")
 
         def flush():
             nonlocal before, docs_in, parts, held
-            block = block_bytes(shard, before, docs_in, np.concatenate(parts), encoder.vocabulary, end)
+            block = block_bytes(shard, before, docs_in, np.frombuffer(b"".join(parts), "<u4"), encoder.vocabulary, end)
             before += held
             docs_in, parts, held = [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], names=["value"])
 
         for batch in batches:
-            for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = 0
-                for ids in encoder.encode(body):
-                    parts.append(ids)
-                    n, held = n + len(ids), held + len(ids)
+            for at in range(0, batch.num_rows, SOME):
+                rows = batch.slice(at, SOME)
+                for key, codes in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist()), strict=True):
+                    n = 0
+                    for code in codes:
+                        parts.append(code)
+                        n, held = n + len(code) // 4, held + len(code) // 4
+                        if held >= BLOCK:
+                            docs_in.append((key, True, n))
+                            n = 0
+                            yield flush()
+                    parts.append(last)
+                    held += 1
+                    docs_in.append((key, False, n + 1))
                     if held >= BLOCK:
-                        docs_in.append((key, True, n))
-                        n = 0
                         yield flush()
-                parts.append(last)
-                held += 1
-                docs_in.append((key, False, n + 1))
-                if held >= BLOCK:
-                    yield flush()
         if docs_in:
             yield flush()
 
