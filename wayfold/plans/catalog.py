@@ -1,4 +1,8 @@
 """The registered queries and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from . import fields, meshes, requests
+
+QUERIES = {**fields.QUERIES, **meshes.QUERIES, **requests.QUERIES}
+ORACLES = {**fields.ORACLES, **meshes.ORACLES, **requests.ORACLES}
