@@ -4,7 +4,7 @@ For each language a suffix automaton of labelled text is built. A text is cut, l
 language's text has (cross parsing); phrases x log2(training symbols) / symbols of the text estimates its cross entropy in
 bits a symbol, and the language of the least wins.
 
-The greedy parse over an automaton is a transducer: where a state lacks a symbol's transition, the parse closes a phrase and
+The greedy parse over an automaton is a transducer: where a state lacks a symbol's transition, the parse starts a phrase and
 takes the symbol from the root. Its table is dense, so many texts are parsed at once, one symbol of each at a step. Texts are
 parsed whole, in strips of STRIP symbols, each of which starts a phrase.
 
@@ -61,7 +61,7 @@ def symbols_of(text: str, codes: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """The transducers of all languages in one table: entry [state x width + symbol] is 2 x (next state x width) + phrase closed."""
+    """The transducers of all languages in one table: entry [state x width + symbol] is 2 x (next state x width) + phrase started."""
 
     def __init__(self, samples: dict[str, list[str]]) -> None:
         self.languages = sorted(samples)
@@ -86,6 +86,7 @@ class Model:
             missing = table < 0
             root = np.where(table[0] < 0, 0, table[0])
             table = np.where(missing, root[None, :], table)
+            missing[0] = True  # a phrase starts at the root
             tables.append((((table + base) * self.width) << 1) | missing)
             self.roots.append(base * self.width)
             self.rates.append(math.log2(max(used, 2)))
@@ -110,7 +111,7 @@ class Model:
     def _parse(self, grid: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """(languages, lanes) from symbols by step and lane; lanes by falling length."""
         kind = self.table.dtype
-        count = np.ones((len(self.roots), len(lengths)), kind)
+        count = np.zeros((len(self.roots), len(lengths)), kind)
         state = np.repeat(np.array(self.roots, kind)[:, None], len(lengths), axis=1)
         live = np.searchsorted(-lengths, -np.arange(len(grid)), "left")
         value = np.empty_like(state)

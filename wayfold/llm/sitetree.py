@@ -208,12 +208,14 @@ class Page:
         return "\n".join(text for _, text in kept)
 
     def nodes(self) -> Iterator[tuple[int, int, int, int]]:
-        """(node, hash of its children's styles, hash of its text, node of the content root) of each node with text."""
+        """(node, hash of its children's styles, hash of its text, node of the content root) of each node with text.
+
+        Node 0 is the document, the root of pages without an article or main element."""
         texts: dict[int, list[str]] = {}
         roots: dict[int, int] = {}
         for path, text, content in self.blocks:
-            root = path[content] if content is not None else path[0] if path else 0
-            for node in path:
+            root = path[content] if content is not None else 0
+            for node in (0, *path):
                 texts.setdefault(node, []).append(text)
                 roots.setdefault(node, root)
         for node, parts in texts.items():
