@@ -105,3 +105,25 @@ def rotate_zyx(x, y, z, rx, ry, rz) -> Column:
     x2, z2 = x1 * F.cos(ry) + z * F.sin(ry), z * F.cos(ry) - x1 * F.sin(ry)
     y3, z3 = y1 * F.cos(rx) - z2 * F.sin(rx), y1 * F.sin(rx) + z2 * F.cos(rx)
     return vector(x2, y3, z3)
+
+
+def segment_meeting(a: tuple, b: tuple, c: tuple, d: tuple) -> tuple[Column, Column]:
+    """Where lines a b and c d (x, z each) meet, as shares of both; null if they are parallel."""
+    ux, uz, vx, vz, wx, wz = b[0] - a[0], b[1] - a[1], d[0] - c[0], d[1] - c[1], a[0] - c[0], a[1] - c[1]
+    det = ux * vz - uz * vx
+    safe = F.when(F.abs(det) >= SEGMENT_EPSILON, det)
+    return (vx * wz - vz * wx) / safe, (ux * wz - uz * wx) / safe
+
+
+# Bits of a polygon reference, from the low end: polygon, tile, salt.
+POLY_BITS, TILE_BITS = 31, 21
+
+
+def encode_ref(salt: Column, tile: Column, poly: Column) -> Column:
+    return F.shiftleft(salt.cast("long"), POLY_BITS + TILE_BITS).bitwiseOR(F.shiftleft(tile.cast("long"), POLY_BITS)).bitwiseOR(poly.cast("long"))
+
+
+def decode_ref(ref: Column) -> Column:
+    """A reference's salt, tile and poly."""
+    tile = F.shiftrightunsigned(ref, POLY_BITS).bitwiseAND(F.lit((1 << TILE_BITS) - 1))
+    return F.struct(F.shiftrightunsigned(ref, POLY_BITS + TILE_BITS).alias("salt"), tile.alias("tile"), ref.bitwiseAND(F.lit((1 << POLY_BITS) - 1)).alias("poly"))

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 # Fixed values, in voxels: height, climb and radius of a walker, and the most layers that links count.
 WALKER_HEIGHT, WALKER_CLIMB, WALKER_RADIUS, MAX_LAYER, OPEN_TOP = 10, 6, 3, 62, 0xFFFF
 #: Steps to the neighbours in the order of their directions.
 DIRECTIONS = ((-1, 0), (0, 1), (1, 0), (0, -1))
 
-COLUMN = Window.partitionBy("x", "z").orderBy("smin", "smax")
+
+def _column() -> WindowSpec:
+    return Window.partitionBy("x", "z").orderBy("smin", "smax")
 
 
 def coalesce_spans(spans: DataFrame) -> DataFrame:
@@ -22,7 +25,7 @@ def coalesce_spans(spans: DataFrame) -> DataFrame:
     a climb of its own."""
     before = Window.partitionBy("x", "z").orderBy("smin", "smax").rowsBetween(Window.unboundedPreceding, -1)
     marked = spans.withColumn("starts", F.coalesce(F.col("smin") > F.max("smax").over(before), F.lit(True)).cast("int"))
-    islands = marked.withColumn("layer", F.sum("starts").over(COLUMN.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    islands = marked.withColumn("layer", F.sum("starts").over(_column().rowsBetween(Window.unboundedPreceding, 0)) - 1)
     tops = islands.withColumn("top", F.max("smax").over(Window.partitionBy("x", "z", "layer")))
     area = F.max(F.when(F.col("top") - F.col("smax") <= WALKER_CLIMB, F.col("area")))
     return tops.groupBy("x", "z", "layer").agg(F.min("smin").alias("smin"), F.max("smax").alias("smax"), area.alias("area"))
@@ -30,20 +33,20 @@ def coalesce_spans(spans: DataFrame) -> DataFrame:
 
 def filter_low_obstacles(spans: DataFrame, climb: int = WALKER_CLIMB) -> DataFrame:
     """A span of no area takes that of a walkable span right below it, if its top is within a climb; such areas aren't passed on."""
-    below_area, below_top = F.lag("area").over(COLUMN), F.lag("smax").over(COLUMN)
+    below_area, below_top = F.lag("area").over(_column()), F.lag("smax").over(_column())
     steps_up = (F.col("area") == 0) & (below_area > 0) & (F.col("smax") - below_top <= climb)
     return spans.withColumn("area", F.when(steps_up, below_area).otherwise(F.col("area")))
 
 
 def filter_low_ceilings(spans: DataFrame, height: int = WALKER_HEIGHT) -> DataFrame:
     """Spans with less than the walker's height above them have no area."""
-    room = F.coalesce(F.lead("smin").over(COLUMN), F.lit(OPEN_TOP)) - F.col("smax")
+    room = F.coalesce(F.lead("smin").over(_column()), F.lit(OPEN_TOP)) - F.col("smax")
     return spans.withColumn("area", F.when(room < height, 0).otherwise(F.col("area")))
 
 
 def with_open_space(spans: DataFrame) -> DataFrame:
     """`spans` with floor and ceiling of the space above each."""
-    return spans.withColumns({"floor": F.col("smax"), "ceiling": F.coalesce(F.lead("smin").over(COLUMN), F.lit(OPEN_TOP))})
+    return spans.withColumns({"floor": F.col("smax"), "ceiling": F.coalesce(F.lead("smin").over(_column()), F.lit(OPEN_TOP))})
 
 
 def _steps() -> Column:
@@ -75,7 +78,7 @@ def filter_ledges(spans: DataFrame, width: int, depth: int, height: int = WALKER
 
 def neighbour_links(spans: DataFrame, height: int = WALKER_HEIGHT, climb: int = WALKER_CLIMB) -> DataFrame:
     """(x, z, layer, dir, to_layer): from each walkable span to the first one of each neighbour cell that a walker can step to."""
-    layer = F.row_number().over(COLUMN) - 1
+    layer = F.row_number().over(_column()) - 1
     space = with_open_space(spans).filter("area > 0").withColumn("layer", layer).filter(F.col("layer") <= MAX_LAYER)
     asked = space.select("x", "z", "layer", "floor", "ceiling", _steps())
     asked = asked.withColumns({"nx": F.col("x") + F.col("step.dx"), "nz": F.col("z") + F.col("step.dz")})

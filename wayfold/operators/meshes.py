@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import overlaps
+from ..functions.geometry import overlaps, rotate_zyx
 
 # The steepest slope, the deepest look-up of parents, city flags, and tolerances of border links.
 MAX_SLOPE = 55.0
@@ -71,6 +71,26 @@ def slope_area(max_slope: float = MAX_SLOPE) -> Column:
     return F.when(steep, 0).otherwise(F.col("area"))
 
 
+def place(verts: DataFrame, placements: DataFrame) -> DataFrame:
+    """(placement, vid, x, y, z): each model's vertices (model, vid, x, y, z) for each of its placements (placement, model, rx, ry, rz in radians, scale,
+    px, py, pz): scaled, turned, moved. A model without vertices has none."""
+    joined = placements.join(verts, "model")
+    turned = rotate_zyx(*(F.col(v) * F.col("scale") for v in "xyz"), F.col("rx"), F.col("ry"), F.col("rz"))
+    joined = joined.withColumn("t", turned)
+    return joined.select("placement", "vid", *((F.col(f"t.{v}") + F.col(f"p{v}")).alias(v) for v in "xyz"))
+
+
+def replace_tiles(tiles: DataFrame, new: DataFrame) -> DataFrame:
+    """`tiles` with those of `new` in place of any with the same map, position and layer."""
+    keys = ["map_id", "tile_x", "tile_y", "layer"]
+    return tiles.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+
+
+def centroids(edges: DataFrame) -> DataFrame:
+    """(ref, x, y, z): the mean of each polygon's corners."""
+    return edges.groupBy("ref").agg(*(F.avg(f"a{v}").alias(v) for v in "xyz"))
+
+
 def is_liquid(area: Column) -> Column:
     return area.between(16, 27)
 
@@ -139,7 +159,7 @@ def border_links(edges: DataFrame, climb: float) -> DataFrame:
     overlap along it once shrunk by BORDER_SHRINK at each end, and come within two climbs of each other or cross in height. The
     shared range of the first edge is given in 255ths. Coordinates are joined by hundredths, to either side.
     """
-    side = -2 - F.col("nei")
+    side = (-2 - F.col("nei")).cast("int")
     along_x = side % 2 == 1
     line = F.when(along_x, F.col("az")).otherwise(F.col("ax"))
 

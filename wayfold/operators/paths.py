@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 AXES = ("x", "y", "z")
 # Defaults of the smoothers.
@@ -18,8 +19,13 @@ MAX_POINTS = 512
 # Path flags.
 CHAIKIN, CATMULL, BEZIER, SNAP, WALK = 1, 2, 4, 8, 16
 
-BY_PATH = Window.partitionBy("path_id").orderBy("seq")
-WHOLE = Window.partitionBy("path_id")
+
+def by_path() -> WindowSpec:
+    return Window.partitionBy("path_id").orderBy("seq")
+
+
+def whole_path() -> WindowSpec:
+    return Window.partitionBy("path_id")
 
 
 def _renumbered(points: DataFrame, *order: str) -> DataFrame:
@@ -35,7 +41,7 @@ def number_points(points: DataFrame, path_id: str, order: list[str]) -> DataFram
 
 def chaikin(paths: DataFrame) -> DataFrame:
     """Corner cutting: the first point, a quarter and three quarters of each leg, and the last point; 2n points for n."""
-    ahead = [F.lead(a).over(BY_PATH).alias(f"{a}1") for a in AXES]
+    ahead = [F.lead(a).over(by_path()).alias(f"{a}1") for a in AXES]
     legs = paths.select("path_id", "seq", *AXES, *ahead)
     cuts = legs.filter("x1 IS NOT NULL").withColumn("share", F.explode(F.array(F.lit(0.25), F.lit(0.75))))
     cuts = cuts.select("path_id", (F.col("seq") + F.col("share")).alias("at"), *(((1 - F.col("share")) * F.col(a) + F.col("share") * F.col(f"{a}1")).alias(a) for a in AXES))
@@ -56,7 +62,7 @@ def catmull_rom(paths: DataFrame, points: int = CATMULL_POINTS, alpha: float = C
     Legs with a degenerate time are left out.
     """
     around = {k: n for k, n in zip("abcd", (-1, 0, 1, 2), strict=True)}
-    windows = paths.select("path_id", "seq", *(F.lead(a, n).over(BY_PATH).alias(f"{k}{a}") if n > 0 else F.lag(a, -n).over(BY_PATH).alias(f"{k}{a}") if n else F.col(a).alias(f"{k}{a}") for k, n in around.items() for a in AXES))
+    windows = paths.select("path_id", "seq", *(F.lead(a, n).over(by_path()).alias(f"{k}{a}") if n > 0 else F.lag(a, -n).over(by_path()).alias(f"{k}{a}") if n else F.col(a).alias(f"{k}{a}") for k, n in around.items() for a in AXES))
     whole = windows.filter("ax IS NOT NULL AND dx IS NOT NULL")
 
     def gap(p: str, q: str) -> Column:
@@ -73,7 +79,7 @@ def catmull_rom(paths: DataFrame, points: int = CATMULL_POINTS, alpha: float = C
     first = paths.filter("seq = 0").select("path_id", F.lit(-1).alias("seq"), F.lit(0).alias("k"), *AXES)
     out = first.unionByName(samples)
     if keep_last:
-        last = paths.withColumn("n", F.count("*").over(WHOLE)).filter("seq = n - 1 AND seq > 0").select("path_id", "seq", F.lit(0).alias("k"), *AXES)
+        last = paths.withColumn("n", F.count("*").over(whole_path())).filter("seq = n - 1 AND seq > 0").select("path_id", "seq", F.lit(0).alias("k"), *AXES)
         out = out.unionByName(last)
     return _renumbered(out, "seq", "k")
 
@@ -81,14 +87,14 @@ def catmull_rom(paths: DataFrame, points: int = CATMULL_POINTS, alpha: float = C
 def bezier(paths: DataFrame, points: int = BEZIER_POINTS, keep_last: bool = False) -> DataFrame:
     """Cubic Bezier curves through every fourth point: `points` samples of each run of four, which starts at the third of the run
     before it. Points beyond the last whole run are left out; `keep_last` adds the last."""
-    ahead = [F.lead(a, n).over(BY_PATH).alias(f"{a}{n}") for n in (1, 2, 3) for a in AXES]
+    ahead = [F.lead(a, n).over(by_path()).alias(f"{a}{n}") for n in (1, 2, 3) for a in AXES]
     runs = paths.select("path_id", "seq", *AXES, *ahead).filter("seq % 3 = 0 AND x3 IS NOT NULL")
     runs = runs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("t", F.col("k") / float(points - 1)).withColumn("u", 1 - F.col("t"))
     t, u = F.col("t"), F.col("u")
     curve = [(u * u * u * F.col(a) + 3 * u * u * t * F.col(f"{a}1") + 3 * u * t * t * F.col(f"{a}2") + t * t * t * F.col(f"{a}3")).alias(a) for a in AXES]
     out = runs.select("path_id", "seq", "k", *curve)
     if keep_last:
-        numbered = paths.withColumn("n", F.count("*").over(WHOLE))
+        numbered = paths.withColumn("n", F.count("*").over(whole_path()))
         out = out.unionByName(numbered.filter("seq = n - 1 AND (n - 1) % 3 <> 0").select("path_id", "seq", F.lit(0).alias("k"), *AXES))
     return _renumbered(out, "seq", "k")
 
@@ -96,7 +102,7 @@ def bezier(paths: DataFrame, points: int = BEZIER_POINTS, keep_last: bool = Fals
 def smooth(paths: DataFrame, flags: DataFrame, max_points: int = MAX_POINTS) -> DataFrame:
     """Paths smoothed as their flags (path_id, flags) say: Chaikin before Catmull-Rom before Bezier, where a path has the points for it
     (3, 4, 4); others as they are; at most max_points of each."""
-    counted = paths.join(flags, "path_id").withColumn("n", F.count("*").over(WHOLE))
+    counted = paths.join(flags, "path_id").withColumn("n", F.count("*").over(whole_path()))
     flag = F.col("flags")
     kind = F.when((flag.bitwiseAND(CHAIKIN) != 0) & (F.col("n") >= 3), CHAIKIN).when((flag.bitwiseAND(CHAIKIN) == 0) & (flag.bitwiseAND(CATMULL) != 0) & (F.col("n") >= 4), CATMULL)
     kind = kind.when((flag.bitwiseAND(CHAIKIN | CATMULL) == 0) & (flag.bitwiseAND(BEZIER) != 0) & (F.col("n") >= 4), BEZIER).otherwise(0)
@@ -115,14 +121,14 @@ def truncate(paths: DataFrame, max_points: int = MAX_POINTS) -> DataFrame:
 
 def stats(paths: DataFrame) -> DataFrame:
     """(path_id, points, length, and the bounds of each axis)."""
-    legs = paths.withColumn("leg", F.sqrt(sum(((F.col(a) - F.lag(a).over(BY_PATH)) * (F.col(a) - F.lag(a).over(BY_PATH)) for a in AXES), F.lit(0.0))))
+    legs = paths.withColumn("leg", F.sqrt(sum(((F.col(a) - F.lag(a).over(by_path())) * (F.col(a) - F.lag(a).over(by_path())) for a in AXES), F.lit(0.0))))
     bounds = [f(a).alias(f"{name}_{a}") for a in AXES for name, f in (("min", F.min), ("max", F.max))]
     return legs.groupBy("path_id").agg(F.count("*").alias("points"), F.coalesce(F.sum("leg"), F.lit(0.0)).alias("length"), *bounds)
 
 
 def split_legs(paths: DataFrame, longest: float) -> DataFrame:
     """Paths whose legs are cut into equal steps of at most `longest`, ends kept."""
-    before = paths.select("path_id", "seq", *AXES, *(F.lag(a).over(BY_PATH).alias(f"{a}0") for a in AXES))
+    before = paths.select("path_id", "seq", *AXES, *(F.lag(a).over(by_path()).alias(f"{a}0") for a in AXES))
     length = F.sqrt(sum(((F.col(a) - F.col(f"{a}0")) * (F.col(a) - F.col(f"{a}0")) for a in AXES), F.lit(0.0)))
     cut = before.withColumn("steps", F.greatest(F.ceil(F.coalesce(length, F.lit(0.0)) / longest), F.lit(1)).cast("int"))
     cut = cut.withColumn("k", F.explode(F.sequence(F.lit(1), "steps")))

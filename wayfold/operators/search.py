@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cross_2d, crosses_edge, segment_t, triangle_height
+from .paths import split_legs
 from .rounds import cut, relax, trace
 
 # Extents of the search for the polygon of a point, and for its height.
@@ -232,6 +233,28 @@ def move_along(requests: DataFrame, edges: DataFrame, doors: DataFrame) -> DataF
     return best.select("request_id", "b.ref", "b.x", "b.z")
 
 
+def walk(paths: DataFrame, edges: DataFrame, doors: DataFrame, climb: float, longest: float = 25.0) -> DataFrame:
+    """(path_id, seq, x, y, z): paths as a walker gets along them. The first point stays; then each leg, cut to at most `longest`, is a surface
+    move from where the walker is, on the polygon nearest to it. All paths take a step in each round, so rounds are as many as the longest
+    path has legs; a walker without a polygon stops."""
+    points = cut(split_legs(paths, longest))
+    last = points.agg(F.max("seq")).first()[0] or 0
+    at = points.filter("seq = 0")
+    parts = [at]
+    for n in range(1, last + 1):
+        here = at.withColumnRenamed("path_id", "request_id")
+        found = nearest(here, edges, climb).select("request_id", F.col("ref").alias("start_ref"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"))
+        goals = points.filter(F.col("seq") == n).select(F.col("path_id").alias("request_id"), F.col("x").alias("gx"), F.col("z").alias("gz"))
+        asked = cut(found.join(goals, "request_id"))
+        moved = move_along(asked, edges, doors).join(asked.select("request_id", "sy"), "request_id")
+        at = cut(moved.select(F.col("request_id").alias("path_id"), F.lit(n).alias("seq"), "x", F.col("sy").alias("y"), "z"))
+        parts.append(at)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def _uniform(seed: int, *key: Column) -> Column:
     """A number above 0 and at most 1 that depends on the key and the seed alone: reruns agree."""
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11).cast("double") + 1) / float(1 << 53)

@@ -201,3 +201,99 @@ def request_route(spark, d):
     events = W.table(spark, d, "events")
     routed = S.route(events, (F.col("event_id") % 12).cast("int"), F.col("user_id") % 40, {"PATH": 32, "CAST_RAY": 28})
     return routed.select("event_id", "op", "status")
+
+
+@query("ref_codec", "SELECT l_orderkey, l_linenumber, (l_linenumber::BIGINT << 52) | ((l_suppkey % 2097152) << 31) | l_partkey AS ref, l_linenumber::BIGINT AS salt, l_suppkey % 2097152 AS tile, l_partkey AS poly FROM lineitem")
+def ref_codec(spark, d):
+    ref = G.encode_ref(F.col("l_linenumber"), F.col("l_suppkey") % 2097152, F.col("l_partkey"))
+    rows = W.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", ref.alias("ref")).withColumn("d", G.decode_ref(F.col("ref")))
+    return rows.select("l_orderkey", "l_linenumber", "ref", "d.salt", "d.tile", "d.poly")
+
+
+@query("valid_refs", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 25)")
+def valid_refs(spark, d):
+    parts = W.table(spark, d, "part").filter("p_size > 25").select(F.col("p_partkey").alias("l_partkey"))
+    return W.table(spark, d, "lineitem").join(parts, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber")
+
+
+@query("seg_intersect", f"""WITH {W.CORNERS_SQL}, s AS (SELECT o_orderkey, bx - ax AS ux, bz - az AS uz, 50 - cx AS vx, 40 - cz AS vz, ax - cx AS wx, az - cz AS wz FROM t), e AS (SELECT *, ux * vz - uz * vx AS det FROM s)
+    SELECT o_orderkey, {Q("(vx * wz - vz * wx) / det")} AS s, {Q("(ux * wz - uz * wx) / det")} AS t FROM e WHERE abs(det) >= 1e-6""")
+def seg_intersect(spark, d):
+    s, t = G.segment_meeting((F.col("ax"), F.col("az")), (F.col("bx"), F.col("bz")), (F.col("cx"), F.col("cz")), (F.lit(50.0), F.lit(40.0)))
+    return W.corners(spark, d).select("o_orderkey", G.quantised(s).alias("s"), G.quantised(t).alias("t")).filter("s IS NOT NULL")
+
+
+@query("poly_centroid", f"WITH {W.GRID_SQL} SELECT ref, c + 0.5 AS x, h AS y, r + 0.5 AS z FROM g")
+def poly_centroid(spark, d):
+    return M.centroids(W.grid_edges(spark, d))
+
+
+@query(
+    "place_models",
+    f"""WITH p AS (SELECT s_suppkey AS placement, s_suppkey % 7 AS model, s_suppkey % 13 / 4.0::DOUBLE AS rx, s_suppkey % 11 / 5.0::DOUBLE AS ry, s_suppkey % 17 / 6.0::DOUBLE AS rz, 1 + s_suppkey % 3 / 2.0::DOUBLE AS k, s_acctbal AS px FROM supplier),
+    m AS (SELECT p_partkey % 7 AS model, p_partkey AS vid, p_size * 1.0::DOUBLE AS x, p_retailprice / 100 AS y, p_size % 5 * 1.0::DOUBLE AS z FROM part WHERE p_partkey <= 70),
+    a AS (SELECT placement, vid, rx, ry, px, x * k * cos(rz) - y * k * sin(rz) AS x1, x * k * sin(rz) + y * k * cos(rz) AS y1, z * k AS z1 FROM p JOIN m USING (model)),
+    b AS (SELECT *, x1 * cos(ry) + z1 * sin(ry) AS x2, z1 * cos(ry) - x1 * sin(ry) AS z2 FROM a)
+    SELECT placement, vid, {Q("x2 + px")} AS x, {Q("y1 * cos(rx) - z2 * sin(rx)")} AS y, {Q("y1 * sin(rx) + z2 * cos(rx)")} AS z FROM b""",
+)
+def place_models(spark, d):
+    k = F.col("s_suppkey")
+    placements = W.table(spark, d, "supplier").select(k.alias("placement"), (k % 7).alias("model"), (k % 13 / 4.0).alias("rx"), (k % 11 / 5.0).alias("ry"), (k % 17 / 6.0).alias("rz"), (1 + k % 3 / 2.0).alias("scale"), F.col("s_acctbal").alias("px"), F.lit(0.0).alias("py"), F.lit(0.0).alias("pz"))
+    size = F.col("p_size")
+    verts = W.table(spark, d, "part").filter("p_partkey <= 70").select((F.col("p_partkey") % 7).alias("model"), F.col("p_partkey").alias("vid"), (size * 1.0).alias("x"), (F.col("p_retailprice") / 100).alias("y"), (size % 5 * 1.0).alias("z"))
+    return M.place(verts, placements).select("placement", "vid", *(G.quantised(F.col(v)).alias(v) for v in "xyz"))
+
+
+@query("replace_tiles", "SELECT s_nationkey AS map_id, s_suppkey AS tile_x, 0 AS tile_y, 0 AS layer, CASE WHEN s_suppkey % 3 = 0 THEN 'new' ELSE 'old' END AS data FROM supplier")
+def replace_tiles(spark, d):
+    tiles = W.table(spark, d, "supplier").select(F.col("s_nationkey").alias("map_id"), F.col("s_suppkey").alias("tile_x"), F.lit(0).alias("tile_y"), F.lit(0).alias("layer"), F.lit("old").alias("data"))
+    return M.replace_tiles(tiles, tiles.filter("tile_x % 3 = 0").withColumn("data", F.lit("new")))
+
+
+@query("rasterize")
+def rasterize(spark, d):
+    """Order triangles as voxels of half a unit, merged by cell."""
+    from ..operators import columns as C
+    from ..operators import voxels as V
+
+    tris = W.corners(spark, d).select(F.lit(0).cast("long").alias("tile"), *(F.col(f"{c}{v}") / (1 if v == "y" else 10) for c in "abc" for v in "xyz"), F.lit(1).alias("area"))
+    tris = tris.toDF("tile", *(f"{c}{v}" for c in "abc" for v in "xyz"), "area")
+    return C.coalesce_spans(V.rasterize(tris, 0.5, 0.5).drop("tile"))
+
+
+@query("erode_spans")
+def erode_spans(spark, d):
+    """Walkable spans of the merged field that are at least one cell from an edge."""
+    from pyspark.sql import Window
+
+    from ..operators import columns as C
+    from ..operators import voxels as V
+
+    spans = W.spans(spark, d).select("x", "z", "smin", "smax", "area")
+    walkable = spans.filter("area > 0").withColumn("layer", F.row_number().over(Window.partitionBy("x", "z").orderBy("smin", "smax")) - 1)
+    return V.erode(walkable.select("x", "z", "layer"), C.neighbour_links(spans), 1)
+
+
+@query("anp_roundtrip")
+def anp_roundtrip(spark, d):
+    """The nation grid as a tile in an archive, packed and parsed."""
+    import zipfile
+    import io
+
+    import pandas as pd
+
+    from ..sources import navmesh as N
+
+    polys = W.grid_edges(spark, d).groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("edge", "ax", "ay", "az"))).alias("e"))  # four edges each
+
+    def pack(pdf):
+        rows = [{"flags": 4, "area": 1, "nei": [0] * len(e), "x": [p["ax"] for p in e], "y": [p["ay"] for p in e], "z": [p["az"] for p in e]} for e in pdf.sort_values("ref").e]
+        return pd.DataFrame({"map_id": [0], "tile_x": [0], "tile_y": [0], "data": [N.tile_bytes(0, 0, rows)]})
+
+    tiles = polys.withColumn("map_id", F.lit(0)).groupBy("map_id").applyInPandas(pack, "map_id int, tile_x int, tile_y int, data binary")
+    archives = N.pack_anp(tiles, (0.0, 0.0, 0.0, 5.0, 5.0, 4096, 1)).select(F.col("name").alias("path"), "content")
+
+    def parse(_, content):
+        return N.parse_anp(content) if zipfile.is_zipfile(io.BytesIO(content)) else iter(())
+
+    return N.polygon_edges(N._parsed(archives, parse, N.TILE)).select("ref", "edge", "ax", "ay", "az", "area")

@@ -142,7 +142,7 @@ def random_path(spark, d):
     """RANDOM_PATH: inner points of each path moved to a random point of the polygons around them."""
     _, paths = straight_paths(spark, d)
     paths = cut(paths)
-    inner = paths.withColumn("n", F.count("*").over(P.WHOLE)).withColumn("request_id", F.struct("path_id", "seq"))
+    inner = paths.withColumn("n", F.count("*").over(P.whole_path())).withColumn("request_id", F.struct("path_id", "seq"))
     asked = inner.filter("seq > 0 AND seq < n - 1").select("request_id", *"xyz")
     at = S.nearest(asked, W.grid_edges(spark, d), CLIMB).select("request_id", F.col("ref").alias("start_ref"), F.col("x").alias("sx"), F.col("z").alias("sz"), F.lit(1.0).alias("radius"))
     moved = S.random_points_around(at, W.grid_edges(spark, d), doors(spark, d)).select("request_id", *(F.col(v).alias(f"r{v}") for v in "xyz"))
@@ -150,6 +150,14 @@ def random_path(spark, d):
     return out.select("path_id", "seq", *(G.quantised(F.coalesce(f"r{v}", v)).alias(v) for v in "xyz"))
 
 
+@query("mas_validate")
+def mas_validate(spark, d):
+    """Smoothed paths of the orders, walked along the surface."""
+    _, paths = straight_paths(spark, d)
+    out = S.walk(P.chaikin(paths), W.grid_edges(spark, d), doors(spark, d), CLIMB)
+    return out.select("path_id", "seq", *(G.quantised(F.col(v)).alias(v) for v in "xyz"))
+
+
 INNER_WALLS = "(ref = 7 AND edge = 2) OR (ref = 8 AND edge = 0) OR (ref = 16 AND edge = 1) OR (ref = 21 AND edge = 3) OR (ref = 12 AND edge = 1) OR (ref = 17 AND edge = 3)"
 
 
