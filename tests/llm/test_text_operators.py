@@ -268,3 +268,46 @@ def test_items_hash_is_of_sorted_ids(spark, tmp_path):
     got = {x.doc_id: x for x in decontaminate.op2_decontaminate(spark, str(tmp_path)).collect()}
     assert got[1].items_sha256 == hashlib.sha256(b"10,9").hexdigest() and got[1].n_items == 2 and got[1].contaminated
     assert got[2].items_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+# --- near copies by shingles
+
+
+def test_near_copies_by_similarity_match_brute_force(spark):
+    from wayfold.llm import similar
+
+    r = random.Random(13)
+    rows = []
+    for base in range(6):
+        words = [f"b{base}w{r.randrange(200)}" for _ in range(150)]
+        for copy in range(7):
+            changed = list(words)
+            for _ in range(copy):
+                changed[r.randrange(150)] = f"new{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(changed)))
+    rows += [(900, None), (901, ""), (902, "a b"), (903, "A  B"), (903, "A  B"), (None, rows[0][1] + " tail")]
+    sets = [(k, set(similar.shingles((t or "").encode()).tolist())) for k, t in rows]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "row long, text string")
+    found = {x.row: x.root for x in similar.groups(docs).collect()}
+    near = lambda a, b: a and len(a & b) >= 0.8 * len(a | b)
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if near(sets[i][1], sets[j][1]):
+                parent[find(i)] = find(j)
+    want = {}
+    for i in range(len(sets)):
+        want.setdefault(find(i), set()).add(i)
+    got = {}
+    for i in range(len(sets)):
+        got.setdefault(found.get(i, i), set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    kept = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", toxicity.F.lit(1)))
+    assert {x.doc_id for x in kept.collect()} == {900, 901, 902} | {rows[min(g)][0] for g in want.values() if min(g) < 42}
+    assert kept.columns == ["doc_id", "text", "row"] and similar.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0

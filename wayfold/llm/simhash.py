@@ -22,6 +22,7 @@ is alone in it (then null); an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from itertools import combinations, repeat
 
 import numpy as np
@@ -125,22 +126,31 @@ def _near(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= LINK
 
 
-def group_fingerprints(prints: DataFrame) -> DataFrame:
-    """(fp, root) for the fingerprints of `prints` (column fp, distinct) that link to others."""
-    keys = _keyed(prints)
-    shared = keys.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("top")).filter("hub <> top").select("key", "hub")
-    members = landed(keys.join(shared, "key"), "keys")
-    first = connected_components(members.filter(_near("fp", "hub")).select(F.col("fp").alias("a"), F.col("hub").alias("b")))
-    rooted = landed(members.select("key", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), "rooted")
+def linked_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of nodes that link to others; `members` has (key, node), and verify() keeps of pairs (a, b) those that link.
+
+    Nodes of a key are first linked to the smallest of them; only keys that still join different components are then searched pair by
+    pair, across components.
+    """
+    shared = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top").select("key", "hub")
+    members = landed(members.join(shared, "key"), "keys")
+    first = connected_components(verify(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()))
+    rooted = landed(members.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     open_keys = landed(rooted.join(mixed, "key"), "open")
-    a = open_keys.select("key", F.col("fp").alias("fa"), F.col("root").alias("a"))
-    b = open_keys.select("key", F.col("fp").alias("fb"), F.col("root").alias("b"))
-    links = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & _near("fa", "fb")).select("a", "b")
-    second = connected_components(links)
-    last = first.union(second.join(first.select(F.col("node")), "node", "left_anti").select("node", "root"))
+    x = open_keys.select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
+    y = open_keys.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
+    pairs = x.join(y, "key").filter("ra < rb").select("a", "b", "ra", "rb")
+    second = connected_components(verify(pairs).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    last = first.union(second.join(first.select("node"), "node", "left_anti").select("node", "root"))
     moved = second.select(F.col("node").alias("root"), F.col("root").alias("moved"))
-    return last.join(moved, "root", "left").select(F.col("node").alias("fp"), F.coalesce("moved", "root").alias("root"))
+    return last.join(moved, "root", "left").select("node", F.coalesce("moved", "root").alias("root"))
+
+
+def group_fingerprints(prints: DataFrame) -> DataFrame:
+    """(fp, root) for the fingerprints of `prints` (column fp, distinct) that link to others."""
+    keyed = _keyed(prints).withColumnRenamed("fp", "node")
+    return linked_groups(keyed, lambda pairs: pairs.filter(_near("a", "b"))).withColumnRenamed("node", "fp")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
