@@ -328,3 +328,47 @@ def test_request_routing(spark):
     rows = spark.createDataFrame([(0, 31), (0, 32), (6, 99), (77, 1), (9, 0)], "kind int, size int")
     got = [r.status for r in session.route(rows, F.col("kind"), F.col("size"), {"PATH": 32}).collect()]
     assert got == ["short", "ok", "unanswered", "unknown", "ok"]
+
+# --- terrain and tables
+
+
+def test_road_cells_read_two_bits_low_first(spark):
+    from wayfold.operators import terrain
+
+    chunks = spark.createDataFrame([(1, 100.0, 200.0, [0b00011011] + [0] * 15, [7, 8])], "chunk long, x double, y double, pred_tex array<int>, layers array<int>")
+    roads = spark.createDataFrame([(8,)], "texture_id int")
+    (r,) = terrain.road_rects(chunks, roads).collect()
+    # layers 3, 2, 1, 0: the first two cells name layers that the chunk lacks, the third a road
+    assert r.cell == 2 and r.maxx == pytest.approx(200 - 2 * meshes.UNIT + 0.01) and r.minz == pytest.approx(100 - meshes.UNIT - 0.01)
+
+
+def test_liquid_cells_take_mask_and_heights(spark):
+    from wayfold.operators import terrain
+
+    schema = "chunk long, instance int, x double, y double, liquid int, off_x int, off_y int, width int, height int, max_h double, mask array<int>, heights array<double>"
+    rows = [(1, 0, 0.0, 0.0, 5, 0, 0, 2, 1, 9.0, [0b10], [float(i) for i in range(6)]), (2, 0, 0.0, 0.0, 99, 1, 1, 1, 1, 9.0, None, None), (3, 0, 0.0, 0.0, 5, 0, 0, 0, 4, 9.0, None, None)]
+    got = {r.chunk: r for r in terrain.liquid_rects(spark.createDataFrame(rows, schema), spark.createDataFrame([(5, "slime")], "liquid int, kind string")).collect()}
+    assert set(got) == {1, 2} and (got[1].cell, got[1].type, got[1].h3, got[1].h2, got[1].h1, got[1].h0) == (1, 25, 1.0, 2.0, 4.0, 5.0)
+    assert got[2].type == 16 and got[2].h0 == 9.0
+
+
+def test_translation_and_first_hit(spark):
+    lines = spark.createDataFrame([("A/b.blp\t111 ",), ("broken",), ("a/B.blp\t222",), ("c\t333",)], "value string").coalesce(1)
+    table = session.translate_table(lines)
+    assert {(r.key, r.hash) for r in table.collect()} == {("a/b.blp", "222"), ("c", "333")}
+    asked = spark.createDataFrame([("x", "C"), ("a/b.blp", "c"), ("n", "m")], "one string, two string")
+    got = {r.one: r.hash for r in session.first_found(asked, [F.col("one"), F.col("two")], table).collect()}
+    assert got == {"x": "333", "a/b.blp": "222", "n": None}
+
+
+def test_walks_slide_along_walls(spark):
+    edges, doors, _ = grid(spark, 3)
+    path = polyline(spark, [(0.5, 0.0, 0.5), (2.5, 0.0, 0.5), (2.5, 0.0, 9.0)])
+    got = [(r.seq, r.x, r.z) for r in search.walk(path, edges, doors, 1.2).orderBy("seq").collect()]
+    assert got == [(0, 0.5, 0.5), (1, 2.5, 0.5), (2, 2.5, 3.0)]
+
+
+def test_models_are_scaled_turned_and_moved(spark):
+    verts = spark.createDataFrame([(1, 0, 1.0, 0.0, 0.0)], "model int, vid int, x double, y double, z double")
+    placed = meshes.place(verts, spark.createDataFrame([(7, 1, 0.0, 0.0, math.pi / 2, 2.0, 10.0, 20.0, 30.0), (8, 2, *[0.0] * 7)], "placement int, model int, rx double, ry double, rz double, scale double, px double, py double, pz double")).collect()
+    assert [(r.placement, r.x, r.y, r.z) for r in placed] == [(7, pytest.approx(10), pytest.approx(22), 30.0)]

@@ -75,3 +75,23 @@ def config_errors(config: DataFrame) -> DataFrame:
 
 def config_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(DEFAULTS.items()), "key string, value string")
+
+
+def translate_table(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(key, hash) from lines `key<tab>hash`: trimmed, keys without regard to case, the last line of a key wins."""
+    cut = F.split(F.col(column), "\t", 2)
+    rows = lines.select(F.monotonically_increasing_id().alias("line"), F.lower(F.trim(cut[0])).alias("key"), F.trim(F.try_element_at(cut, F.lit(2))).alias("hash"))
+    return rows.filter("hash IS NOT NULL").groupBy("key").agg(F.max_by("hash", "line").alias("hash"))
+
+
+def first_found(wanted: DataFrame, names: list[Column], known: DataFrame) -> DataFrame:
+    """`wanted` with hash, that of the first of `names` which the table (key, hash) has; null if none."""
+    key = [c for c in wanted.columns]
+    tried = wanted.select(*key, F.posexplode(F.array(*(F.lower(n) for n in names))).alias("n", "key"))
+    found = tried.join(known, "key").groupBy(*key).agg(F.min_by("hash", "n").alias("hash"))
+    return wanted.join(found, key, "left")
+
+
+def snapped_heights(points: DataFrame, found: DataFrame, fallback: float = 200.0) -> DataFrame:
+    """(request_id, z): the height found for each point (request_id, z), else its own, else the fallback."""
+    return points.join(found.select("request_id", F.col("y").alias("found")), "request_id", "left").select("request_id", F.coalesce("found", "z", F.lit(fallback)).alias("z"))

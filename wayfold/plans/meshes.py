@@ -297,3 +297,50 @@ def anp_roundtrip(spark, d):
         return N.parse_anp(content) if zipfile.is_zipfile(io.BytesIO(content)) else iter(())
 
     return N.polygon_edges(N._parsed(archives, parse, N.TILE)).select("ref", "edge", "ax", "ay", "az", "area")
+
+
+@query(
+    "road_rects",
+    f"""WITH c AS (SELECT p_partkey AS chunk, p_retailprice AS x, p_size * 2.0::DOUBLE AS y, p_size, i AS cell, (p_partkey * (i // 4 + 3) * 37 % 256) // CAST(4 ** (i % 4) AS BIGINT) % 4 AS layer FROM part, (SELECT unnest(range(64)) AS i)),
+    t AS (SELECT *, [p_size, p_size + 1, p_size % 7][layer + 1] AS texture FROM c WHERE layer < 3)
+    SELECT chunk, CAST(cell AS INT) AS cell, {Q(f"y - (cell % 8 + 1) * {M.UNIT} - 0.01")} AS minx, {Q(f"x - (cell // 8) * {M.UNIT} + 0.01")} AS maxz FROM t WHERE texture % 5 = 0""",
+)
+def road_rects(spark, d):
+    from ..operators.terrain import road_rects
+
+    key, size = F.col("p_partkey"), F.col("p_size")
+    chunks = W.table(spark, d, "part").select(key.alias("chunk"), F.col("p_retailprice").alias("x"), (size * 2.0).alias("y"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: key * (i + 3) * 37 % 256).alias("pred_tex"), F.array(size, size + 1, size % 7).alias("layers"))
+    roads = spark.range(0, 101, 5).select(F.col("id").cast("int").alias("texture_id"))
+    found = road_rects(chunks, roads)
+    return found.select("chunk", "cell", G.quantised(F.col("minx")).alias("minx"), G.quantised(F.col("maxz")).alias("maxz"))
+
+
+@query(
+    "liquid_rects",
+    f"""WITH k(liquid, type) AS (VALUES (1, 19), (2, 22), (3, 25)), l AS (SELECT s_suppkey AS chunk, s_acctbal AS x, s_suppkey * 1.0::DOUBLE AS y, s_suppkey % 5 AS liquid, s_suppkey % 3 AS ox, s_suppkey % 2 AS oy, 1 + s_suppkey % 5 AS w, 1 + s_suppkey % 4 AS h, s_suppkey % 4 = 0 AS flat, s_suppkey % 6 = 0 AS full_mask FROM supplier),
+    c AS (SELECT *, i AS cell FROM l, (SELECT unnest(range(20)) AS i) WHERE i < w * h AND (full_mask OR (chunk * 91 % 251 + i // 8) // CAST(2 ** (i % 8) AS BIGINT) % 2 = 1))
+    SELECT chunk, CAST(cell AS INT) AS cell, coalesce(type, 16) AS type, {Q(f"y - (ox + cell % w + 1) * {M.UNIT} - 0.05")} AS minx, {Q(f"x - (oy + cell // w) * {M.UNIT} + 0.05")} AS maxz,
+      {Q("CASE WHEN flat THEN 7.5 ELSE (cell // w) * (w + 1) + cell % w + 0.25 END")} AS h3, {Q("CASE WHEN flat THEN 7.5 ELSE (cell // w + 1) * (w + 1) + cell % w + 1.25 END")} AS h0 FROM c LEFT JOIN k USING (liquid)""",
+)
+def liquid_rects(spark, d):
+    from ..operators.terrain import liquid_rects
+
+    k = F.col("s_suppkey")
+    kinds = spark.createDataFrame([(1, "ocean"), (2, "magma"), (3, "slime")], "liquid long, kind string")
+    rows = W.table(spark, d, "supplier").select(
+        k.alias("chunk"), F.lit(0).alias("instance"), F.col("s_acctbal").alias("x"), (k * 1.0).alias("y"), (k % 5).alias("liquid"), (k % 3).alias("off_x"), (k % 2).alias("off_y"), (1 + k % 5).alias("width"), (1 + k % 4).alias("height"), F.lit(7.5).alias("max_h"),
+        F.when(k % 6 != 0, F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: k * 91 % 251 + i)).alias("mask"), F.when(k % 4 != 0, F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: i + 0.25)).alias("heights"),
+    )
+    found = liquid_rects(rows, kinds)
+    return found.select("chunk", F.col("cell").cast("int").alias("cell"), "type", *(G.quantised(F.col(v)).alias(v) for v in ("minx", "maxz", "h3", "h0")))
+
+
+@query("faction_rects", f"""WITH RECURSIVE {TREE_SQL}, up AS (SELECT id, id AS now, 0 AS depth FROM a UNION ALL SELECT up.id, a.parent, depth + 1 FROM up JOIN a ON a.id = up.now WHERE a.parent <> 0 AND a.parent <> a.id AND depth < 9),
+    f AS (SELECT up.id, up.depth, a.faction, a.flags FROM up JOIN a ON a.id = up.now), k AS (SELECT id, coalesce(arg_min(faction, depth) FILTER (faction <> 0), 0) AS faction, bool_or((flags & 40) <> 0) AS city FROM f GROUP BY id)
+    SELECT o_orderkey AS chunk, {Q(f"o_totalprice - 8 * {M.UNIT} - 0.01")} AS minx, faction, city FROM orders JOIN k ON k.id = o_custkey % 3000 WHERE o_custkey % 3000 <> 0 AND (faction <> 0 OR city)""")
+def faction_rects(spark, d):
+    from ..operators.terrain import faction_rects
+
+    chunks = W.table(spark, d, "orders").select(F.col("o_orderkey").alias("chunk"), F.lit(0.0).alias("x"), F.col("o_totalprice").alias("y"), (F.col("o_custkey") % 3000).alias("area_id"))
+    found = faction_rects(chunks, ancestor_areas(spark, d))
+    return found.select("chunk", G.quantised(F.col("minx")).alias("minx"), "faction", "city")

@@ -152,9 +152,9 @@ def random_path(spark, d):
 
 @query("mas_validate")
 def mas_validate(spark, d):
-    """Smoothed paths of the orders, walked along the surface."""
+    """Paths of the orders, walked along the surface."""
     _, paths = straight_paths(spark, d)
-    out = S.walk(P.chaikin(paths), W.grid_edges(spark, d), doors(spark, d), CLIMB)
+    out = S.walk(paths, W.grid_edges(spark, d), doors(spark, d), CLIMB)
     return out.select("path_id", "seq", *(G.quantised(F.col(v)).alias(v) for v in "xyz"))
 
 
