@@ -21,10 +21,11 @@ from __future__ import annotations
 import os
 import re
 import struct
+import threading
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,10 @@ from .common import landed, read_table, work_path
 
 END = 2
 BLOCK = 1 << 20
-ROUNDS = 3
-RULES = 1024
-LEAST = 32
+ROUNDS = 2
+RULES = 6000
+LEAST = 12
+SLOT_BITS = 20
 #: Text bytes in a shard.
 SHARD_BYTES = 24 << 20
 MAGIC = b"RPG1"
@@ -53,12 +55,42 @@ PIECE = re.compile(
 )
 #: Put before the first unit of a text, which has no space before it.
 FIRST = "\x00"
+#: Marks that no plain text has: before each unit, and between pieces.
+MARK, SEPARATOR = "\x01", "\x02"
+MARKED_PIECE = re.compile(MARK + "|" + PIECE.pattern.replace(rf"[^{SPACES}{LETTERS}{NUMBERS}]", rf"[^{MARK}{SPACES}{LETTERS}{NUMBERS}]").replace(rf"(?![^{SPACES}])", rf"(?![^{MARK}{SPACES}])"))
 GAP = re.compile(rf"[{SPACES}][{SPACES}]")
-#: Entries of each half of a worker's memories, about 200 bytes each.
-PIECES, UNITS = 500_000, 200_000
+#: Entries of each half of a worker's memory, about 200 bytes each.
+PIECES = 600_000
 LONG = 1 << 20
 #: Texts that are encoded together.
-SOME = 2048
+SOME = 4096
+
+
+def _as_list(values: pa.Array) -> pa.ListArray:
+    """One list of all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def has_gap(text: str) -> bool:
+    """Whether white space stands beside white space in a plain text."""
+    if "\t" in text or "\r" in text:
+        return GAP.search(text) is not None
+    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+
+
+def _gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of `ids` (start and size each) numbered `at`, one after the other, and where each ends."""
+    n = sizes[at]
+    ends = np.cumsum(n, dtype=np.int32 if int(n.sum(dtype=np.int64)) < 1 << 31 else np.int64)
+    places = np.repeat(starts[at].astype(ends.dtype) - ends + n, n)
+    places += np.arange(len(places), dtype=ends.dtype)
+    return ids[places], ends
+
+
+def _placed(codes: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the codes numbered `at`, one after the other, and where each ends."""
+    sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+    return _gathered(np.frombuffer(b"".join(codes), "<u4"), np.cumsum(sizes) - sizes, sizes, at)
 
 
 class Memory:
@@ -97,33 +129,30 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces, self.units = Memory(PIECES), Memory(UNITS)
+        self.pieces = Memory(PIECES)
 
     def _library(self, pieces: list[str]) -> list[bytes]:
         return [array("I", code.ids).tobytes() for code in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _cut(self, units: list[str]) -> list[bytes]:
-        cut = [PIECE.findall(u[1:] if u[:1] == FIRST else " " + u) for u in units]
-        known = self.pieces.of({p for pieces in cut for p in pieces}, self._library)
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-
     def _joined(self, lists: list[list[str]]) -> list[bytes]:
         known = self.pieces.of(set().union(*lists), self._library)
         return [b"".join(map(known.__getitem__, parts)) for parts in lists]
 
     def _by_unit(self, texts: list[str]) -> list[bytes]:
-        """Texts of single white space: each different unit is looked up once, and its ids are put wherever it stands."""
+        """Texts of single white space. Each different unit is cut once, each different piece of those is looked up once, and
+        ids are put together for units and then for texts."""
         split = pc.split_pattern(pa.array([FIRST + t for t in texts], pa.string()), " ")
         units = split.flatten().dictionary_encode()
-        keys = units.dictionary.to_pylist()
-        known = self.units.of(set(keys), self._cut)
-        codes = list(map(known.__getitem__, keys))
-        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
-        flat, starts = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(sizes) - sizes
-        at = units.indices.to_numpy()
-        n = sizes[at]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(starts[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        # a unit's pieces follow a mark; units but the first of a text have a space before them
+        marked = (MARK + " " + pc.binary_join(_as_list(units.dictionary), MARK + " ")[0].as_py()).replace(MARK + " " + FIRST, MARK)
+        pieces = pc.split_pattern(pa.scalar(SEPARATOR.join(MARKED_PIECE.findall(marked))), SEPARATOR).values.dictionary_encode()
+        names, at = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+        known = self.pieces.of({n for n in names if n != MARK}, self._library)
+        codes = [b"" if n == MARK else known[n] for n in names]
+        ids, ends = _placed(codes, at)
+        heads = np.flatnonzero(at == names.index(MARK)) if names else at
+        of_unit = np.concatenate(([0], ends))[np.append(heads, len(at))]
+        ids, ends = _gathered(ids, of_unit[:-1], np.diff(of_unit), units.indices.to_numpy())
         bounds = np.concatenate(([0], ends))[split.offsets.to_numpy()]
         return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
@@ -135,9 +164,10 @@ class Encoder:
             if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
                 whole[i] = self._library([text])[0]
             elif len(text) <= LONG:
-                (by_piece if GAP.search(text) else by_unit).append(i)
+                (by_piece if has_gap(text) else by_unit).append(i)
         whole.update(zip(by_piece, self._joined([PIECE.findall(texts[i]) for i in by_piece]), strict=True))
-        whole.update(zip(by_unit, self._by_unit([texts[i] for i in by_unit]), strict=True))
+        if by_unit:
+            whole.update(zip(by_unit, self._by_unit([texts[i] for i in by_unit]), strict=True))
         for i, text in enumerate(texts):
             yield iter([whole[i]]) if i in whole else self._by_parts(text)
 
@@ -148,15 +178,26 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+_RELEASES: dict[str, threading.Timer] = {}
+#: Seconds for which a Python worker keeps an encoder after a task, so that the next task finds it; later the memory is given up.
+KEEP = 3.0
 
 
 def encoder_of(path: str) -> Encoder:
-    """One encoder for each Python worker, which outlives its tasks."""
+    """One encoder for each Python worker, which its tasks share."""
+    if path in _RELEASES:
+        _RELEASES.pop(path).cancel()
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
+def release_later(path: str) -> None:
+    timer = _RELEASES[path] = threading.Timer(KEEP, _ENCODERS.pop, (path, None))
+    timer.daemon = True
+    timer.start()
+
+
 def pack(ids: np.ndarray, lengths: np.ndarray, vocabulary: int, end: int = END, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (symbols, symbols of each document, rules) for documents of the given lengths, one after the other."""
     seq, ends, rules, top = ids.astype(np.uint32), np.cumsum(lengths), [], vocabulary
@@ -167,11 +208,12 @@ def pack(ids: np.ndarray, lengths: np.ndarray, vocabulary: int, end: int = END,
             break
         keys = seq[:-1].astype(kind) << kind(shift) | seq[1:]
         pairs, counts = _count(keys)
-        often = np.argsort(-counts, kind="stable")[: 4 * RULES]
+        often = np.flatnonzero(counts >= LEAST)
+        often = often[np.argsort(-counts[often], kind="stable")][: 2 * RULES]
         chosen, lefts, rights = [], set(), set()
-        for pair, count in zip(pairs[often].tolist(), counts[often].tolist(), strict=True):
+        for pair in pairs[often].tolist():
             a, b = pair >> shift, pair & (1 << shift) - 1
-            if count < LEAST or len(chosen) == RULES:
+            if len(chosen) == RULES:
                 break
             if a != end and a not in rights and b not in lefts and a != b:
                 chosen.append(pair)
@@ -179,11 +221,15 @@ def pack(ids: np.ndarray, lengths: np.ndarray, vocabulary: int, end: int = END,
                 rights.add(b)
         if not chosen:
             break
-        chosen = np.sort(np.array(chosen, kind))
+        # pairs are looked up in a table by hash; of pairs with one slot the first stays
+        chosen = np.array(chosen, kind)
+        slots, first = np.unique(_slots(chosen), return_index=True)
+        chosen, table = chosen[first], np.zeros(1 << SLOT_BITS, np.int32)
+        table[slots] = np.arange(len(slots))
         is_left = np.zeros(top, bool)
         is_left[list(lefts)] = True
         at = np.flatnonzero(is_left[seq[:-1]])
-        place = np.minimum(np.searchsorted(chosen, keys[at]), len(chosen) - 1)
+        place = table[_slots(keys[at])]
         hit = chosen[place] == keys[at]
         at, place = at[hit], place[hit]
         seq[at] = top + place
@@ -198,6 +244,11 @@ def pack(ids: np.ndarray, lengths: np.ndarray, vocabulary: int, end: int = END,
     return seq, np.diff(ends, prepend=0), all_rules.astype(np.uint32)
 
 
+def _slots(keys: np.ndarray) -> np.ndarray:
+    factor, bits = (0x9E3779B1, 32) if keys.dtype == np.uint32 else (0x9E3779B97F4A7C15, 64)
+    return keys * keys.dtype.type(factor) >> keys.dtype.type(bits - SLOT_BITS)
+
+
 def _count(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ordered = np.sort(keys)
     first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
@@ -213,15 +264,14 @@ def expansion_lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, vocabulary: int) -> np.ndarray:
-    """The ids of symbols."""
-    seq, pairs = symbols.astype(np.int64), rules.astype(np.int64)
-    while len(big := np.flatnonzero(seq >= vocabulary)):
-        at = big + np.arange(len(big))
-        out = np.repeat(seq, 1 + (seq >= vocabulary))
-        parts = pairs[seq[big] - vocabulary]
-        out[at], out[at + 1] = parts[:, 0], parts[:, 1]
-        seq = out
-    return seq.astype("<u4")
+    """The ids of symbols: each rule is expanded once, from its parts, and put wherever it stands."""
+    known: list[tuple[int, ...]] = []
+    for a, b in rules.tolist():
+        known.append((known[a - vocabulary] if a >= vocabulary else (a,)) + (known[b - vocabulary] if b >= vocabulary else (b,)))
+    sizes = np.ones(vocabulary + len(known), np.int32)
+    sizes[vocabulary:] = list(map(len, known))
+    flat = np.concatenate([np.arange(vocabulary, dtype="<u4"), np.fromiter(chain.from_iterable(known), "<u4")])
+    return _gathered(flat, np.cumsum(sizes, dtype=np.int32) - sizes, sizes, symbols)[0]
 
 
 class Block:
@@ -288,25 +338,28 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, doc_id: str = "d
             docs_in, parts, held = [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], names=["value"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, SOME):
-                rows = batch.slice(at, SOME)
-                for key, codes in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist()), strict=True):
-                    n = 0
-                    for code in codes:
-                        parts.append(code)
-                        n, held = n + len(code) // 4, held + len(code) // 4
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, SOME):
+                    rows = batch.slice(at, SOME)
+                    for key, codes in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist()), strict=True):
+                        n = 0
+                        for code in codes:
+                            parts.append(code)
+                            n, held = n + len(code) // 4, held + len(code) // 4
+                            if held >= BLOCK:
+                                docs_in.append((key, True, n))
+                                n = 0
+                                yield flush()
+                        parts.append(last)
+                        held += 1
+                        docs_in.append((key, False, n + 1))
                         if held >= BLOCK:
-                            docs_in.append((key, True, n))
-                            n = 0
                             yield flush()
-                    parts.append(last)
-                    held += 1
-                    docs_in.append((key, False, n + 1))
-                    if held >= BLOCK:
-                        yield flush()
-        if docs_in:
-            yield flush()
+            if docs_in:
+                yield flush()
+        finally:
+            release_later(tokenizer)
 
     ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.text(path)
 
