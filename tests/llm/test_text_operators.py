@@ -311,3 +311,24 @@ def test_near_copies_by_similarity_match_brute_force(spark):
     kept = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", toxicity.F.lit(1)))
     assert {x.doc_id for x in kept.collect()} == {900, 901, 902} | {rows[min(g)][0] for g in want.values() if min(g) < 42}
     assert kept.columns == ["doc_id", "text", "row"] and similar.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_very_common_passage_makes_few_pairs_and_hides_no_near_copy(spark):
+    from pyspark.sql import functions as F
+
+    from wayfold.llm import similar
+
+    r = random.Random(29)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join([passage, *(f"u{n}x{r.randrange(10**6)}" for _ in range(40))]) for n in range(300)]
+    copies = [t + " tail" for t in texts[::100]]
+    docs = spark.createDataFrame(list(enumerate(texts + copies)), "row long, text string")
+    found = {}
+    for x in similar.groups(docs).collect():
+        found.setdefault(x.root, set()).add(x.row)
+    assert sorted(map(sorted, found.values())) == [[0, 300], [100, 301], [200, 302]]
+
+    sets = docs.select("row", F.lit(1).alias("one")).join(similar.append_columns(docs, ["text"], [similar.T.StructField("shingles", similar.T.ArrayType(similar.T.LongType()))], lambda: lambda b: [similar.pa.array([similar.shingles(t) for t in similar.utf8(b.column("text"))])], ["row"]), "row")
+    nodes = sets.select(F.col("row").alias("node"), F.col("row").alias("root"), F.size("shingles").cast("long").alias("n"))
+    rare = similar._rare_members(nodes, sets.drop("one"), 0.8).groupBy("key").count()
+    assert rare.agg(F.max("count")).first()[0] <= 2

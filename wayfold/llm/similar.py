@@ -2,8 +2,13 @@
 
 SimHash links at three bits find copies with a change or two; pairs at the similarity of 0.8 differ in 4 to 14 bits, beyond what segment
 decoding reaches. After those links, this stage finds the rest: BANDS keys of ROWS minima each (of 8 x 3, a pair at 0.8 shares one with a
-chance of 0.997), then the exact similarity of the pairs that a key suggests. Groups of a key are linked as simhash.linked_groups
-does, so very common passages don't emit all pairs.
+chance of 0.997), within classes of set size, then the exact similarity of the pairs that a key suggests.
+
+Large groups. The texts of a key are first compared with two of them, the smallest and the largest by hash; components of these links
+shrink the groups. Texts of keys that still join different components, such as those with a very common passage, aren't compared
+pair by pair: two sets of the similarity share one of their rarest shingles (prefix filter: of n, the n - similarity x n + 1 that the
+fewest of these texts have, and enough must follow the first one shared). Those shingles are keys in turn: first hubs, then what is left. The prefix
+filter loses no pair.
 
 Defined results: words are split at white space after lower-casing A-Z; a text of fewer words than a shingle has one shingle, the whole
 sequence; texts without words link to none here.
@@ -11,18 +16,19 @@ sequence; texts without words link to none here.
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append_columns, landed, utf8
-from .simhash import linked_groups
+from .components import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 WORDS = 5
@@ -53,33 +59,97 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(rows)]
 
 
+def _ends(members: DataFrame) -> DataFrame:
+    """`members` of the keys that join different roots, with the first and the last node of the key (low, high)."""
+    node = F.struct("node", "root", "n", "at")
+    ends = members.groupBy("key").agg(F.min(node).alias("low"), F.max(node).alias("high"), F.min("root").alias("first"), F.max("root").alias("last"))
+    return members.join(ends.filter("first <> last").select("key", "low", "high"), "key")
+
+
+def _possible(similarity: float) -> Column:
+    """Whether two sets (na, nb elements) that share a key at places pa and pb of their orders can have the similarity: by size, and by what follows."""
+    small, large = F.least("na", "nb"), F.greatest("na", "nb")
+    after = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    needed = (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity) * (1 - 1e-9))
+    return (small >= F.lit(similarity * (1 - 1e-9)) * large) & (after >= needed)
+
+
+def _side(name: str, of: str = "") -> list[Column]:
+    """A member's columns as side a or b of a pair."""
+    return [F.col(f"{of}{c}").alias(new) for c, new in (("node", name), ("root", f"r{name}"), ("n", f"n{name}"), ("at", f"p{name}"))]
+
+
+def _hub_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of each member with both ends of its key, once each."""
+    ends = _ends(members)
+    sides = [ends.select(*_side("a"), *_side("b", f"{end}.")) for end in ("low", "high")]
+    return sides[0].union(sides[1]).filter("ra <> rb").filter(_possible(similarity)).select("a", "b", "ra", "rb").distinct()
+
+
+def _moved(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """`rows` with their root replaced where `links` (node, root) leads on."""
+    on = links.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    return rows.join(on, "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to")
+
+
+def _rare_members(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, root, n, at): each node's rarest shingles that others of `nodes` (node, root, n) have too, and their places in its order.
+
+    Shingles of one node alone come first in the order; they join nothing, so only their number is kept.
+    """
+    rows = nodes.join(sets.select(F.col("row").alias("node"), "shingles"), "node").select("node", "root", "n", F.explode("shingles").alias("key"))
+    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    of_node = Window.partitionBy("node")
+    ranked = rows.join(often, "key").withColumn("shared", F.count(F.lit(1)).over(of_node)).withColumn("nth", F.row_number().over(of_node.orderBy("times", "key")))
+    placed = ranked.withColumn("at", F.col("n") - F.col("shared") + F.col("nth"))
+    return placed.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(similarity * (1 - 1e-9))) + 1).select("key", "node", "root", "n", "at")
+
+
 def groups(docs: DataFrame, *, text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(row, root) of the rows of `docs` (row, a long that names the row, and the text) that are near copies of others."""
 
     def make_keys():
-        return lambda batch: [pa.array([band_keys(shingles(x, words)) for x in utf8(batch.column(text))], pa.list_(pa.int64()))]
+        def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+            found = [shingles(x, words) for x in utf8(batch.column(text))]
+            return [pa.array([band_keys(x) for x in found], pa.list_(pa.int64())), pa.array([len(x) for x in found], pa.int64())]
+
+        return compute
 
     def make_sets():
         return lambda batch: [pa.array([shingles(x, words) for x in utf8(batch.column(text))], pa.list_(pa.int64()))]
 
     kind = T.ArrayType(T.LongType())
-    keyed = landed(append_columns(docs, [text], [T.StructField("keys", kind)], make_keys, ["row"]), "bands")
-    members = keyed.select(F.explode("keys").alias("key"), F.col("row").alias("node"))
-    shared = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key")
-    members = landed(members.join(shared, "key", "left_semi"), "members")
+    keyed = append_columns(docs, [text], [T.StructField("keys", kind), T.StructField("n", T.LongType())], make_keys, ["row"])
+    keyed = landed(keyed.filter("n > 0"), "bands")
+    # sets of similar sizes are of one class or of two neighbouring ones
+    size_class = F.floor(F.log("n") / F.lit(math.log(1 / similarity) + 1e-9))
+    classed = keyed.select(F.explode("keys").alias("band"), F.col("row").alias("node"), "n", size_class.alias("class"))
+    classed = classed.select(F.explode(F.array(F.xxhash64("band", "class"), F.xxhash64("band", F.col("class") + 1))).alias("key"), "node", "n")
+    shared = classed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key")
+    members = classed.join(shared, "key", "left_semi").select("key", "node", F.col("node").alias("root"), "n", F.lit(1).cast("long").alias("at"))
+    members = landed(members, "members")
     suspects = docs.join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi")
     sets = landed(append_columns(suspects, [text], [T.StructField("shingles", kind)], make_sets, ["row"]), "shingles")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Components of the roots (ra, rb) of those pairs (a, b) that have the similarity."""
         pairs = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("sa")), "a")
-        # sizes alone rule most pairs out before the second join's intersection
         pairs = pairs.join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("sb")), "b")
-        small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
-        kept = pairs.filter(small >= similarity * large).filter(both >= similarity * (F.size("sa") + F.size("sb") - both))
-        return kept.drop("sa", "sb")
-
-    return linked_groups(members, verify).withColumnRenamed("node", "row")
+        alike = pairs.filter(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both))
+        return connected_components(alike.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+
+    by_band = linked(_hub_pairs(members, similarity))
+    found = landed(_moved(members.select("node", "root").distinct(), by_band), "by-band")
+    still_open = _ends(_moved(members, by_band)).select("node", "root", "n").distinct()
+    rare = landed(_rare_members(landed(still_open, "open"), sets, similarity), "rare")
+    by_hub = linked(_hub_pairs(rare, similarity))
+    rare = landed(_ends(_moved(rare, by_hub)).drop("low", "high"), "open-rare")
+    x, y = rare.select("key", *_side("a")), rare.select("key", *_side("b"))
+    left = x.join(y, (x["key"] == y["key"]) & (F.col("ra") < F.col("rb")) & _possible(similarity)).select("a", "b", "ra", "rb").distinct()
+    found = _moved(_moved(found, by_hub), linked(left))
+    grouped = found.groupBy("root").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("root")
+    return found.join(grouped, "root", "left_semi").select(F.col("node").alias("row"), "root")
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
