@@ -332,3 +332,32 @@ def test_a_very_common_passage_makes_few_pairs_and_hides_no_near_copy(spark):
     nodes = sets.select(F.col("row").alias("node"), F.col("row").alias("root"), F.size("shingles").cast("long").alias("n"))
     rare = similar._rare_members(nodes, sets.drop("one"), 0.8).groupBy("key").count()
     assert rare.agg(F.max("count")).first()[0] <= 2
+
+
+def test_near_copies_without_a_common_band_are_found(spark, monkeypatch):
+    from wayfold.llm import similar
+
+    rows = []
+    for base in range(12):
+        words = [f"b{base}w{i}" for i in range(104)]
+        rows += [(2 * base, " ".join(words)), (2 * base + 1, " ".join([*words[:-8], *(f"new{base}x{i}" for i in range(8))]))]  # 92 of 108 shingles
+    docs = spark.createDataFrame(rows, "row long, text string")
+    monkeypatch.setattr(similar, "band_keys", lambda hashes: [int(np.bitwise_xor.reduce(hashes))] if len(hashes) else [])
+    found = {}
+    for x in similar.groups(docs).collect():
+        found.setdefault(x.root, set()).add(x.row)
+    assert sorted(map(sorted, found.values())) == [[2 * b, 2 * b + 1] for b in range(12)]
+
+
+def test_prefixes_of_similar_sets_meet_in_any_order():
+    from wayfold.llm import similar
+
+    r = np.random.default_rng(17)
+    for n in (1, 4, 5, 9, 10, 101):
+        for _ in range(20):
+            a = np.unique(r.integers(-(2**62), 2**62, n))
+            lost = int(n * 0.2)
+            b = np.unique(a[lost:])
+            common = np.sort(r.choice(a, min(len(a), 3), replace=False))
+            times = r.integers(2, 9, len(common))
+            assert set(similar.first_of(a, common, times, 0.8).tolist()) & set(similar.first_of(b, common, times, 0.8).tolist())

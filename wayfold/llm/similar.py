@@ -1,14 +1,14 @@
 """Near copies by word shingles: pairs whose sets of shingles have a Jaccard similarity of SIMILARITY or more.
 
 SimHash links at three bits find copies with a change or two; pairs at the similarity of 0.8 differ in 4 to 14 bits, beyond what segment
-decoding reaches. After those links, this stage finds the rest: BANDS keys of ROWS minima each (of 8 x 3, a pair at 0.8 shares one with a
-chance of 0.997), within classes of set size, then the exact similarity of the pairs that a key suggests.
+decoding reaches. This stage finds them in two passes, neither of which compares all pairs:
 
-Large groups. The texts of a key are first compared with two of them, the smallest and the largest by hash; components of these links
-shrink the groups. Texts of keys that still join different components, such as those with a very common passage, aren't compared
-pair by pair: two sets of the similarity share one of their rarest shingles (prefix filter: of n, the n - similarity x n + 1 that the
-fewest of these texts have, and enough must follow the first one shared). Those shingles are keys in turn: first hubs, then what is left. The prefix
-filter loses no pair.
+1. BANDS keys of ROWS minima each, within classes of set size. A pair at 0.8 shares one of 8 x 3 with a chance of 0.997 only, so this pass
+   but shrinks the groups: the texts of a key are compared with two of them, the smallest and the largest by hash.
+2. The prefix filter, over all texts, which loses no pair: in any order that is the same for all sets, two sets of the similarity share one
+   of the first n - similarity x n + 1 of their n shingles. The order here is by how often a bounded sample of texts has a shingle; it
+   decides how many rows there are, not what is found. Texts whose first shingles lead, within their classes of size, to another component
+   are then ordered exactly, by how many of these texts have a shingle; those rarest shingles are keys in turn: first hubs, then what is left.
 
 Defined results: words are split at white space after lower-casing A-Z; a text of fewer words than a shingle has one shingle, the whole
 sequence; texts without words link to none here.
@@ -34,6 +34,8 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
+#: Texts, and hashes of each, whose shingles are counted for the order of the prefix filter; shingles that are told apart in it.
+SAMPLE_TEXTS, SAMPLE_HASHES, COMMON = 10_000, 5_000, 100_000
 _DRAWS = np.random.default_rng(42).integers(1, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64)
 FACTORS, SHIFTS = _DRAWS[0] | np.uint64(1), _DRAWS[1]
 
@@ -59,6 +61,18 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(rows)]
 
 
+def first_of(hashes: np.ndarray, common: np.ndarray, times: np.ndarray, similarity: float) -> np.ndarray:
+    """The first n - similarity x n + 1 of a set in the order of (times, hash), in that order; `common` is sorted and has the hashes with times."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    often = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        often = np.where(common[at] == hashes, times[at], 0)
+    return hashes[np.lexsort((hashes, often))][: n - math.ceil(n * similarity * (1 - 1e-9)) + 1]
+
+
 def _ends(members: DataFrame) -> DataFrame:
     """`members` of the keys that join different roots, with the first and the last node of the key (low, high)."""
     node = F.struct("node", "root", "n", "at")
@@ -93,43 +107,85 @@ def _moved(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _rare_members(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(key, node, root, n, at): each node's rarest shingles that others of `nodes` (node, root, n) have too, and their places in its order.
+    """(key, node, root, n, at): each node's rarest shingles that other roots of `nodes` (node, root, n) have too, and their places in its order.
 
-    Shingles of one node alone come first in the order; they join nothing, so only their number is kept.
+    Shingles of one root alone come first in the order; they join nothing, so only their number is kept.
     """
     rows = nodes.join(sets.select(F.col("row").alias("node"), "shingles"), "node").select("node", "root", "n", F.explode("shingles").alias("key"))
-    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "times")
     of_node = Window.partitionBy("node")
     ranked = rows.join(often, "key").withColumn("shared", F.count(F.lit(1)).over(of_node)).withColumn("nth", F.row_number().over(of_node.orderBy("times", "key")))
     placed = ranked.withColumn("at", F.col("n") - F.col("shared") + F.col("nth"))
     return placed.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(similarity * (1 - 1e-9))) + 1).select("key", "node", "root", "n", "at")
 
 
-def groups(docs: DataFrame, *, text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(row, root) of the rows of `docs` (row, a long that names the row, and the text) that are near copies of others."""
+def _common(docs: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles of about SAMPLE_TEXTS rows of `docs`, sorted, and how many of these have each."""
+    place = F.pmod(F.xxhash64("row", F.lit("order")), F.lit(1 << 30))
+    sample = docs.filter(place < int(min(1.0, SAMPLE_TEXTS / max(1, docs.count())) * (1 << 30)))
+
+    def make():
+        return lambda batch: [pa.array([shingles(x, words)[:SAMPLE_HASHES] for x in utf8(batch.column(text))], pa.list_(pa.int64()))]
+
+    rows = append_columns(sample, [text], [T.StructField("hashes", T.ArrayType(T.LongType()))], make, ["row"]).select(F.explode("hashes").alias("hash"))
+    often = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").orderBy(F.desc("times"), "hash").limit(COMMON).toArrow()
+    common, times = (often.column(c).to_numpy() for c in ("hash", "times"))
+    by_hash = np.argsort(common)
+    return common[by_hash], times[by_hash]
+
+
+def _by_class(rows: DataFrame, similarity: float) -> DataFrame:
+    """`rows` (key, n and others) twice, with keys by class of size: sets of similar sizes are of one class or of two neighbouring ones."""
+    size_class = F.floor(F.log("n") / F.lit(math.log(1 / similarity) + 1e-9))
+    both = F.array(F.xxhash64("key", size_class), F.xxhash64("key", size_class + 1))
+    return rows.select(F.explode(both).alias("key"), *(c for c in rows.columns if c != "key"))
+
+
+def _shared(rows: DataFrame, by: str) -> DataFrame:
+    """`rows` of the keys that have more than one `by`."""
+    several = rows.groupBy("key").agg(F.min(by).alias("low"), F.max(by).alias("high")).filter("low <> high").select("key")
+    return rows.join(several, "key", "left_semi")
+
+
+def groups(docs: DataFrame, *, text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, roots: DataFrame | None = None) -> DataFrame:
+    """(row, root) of the rows of `docs` (row, a long that names the row, and the text) that are near copies of others.
+
+    `roots` (node, root, each row once) are components that other links have made; its rows are joined on through links of any member."""
+    kind = T.ArrayType(T.LongType())
+    common, times = _common(docs, text, words)
+    order = docs.sparkSession.sparkContext.broadcast((common, times))
 
     def make_keys():
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-            found = [shingles(x, words) for x in utf8(batch.column(text))]
-            return [pa.array([band_keys(x) for x in found], pa.list_(pa.int64())), pa.array([len(x) for x in found], pa.int64())]
+            bands, firsts, sizes = [], [], []
+            for at in range(0, batch.num_rows, 1000):
+                for x in utf8(batch.column(text).slice(at, 1000)):
+                    found = shingles(x, words)
+                    bands.append(band_keys(found))
+                    firsts.append(first_of(found, *order.value, similarity))
+                    sizes.append(len(found))
+            return [pa.array(bands, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
 
         return compute
 
     def make_sets():
         return lambda batch: [pa.array([shingles(x, words) for x in utf8(batch.column(text))], pa.list_(pa.int64()))]
 
-    kind = T.ArrayType(T.LongType())
-    keyed = append_columns(docs, [text], [T.StructField("keys", kind), T.StructField("n", T.LongType())], make_keys, ["row"])
-    keyed = landed(keyed.filter("n > 0"), "bands")
-    # sets of similar sizes are of one class or of two neighbouring ones
-    size_class = F.floor(F.log("n") / F.lit(math.log(1 / similarity) + 1e-9))
-    classed = keyed.select(F.explode("keys").alias("band"), F.col("row").alias("node"), "n", size_class.alias("class"))
-    classed = classed.select(F.explode(F.array(F.xxhash64("band", "class"), F.xxhash64("band", F.col("class") + 1))).alias("key"), "node", "n")
-    shared = classed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key")
-    members = classed.join(shared, "key", "left_semi").select("key", "node", F.col("node").alias("root"), "n", F.lit(1).cast("long").alias("at"))
-    members = landed(members, "members")
-    suspects = docs.join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi")
-    sets = landed(append_columns(suspects, [text], [T.StructField("shingles", kind)], make_sets, ["row"]), "shingles")
+    fields = [T.StructField("keys", kind), T.StructField("firsts", kind), T.StructField("n", T.LongType())]
+    keyed = landed(append_columns(docs, [text], fields, make_keys, ["row"]).filter("n > 0"), "bands")
+
+    def started(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("root", F.col("node"))
+        return rows if roots is None else _moved(rows, roots)
+
+    banded = _by_class(keyed.select(F.explode("keys").alias("key"), F.col("row").alias("node"), "n"), similarity)
+    members = landed(started(_shared(banded, "node").distinct()).withColumn("at", F.lit(1).cast("long")), "members")
+    prefixed = keyed.select(F.explode("firsts").alias("key"), F.col("row").alias("node"), "n")
+    firsts = landed(started(_shared(prefixed, "node").distinct()), "firsts")
+    suspects = members.select(F.col("node").alias("row")).union(firsts.select(F.col("node").alias("row"))).distinct()
+    suspects = docs.join(suspects, "row", "left_semi")
+    sets = append_columns(suspects, [text], [T.StructField("shingles", kind)], make_sets, ["row"])
+    sets = landed(sets.groupBy("row").agg(F.first("shingles").alias("shingles")), "shingles")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Components of the roots (ra, rb) of those pairs (a, b) that have the similarity."""
@@ -140,8 +196,9 @@ def groups(docs: DataFrame, *, text: str = "text", words: int = WORDS, similarit
         return connected_components(alike.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
 
     by_band = linked(_hub_pairs(members, similarity))
-    found = landed(_moved(members.select("node", "root").distinct(), by_band), "by-band")
-    still_open = _ends(_moved(members, by_band)).select("node", "root", "n").distinct()
+    found = members.select("node", "root").union(firsts.select("node", "root")).distinct() if roots is None else roots.select("node", "root")
+    found = landed(_moved(found, by_band), "by-band")
+    still_open = _shared(_by_class(_moved(firsts, by_band), similarity), "root").select("node", "root", "n").distinct()
     rare = landed(_rare_members(landed(still_open, "open"), sets, similarity), "rare")
     by_hub = linked(_hub_pairs(rare, similarity))
     rare = landed(_ends(_moved(rare, by_hub)).drop("low", "high"), "open-rare")
