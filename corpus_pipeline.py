@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import curriculum, decontaminate, langid, simhash, similar, tokens
+from wayfold.llm import curriculum, decontaminate, langid, similar, tokens
 from wayfold.llm.common import landed, read_table, under_own_names
 
 
@@ -14,13 +14,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest doc_id: SimHash links, then shingle sets of similarity 0.8 or more."""
-
-    def step(d: DataFrame, c: dict[str, str]) -> DataFrame:
-        kept = landed(simhash.keep_one(d, doc_id=c["doc_id"], text=c["text"]), "linked")
-        return similar.keep_one(kept, doc_id=c["doc_id"], text=c["text"])
-
-    return under_own_names(docs, step)
+    """One document of each group of near copies, that with the smallest doc_id: components of SimHash links and of shingle sets of similarity 0.8 or more."""
+    return under_own_names(docs, lambda d, c: similar.keep_one(d, doc_id=c["doc_id"], text=c["text"], bits=True))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -361,3 +361,17 @@ def test_prefixes_of_similar_sets_meet_in_any_order():
             common = np.sort(r.choice(a, min(len(a), 3), replace=False))
             times = r.integers(2, 9, len(common))
             assert set(similar.first_of(a, common, times, 0.8).tolist()) & set(similar.first_of(b, common, times, 0.8).tolist())
+
+
+def test_links_of_both_kinds_join_through_documents_that_go(spark, monkeypatch):
+    import corpus_pipeline
+    from wayfold.llm import similar
+
+    words = [f"w{i}" for i in range(104)]
+    b = " ".join(words)
+    c = " ".join([*words[:-8], *(f"n{i}" for i in range(8))])  # 92 of 108 shingles
+    rows = [(1, "quite another text, of words that the others lack"), (2, b), (3, c), (4, "alone"), (5, "alone"), (6, None), (7, "")]
+    prints = {rows[0][1].encode(): 0x7F0003 << 32, b.encode(): 0x7F0007 << 32, c.encode(): 0xFFFF, b"alone": 0xFFFF << 20}
+    monkeypatch.setattr(similar.simhash, "add_fingerprints", lambda docs, *, text, words, keep: docs.select(*keep, similar.F.udf(lambda x: prints.get((x or "").encode(), 0), "long")(text).alias("fingerprint_bits")))
+    kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows), "")
+    assert sorted(x.doc_id for x in kept.collect()) == [1, 4, 6]

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import append_columns, landed, utf8
 from .components import connected_components
 
@@ -209,15 +210,24 @@ def groups(docs: DataFrame, *, text: str = "text", words: int = WORDS, similarit
     return found.join(grouped, "root", "left_semi").select(F.col("node").alias("row"), "root")
 
 
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bits: bool = False) -> DataFrame:
     """One document of each group of near copies, in the columns of `docs`: that with the smallest doc_id, one with an id before those
-    without; of equal ids that with the smallest hash of doc_id and text. Equal rows are one document."""
+    without; of equal ids that with the smallest hash of doc_id and text. Equal rows are one document.
+
+    With `bits`, SimHash links count too: groups are the components of both kinds of links over all documents, so that a link through
+    a document that goes isn't lost. Equal texts, and all texts without words, are then copies."""
     columns = docs.columns
-    named = docs.withColumn("_row", F.xxhash64(doc_id, text))
-    found = landed(groups(named.select(F.col("_row").alias("row"), F.col(text).alias("text")), words=words, similarity=similarity), "similar")
-    ids = named.select(F.col("_row").alias("row"), F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("d"), F.col("_row").alias("row")).alias("order"))
-    ranked = ids.join(found, "row")
+    named = docs.withColumn("_row", F.xxhash64(doc_id, text)).withColumn("_node", F.xxhash64(text) if bits else F.col("_row"))
+    texts = named.select(F.col("_node").alias("row"), F.col(text).alias("text"))
+    roots = None
+    if bits:
+        linked = simhash.near_duplicates(texts, doc_id="row", text="text", words=words)
+        roots = landed(linked.select(F.col("row").alias("node"), F.col("component_id").alias("root")).distinct(), "simhash-roots")
+    found = landed(groups(texts, words=words, similarity=similarity, roots=roots), "similar")
+    order = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("d"), F.col("_row").alias("row"))
+    ids = named.select(F.col("_node").alias("row"), order.alias("order"))
+    ranked = ids.join(found, "row", "left").select("order", F.coalesce("root", "row").alias("root"))
     best = ranked.groupBy("root").agg(F.min("order").alias("best"))
-    losers = ranked.join(best, "root").filter("order <> best").select(F.col("row").alias("_row")).distinct()
+    losers = ranked.join(best, "root").filter("order <> best").select(F.col("order.row").alias("_row")).distinct()
     first = Window.partitionBy("_row").orderBy(*(F.col(f"`{c}`") for c in columns))
     return named.join(losers, "_row", "left_anti").withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*columns)
