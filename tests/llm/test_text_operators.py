@@ -375,3 +375,14 @@ def test_links_of_both_kinds_join_through_documents_that_go(spark, monkeypatch):
     monkeypatch.setattr(similar.simhash, "add_fingerprints", lambda docs, *, text, words, keep: docs.select(*keep, similar.F.udf(lambda x: prints.get((x or "").encode(), 0), "long")(text).alias("fingerprint_bits")))
     kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows), "")
     assert sorted(x.doc_id for x in kept.collect()) == [1, 4, 6]
+
+
+def test_long_texts_alone_teach_a_language_and_no_labels_keep_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 200)
+    rows = [(i, "1. " * 100 + " ".join([LANGS[k]] * (1 if k == "en" else 9)), k) for i, k in enumerate(["en", "de"] * 10)]
+    model = langid._model(documents(spark, rows))
+    assert model.languages == ["de", "en"]
+    got = {x.doc_id: x.lang_pred for x in langid.identify(documents(spark, [(1, "der hund schläft"), (2, "the fox sleeps")]), model).collect()}
+    assert got == {1: "de", 2: "en"}
+    unlabelled = documents(spark, [(1, LANGS["en"]), (2, "12 .,!"), (3, None), (4, "日本語")])
+    assert {x.doc_id for x in langid.accepted(unlabelled).collect()} == {1, 4}

@@ -11,11 +11,11 @@ parsed whole, in strips of STRIP symbols, each of which starts a phrase.
 Symbols: letters in lower case; all other characters are one separator, runs of it one symbol; letters that no training text
 has match nothing.
 
-Training takes a bounded sample: documents with a label that are not held out and have at most SAMPLE_CHARS characters, about
-SAMPLE_DOCS for each language by hash, up to TRAIN_SYMBOLS symbols a language.
+Training takes a bounded sample: documents with a label that are not held out, about SAMPLE_DOCS for each language by hash, up to
+TRAIN_SYMBOLS symbols a language. A text of more than SAMPLE_CHARS characters gives a passage of so many, from its first letter on.
 
 Defined results: a null text, or one without a letter, is "und" with score 0; ties go to the first language by name; without
-training text every document is "und"; a null doc_id is neither learned from nor held out; repeated rows get equal answers.
+training text every document is "und", and accepted() then keeps all that have a letter; a null doc_id is neither learned from nor held out; repeated rows get equal answers.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ SAMPLE_CHARS = 20_000
 STRIP = 2048
 LANES = 4096
 UNDETERMINED = "und"
-#: A text needs so many bits a symbol of its language at most, unless it is short, to pass for that language.
+LETTER = r"\p{L}"
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())]
 
 
@@ -160,8 +160,10 @@ def _sample(labelled: DataFrame, key: str, text: str, lang: str) -> dict[str, li
 
 def learn(docs: DataFrame, learnable: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """A model from rows of `docs` for which `learnable` holds."""
-    usable = docs.filter(learnable & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.length(text) <= SAMPLE_CHARS))
-    return Model(_sample(usable.select(doc_id, text, lang), doc_id, text, lang))
+    usable = docs.filter(learnable & F.col(lang).isNotNull() & F.col(text).rlike(LETTER))
+    passage = F.regexp_extract(text, rf"(?s){LETTER}.{{0,{SAMPLE_CHARS - 1}}}", 0)
+    bounded = F.when(F.length(text) <= SAMPLE_CHARS, F.col(text)).otherwise(passage)
+    return Model(_sample(usable.select(doc_id, bounded.alias(text), lang), doc_id, text, lang))
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -189,10 +191,14 @@ def _model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The documents of `docs` that have a language, in its columns. The model learns from `docs` itself."""
+    """The documents of `docs` that have a language, in its columns. The model learns from `docs` itself; where it has nothing to learn
+    from, those with a letter are kept."""
 
     def step(d: DataFrame, c: dict[str, str]) -> DataFrame:
-        found = identify(d, _model(d, c["doc_id"], c["text"], c["lang"]), text=c["text"])
+        model = _model(d, c["doc_id"], c["text"], c["lang"])
+        if not model.languages:
+            return d.filter(F.col(c["text"]).rlike(LETTER))
+        found = identify(d, model, text=c["text"])
         return found.filter(F.col("lang_pred") != UNDETERMINED)
 
     return under_own_names(docs, step)
