@@ -261,3 +261,21 @@ def test_gzip_files_are_read():
     import pyarrow as pa
 
     assert len(list(warc.arc_records(warc._opened(pa.scalar(data, pa.binary()))))) == 1
+
+
+def test_wrappers_named_for_furniture_keep_their_articles():
+    from wayfold.llm.sitetree import Page
+
+    article = "<article><p>The text of the article.</p></article>"
+    text = "<div><p>" + "A long text that isn't in an article. " * 5 + "</p></div>"
+    menu = "<div class='sidebar'><p>Menu of all.</p></div>"
+    for wrapper in ("has-sidebar", "no-sidebar", "page-with-header", "search-result"):
+        assert Page(f"<body><div class='{wrapper}'>{menu}{article}</div></body>").main(set()) == "The text of the article."
+        assert Page(f"<body><span class='{wrapper}'>{article}</span>{menu}</body>").main(set()) == "The text of the article."
+        assert Page(f"<body><div class='{wrapper}'>{menu}{text}</div></body>").main(set()).startswith("A long text")
+    assert "Menu" not in Page(f"<body><div class='has-sidebar'>{menu}{text}</div></body>").main(set())
+    comments = "<div class='comments'>" + "<article><p>A comment of some length on it.</p></article>" * 9 + "</div>"
+    assert Page(f"<body>{article}{comments}</body>").main(set()) == "The text of the article."
+    assert Page("<p>Read <span class='ad'>buy</span>on.</p>").main(set()) == "Read on."
+    teasers = "<article><p>Read more.</p></article>" * 3
+    assert Page(f"<body>{text}{teasers}</body>").main(set()).startswith("A long text")

@@ -4,9 +4,11 @@ Elements of a page are nodes of its host's style tree, named by the path of tags
 a host, a node's presentation importance is the entropy of the sequences of its children's styles, its content importance the
 entropy of its texts, both over the logarithm of the number of pages that have it; its importance is the larger, for a node of
 one layout may hold new text on each page. Branches of low importance are removed where the site's pages differ otherwise: a menu
-or notice that all pages repeat goes, while a host of copies of one page keeps its text. Elements whose tag, role or class says
-that they are menus, headers, footers, sidebars, notices, adverts, forms or comments have importance 0 from the start, and a page
-with an article or main element is that element.
+or notice that all pages repeat goes, while a host of copies of one page keeps its text. Elements whose tag or role says
+that they are menus, headers, footers, sidebars, notices, adverts or forms have importance 0 from the start. Elements whose class or id
+has such a word (suspects) have it too, unless the page has no article or main element outside of them and they hold one, or more than half
+of the page's text: a layout's wrapper is often named for what else it holds. Of the rest, article and main elements are the text if
+they have at least half of it; shorter ones are teasers beside it.
 
 Two passes over the pages: nodes for the trees, then texts. Trees are tables of (host, node), summed with partial
 aggregation, so a host of any share is spread by node and text. Nodes to remove are joined to pages by the page, a size that Spark
@@ -77,17 +79,19 @@ def _hash(text: str, seed: int = 0) -> int:
 class _Open:
     """An element that is open."""
 
-    __slots__ = ("tag", "node", "style", "drop", "content", "children")
+    __slots__ = ("tag", "node", "style", "drop", "content", "children", "suspects", "around")
 
-    def __init__(self, tag: str, node: int, style: str, drop: bool, content: bool) -> None:
+    def __init__(self, tag: str, node: int, style: str, drop: bool, content: bool, suspects: tuple[int, ...] = (), around: int = 0) -> None:
         self.tag, self.node, self.style, self.drop, self.content, self.children = tag, node, style, drop, content, []
+        #: The nodes of suspects from the outermost on, and how many of them are around its article or main element.
+        self.suspects, self.around = suspects, around
 
 
-def _style(tag: str, rest: str) -> tuple[str, bool]:
-    """An element's style, and whether it is unimportant from the start."""
+def _style(tag: str, rest: str) -> tuple[str, bool, bool]:
+    """An element's style, whether it is unimportant from the start, and whether its class or id says so."""
     if not rest or "=" not in rest and "hidden" not in rest:
-        return tag, tag in UNIMPORTANT
-    classes, drop = "", tag in UNIMPORTANT
+        return tag, tag in UNIMPORTANT, False
+    classes, drop, suspect = "", tag in UNIMPORTANT, False
     for name, a, b, c in ATTRIBUTE.findall(rest):
         name, value = name.lower(), (a or b or c).lower()
         if name == "role":
@@ -97,23 +101,24 @@ def _style(tag: str, rest: str) -> tuple[str, bool]:
         elif name in ("class", "id"):
             words = SPLIT.split(value)
             if tag not in ("html", "body", "article", "main") and not WORDS.isdisjoint(words):
-                drop = True
+                suspect = True
             if name == "class":
                 classes = "." + ".".join(sorted(w for w in words if w))
             else:
                 classes += "#" + ".".join(w for w in words if w)
-    return tag + classes, drop
+    return tag + classes, drop, suspect
 
 
 class Page:
     """The blocks of a page outside dropped elements: (path of nodes, text), where a path's nodes are those of the block-level elements
-    around it, outermost first; styles has the children of each node, and content the depth of the path's article or main element."""
+    around it, outermost first, and suspects that aren't trusted give no text; styles has the children of each node, and content the depth of the path's article or main element."""
 
     def __init__(self, html: str) -> None:
         self.blocks: list[tuple[tuple[int, ...], str, int | None]] = []
         self.children: dict[int, list[str]] = {}
         self._stack: list[_Open] = [_Open("", 0, "", False, False)]
-        self._text: list[str] = []
+        self._text: list[tuple[tuple[int, ...], int, str]] = []
+        self._pieces: list[tuple[tuple[int, ...], list[tuple[tuple[int, ...], int, str]], int | None]] = []
         at, n = 0, len(html)
         while at < n:
             m = MARKUP.match(html, at)
@@ -122,7 +127,7 @@ class Page:
             if tag is None:
                 piece = m["text"] or m["cdata"]
                 if piece and not self._stack[-1].drop:
-                    self._text.append(piece if m["cdata"] or "&" not in piece else entities.unescape(piece))
+                    self._add(piece if m["cdata"] or "&" not in piece else entities.unescape(piece))
                 continue
             tag = tag.lower()
             if m["end"]:
@@ -134,16 +139,44 @@ class Page:
                 at = end.end()
                 self._close(tag)
         self._flush()
+        trusted = self._trusted()
+        for path, pieces, content in self._pieces:
+            words = " ".join("".join(piece for suspects, _, piece in pieces if trusted.issuperset(suspects)).split())
+            if words:
+                self.blocks.append((path, words, content))
+
+    def _add(self, piece: str) -> None:
+        self._text.append((self._stack[-1].suspects, self._stack[-1].around, piece))
 
     def _flush(self) -> None:
         if self._text:
-            words = " ".join("".join(self._text).split())
-            if words:
-                blocks = [e for e in self._stack if e.node and e.tag in BLOCKS]
-                content = next((i for i, e in enumerate(blocks) if e.content), None)
-                self.blocks.append((tuple(e.node for e in blocks), words, content))
+            blocks = [e for e in self._stack if e.node and e.tag in BLOCKS]
+            content = next((i for i, e in enumerate(blocks) if e.content), None)
+            self._pieces.append((tuple(e.node for e in blocks), self._text, content))
             self._text = []
 
+    def _trusted(self) -> set[int]:
+        """The suspects that are kept: while all articles and main elements are in suspects, those that hold one or more than half of the text."""
+        trusted: set[int] = set()
+        pieces = [(s, around, sum(map(len, piece.split())), content is not None) for _, block, content in self._pieces for s, around, piece in block]
+        if not any(s for s, *_ in pieces):
+            return trusted
+        sizes: dict[int, int] = {}
+        holders: set[int] = set()
+        for suspects, around, size, content in pieces:
+            for node in set(suspects):
+                sizes[node] = sizes.get(node, 0) + size
+            if content and size:
+                holders.update(suspects[:around])
+        total = sum(size for _, _, size, _ in pieces)
+        while not any(content and size and trusted.issuperset(s) for s, _, size, content in pieces):
+            outer = {next((x for x in s if x not in trusted), None) for s, _, _, _ in pieces} - {None}
+            new = {x for x in outer if x in holders or 2 * sizes[x] > total}
+            if not new:
+                break
+            trusted |= new
+        return trusted
+
     def _pop_to(self, depth: int) -> None:
         if any(e.tag in BLOCKS for e in self._stack[depth:]):
             self._flush()
@@ -162,7 +195,7 @@ class Page:
         if tag in VOID:
             if tag == "br":
                 if not self._stack[-1].drop:
-                    self._text.append(" ")
+                    self._add(" ")
             elif tag == "hr":
                 self._flush()
             return
@@ -186,7 +219,7 @@ class Page:
                 self._pop_to(found)
         if tag in BLOCKS:
             self._flush()
-        style, drop = _style(tag, rest)
+        style, drop, suspect = _style(tag, rest)
         parent = self._stack[-1]
         if tag == "header" and parent.content and not drop:
             drop = False  # an article's own header has its title
@@ -198,13 +231,16 @@ class Page:
             self.children.setdefault(parent.node, []).append(style)
         if rest.rstrip(">").endswith("/") and tag not in BLOCKS and tag not in RAW:
             return
-        self._stack.append(_Open(tag, node, style, drop or parent.drop, content))
+        suspects = (*parent.suspects, node) if suspect else parent.suspects
+        around = parent.around if parent.content else len(parent.suspects) if content else 0
+        self._stack.append(_Open(tag, node, style, drop or parent.drop, content, suspects, around))
 
     def main(self, low: set[int]) -> str:
-        """The text outside nodes of low importance: of article or main elements if there are any with text."""
+        """The text outside nodes of low importance: of article or main elements if they have at least half of it."""
         kept = [(c, text) for path, text, c in self.blocks if low.isdisjoint(path)] if low else [(c, text) for _, text, c in self.blocks]
-        if any(c is not None for c, _ in kept):
-            kept = [(c, text) for c, text in kept if c is not None]
+        inside = [(c, text) for c, text in kept if c is not None]
+        if inside and 2 * sum(len(text) for _, text in inside) >= sum(len(text) for _, text in kept):
+            kept = inside
         return "\n".join(text for _, text in kept)
 
     def nodes(self) -> Iterator[tuple[int, int, int, int]]:
