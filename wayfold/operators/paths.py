@@ -1,7 +1,7 @@
 """Ordered polylines: smoothing, length, bounds and truncation.
 
-A path is rows of (path_id, seq, x, y, z), seq from 0 without gaps. Each operator is one window over path_id; the points that it
-adds come from an explode of a fixed number of steps, so work grows with the points alone.
+A path is rows of (path_id, seq, x, y, z), seq from 0 without gaps. Each smoother makes of every point, from it and its neighbours, a
+number of points in place: one window over path_id and one explode, so a path is read and shuffled once.
 """
 
 from __future__ import annotations
@@ -39,20 +39,84 @@ def number_points(points: DataFrame, path_id: str, order: list[str]) -> DataFram
     return points.select(F.col(path_id).alias("path_id"), (F.row_number().over(along) - 1).alias("seq"), *AXES)
 
 
+def _with_neighbours(paths: DataFrame) -> DataFrame:
+    """`paths` with the point before (x_, y_, z_) and the three after (x1 to z3) each point, from one window."""
+    before = {f"{a}_": F.lag(a).over(by_path()) for a in AXES}
+    return paths.withColumns(before | {f"{a}{n}": F.lead(a, n).over(by_path()) for n in (1, 2, 3) for a in AXES})
+
+
+def _grown(paths: DataFrame, count: Column) -> DataFrame:
+    """`count` rows for each point, numbered k."""
+    some = paths.withColumn("count", count).filter("count > 0")
+    return some.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+
+
+def _named(name: str, axes: dict[str, Column]) -> dict[str, Column]:
+    return {f"{name}{a}": c for a, c in axes.items()}
+
+
+def _last() -> Column:
+    return F.col("x1").isNull()
+
+
+def _chaikin_count() -> Column:
+    """Points for a point: itself if it is the first or last, and two on the leg after it."""
+    return F.when(_last(), 1).when(F.col("seq") == 0, 3).otherwise(2)
+
+
+def _chaikin_value() -> dict[str, Column]:
+    """The k-th: a first or last point itself, then a quarter and three quarters of the leg after it."""
+    nth = F.col("k") - F.when(F.col("seq") == 0, 1).otherwise(0)
+    share = F.when(_last() | (nth < 0), 0.0).when(nth == 0, 0.25).otherwise(0.75)
+    return {a: F.when(share == 0, F.col(a)).otherwise((1 - share) * F.col(a) + share * F.col(f"{a}1")) for a in AXES}
+
+
 def chaikin(paths: DataFrame) -> DataFrame:
     """Corner cutting: the first point, a quarter and three quarters of each leg, and the last point; 2n points for n."""
-    ahead = [F.lead(a).over(by_path()).alias(f"{a}1") for a in AXES]
-    legs = paths.select("path_id", "seq", *AXES, *ahead)
-    cuts = legs.filter("x1 IS NOT NULL").withColumn("share", F.explode(F.array(F.lit(0.25), F.lit(0.75))))
-    cuts = cuts.select("path_id", (F.col("seq") + F.col("share")).alias("at"), *(((1 - F.col("share")) * F.col(a) + F.col("share") * F.col(f"{a}1")).alias(a) for a in AXES))
-    first = legs.filter("seq = 0").select("path_id", F.lit(0.0).alias("at"), *AXES)
-    last = legs.filter("x1 IS NULL AND seq > 0").select("path_id", F.col("seq").cast("double").alias("at"), *AXES)
-    return _renumbered(first.unionByName(cuts).unionByName(last), "at")
+    grown = _grown(_with_neighbours(paths), _chaikin_count())
+    return _renumbered(grown.select("path_id", "seq", "k", *(c.alias(a) for a, c in _chaikin_value().items())), "seq", "k")
+
+
+#: Of a leg from b to c, with a before and d after it: what a point with its neighbours calls their columns after the axis.
+_ABOUT = {"a": "_", "b": "", "c": "1", "d": "2"}
 
 
-def _blend(p: str, q: str, t: Column, t0: Column, t1: Column) -> dict[str, Column]:
+def _at(p: str, axis: str) -> Column:
+    return F.col(f"{axis}{_ABOUT[p]}" if p in _ABOUT else f"{p}{axis}")
+
+
+def _blend(p: str, q: str, t0: Column, t1: Column) -> dict[str, Column]:
     """Between points p and q, which have times t0 and t1, at time t."""
-    return {a: F.col(f"{p}{a}") * ((t1 - t) / (t1 - t0)) + F.col(f"{q}{a}") * ((t - t0) / (t1 - t0)) for a in AXES}
+    t = F.col("t")
+    return {a: _at(p, a) * ((t1 - t) / (t1 - t0)) + _at(q, a) * ((t - t0) / (t1 - t0)) for a in AXES}
+
+
+def _timed(paths: DataFrame, alpha: float) -> DataFrame:
+    """Points with the times t1 to t3 of b, c and d of the leg after each, null where there is no leg with a point on either side."""
+
+    def gap(p: str, q: str) -> Column:
+        return F.pow(sum(((_at(p, a) - _at(q, a)) * (_at(p, a) - _at(q, a)) for a in AXES), F.lit(0.0)), F.lit(alpha / 2))
+
+    return paths.withColumn("t1", gap("b", "a")).withColumn("t2", gap("c", "b") + F.col("t1")).withColumn("t3", gap("d", "c") + F.col("t2"))
+
+
+def _catmull_count(points: int, keep_last: bool) -> Column:
+    """Points for a point: itself if it is the first, `points` samples of the leg after it if that has a point on either side."""
+    out = F.when(F.col("seq") == 0, 1).when((F.col("t1") > 0) & (F.col("t2") > F.col("t1")) & (F.col("t3") > F.col("t2")), points).otherwise(0)
+    return F.when(_last(), 1).otherwise(out) if keep_last else out
+
+
+def _with_catmull(grown: DataFrame, points: int) -> DataFrame:
+    """`grown` timed points with the k-th sample (rx, ry, rz) of their legs."""
+    zero, t1, t2, t3 = F.lit(0.0), F.col("t1"), F.col("t2"), F.col("t3")
+    out = grown.withColumn("t", t1 + (t2 - t1) * F.col("k") / points)
+    out = out.withColumns(_named("e", _blend("a", "b", zero, t1)) | _named("f", _blend("b", "c", t1, t2)) | _named("g", _blend("c", "d", t2, t3)))
+    out = out.withColumns(_named("h", _blend("e", "f", zero, t2)) | _named("i", _blend("f", "g", t1, t3)))
+    return out.withColumns(_named("r", _blend("h", "i", t1, t2)))
+
+
+def _catmull_value() -> dict[str, Column]:
+    return {a: F.when((F.col("seq") == 0) | _last(), F.col(a)).otherwise(F.col(f"r{a}")) for a in AXES}
 
 
 def catmull_rom(paths: DataFrame, points: int = CATMULL_POINTS, alpha: float = CATMULL_ALPHA, keep_last: bool = False) -> DataFrame:
@@ -61,58 +125,49 @@ def catmull_rom(paths: DataFrame, points: int = CATMULL_POINTS, alpha: float = C
     The last two points have no leg of that kind, so the path ends before them, as its users expect; `keep_last` adds the last.
     Legs with a degenerate time are left out.
     """
-    around = {k: n for k, n in zip("abcd", (-1, 0, 1, 2), strict=True)}
-    windows = paths.select("path_id", "seq", *(F.lead(a, n).over(by_path()).alias(f"{k}{a}") if n > 0 else F.lag(a, -n).over(by_path()).alias(f"{k}{a}") if n else F.col(a).alias(f"{k}{a}") for k, n in around.items() for a in AXES))
-    whole = windows.filter("ax IS NOT NULL AND dx IS NOT NULL")
+    grown = _with_catmull(_grown(_timed(_with_neighbours(paths), alpha), _catmull_count(points, keep_last)), points)
+    return _renumbered(grown.select("path_id", "seq", "k", *(c.alias(a) for a, c in _catmull_value().items())), "seq", "k")
 
-    def gap(p: str, q: str) -> Column:
-        return F.pow(sum(((F.col(f"{p}{a}") - F.col(f"{q}{a}")) * (F.col(f"{p}{a}") - F.col(f"{q}{a}")) for a in AXES), F.lit(0.0)), F.lit(alpha / 2))
-
-    timed = whole.withColumn("t1", gap("b", "a")).withColumn("t2", gap("c", "b") + F.col("t1")).withColumn("t3", gap("d", "c") + F.col("t2"))
-    timed = timed.filter("t1 > 0 AND t2 > t1 AND t3 > t2").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    timed = timed.withColumn("t", F.col("t1") + (F.col("t2") - F.col("t1")) * F.col("k") / points)
-    t, zero, t1, t2, t3 = F.col("t"), F.lit(0.0), F.col("t1"), F.col("t2"), F.col("t3")
-    for names, level in ((("a1", "a2", "a3"), [("a", "b", zero, t1), ("b", "c", t1, t2), ("c", "d", t2, t3)]), (("b1", "b2"), [("a1", "a2", zero, t2), ("a2", "a3", t1, t3)]), (("r",), [("b1", "b2", t1, t2)])):
-        new = {f"{name}{a}": c for name, (p, q, low, high) in zip(names, level, strict=True) for a, c in _blend(p, q, t, low, high).items()}
-        timed = timed.withColumns(new)
-    samples = timed.select("path_id", "seq", "k", *(F.col(f"r{a}").alias(a) for a in AXES))
-    first = paths.filter("seq = 0").select("path_id", F.lit(-1).alias("seq"), F.lit(0).alias("k"), *AXES)
-    out = first.unionByName(samples)
-    if keep_last:
-        last = paths.withColumn("n", F.count("*").over(whole_path())).filter("seq = n - 1 AND seq > 0").select("path_id", "seq", F.lit(0).alias("k"), *AXES)
-        out = out.unionByName(last)
-    return _renumbered(out, "seq", "k")
+
+def _bezier_count(points: int, keep_last: bool) -> Column:
+    """Points for a point: `points` samples of the run of four that starts at it, if one does."""
+    out = F.when((F.col("seq") % 3 == 0) & F.col("x3").isNotNull(), points).otherwise(0)
+    return F.when(_last() & (F.col("seq") % 3 != 0), 1).otherwise(out) if keep_last else out
+
+
+def _bezier_value(points: int) -> dict[str, Column]:
+    t = F.col("k") / float(points - 1)
+    u = 1 - t
+    curve = {a: u * u * u * F.col(a) + 3 * u * u * t * F.col(f"{a}1") + 3 * u * t * t * F.col(f"{a}2") + t * t * t * F.col(f"{a}3") for a in AXES}
+    return {a: F.when(_last(), F.col(a)).otherwise(c) for a, c in curve.items()}
 
 
 def bezier(paths: DataFrame, points: int = BEZIER_POINTS, keep_last: bool = False) -> DataFrame:
     """Cubic Bezier curves through every fourth point: `points` samples of each run of four, which starts at the third of the run
     before it. Points beyond the last whole run are left out; `keep_last` adds the last."""
-    ahead = [F.lead(a, n).over(by_path()).alias(f"{a}{n}") for n in (1, 2, 3) for a in AXES]
-    runs = paths.select("path_id", "seq", *AXES, *ahead).filter("seq % 3 = 0 AND x3 IS NOT NULL")
-    runs = runs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("t", F.col("k") / float(points - 1)).withColumn("u", 1 - F.col("t"))
-    t, u = F.col("t"), F.col("u")
-    curve = [(u * u * u * F.col(a) + 3 * u * u * t * F.col(f"{a}1") + 3 * u * t * t * F.col(f"{a}2") + t * t * t * F.col(f"{a}3")).alias(a) for a in AXES]
-    out = runs.select("path_id", "seq", "k", *curve)
-    if keep_last:
-        numbered = paths.withColumn("n", F.count("*").over(whole_path()))
-        out = out.unionByName(numbered.filter("seq = n - 1 AND (n - 1) % 3 <> 0").select("path_id", "seq", F.lit(0).alias("k"), *AXES))
-    return _renumbered(out, "seq", "k")
+    grown = _grown(_with_neighbours(paths), _bezier_count(points, keep_last))
+    return _renumbered(grown.select("path_id", "seq", "k", *(c.alias(a) for a, c in _bezier_value(points).items())), "seq", "k")
+
+
+def smoothing_of(flags: Column, points: Column) -> Column:
+    """Which smoother a path of so many points takes: Chaikin before Catmull-Rom before Bezier, where it has the points for it (3, 4, 4), or
+    0; a flag of an earlier one that lacks points leaves the later ones open."""
+
+    def has(flag: int) -> Column:
+        return flags.bitwiseAND(flag) != 0
+
+    return F.when(has(CHAIKIN) & (points >= 3), CHAIKIN).when(has(CATMULL) & (points >= 4), CATMULL).when(has(BEZIER) & (points >= 4), BEZIER).otherwise(0)
 
 
 def smooth(paths: DataFrame, flags: DataFrame, max_points: int = MAX_POINTS) -> DataFrame:
-    """Paths smoothed as their flags (path_id, flags) say: Chaikin before Catmull-Rom before Bezier, where a path has the points for it
-    (3, 4, 4); others as they are; at most max_points of each."""
-    counted = paths.join(flags, "path_id").withColumn("n", F.count("*").over(whole_path()))
-    flag = F.col("flags")
-    kind = F.when((flag.bitwiseAND(CHAIKIN) != 0) & (F.col("n") >= 3), CHAIKIN).when((flag.bitwiseAND(CHAIKIN) == 0) & (flag.bitwiseAND(CATMULL) != 0) & (F.col("n") >= 4), CATMULL)
-    kind = kind.when((flag.bitwiseAND(CHAIKIN | CATMULL) == 0) & (flag.bitwiseAND(BEZIER) != 0) & (F.col("n") >= 4), BEZIER).otherwise(0)
-    chosen = counted.withColumn("kind", kind)
+    """Paths smoothed as their flags (path_id, flags) say, others as they are; at most max_points of each. Paths without flags are left out.
+    The paths are shuffled once; each smoother reads that shuffle."""
+    chosen = paths.join(flags, "path_id").withColumn("kind", smoothing_of(F.col("flags"), F.count("*").over(whole_path())))
 
     def part(value: int) -> DataFrame:
         return chosen.filter(F.col("kind") == value).select("path_id", "seq", *AXES)
 
-    out = part(0).unionByName(chaikin(part(CHAIKIN))).unionByName(catmull_rom(part(CATMULL))).unionByName(bezier(part(BEZIER)))
-    return truncate(out, max_points)
+    return truncate(part(0).unionByName(chaikin(part(CHAIKIN))).unionByName(catmull_rom(part(CATMULL))).unionByName(bezier(part(BEZIER))), max_points)
 
 
 def truncate(paths: DataFrame, max_points: int = MAX_POINTS) -> DataFrame:

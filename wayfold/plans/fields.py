@@ -245,17 +245,23 @@ def _rounded(paths):
 ROUNDED = f"path_id, CAST(seq AS BIGINT) AS seq, {Q('x')} AS x, {Q('y')} AS y, {Q('z')} AS z"
 
 
-@query("chaikin", f"""WITH {W.PATHS_SQL}, l AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(z) OVER w AS z1 FROM p WINDOW w AS (PARTITION BY path_id ORDER BY seq)),
+_CHAIKIN = f"""WITH {W.PATHS_SQL}, l AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(z) OVER w AS z1 FROM p WINDOW w AS (PARTITION BY path_id ORDER BY seq)),
     c AS (SELECT path_id, seq + s AS place, (1 - s) * x + s * x1 AS x, (1 - s) * y + s * y1 AS y, (1 - s) * z + s * z1 AS z FROM l, (SELECT unnest([0.25::DOUBLE, 0.75::DOUBLE]) AS s) WHERE x1 IS NOT NULL
       UNION ALL SELECT path_id, 0.0, x, y, z FROM l WHERE seq = 0 UNION ALL SELECT path_id, seq, x, y, z FROM l WHERE x1 IS NULL AND seq > 0),
-    o AS (SELECT path_id, row_number() OVER (PARTITION BY path_id ORDER BY place) - 1 AS seq, x, y, z FROM c) SELECT {ROUNDED} FROM o""")
+    o AS (SELECT path_id, row_number() OVER (PARTITION BY path_id ORDER BY place) - 1 AS seq, x, y, z FROM c) SELECT path_id, seq, x, y, z FROM o"""
+
+
+@query("chaikin", f"SELECT {ROUNDED} FROM ({_CHAIKIN})")
 def chaikin(spark, d):
     return _rounded(P.chaikin(W.polylines(spark, d)))
 
 
-@query("bezier", f"""WITH {W.PATHS_SQL}, l AS (SELECT *, {", ".join(f"lead({v}, {n}) OVER w AS {v}{n}" for v in "xyz" for n in (1, 2, 3))} FROM p WINDOW w AS (PARTITION BY path_id ORDER BY seq)),
+_BEZIER = f"""WITH {W.PATHS_SQL}, l AS (SELECT *, {", ".join(f"lead({v}, {n}) OVER w AS {v}{n}" for v in "xyz" for n in (1, 2, 3))} FROM p WINDOW w AS (PARTITION BY path_id ORDER BY seq)),
     k AS (SELECT *, k / 7.0::DOUBLE AS t, 1 - k / 7.0::DOUBLE AS u FROM l, (SELECT unnest(range(8)) AS k) WHERE seq % 3 = 0 AND x3 IS NOT NULL),
-    o AS (SELECT path_id, row_number() OVER (PARTITION BY path_id ORDER BY seq, k) - 1 AS seq, {", ".join(f"u * u * u * {v} + 3 * u * u * t * {v}1 + 3 * u * t * t * {v}2 + t * t * t * {v}3 AS {v}" for v in "xyz")} FROM k) SELECT {ROUNDED} FROM o""")
+    o AS (SELECT path_id, row_number() OVER (PARTITION BY path_id ORDER BY seq, k) - 1 AS seq, {", ".join(f"u * u * u * {v} + 3 * u * u * t * {v}1 + 3 * u * t * t * {v}2 + t * t * t * {v}3 AS {v}" for v in "xyz")} FROM k) SELECT path_id, seq, x, y, z FROM o"""
+
+
+@query("bezier", f"SELECT {ROUNDED} FROM ({_BEZIER})")
 def bezier(spark, d):
     return _rounded(P.bezier(W.polylines(spark, d)))
 
@@ -271,17 +277,23 @@ def _gap(p: str, q: str) -> str:
     return "(" + " + ".join(f"({p}{v} - {q}{v}) * ({p}{v} - {q}{v})" for v in "xyz") + ") ** 0.25"
 
 
-@query("catmull_rom", f"""WITH {W.PATHS_SQL}, l AS (SELECT path_id, seq, {_LEADS} FROM p WINDOW w AS (PARTITION BY path_id ORDER BY seq)),
+_CATMULL = f"""WITH {W.PATHS_SQL}, l AS (SELECT path_id, seq, {_LEADS} FROM p WINDOW w AS (PARTITION BY path_id ORDER BY seq)),
     g AS (SELECT *, {_gap("l", "k")} AS t1, {_gap("m", "l")} + {_gap("l", "k")} AS t2, {_gap("n", "m")} + ({_gap("m", "l")} + {_gap("l", "k")}) AS t3 FROM l WHERE kx IS NOT NULL AND nx IS NOT NULL),
     k AS (SELECT *, 0.0::DOUBLE AS t0, t1 + (t2 - t1) * k / 4 AS t FROM g, (SELECT unnest(range(4)) AS k) WHERE t1 > 0 AND t2 > t1 AND t3 > t2),
     m1 AS (SELECT *, {_mix("k", "l", "t0", "t1", "e")}, {_mix("l", "m", "t1", "t2", "f")}, {_mix("m", "n", "t2", "t3", "h")} FROM k),
     m2 AS (SELECT *, {_mix("e", "f", "t0", "t2", "i")}, {_mix("f", "h", "t1", "t3", "j")} FROM m1),
     m3 AS (SELECT path_id, seq, k, {_mix("i", "j", "t1", "t2", "")} FROM m2 UNION ALL SELECT path_id, -1, 0, x, y, z FROM p WHERE seq = 0),
-    o AS (SELECT path_id, row_number() OVER (PARTITION BY path_id ORDER BY seq, k) - 1 AS seq, x, y, z FROM m3)
-    SELECT path_id, CAST(seq AS BIGINT) AS seq, CAST(floor(x * 1e4 + 0.371) AS BIGINT) AS x, CAST(floor(y * 1e4 + 0.371) AS BIGINT) AS y, CAST(floor(z * 1e4 + 0.371) AS BIGINT) AS z FROM o""")
+    o AS (SELECT path_id, row_number() OVER (PARTITION BY path_id ORDER BY seq, k) - 1 AS seq, x, y, z FROM m3) SELECT path_id, seq, x, y, z FROM o"""
+COARSE = "path_id, CAST(seq AS BIGINT) AS seq, " + ", ".join(f"CAST(floor({v} * 1e4 + 0.371) AS BIGINT) AS {v}" for v in "xyz")
+
+
+def _coarse(paths):
+    return paths.select("path_id", F.col("seq").cast("long").alias("seq"), *(F.floor(F.col(v) * 1e4 + 0.371).alias(v) for v in "xyz"))
+
+
+@query("catmull_rom", f"SELECT {COARSE} FROM ({_CATMULL})")
 def catmull_rom(spark, d):
-    out = P.catmull_rom(W.polylines(spark, d))
-    return out.select("path_id", F.col("seq").cast("long").alias("seq"), *(F.floor(F.col(v) * 1e4 + 0.371).alias(v) for v in "xyz"))
+    return _coarse(P.catmull_rom(W.polylines(spark, d)))
 
 
 @query("path_truncate", f"WITH {W.PATHS_SQL} SELECT {ROUNDED} FROM p WHERE seq < 48")
@@ -289,9 +301,12 @@ def path_truncate(spark, d):
     return _rounded(P.truncate(W.polylines(spark, d), 48))
 
 
-@query("path_smooth_flags")
+@query("path_smooth_flags", f"""WITH {W.PATHS_SQL},
+    kinds AS (SELECT path_id, CASE WHEN path_id & 1 > 0 AND count(*) >= 3 THEN 1 WHEN path_id & 2 > 0 AND count(*) >= 4 THEN 2 WHEN path_id & 4 > 0 AND count(*) >= 4 THEN 4 ELSE 0 END AS kind FROM p GROUP BY path_id),
+    every AS (SELECT 0 AS kind, path_id, seq, x, y, z FROM p UNION ALL SELECT 1, * FROM ({_CHAIKIN}) UNION ALL SELECT 2, * FROM ({_CATMULL}) UNION ALL SELECT 4, * FROM ({_BEZIER}))
+    SELECT {COARSE} FROM every JOIN kinds USING (path_id, kind) WHERE seq < 512""")
 def path_smooth_flags(spark, d):
     """Smoothing by flags: the flags of a path are its id modulo 8."""
     paths = W.polylines(spark, d)
     flags = paths.select("path_id", (F.col("path_id") % 8).cast("int").alias("flags")).distinct()
-    return _rounded(P.smooth(paths, flags))
+    return _coarse(P.smooth(paths, flags))
