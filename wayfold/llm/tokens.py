@@ -1,13 +1,13 @@
 """Token-ID output: documents as ids, packed by Re-Pair grammars into binary shards with random access.
 
-Documents are range-partitioned and sorted by doc_id; each partition writes one shard file, a row of blocks of about BLOCK
-ids. A block has a grammar: in rounds, the most frequent pairs of neighbouring ids are replaced by new ids (nonterminals), up to
-RULES pairs a round whose occurrences can't overlap; a pair must occur LEAST times. Pairs don't cross an end id. The block holds
-rules, the length that each rule expands to, and for each document its number of symbols and ids, so that any range of ids is
-decoded without the rest.
+Documents are range-partitioned and sorted by doc_id; each partition writes one shard file. A shard is one block with one grammar; only
+a shard with more than BLOCK ids, that of a very long text, has more. Re-Pair replaces frequent pairs of neighbouring symbols by new
+ones (nonterminals) again and again, until no pair occurs LEAST times; a round replaces many pairs, those whose occurrences can't overlap.
+Pairs don't touch an end id. The block holds rules, the length that each rule expands to, and for each document its
+number of symbols and ids, so that any range of ids is decoded without the rest.
 
 Block layout, little-endian: magic "RPG1"; header (HEADER: bytes of the block, shard, ids of the shard before the block,
-documents, rules, symbols, bytes a symbol, vocabulary size, end id); doc_ids int64; flags uint8 (bit 0: doc_id is null, bit 1: the document goes on in
+documents, rules, symbols, bytes a symbol (2 or 3), vocabulary size, end id); doc_ids int64; flags uint8 (bit 0: doc_id is null, bit 1: the document goes on in
 the next block); ids a document uint32; symbols a document uint32; rules uint32 pairs; expansion lengths uint32; symbols.
 
 Files are written by Spark's text writer, block for line, so they are committed as any Spark output and go to any file
@@ -25,7 +25,7 @@ import threading
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +37,19 @@ from pyspark.sql import functions as F
 from .common import landed, read_table, work_path
 
 END = 2
-BLOCK = 1 << 20
-ROUNDS = 2
-RULES = 6000
-LEAST = 12
-SLOT_BITS = 20
+BLOCK = 1 << 22
+#: Occurrences that a rule has at least: its 12 bytes in the block are then earned, at three bytes a symbol.
+LEAST = 5
+#: A round takes pairs at least one SHARE-th as frequent as the most frequent one.
+SHARE = 512
+#: Times that symbols choose their side in a round.
+SIDES = 4
+#: Bits of a symbol and of a place in a block: both symbols of a pair and its place fit one 64-bit number.
+SYMBOL_BITS, PLACE_BITS = 20, 24
+#: Ids of rules that are written out in full to decode.
+SHORT = 32
 #: Text bytes in a shard.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
 MAGIC = b"RPG1"
 HEADER = struct.Struct("<qqqqqqqqq")
 #: Texts of these characters alone are cut into pieces here, by the pattern of byte-level BPE; others by the library. In PLAIN
@@ -60,7 +66,7 @@ MARK, SEPARATOR = "\x01", "\x02"
 MARKED_PIECE = re.compile(MARK + "|" + PIECE.pattern.replace(rf"[^{SPACES}{LETTERS}{NUMBERS}]", rf"[^{MARK}{SPACES}{LETTERS}{NUMBERS}]").replace(rf"(?![^{SPACES}])", rf"(?![^{MARK}{SPACES}])"))
 GAP = re.compile(rf"[{SPACES}][{SPACES}]")
 #: Entries of each half of a worker's memory, about 200 bytes each.
-PIECES = 600_000
+PIECES = 250_000
 LONG = 1 << 20
 #: Texts that are encoded together.
 SOME = 4096
@@ -198,80 +204,151 @@ def release_later(path: str) -> None:
     timer.start()
 
 
-def pack(ids: np.ndarray, lengths: np.ndarray, vocabulary: int, end: int = END, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair: (symbols, symbols of each document, rules) for documents of the given lengths, one after the other."""
+def pack(ids: np.ndarray, lengths: np.ndarray, vocabulary: int, end: int = END, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair: (symbols, symbols of each document, rules) for documents of the given lengths, one after the other.
+
+    A round sorts the pairs that can be frequent, each with its place, and so counts them exactly. Of those that occur `least` times or more
+    (a pair of equal symbols counts half its places: they may overlap), it replaces all that are at least a SHARE of the most frequent one
+    and can't overlap each other: a symbol is a left one, a right one or, of a pair of equal symbols, both. What waits is counted again,
+    with the pairs about new symbols, until no pair is frequent enough.
+    """
+    if vocabulary > 1 << SYMBOL_BITS or len(ids) > 1 << PLACE_BITS:
+        raise ValueError("a block takes symbols of 20 bits and 2^24 ids")
     seq, ends, rules, top = ids.astype(np.uint32), np.cumsum(lengths), [], vocabulary
-    wide = vocabulary + rounds * RULES > 1 << 16
-    kind, shift = (np.uint64, 32) if wide else (np.uint32, 16)
-    for _ in range(rounds):
-        if len(seq) < 2 * LEAST:
+    inner = seq != end
+    at = np.flatnonzero(inner[:-1] & inner[1:]).astype(np.uint32)
+    while len(at) >= least and top < 1 << SYMBOL_BITS:
+        packed = seq[at].astype(np.uint64)
+        packed <<= np.uint64(SYMBOL_BITS)
+        packed |= seq[at + np.uint32(1)]
+        packed <<= np.uint64(PLACE_BITS)
+        packed |= at
+        packed.sort()
+        at = packed.astype(np.uint32)
+        at &= np.uint32((1 << PLACE_BITS) - 1)
+        packed >>= np.uint64(PLACE_BITS)
+        first = np.flatnonzero(packed[1:] != packed[:-1])
+        first += 1
+        first = np.concatenate(([0], first))
+        counts = np.diff(first, append=len(at))
+        often = counts >= least
+        at, first, counts = at[np.repeat(often, counts)], first[often], counts[often]
+        pair = packed[first].astype(np.int64)
+        a, b = pair >> SYMBOL_BITS, pair & (1 << SYMBOL_BITS) - 1
+        worth = np.where(a == b, (counts + 1) // 2, counts)
+        frequent = worth >= least
+        if not frequent.any():
             break
-        keys = seq[:-1].astype(kind) << kind(shift) | seq[1:]
-        pairs, counts = _count(keys)
-        often = np.flatnonzero(counts >= LEAST)
-        often = often[np.argsort(-counts[often], kind="stable")][: 2 * RULES]
-        chosen, lefts, rights = [], set(), set()
-        for pair in pairs[often].tolist():
-            a, b = pair >> shift, pair & (1 << shift) - 1
-            if len(chosen) == RULES:
-                break
-            if a != end and a not in rights and b not in lefts and a != b:
-                chosen.append(pair)
-                lefts.add(a)
-                rights.add(b)
-        if not chosen:
-            break
-        # pairs are looked up in a table by hash; of pairs with one slot the first stays
-        chosen = np.array(chosen, kind)
-        slots, first = np.unique(_slots(chosen), return_index=True)
-        chosen, table = chosen[first], np.zeros(1 << SLOT_BITS, np.int32)
-        table[slots] = np.arange(len(slots))
-        is_left = np.zeros(top, bool)
-        is_left[list(lefts)] = True
-        at = np.flatnonzero(is_left[seq[:-1]])
-        place = table[_slots(keys[at])]
-        hit = chosen[place] == keys[at]
-        at, place = at[hit], place[hit]
-        seq[at] = top + place
+        chosen = _apart(a, b, worth, frequent & (worth * SHARE >= worth.max()), top)
+        chosen[np.flatnonzero(chosen)[(1 << SYMBOL_BITS) - top :]] = False
+        taken = np.repeat(chosen, counts)
+        hit, rule, waiting = at[taken], np.repeat(np.arange(top, top + chosen.sum(), dtype=np.uint32), counts[chosen]), at[~taken]
+        if (a[chosen] == b[chosen]).any():
+            # of places that follow each other, in a run of equal symbols, every other one
+            starts = np.flatnonzero(np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (rule[1:] != rule[:-1]))))
+            alternate = (np.arange(len(hit)) - np.repeat(starts, np.diff(starts, append=len(hit)))) % 2 == 0
+            waiting = np.concatenate([waiting, hit[~alternate]])
+            hit, rule = hit[alternate], rule[alternate]
+        seq[hit] = rule
         stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        kept = np.cumsum(stay)
-        ends = np.where(ends > 0, kept[ends - 1], 0)
-        seq = seq[stay]
-        rules.append(np.stack([chosen >> kind(shift), chosen & kind((1 << shift) - 1)], axis=1))
-        top += len(chosen)
-    all_rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+        stay[hit + np.uint32(1)] = False
+        again = np.zeros(len(seq) + 1, bool)
+        again[waiting] = again[hit] = True
+        # the pair before a new symbol starts at the symbol that stays before it
+        before = hit.astype(np.int64) - 1
+        before[~stay[before]] -= 1
+        again[before] = True
+        moved = np.cumsum(stay, dtype=np.int32)
+        ends = np.where(ends > 0, moved[ends - 1], 0)
+        seq, again = seq[stay], again[:-1][stay]
+        again[-1] = False
+        at = np.flatnonzero(again).astype(np.uint32)
+        at = at[(seq[at] != end) & (seq[at + np.uint32(1)] != end)]
+        rules.append(np.stack([a[chosen], b[chosen]], axis=1))
+        top += int(chosen.sum())
+    all_rules = np.concatenate(rules) if rules else np.zeros((0, 2))
     return seq, np.diff(ends, prepend=0), all_rules.astype(np.uint32)
 
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    factor, bits = (0x9E3779B1, 32) if keys.dtype == np.uint32 else (0x9E3779B97F4A7C15, 64)
-    return keys * keys.dtype.type(factor) >> keys.dtype.type(bits - SLOT_BITS)
-
-
-def _count(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ordered = np.sort(keys)
-    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    return ordered[first], np.diff(first, append=len(ordered))
+def _apart(a: np.ndarray, b: np.ndarray, worth: np.ndarray, among: np.ndarray, top: int) -> np.ndarray:
+    """Which of the pairs (a, b) `among` all to replace together. A symbol takes the side on which more of its places are, by chance where
+    there are about as many on both (along a repeated passage); symbols that this leaves without a pair choose again, a few times."""
+    at = np.flatnonzero(among)
+    left, right, weight = a[at], b[at], worth[at]
+    side = np.zeros(top, np.int8)  # 0 open, 1 left, 2 right, 3 both
+    alike = left == right
+    if alike.any():
+        others = np.bincount(left[~alike], weight[~alike], top) + np.bincount(right[~alike], weight[~alike], top)
+        alone = alike & (2 * weight >= others[left])
+        side[left[alone]] = 3
+        out = [at[alone]]
+        keep = ~alike & (side[left] == 0) & (side[right] == 0)
+        at, left, right, weight = at[keep], left[keep], right[keep], weight[keep]
+    else:
+        out = []
+    draws = np.random.default_rng(top)
+    for _ in range(SIDES):
+        if not len(at):
+            break
+        more = np.bincount(left, weight, top) * draws.uniform(0.5, 2.0, top) > np.bincount(right, weight, top)
+        chosen = np.where(side[left] == 0, more[left], side[left] == 1) & np.where(side[right] == 0, ~more[right], side[right] == 2)
+        out.append(at[chosen])
+        side[left[chosen]], side[right[chosen]] = 1, 2
+        keep = ~chosen & (side[left] != 2) & (side[right] != 1)
+        at, left, right, weight = at[keep], left[keep], right[keep], weight[keep]
+    found = np.zeros(len(a), bool)
+    found[np.concatenate(out)] = True
+    if not found.any():
+        places = np.flatnonzero(among)
+        found[places[np.argmax(worth[places])]] = True
+    return found
+
+
+def levels(rules: np.ndarray, vocabulary: int) -> Iterator[tuple[int, int]]:
+    """Runs of rules, in order, whose parts are ids or of earlier runs."""
+    latest, start = rules.max(1).astype(np.int64) - vocabulary if len(rules) else np.zeros(0, np.int64), 0
+    while start < len(rules):
+        later = np.flatnonzero(latest[start:] >= start)
+        stop = start + int(later[0]) if len(later) else len(rules)
+        yield start, stop
+        start = stop
 
 
 def expansion_lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
     """Ids that each rule stands for; a rule's parts are ids or earlier rules."""
-    out = np.ones(len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        out[i] = sum(1 if x < vocabulary else out[x - vocabulary] for x in (a, b))
-    return out
-
-
-def expand(symbols: np.ndarray, rules: np.ndarray, vocabulary: int) -> np.ndarray:
-    """The ids of symbols: each rule is expanded once, from its parts, and put wherever it stands."""
-    known: list[tuple[int, ...]] = []
-    for a, b in rules.tolist():
-        known.append((known[a - vocabulary] if a >= vocabulary else (a,)) + (known[b - vocabulary] if b >= vocabulary else (b,)))
-    sizes = np.ones(vocabulary + len(known), np.int32)
-    sizes[vocabulary:] = list(map(len, known))
-    flat = np.concatenate([np.arange(vocabulary, dtype="<u4"), np.fromiter(chain.from_iterable(known), "<u4")])
-    return _gathered(flat, np.cumsum(sizes, dtype=np.int32) - sizes, sizes, symbols)[0]
+    out = np.ones(vocabulary + len(rules), np.int64)
+    for start, stop in levels(rules, vocabulary):
+        out[vocabulary + start : vocabulary + stop] = out[rules[start:stop]].sum(1)
+    return out[vocabulary:]
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, vocabulary: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids of symbols. Rules of more than SHORT ids are cut to their parts until none is left; the others are written out once, each from
+    its parts, and put wherever they stand."""
+    lengths = expansion_lengths(rules, vocabulary) if lengths is None else lengths
+    symbols = symbols.astype(np.uint32)
+    sizes = np.ones(vocabulary + len(rules), np.int64)
+    sizes[vocabulary:] = lengths
+    long = sizes > SHORT
+    while len(at := np.flatnonzero(long[symbols])):
+        twice = np.ones(len(symbols), np.int64)
+        twice[at] = 2
+        parts = rules[symbols[at] - np.uint32(vocabulary)]
+        symbols = np.repeat(symbols, twice)
+        at += np.arange(len(at))
+        symbols[at], symbols[at + 1] = parts[:, 0], parts[:, 1]
+    sizes[long] = 0
+    starts = np.cumsum(sizes) - sizes
+    flat = np.zeros(int(sizes.sum()), "<u4")
+    flat[:vocabulary] = np.arange(vocabulary)
+    for start, stop in levels(rules, vocabulary):
+        short = np.flatnonzero(~long[vocabulary + start : vocabulary + stop]) + start
+        if len(short):
+            # these lie one after the other, for long ones take no room
+            written, _ = _gathered(flat, starts, sizes, rules[short].ravel())
+            begin = int(starts[vocabulary + short[0]])
+            flat[begin : begin + len(written)] = written
+    return _gathered(flat, starts, sizes, symbols)[0]
 
 
 class Block:
@@ -289,10 +366,12 @@ class Block:
 
         self.doc_ids, self.flags, self.lengths, self.counts = part("<i8", docs), part("u1", docs), part("<u4", docs), part("<u4", docs)
         self.rules, self.expansions = part("<u4", 2 * n_rules).reshape(-1, 2), part("<u4", n_rules)
-        self.symbols = part(f"<u{width}", n_symbols)
+        wide = np.zeros((n_symbols, 4), "u1")
+        wide[:, :width] = part("u1", n_symbols * width).reshape(-1, width)
+        self.symbols = wide.view("<u4").ravel()
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.vocabulary)
+        return expand(self.symbols, self.rules, self.vocabulary, self.expansions)
 
     def slice(self, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of the block, decoding only the symbols that hold them."""
@@ -300,13 +379,13 @@ class Block:
         ends = np.cumsum(sizes)
         a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
         skip = start - (int(ends[a - 1]) if a else 0)
-        return expand(self.symbols[a:b], self.rules, self.vocabulary)[skip : skip + max(0, stop - start)]
+        return expand(self.symbols[a:b], self.rules, self.vocabulary, self.expansions)[skip : skip + max(0, stop - start)]
 
 
 def block_bytes(shard: int, before: int, docs: list[tuple[int | None, bool, int]], ids: np.ndarray, vocabulary: int, end: int = END) -> bytes:
     """A block of documents (doc_id, whether it goes on, number of ids) with the given ids."""
     symbols, counts, rules = pack(ids, np.array([n for _, _, n in docs], np.int64), vocabulary, end)
-    width = 2 if vocabulary + len(rules) <= 1 << 16 else 4
+    width = 2 if vocabulary + len(rules) <= 1 << 16 else 3
     body = [
         np.array([d or 0 for d, _, _ in docs], "<i8"),
         np.array([(d is None) + 2 * on for d, on, _ in docs], "u1"),
@@ -314,7 +393,7 @@ def block_bytes(shard: int, before: int, docs: list[tuple[int | None, bool, int]
         counts.astype("<u4"),
         rules.astype("<u4"),
         expansion_lengths(rules, vocabulary).astype("<u4"),
-        symbols.astype(f"<u{width}"),
+        symbols.astype("<u4").view("u1").reshape(-1, 4)[:, :width],
     ]
     size = 4 + HEADER.size + sum(x.nbytes for x in body)
     return MAGIC + HEADER.pack(size, shard, before, len(docs), len(rules), len(symbols), width, vocabulary, end) + b"".join(x.tobytes() for x in body)
@@ -344,7 +423,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, doc_id: str = "d
                     rows = batch.slice(at, SOME)
                     for key, codes in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist()), strict=True):
                         n = 0
-                        for code in codes:
+                        for code in (c[i : i + 4 * BLOCK] for c in codes for i in range(0, len(c), 4 * BLOCK)):
                             parts.append(code)
                             n, held = n + len(code) // 4, held + len(code) // 4
                             if held >= BLOCK:
