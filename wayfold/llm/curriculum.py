@@ -4,8 +4,8 @@ Targets. Sources, in code-point order with the null source last, take weights in
 no target exceeds `repeats` times its source's words, and what is over is reshared by weight (water-filling: target =
 min(cap, level x weight), the level found from prefix sums over the sources by cap / weight).
 
-Order. A source's documents are dealt by a hash of the row. Prefix sums of sizes run over hash buckets of each source and
-then within each bucket, so that a source of any share is spread over many tasks. A copy is taken while the words before its
+Order. A source's documents are dealt by a hash of the row, after those that hold more than a hundredth of its words each, longest first.
+Prefix sums of sizes run over hash buckets of each source and then within each bucket, so that a source of any share is spread over many tasks. A copy is taken while the words before its
 middle are below the target; whole copies only, at most `repeats` of each document.
 
 Time. Training time runs from 0 to 1. A schedule multiplies a source's weight by a piecewise-linear factor of time, one schedule
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import landed, read_table
+from .common import landed, read_table, under_own_names
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -30,6 +30,8 @@ REPEATS = 2
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
 #: Hash buckets of a source; each is summed in one task.
 BUCKETS = 4096
+#: A text of more than one LONG-th of its source's words is long.
+LONG = 100
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -80,25 +82,31 @@ def due_time(done: Column, rank: Column, schedules=SCHEDULES) -> Column:
 
 
 def plan_mix(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, schedules=SCHEDULES, buckets: int = BUCKETS
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, schedules=SCHEDULES, buckets: int = BUCKETS, row: str | None = None
 ) -> DataFrame:
-    """For each row of `docs`: its doc_id, row_key (a hash of the whole row), size, source_size, target, taken, and positions, the times of its copies."""
+    """For each row of `docs`: its doc_id, row_key (the column `row` if it names one that tells rows apart, else a hash of the whole row), size,
+    source_size, target, taken, and positions, the times of its copies."""
     sizes = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.col(source).isNull().alias("source_null"),
-        F.coalesce(F.col(source), F.lit("")).alias("source_key"),
-        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(*docs.columns).alias("row_key"),
+        F.col(f"`{doc_id}`").alias("doc_id"),
+        F.col(f"`{source}`").isNull().alias("source_null"),
+        F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source_key"),
+        F.coalesce(F.regexp_count(f"`{text}`", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns if c != row)).alias("deal"),
+        *([F.col(f"`{row}`").alias("row_key")] if row else []),
     )
-    sizes = landed(sizes.withColumn("bucket", F.pmod("row_key", F.lit(buckets))), "sizes")
-    targets = source_targets(sizes, weights, share, repeats)
+    sizes = landed(sizes if row else sizes.withColumn("row_key", F.col("deal")), "sizes")
+    targets = landed(source_targets(sizes, weights, share, repeats), "targets")
     source_keys = ["source_null", "source_key"]
-    in_bucket = sizes.groupBy(*source_keys, "bucket").agg(F.sum("size").alias("bucket_size"))
+    # a source's long texts, fewer than LONG of them, come first and the longest before others, so that what is cut at the target is short
+    dealt = sizes.join(targets.select(*source_keys, "source_size"), source_keys)
+    dealt = dealt.withColumn("bucket", F.when(F.col("size") * LONG > F.col("source_size"), -1).otherwise(F.pmod("deal", F.lit(buckets)))).drop("source_size")
+    in_bucket = dealt.groupBy(*source_keys, "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy(*source_keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = in_bucket.withColumn("offset", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).drop("bucket_size")
     offsets = offsets.join(targets, source_keys)
-    within = Window.partitionBy(*source_keys, "bucket").orderBy("row_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, [*source_keys, "bucket"])
+    order = [F.when(F.col("bucket") == -1, -F.col("size")), F.col("deal"), F.col("row_key"), F.col("doc_id"), F.col("size")]
+    within = Window.partitionBy(*source_keys, "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, [*source_keys, "bucket"])
     middle = F.col("offset") + F.col("ahead") + F.col("size") / 2.0
     copies = F.filter(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda k: middle + k * F.col("source_size")), lambda m: (m < F.col("target")) & (F.col("size") > 0))
     placed = placed.withColumn("middles", copies)
@@ -114,13 +122,17 @@ def plan_mix(
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of `docs` that the mix takes, once for each copy, range-sorted by position; the columns of `docs`."""
-    columns = docs.columns
-    plan = plan_mix(docs, doc_id=doc_id, text=text, source=source, **options).select(F.col("row_key").alias("_key"), F.explode("positions").alias("_position"))
-    # of equal rows one is kept and taken as often as all of them
-    first = Window.partitionBy("_key").orderBy("_key")
-    single = docs.withColumn("_key", F.xxhash64(*columns)).withColumn("_nth", F.row_number().over(first)).filter("_nth = 1")
-    return single.join(plan, "_key").orderBy("_position", "_key").select(*(F.col(f"`{c}`") for c in columns))
+    """The rows of `docs` that the mix takes, once for each copy, range-sorted by position; the columns of `docs`. Rows are numbered and
+    written first; the plan is made of sizes and numbers alone, and texts are joined to it once, without a sort."""
+
+    def step(d: DataFrame, c: dict[str, str]) -> DataFrame:
+        numbered = landed(d.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        plan = plan_mix(numbered, doc_id=c[doc_id], text=c[text], source=c[source], row="_row", **options)
+        plan = landed(plan.filter("taken > 0").select(F.col("row_key").alias("_row"), "positions"), "plan")
+        taken = numbered.join(plan.hint("shuffle_hash"), "_row").withColumn("_position", F.explode("positions"))
+        return taken.orderBy("_position", "_row")
+
+    return under_own_names(docs, step)
 
 
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
