@@ -1,18 +1,21 @@
 """Main text of web pages by site style trees.
 
-Elements of a page are nodes of its host's style tree, named by the path of tags and classes that leads to them. Over the pages of
-a host, a node's presentation importance is the entropy of the sequences of its children's styles, its content importance the
-entropy of its texts, both over the logarithm of the number of pages that have it; its importance is the larger, for a node of
-one layout may hold new text on each page. Branches of low importance are removed where the site's pages differ otherwise: a menu
-or notice that all pages repeat goes, while a host of copies of one page keeps its text. Elements whose tag or role says
-that they are menus, headers, footers, sidebars, notices, adverts or forms have importance 0 from the start. Elements whose class or id
-has such a word (suspects) have it too, unless the page has no article or main element outside of them and they hold one, or more than half
-of the page's text: a layout's wrapper is often named for what else it holds. Of the rest, article and main elements are the text if
-they have at least half of it; shorter ones are teasers beside it.
+The pages of a host are merged into one style tree. A node is named by the path of tags and classes that leads to it; nodes are judged
+where the markup groups or names something: sections, divs, lists, tables, and whatever has a class or id. Over the pages that have it,
+a node has two entropies, both over the logarithm of the number of those pages: presentation, of the elements below it in order, and
+content, of its text. A node of one page has entropies of 1. Its importance is content x (1 + presentation) / 2: what every page repeats is
+worth nothing, new text in one layout half as much as new text in changing layouts.
+
+What a page loses. A node's importance is taken relative to that of the page's main node (its article or main element with the most text, or
+its largest top-level branch), so that a host of copies keeps its text. A branch below LOW goes. A class or id word such as "sidebar" or "comments" is
+a prior: it multiplies the importance by PRIOR, unless the element holds the page's article, or more than half of its text where no article is
+elsewhere, for a layout's wrapper is often named for what else it holds. To be beside the page's article or main element is another, OUTSIDE.
+Tags and roles that say what they are (nav, footer, aside, form, script ...) are rules of markup and go at once; text that stands in no judged
+node goes if articles have at least as much as the rest.
 
 Two passes over the pages: nodes for the trees, then texts. Trees are tables of (host, node), summed with partial
-aggregation, so a host of any share is spread by node and text. Nodes to remove are joined to pages by the page, a size that Spark
-checks before it broadcasts.
+aggregation, so a host of any share is spread by node and text. What the trees decide is joined to pages by the page, broadcast
+only where it is small.
 
 Defined results: a null or empty page has empty text; a null URL is a host of its own; a block without text is left out; br is white space; elements left open
 end with their parent; unknown references stay as they are; repeated rows are answered each.
@@ -30,12 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, landed, read_table
+from .common import append_columns, join_ids, landed, read_table, under_own_names
 
-#: Nodes on fewer pages of a host are kept.
-LEAST_PAGES = 5
-#: A node goes if its importance is below LOW and that of the page's content root at least HIGH.
-LOW, HIGH = 0.2, 0.5
+#: A node goes if its importance, relative to that of the page's main node, times PRIOR for a suspect and OUTSIDE beside the page's article, is below LOW.
+LOW, PRIOR, OUTSIDE = 0.4, 0.25, 0.5
 
 # Elements of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,6 +64,8 @@ WORDS = frozenset(
     "comment comments commentlist disqus respond replies footer header masthead toolbar copyright legal disclaimer pagination pager login search widget widgets skip".split()
 )
 CONTENT = frozenset(["article", "main"])
+#: Elements that are judged with their parents, unless they have a class or id.
+PARTS = frozenset("html body h1 h2 h3 h4 h5 h6 p li dt dd tr td th tbody thead tfoot caption summary legend option figcaption pre".split())
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))|(?P<text>[^<]+|<)", re.S
@@ -79,10 +82,10 @@ def _hash(text: str, seed: int = 0) -> int:
 class _Open:
     """An element that is open."""
 
-    __slots__ = ("tag", "node", "style", "drop", "content", "children", "suspects", "around")
+    __slots__ = ("tag", "node", "style", "drop", "content", "judged", "suspects", "around")
 
-    def __init__(self, tag: str, node: int, style: str, drop: bool, content: bool, suspects: tuple[int, ...] = (), around: int = 0) -> None:
-        self.tag, self.node, self.style, self.drop, self.content, self.children = tag, node, style, drop, content, []
+    def __init__(self, tag: str, node: int, style: str, drop: bool, content: bool, judged: bool = False, suspects: tuple[int, ...] = (), around: int = 0) -> None:
+        self.tag, self.node, self.style, self.drop, self.content, self.judged = tag, node, style, drop, content, judged
         #: The nodes of suspects from the outermost on, and how many of them are around its article or main element.
         self.suspects, self.around = suspects, around
 
@@ -110,15 +113,14 @@ def _style(tag: str, rest: str) -> tuple[str, bool, bool]:
 
 
 class Page:
-    """The blocks of a page outside dropped elements: (path of nodes, text), where a path's nodes are those of the block-level elements
-    around it, outermost first, and suspects that aren't trusted give no text; styles has the children of each node, and content the depth of the path's article or main element."""
+    """The text of a page outside dropped elements, by block: (judged nodes around it, outermost first, pieces, node of its article or main
+    element); a piece has its suspects. children has the styles below each judged node in order."""
 
     def __init__(self, html: str) -> None:
-        self.blocks: list[tuple[tuple[int, ...], str, int | None]] = []
         self.children: dict[int, list[str]] = {}
         self._stack: list[_Open] = [_Open("", 0, "", False, False)]
         self._text: list[tuple[tuple[int, ...], int, str]] = []
-        self._pieces: list[tuple[tuple[int, ...], list[tuple[tuple[int, ...], int, str]], int | None]] = []
+        self.blocks: list[tuple[tuple[int, ...], list[tuple[tuple[int, ...], int, str]], int | None]] = []
         at, n = 0, len(html)
         while at < n:
             m = MARKUP.match(html, at)
@@ -139,26 +141,22 @@ class Page:
                 at = end.end()
                 self._close(tag)
         self._flush()
-        trusted = self._trusted()
-        for path, pieces, content in self._pieces:
-            words = " ".join("".join(piece for suspects, _, piece in pieces if trusted.issuperset(suspects)).split())
-            if words:
-                self.blocks.append((path, words, content))
+        self.trusted = self._trusted()
 
     def _add(self, piece: str) -> None:
         self._text.append((self._stack[-1].suspects, self._stack[-1].around, piece))
 
     def _flush(self) -> None:
         if self._text:
-            blocks = [e for e in self._stack if e.node and e.tag in BLOCKS]
-            content = next((i for i, e in enumerate(blocks) if e.content), None)
-            self._pieces.append((tuple(e.node for e in blocks), self._text, content))
+            around = [e for e in self._stack if e.node and e.tag in BLOCKS]
+            content = next((e.node for e in around if e.content), None)
+            self.blocks.append((tuple(e.node for e in around if e.judged), self._text, content))
             self._text = []
 
     def _trusted(self) -> set[int]:
         """The suspects that are kept: while all articles and main elements are in suspects, those that hold one or more than half of the text."""
         trusted: set[int] = set()
-        pieces = [(s, around, sum(map(len, piece.split())), content is not None) for _, block, content in self._pieces for s, around, piece in block]
+        pieces = [(s, around, sum(map(len, piece.split())), content is not None) for _, block, content in self.blocks for s, around, piece in block]
         if not any(s for s, *_ in pieces):
             return trusted
         sizes: dict[int, int] = {}
@@ -227,36 +225,56 @@ class Page:
             drop = True
         content = parent.content or tag in CONTENT and not (drop or parent.drop)
         node = _hash(style, parent.node & 0xFFFFFFFFFFFFFFFF)
-        if tag in BLOCKS and not parent.drop:
-            self.children.setdefault(parent.node, []).append(style)
+        judged = suspect or tag in BLOCKS and (tag not in PARTS or style != tag)
+        if not parent.drop:
+            for e in self._stack:
+                if e.judged:
+                    self.children.setdefault(e.node, []).append(style)
         if rest.rstrip(">").endswith("/") and tag not in BLOCKS and tag not in RAW:
             return
         suspects = (*parent.suspects, node) if suspect else parent.suspects
         around = parent.around if parent.content else len(parent.suspects) if content else 0
-        self._stack.append(_Open(tag, node, style, drop or parent.drop, content, suspects, around))
-
-    def main(self, low: set[int]) -> str:
-        """The text outside nodes of low importance: of article or main elements if they have at least half of it."""
-        kept = [(c, text) for path, text, c in self.blocks if low.isdisjoint(path)] if low else [(c, text) for _, text, c in self.blocks]
-        inside = [(c, text) for c, text in kept if c is not None]
-        if inside and 2 * sum(len(text) for _, text in inside) >= sum(len(text) for _, text in kept):
-            kept = inside
-        return "\n".join(text for _, text in kept)
-
-    def nodes(self) -> Iterator[tuple[int, int, int, int]]:
-        """(node, hash of its children's styles, hash of its text, node of the content root) of each node with text.
-
-        Node 0 is the document, the root of pages without an article or main element."""
+        self._stack.append(_Open(tag, node, style, drop or parent.drop, content, judged, suspects, around))
+
+    def main(self, low: set[int], high: set[int] = frozenset()) -> str:
+        """The text outside nodes that are `low` and suspects that are neither trusted nor `high`."""
+        kept = []
+        good = self.trusted | high
+        for path, pieces, content in self.blocks:
+            if low.isdisjoint(path):
+                words = " ".join("".join(piece for suspects, _, piece in pieces if good.issuperset(suspects)).split())
+                if words:
+                    kept.append((words, content is not None, bool(path)))
+        inside = sum(len(words) for words, content, _ in kept if content)
+        if 2 * inside >= sum(len(words) for words, _, _ in kept) and inside:
+            kept = [x for x in kept if x[1] or x[2]]
+        return "\n".join(words for words, _, _ in kept)
+
+    def nodes(self) -> Iterator[tuple[int, int, int, int, int]]:
+        """(node, hash of the styles below it, hash of its text, main node, priors) of each judged node with text; priors are 1 for a suspect that
+        isn't trusted, and 2 beside the page's article."""
         texts: dict[int, list[str]] = {}
-        roots: dict[int, int] = {}
-        for path, text, content in self.blocks:
-            root = path[content] if content is not None else 0
-            for node in (0, *path):
-                texts.setdefault(node, []).append(text)
-                roots.setdefault(node, root)
+        articles: dict[int, int] = {}
+        branches: dict[int, int] = {}
+        priors: set[int] = set()
+        for path, pieces, content in self.blocks:
+            for suspects, _, piece in pieces:
+                words = " ".join(piece.split())
+                untrusted = [x for x in suspects if x not in self.trusted]
+                priors.update(untrusted)
+                if not words:
+                    continue
+                for node in dict.fromkeys((*path, *suspects)):
+                    texts.setdefault(node, []).append(words)
+                if not untrusted:
+                    for sizes, node in ((articles, content), (branches, path[0] if path else None)):
+                        if node is not None:
+                            sizes[node] = sizes.get(node, 0) + len(words)
+        sizes = {k: v for k, v in articles.items() if k in texts} or branches
+        root = max(sizes, key=lambda k: (sizes[k], k)) if sizes else 0
+        about = {n for path, _, content in self.blocks if content == root for n in path} if root in articles else None
         for node, parts in texts.items():
-            style = _hash(" ".join(self.children.get(node, ())))
-            yield node, style, _hash("\n".join(parts)), roots[node]
+            yield node, _hash(" ".join(self.children.get(node, ()))), _hash("\n".join(parts)), root, (node in priors) + 2 * (about is not None and node not in about)
 
 
 def _signed(value: int) -> int:
@@ -264,7 +282,7 @@ def _signed(value: int) -> int:
 
 
 def style_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(page, host, node, style, content, root) for each node with text of each page; `pages` has page, host and html."""
+    """(page, host, node, style, content, root, prior) for each judged node with text of each page; `pages` has page, host and html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,51 +291,57 @@ def style_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
                 if body:
                     rows.extend((page, host, *map(_signed, node)) for node in Page(body).nodes())
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["page", "host", "node", "style", "content", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["page", "host", "node", "style", "content", "root", "prior"])
 
-    return pages.select("page", "host", html).mapInArrow(run, "page long, host long, node long, style long, content long, root long")
+    return pages.select("page", "host", html).mapInArrow(run, "page long, host long, node long, style long, content long, root long, prior long")
 
 
 def importance(nodes: DataFrame) -> DataFrame:
-    """(host, node, pages, importance): the larger normalised entropy of child styles and texts over the pages that have the node."""
+    """(host, node, importance): content x (1 + presentation) / 2, normalised entropies over the pages that have the node."""
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("style").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("k")
     counts = nodes.select("host", "node", kinds).groupBy("host", "node", "k").agg(F.count("*").alias("n"))
     sums = counts.groupBy("host", "node", "k.kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    entropy = F.when(F.col("pages") > 1, 1 - F.col("nlogn") / (F.col("pages") * F.log("pages"))).otherwise(1.0)
-    return sums.groupBy("host", "node").agg(F.max("pages").alias("pages"), F.max(entropy).alias("importance"))
+    entropy = F.when(F.col("pages") > 1, F.greatest(1 - F.col("nlogn") / (F.col("pages") * F.log("pages")), F.lit(0.0))).otherwise(1.0)
+    of = {name: F.max(F.when(F.col("kind") == kind, entropy)) for kind, name in enumerate(("presentation", "content"))}
+    scored = sums.groupBy("host", "node").agg(*(c.alias(name) for name, c in of.items()))
+    return scored.select("host", "node", (F.col("content") * (1 + F.col("presentation")) / 2).alias("importance"))
 
 
-def low_nodes(nodes: DataFrame) -> DataFrame:
-    """(host, node) of branches to remove."""
-    scored = importance(nodes)
-    roots = nodes.select("host", "node", "root").distinct().filter("node <> root")
-    of_root = scored.select("host", F.col("node").alias("root"), F.col("importance").alias("of_root"), F.col("pages").alias("root_pages"))
-    low = scored.filter((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LOW))
-    return low.join(roots, ["host", "node"]).join(of_root, ["host", "root"]).filter(F.col("of_root") >= HIGH).select("host", "node").distinct()
+def decisions(nodes: DataFrame) -> DataFrame:
+    """(page, low, high): of each page that has any, the nodes that go, and the suspects that stay."""
+    scored = landed(importance(nodes), "importance")
+    of_root = scored.select("host", F.col("node").alias("root"), F.col("importance").alias("of_root"))
+    both = join_ids(join_ids(nodes.select("page", "host", "node", "root", "prior"), scored, ["host", "node"], "left"), of_root, ["host", "root"], "left")
+    relative = F.when(F.col("of_root") > 0, F.col("importance") / F.col("of_root")).otherwise(1.0)
+    suspect, outside = (F.col("prior").bitwiseAND(bit) != 0 for bit in (1, 2))
+    low = relative * F.when(suspect, PRIOR).otherwise(1.0) * F.when(outside, OUTSIDE).otherwise(1.0) < LOW
+    both = both.withColumn("low", low).filter(suspect != F.col("low"))  # else the page says the same
+    lists = [F.collect_set(F.when(F.col("low") == which, F.col("node"))).alias(name) for name, which in (("low", True), ("high", False))]
+    return both.groupBy("page").agg(*lists)  # a page's nodes
 
 
 def extract(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """`pages` with main_text, the text of each page without its low-importance branches."""
+    """`pages`, without html, with main_text, the text of each page without its unimportant branches."""
+    return under_own_names(pages, lambda p, c: _extract(p, c[url], c[html]), ("main_text",), (html,))
+
+
+def _extract(pages: DataFrame, url: str, html: str) -> DataFrame:
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    keyed = pages.withColumns({"_page": F.xxhash64(*(F.col(f"`{c}`") for c in pages.columns)), "_host": F.xxhash64(host)})
+    keyed = pages.withColumns({"_page": F.xxhash64(*pages.columns), "_host": F.xxhash64(host)})
     nodes = landed(style_nodes(keyed.select(F.col("_page").alias("page"), F.col("_host").alias("host"), html), html), "style-nodes")
-    low = landed(low_nodes(nodes), "low-nodes")
-    if low.isEmpty():
-        found = keyed.withColumn("_low", F.lit(None).cast("array<bigint>"))
-    else:
-        by_page = nodes.join(low, ["host", "node"]).groupBy(F.col("page").alias("_page")).agg(F.collect_set("node").alias("_low"))  # a page's nodes
-        found = keyed.join(landed(by_page, "page-nodes"), "_page", "left")
+    decided = landed(decisions(nodes).select(F.col("page").alias("_page"), "low", "high"), "decisions")
+    found = join_ids(keyed, decided, "_page", "left")
 
     def make():
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
             out = []
-            for body, low in zip(batch.column(html).to_pylist(), batch.column("_low").to_pylist(), strict=True):
-                out.append(Page(body).main({x & 0xFFFFFFFFFFFFFFFF for x in low or ()}) if body else "")
+            for body, *sets in zip(*(batch.column(c).to_pylist() for c in (html, "low", "high")), strict=True):
+                out.append(Page(body).main(*({x & 0xFFFFFFFFFFFFFFFF for x in s or ()} for s in sets)) if body else "")
             return [pa.array(out, pa.string())]
 
         return compute
 
-    return append_columns(found, [html, "_low"], [T.StructField("main_text", T.StringType())], make, [c for c in pages.columns if c != html])
+    return append_columns(found, [html, "low", "high"], [T.StructField("main_text", T.StringType())], make, [c for c in pages.columns if c != html])
 
 
 def op5_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
