@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written below the folder that spark.checkpoint.dir names (a temporary one where it is unset) and read again: worked out
+    """`df` written below the folder that spark.checkpoint.dir names, or setCheckpointDir() was given (on one machine, a temporary one), and read again: worked out
     once, kept where a lost executor can't take it."""
     spark = df.sparkSession
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="wayfold-")
         sc.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/wayfold/round-{uuid.uuid4().hex}"
