@@ -34,10 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import landed, read_table, work_path
+from .common import landed, read_table, release_memory, work_path
 
 END = 2
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: Occurrences that a rule has at least: its 12 bytes in the block are then earned, at three bytes a symbol.
 LEAST = 5
 #: A round takes pairs at least one SHARE-th as frequent as the most frequent one.
@@ -48,8 +48,8 @@ SIDES = 4
 SYMBOL_BITS, PLACE_BITS = 20, 24
 #: Ids of rules that are written out in full to decode.
 SHORT = 32
-#: Text bytes in a shard.
-SHARD_BYTES = 16 << 20
+#: Text bytes in a shard, for tasks with a gigabyte; more memory allows larger shards and blocks.
+SHARD_BYTES = 8 << 20
 MAGIC = b"RPG1"
 HEADER = struct.Struct("<qqqqqqqqq")
 #: Texts of these characters alone are cut into pieces here, by the pattern of byte-level BPE; others by the library. In PLAIN
@@ -69,7 +69,7 @@ GAP = re.compile(rf"[{SPACES}][{SPACES}]")
 PIECES = 250_000
 LONG = 1 << 20
 #: Texts that are encoded together.
-SOME = 4096
+SOME = 2048
 
 
 def _as_list(values: pa.Array) -> pa.ListArray:
@@ -199,7 +199,11 @@ def encoder_of(path: str) -> Encoder:
 
 
 def release_later(path: str) -> None:
-    timer = _RELEASES[path] = threading.Timer(KEEP, _ENCODERS.pop, (path, None))
+    def release() -> None:
+        _ENCODERS.pop(path, None)
+        release_memory()
+
+    timer = _RELEASES[path] = threading.Timer(KEEP, release)
     timer.daemon = True
     timer.start()
 
@@ -399,11 +403,11 @@ def block_bytes(shard: int, before: int, docs: list[tuple[int | None, bool, int]
     return MAGIC + HEADER.pack(size, shard, before, len(docs), len(rules), len(symbols), width, vocabulary, end) + b"".join(x.tobytes() for x in body)
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end: int = END) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end: int = END, shard_bytes: int = SHARD_BYTES) -> None:
     """Encodes whole texts, each followed by `end`, into shard files below `path`, in ascending doc_id order."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    ordered = chosen.repartitionByRange(-(-total // SHARD_BYTES) or 1, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    ordered = chosen.repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, before = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
@@ -439,6 +443,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, *, doc_id: str = "d
                 yield flush()
         finally:
             release_later(tokenizer)
+            release_memory()
 
     ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.text(path)
 
