@@ -6,7 +6,7 @@ bits a symbol, and the language of the least wins.
 
 The greedy parse over an automaton is a transducer: where a state lacks a symbol's transition, the parse starts a phrase and
 takes the symbol from the root. Its table is dense, so many texts are parsed at once, one symbol of each at a step. Texts are
-parsed whole, in strips of STRIP symbols, each of which starts a phrase.
+parsed whole: strips of STRIP symbols side by side, then mended where the state that one ends in makes a difference to the next.
 
 Symbols: letters in lower case; all other characters are one separator, runs of it one symbol; letters that no training text
 has match nothing.
@@ -95,24 +95,51 @@ class Model:
         self.table = table.astype(np.int32) if base * self.width < 1 << 30 else table
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """(texts, languages): phrases of each text's parse by each language."""
+        """(texts, languages): phrases of each text's parse by each language.
+
+        Strips of a text are first parsed side by side, each as if a phrase started there. Then each strip but the first is parsed again from
+        where the one before it ended, until both parses meet, and the difference in phrases is added; a strip whose parses don't meet
+        passes the change on to the next one."""
         out = np.zeros((len(texts), len(self.languages)), np.int64)
         strips = [(len(t) - at if len(t) - at < STRIP else STRIP, i, at) for i, t in enumerate(texts) for at in range(0, len(t), STRIP)]
         strips.sort(key=lambda s: -s[0])
+        ends: dict[tuple[int, int], np.ndarray] = {}
+        roots = np.array(self.roots, self.table.dtype)
         for first in range(0, len(strips), LANES):
             lanes = strips[first : first + LANES]
-            grid = np.zeros((len(lanes), lanes[0][0]), self.table.dtype)
-            for row, (n, i, at) in enumerate(lanes):
-                grid[row, :n] = texts[i][at : at + n]
-            counts = self._parse(np.ascontiguousarray(grid.T), np.array([n for n, _, _ in lanes]))
+            counts, last = self._parse(self._grid(texts, lanes), np.array([n for n, _, _ in lanes]), np.repeat(roots[:, None], len(lanes), axis=1))
             np.add.at(out, [i for _, i, _ in lanes], counts.T)
+            ends.update(((i, at), last[:, lane].copy()) for lane, (_, i, at) in enumerate(lanes) if len(texts[i]) > STRIP)
+        starts = {key: roots for key in ends}
+        changed = [(n, i, at) for n, i, at in strips if at]
+        while changed:
+            later = []
+            for first in range(0, len(changed), LANES):
+                lanes = changed[first : first + LANES]
+                old = np.stack([starts[i, at] for _, i, at in lanes], axis=1)
+                new = np.stack([ends[i, at - STRIP] for _, i, at in lanes], axis=1)
+                starts.update(((i, at), new[:, lane].copy()) for lane, (_, i, at) in enumerate(lanes))
+                more, met, last = self._meet(self._grid(texts, lanes), np.array([n for n, _, _ in lanes]), old, new)
+                np.add.at(out, [i for _, i, _ in lanes], more.T)
+                for lane, (n, i, at) in enumerate(lanes):
+                    if not met[:, lane].all():
+                        ends[i, at] = np.where(met[:, lane], ends[i, at], last[:, lane])
+                        if (i, at + STRIP) in starts:
+                            later.append((min(STRIP, len(texts[i]) - at - STRIP), i, at + STRIP))
+            changed = sorted(later, key=lambda s: -s[0])
         return out
 
-    def _parse(self, grid: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """(languages, lanes) from symbols by step and lane; lanes by falling length."""
-        kind = self.table.dtype
-        count = np.zeros((len(self.roots), len(lengths)), kind)
-        state = np.repeat(np.array(self.roots, kind)[:, None], len(lengths), axis=1)
+    def _grid(self, texts: list[np.ndarray], lanes: list[tuple[int, int, int]]) -> np.ndarray:
+        """Symbols by step and lane, for lanes (length, text, place) by falling length."""
+        grid = np.zeros((len(lanes), lanes[0][0]), self.table.dtype)
+        for row, (n, i, at) in enumerate(lanes):
+            grid[row, :n] = texts[i][at : at + n]
+        return np.ascontiguousarray(grid.T)
+
+    def _parse(self, grid: np.ndarray, lengths: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases, last states), both by language and lane, from symbols by step and lane and the states at the start."""
+        count = np.zeros_like(state)
+        state = state.copy()
         live = np.searchsorted(-lengths, -np.arange(len(grid)), "left")
         value = np.empty_like(state)
         for step, n in enumerate(live.tolist()):
@@ -122,7 +149,29 @@ class Model:
             np.right_shift(v, 1, out=s)
             v &= 1
             count[:, :n] += v
-        return count
+        return count, state
+
+    def _meet(self, grid: np.ndarray, lengths: np.ndarray, old: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(phrases of the new parse over those of the old one, whether both meet, last states of the new one), by language and lane."""
+        more, met, last = np.zeros(old.shape, np.int64), old == new, new.copy()
+        row, lane = np.nonzero(~met)
+        a, b = old[row, lane].copy(), new[row, lane].copy()
+        for step in range(len(grid)):
+            ended = lengths[lane] == step
+            if ended.any():
+                last[row[ended], lane[ended]] = b[ended]
+                row, lane, a, b = row[~ended], lane[~ended], a[~ended], b[~ended]
+            if not len(row):
+                break
+            va, vb = self.table[a + grid[step, lane]], self.table[b + grid[step, lane]]
+            more[row, lane] += (vb & 1).astype(np.int64) - (va & 1)
+            a, b = va >> 1, vb >> 1
+            same = a == b
+            if same.any():
+                met[row[same], lane[same]] = True
+                row, lane, a, b = row[~same], lane[~same], a[~same], b[~same]
+        last[row, lane] = b
+        return more, met, last
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None]]:
         """Language, score and bits a symbol of each text."""
