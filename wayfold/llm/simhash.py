@@ -23,16 +23,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import combinations, repeat
+from itertools import combinations, islice, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, landed, read_table, utf8
+from .common import append_columns, landed, read_table, under_own_names, utf8
 from .components import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -44,21 +44,29 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b110001110101
 
 
-def fingerprint(text: bytes, words_in_shingle: int) -> int:
+def shingle_hashes(text: bytes, words_in_shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle of a text, repeats included; of a text of fewer words, that of the whole sequence."""
     words = WORD.findall(text.lower())
-    if not words:
-        return 0
     k = min(words_in_shingle, len(words))
-    n = len(words) - k + 1
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
-    counts = np.zeros(64, np.int64)
+    if not k:
+        return np.zeros(0, np.uint64)
+    shingles = map(b" ".join, zip(*(islice(words, i, None) for i in range(k)), strict=False))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(words) - k + 1)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The majority of each bit over the hashes, as a signed number; 0 without any."""
+    n, counts = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 65536):
         part = hashes[at : at + 65536]
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: bytes, words_in_shingle: int) -> int:
+    return fingerprint_of(shingle_hashes(text, words_in_shingle))
+
+
 def add_fingerprints(docs: DataFrame, *, text: str = "text", words: int = 5, keep: list[str] | None = None) -> DataFrame:
     """`docs` with fingerprint_bits (long) of shingles of `words` words."""
 
@@ -108,7 +116,7 @@ def golay_keys(prints: np.ndarray) -> np.ndarray:
 
 
 def _keyed(prints: DataFrame) -> DataFrame:
-    """(key, fp), once each."""
+    """(key, fp), once each. A fingerprint has about 50 keys, so fingerprints are dealt to tasks before they grow."""
 
     def run(batches):
         for batch in batches:
@@ -119,7 +127,8 @@ def _keyed(prints: DataFrame) -> DataFrame:
                 first[:, 1:] = keys[:, 1:] != keys[:, :-1]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(np.repeat(values, first.sum(1)))], names=["key", "fp"])
 
-    return prints.select("fp").mapInArrow(run, "key long, fp long")
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return prints.select("fp").repartition(tasks, "fp").mapInArrow(run, "key long, fp long")
 
 
 def _near(a: str, b: str):
@@ -132,6 +141,7 @@ def linked_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame])
     Nodes of a key are first linked to the smallest of them; only keys that still join different components are then searched pair by
     pair, across components.
     """
+    members = members.repartition("key")
     shared = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top").select("key", "hub")
     members = landed(members.join(shared, "key"), "keys")
     first = connected_components(verify(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()))
@@ -153,31 +163,33 @@ def group_fingerprints(prints: DataFrame) -> DataFrame:
     return linked_groups(keyed, lambda pairs: pairs.filter(_near("a", "b"))).withColumnRenamed("node", "fp")
 
 
+def components(by_print: DataFrame) -> DataFrame:
+    """(fp, root) of all fingerprints of `by_print` (fp, least): root is the smallest `least` of the fingerprints that links reach."""
+    linked = group_fingerprints(by_print.select("fp"))
+    named = landed(by_print.join(linked, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("group")), "groups")
+    return named.join(named.groupBy("group").agg(F.min("least").alias("root")), "group").select("fp", "root")
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
     """(doc_id, fingerprint_bits, component_id) for each row of `docs`; component_id is the smallest doc_id of the group."""
     prints = landed(add_fingerprints(docs, text=text, words=words, keep=[doc_id]), "fingerprints")
-    by_print = prints.groupBy(F.col("fingerprint_bits").alias("fp")).agg(F.min(doc_id).alias("least"))
-    linked = group_fingerprints(by_print.select("fp"))
-    named = by_print.join(linked, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = landed(named, "groups")
-    groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(groups, "root").select(F.col("fp").alias("fingerprint_bits"), "component_id")
+    by_print = landed(prints.groupBy(F.col("fingerprint_bits").alias("fp")).agg(F.min(doc_id).alias("least")), "prints")
+    classes = components(by_print).select(F.col("fp").alias("fingerprint_bits"), F.col("root").alias("component_id"))
     return prints.join(classes, "fingerprint_bits", "left").select(doc_id, "fingerprint_bits", "component_id")
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
-    """One document of each group, that with the smallest doc_id, in the columns of `docs`.
+    """One document of each group, in the columns of `docs`: that with the smallest doc_id, one with an id before those without; of
+    equal ids and of equal rows any one."""
 
-    Of rows of a group with one doc_id, that with the smallest hash of doc_id and text stays, and of equal rows one. A row
-    without a doc_id stays only if no row of its group has one.
-    """
-    columns = docs.columns
-    named = docs.withColumn("_row", F.xxhash64(doc_id, text))
-    key = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("d"), F.col("_row").alias("row"))
-    groups = near_duplicates(named.select(key.alias("key"), F.col(text).alias("text")), doc_id="key", text="text", words=words)
-    winners = groups.filter("key = component_id").select(F.col("key.row").alias("_row")).distinct()
-    first = Window.partitionBy("_row").orderBy(*(F.col(f"`{c}`") for c in columns))
-    return named.join(winners, "_row", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*columns)
+    def step(d: DataFrame, c: dict[str, str]) -> DataFrame:
+        numbered = landed(d.withColumn("_uid", F.monotonically_increasing_id()), "numbered")
+        key = F.struct(F.col(c[doc_id]).isNull().alias("n"), F.col(c[doc_id]).alias("d"), "_uid")
+        groups = near_duplicates(numbered.select(key.alias("key"), F.col(c[text]).alias("text")), doc_id="key", text="text", words=words)
+        winners = landed(groups.filter("key = component_id").select(F.col("key._uid").alias("_uid")), "winners")
+        return numbered.join(winners.hint("shuffle_hash"), "_uid", "left_semi")
+
+    return under_own_names(docs, step)
 
 
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

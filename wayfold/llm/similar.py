@@ -5,10 +5,11 @@ decoding reaches. This stage finds them in two passes, neither of which compares
 
 1. BANDS keys of ROWS minima each, within classes of set size. A pair at 0.8 shares one of 8 x 3 with a chance of 0.997 only, so this pass
    but shrinks the groups: the texts of a key are compared with two of them, the smallest and the largest by hash.
-2. The prefix filter, over all texts, which loses no pair: in any order that is the same for all sets, two sets of the similarity share one
-   of the first n - similarity x n + 1 of their n shingles. The order here is by how often a bounded sample of texts has a shingle; it
-   decides how many rows there are, not what is found. Texts whose first shingles lead, within their classes of size, to another component
-   are then ordered exactly, by how many of these texts have a shingle; those rarest shingles are keys in turn: first hubs, then what is left.
+2. The prefix filter, over all texts, which loses no pair. In any order that is the same for all sets, two sets of the similarity share k of
+   the first n - similarity x n + k of their n shingles, for any k; with k = SHARED x n, a passage that two texts have in common seldom
+   suffices. The order here is by how often a bounded sample of texts has a shingle; it decides how many texts are suspect, not what is found.
+   Suspects whose first shingles lead to another component are then ordered exactly, by how many of these texts have a shingle; those rarest
+   shingles are keys in turn: first hubs, then what is left.
 
 Defined results: words are split at white space after lower-casing A-Z; a text of fewer words than a shingle has one shingle, the whole
 sequence; texts without words link to none here.
@@ -28,12 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import append_columns, landed, utf8
+from .common import append_columns, join_ids, landed, scratch, under_own_names, utf8
 from .components import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 WORDS = 5
 SIMILARITY = 0.8
+#: Of a set's shingles, the share of its prefix that another set of the similarity has in its own, at least.
+SHARED = 0.1
 BANDS, ROWS = 8, 3
 #: Texts, and hashes of each, whose shingles are counted for the order of the prefix filter; shingles that are told apart in it.
 SAMPLE_TEXTS, SAMPLE_HASHES, COMMON = 10_000, 5_000, 100_000
@@ -63,7 +66,7 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def first_of(hashes: np.ndarray, common: np.ndarray, times: np.ndarray, similarity: float) -> np.ndarray:
-    """The first n - similarity x n + 1 of a set in the order of (times, hash), in that order; `common` is sorted and has the hashes with times."""
+    """The first n - similarity x n + k of a set in the order of (times, hash), in that order; `common` is sorted and has the hashes with times."""
     n = len(hashes)
     if not n:
         return hashes
@@ -71,7 +74,7 @@ def first_of(hashes: np.ndarray, common: np.ndarray, times: np.ndarray, similari
     if len(common):
         at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
         often = np.where(common[at] == hashes, times[at], 0)
-    return hashes[np.lexsort((hashes, often))][: n - math.ceil(n * similarity * (1 - 1e-9)) + 1]
+    return hashes[np.lexsort((hashes, often))][: n - math.ceil(n * similarity * (1 - 1e-9)) + math.ceil(n * SHARED)]
 
 
 def _ends(members: DataFrame) -> DataFrame:
@@ -143,50 +146,76 @@ def _by_class(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def _shared(rows: DataFrame, by: str) -> DataFrame:
-    """`rows` of the keys that have more than one `by`."""
+    """`rows` of the keys that have more than one `by`. Rows are dealt by key once, for the count and for the join."""
+    rows = rows.repartition("key")
     several = rows.groupBy("key").agg(F.min(by).alias("low"), F.max(by).alias("high")).filter("low <> high").select("key")
     return rows.join(several, "key", "left_semi")
 
 
-def groups(docs: DataFrame, *, text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, roots: DataFrame | None = None) -> DataFrame:
-    """(row, root) of the rows of `docs` (row, a long that names the row, and the text) that are near copies of others.
-
-    `roots` (node, root, each row once) are components that other links have made; its rows are joined on through links of any member."""
+def _keyed(docs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
+    """(node, keys, firsts, n) of each different `row` of `docs` whose text has a shingle: keys of minima, first shingles, size of the set."""
     kind = T.ArrayType(T.LongType())
     common, times = _common(docs, text, words)
     order = docs.sparkSession.sparkContext.broadcast((common, times))
 
-    def make_keys():
+    def make():
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
             bands, firsts, sizes = [], [], []
-            for at in range(0, batch.num_rows, 1000):
-                for x in utf8(batch.column(text).slice(at, 1000)):
-                    found = shingles(x, words)
-                    bands.append(band_keys(found))
-                    firsts.append(first_of(found, *order.value, similarity))
-                    sizes.append(len(found))
-            return [pa.array(bands, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
-
+            for x in utf8(batch.column(text)):
+                found = shingles(x, words)
+                bands.append(band_keys(found))
+                firsts.append(first_of(found, *order.value, similarity))
+                sizes.append(len(found))
+            return [pa.array(bands, kind_of), pa.array(firsts, kind_of), pa.array(sizes, pa.int64())]
+
+        kind_of = pa.list_(pa.int64())
         return compute
 
-    def make_sets():
-        return lambda batch: [pa.array([shingles(x, words) for x in utf8(batch.column(text))], pa.list_(pa.int64()))]
-
     fields = [T.StructField("keys", kind), T.StructField("firsts", kind), T.StructField("n", T.LongType())]
-    keyed = landed(append_columns(docs, [text], fields, make_keys, ["row"]).filter("n > 0"), "bands")
+    keyed = append_columns(docs, [text], fields, make, ["row"]).filter("n > 0")
+    return landed(keyed.groupBy(F.col("row").alias("node")).agg(*(F.first(c).alias(c) for c in ("keys", "firsts", "n"))), "keyed")
+
+
+def _marks(docs: DataFrame, text: str, words: int, similarity: float, roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, node, n, at, root) of the texts of `docs` (row, the text) that can have near copies: keys of minima by class of size, and
+    first shingles, those that other such texts have too. Equal texts, those with one `row`, have their keys once."""
+    with scratch(docs.sparkSession):
+        return _marks_of(_keyed(docs, text, words, similarity), similarity, roots)
+
+
+def _marks_of(keyed: DataFrame, similarity: float, roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    sizes = keyed.select("node", "n")
+
+    def enough(rows: DataFrame) -> DataFrame:
+        """`rows` of nodes that share as many keys as the smallest set that is similar needs."""
+        counted = rows.groupBy("node").agg(F.count(F.lit(1)).alias("shares")).join(sizes, "node")
+        needed = F.ceil(F.ceil(F.col("n") * F.lit(similarity * (1 - 1e-9))) * F.lit(SHARED * (1 - 1e-9)))
+        return landed(rows.join(counted.filter(F.col("shares") >= needed).select("node", "n"), "node"), "enough")
 
     def started(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("root", F.col("node"))
+        rows = rows.withColumns({"root": F.col("node"), "at": F.lit(1).cast("long")})
         return rows if roots is None else _moved(rows, roots)
 
-    banded = _by_class(keyed.select(F.explode("keys").alias("key"), F.col("row").alias("node"), "n"), similarity)
-    members = landed(started(_shared(banded, "node").distinct()).withColumn("at", F.lit(1).cast("long")), "members")
-    prefixed = keyed.select(F.explode("firsts").alias("key"), F.col("row").alias("node"), "n")
-    firsts = landed(started(_shared(prefixed, "node").distinct()), "firsts")
-    suspects = members.select(F.col("node").alias("row")).union(firsts.select(F.col("node").alias("row"))).distinct()
-    suspects = docs.join(suspects, "row", "left_semi")
-    sets = append_columns(suspects, [text], [T.StructField("shingles", kind)], make_sets, ["row"])
-    sets = landed(sets.groupBy("row").agg(F.first("shingles").alias("shingles")), "shingles")
+    firsts = enough(landed(_shared(keyed.select(F.explode("firsts").alias("key"), "node"), "node"), "shared"))
+    firsts = enough(landed(_shared(firsts.select("key", "node"), "node"), "shared"))
+    suspects = firsts.select("node").distinct()
+    banded = _by_class(keyed.join(suspects, "node", "left_semi").select(F.explode("keys").alias("key"), "node", "n"), similarity).distinct()
+    return landed(started(_shared(banded, "node")), "members", keep=True), landed(started(firsts), "firsts", keep=True)
+
+
+def _sets(docs: DataFrame, text: str, words: int) -> DataFrame:
+    """(row, shingles) of each different row of `docs`."""
+    kind = T.ArrayType(T.LongType())
+
+    def make():
+        return lambda batch: [pa.array([shingles(x, words) for x in utf8(batch.column(text))], pa.list_(pa.int64()))]
+
+    sets = append_columns(docs, [text], [T.StructField("shingles", kind)], make, ["row"])
+    return landed(sets.groupBy("row").agg(F.first("shingles").alias("shingles")), "shingles")
+
+
+def _linked(members: DataFrame, firsts: DataFrame, sets: DataFrame, similarity: float, roots: DataFrame | None) -> DataFrame:
+    """(row, root) of the texts whose components have others: by keys of minima, then by rarest shingles."""
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Components of the roots (ra, rb) of those pairs (a, b) that have the similarity."""
@@ -210,24 +239,54 @@ def groups(docs: DataFrame, *, text: str = "text", words: int = WORDS, similarit
     return found.join(grouped, "root", "left_semi").select(F.col("node").alias("row"), "root")
 
 
+def groups(docs: DataFrame, *, text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, roots: DataFrame | None = None) -> DataFrame:
+    """(row, root) of the rows of `docs` (row, a long that names the text, and the text) that are near copies of others.
+
+    `roots` (node, root, each row once) are components that other links have made; its rows are joined on through links of any member."""
+    members, firsts = _marks(docs, text, words, similarity, roots)
+    suspects = firsts.select(F.col("node").alias("row")).distinct()
+    return _linked(members, firsts, _sets(docs.join(suspects, "row", "left_semi"), text, words), similarity, roots)
+
+
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bits: bool = False) -> DataFrame:
     """One document of each group of near copies, in the columns of `docs`: that with the smallest doc_id, one with an id before those
-    without; of equal ids that with the smallest hash of doc_id and text. Equal rows are one document.
+    without; of equal ids and of equal rows any one. A null or wordless text is a copy of others of its kind if `bits` is set, else it stays.
 
     With `bits`, SimHash links count too: groups are the components of both kinds of links over all documents, so that a link through
-    a document that goes isn't lost. Equal texts, and all texts without words, are then copies."""
-    columns = docs.columns
-    named = docs.withColumn("_row", F.xxhash64(doc_id, text)).withColumn("_node", F.xxhash64(text) if bits else F.col("_row"))
-    texts = named.select(F.col("_node").alias("row"), F.col(text).alias("text"))
-    roots = None
-    if bits:
-        linked = simhash.near_duplicates(texts, doc_id="row", text="text", words=words)
-        roots = landed(linked.select(F.col("row").alias("node"), F.col("component_id").alias("root")).distinct(), "simhash-roots")
-    found = landed(groups(texts, words=words, similarity=similarity, roots=roots), "similar")
-    order = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("d"), F.col("_row").alias("row"))
-    ids = named.select(F.col("_node").alias("row"), order.alias("order"))
-    ranked = ids.join(found, "row", "left").select("order", F.coalesce("root", "row").alias("root"))
-    best = ranked.groupBy("root").agg(F.min("order").alias("best"))
-    losers = ranked.join(best, "root").filter("order <> best").select(F.col("order.row").alias("_row")).distinct()
-    first = Window.partitionBy("_row").orderBy(*(F.col(f"`{c}`") for c in columns))
-    return named.join(losers, "_row", "left_anti").withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*columns)
+    a document that goes isn't lost.
+
+    Texts that nothing points to are written apart first; what else is decided, is decided on the others' hashes and ids. Whole texts are
+    never sorted, and shuffled only where the ids of suspects or losers are too many to broadcast."""
+
+    def step(d: DataFrame, c: dict[str, str]) -> DataFrame:
+        key, body = F.col(c[doc_id]), c[text]
+        node = F.xxhash64(F.coalesce(F.col(body), F.lit(""))).alias("_node")
+        texts = d.select(node.alias("row"), F.col(body).alias("text"))
+        roots = None
+        if bits:
+            with scratch(d.sparkSession):
+                linked = simhash.near_duplicates(texts, doc_id="row", text="text", words=words)
+                roots = landed(linked.select(F.col("row").alias("node"), F.col("component_id").alias("root")).distinct(), "simhash-roots", keep=True)
+        members, firsts = _marks(texts, "text", words, similarity, roots)
+        suspects = firsts.select("node", F.lit(True).alias("_link")).distinct()
+        others = texts.groupBy(F.col("row").alias("node")).count().filter("count > 1").select("node")
+        if roots is not None:
+            several = roots.groupBy("root").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("root")
+            others = others.union(roots.join(several, "root", "left_semi").select("node"))
+        suspects = suspects.union(others.select("node", F.lit(False)).distinct()).groupBy(F.col("node").alias("_node")).agg(F.max("_link").alias("_link"))
+        dealt = join_ids(d.select("*", node, F.monotonically_increasing_id().alias("_uid")), landed(suspects, "suspects"), "_node", "left")
+        dealt = landed(dealt.withColumn("_suspect", F.col("_link").isNotNull()), "dealt", by="_suspect", keep=True)
+        doubtful = dealt.filter("_suspect")
+        with scratch(d.sparkSession):
+            sets = _sets(doubtful.filter("_link").select(F.col("_node").alias("row"), F.col(body).alias("text")), "text", words)
+            found = landed(_linked(members, firsts, sets, similarity, roots), "similar", keep=True)
+        order = F.struct(key.isNull().alias("n"), key.alias("d"), "_uid")
+        grouped = doubtful if bits else doubtful.filter(F.col(body).rlike(r"[^\x20\x09-\x0D]"))
+        ranked = grouped.select(F.col("_node").alias("row"), order.alias("order")).join(found, "row", "left")
+        ranked = landed(ranked.select("order", F.coalesce("root", "row").alias("root")), "ranked")
+        best = ranked.groupBy("root").agg(F.min("order").alias("best"))
+        losers = ranked.join(best, "root").filter("order <> best").select(F.col("order._uid").alias("_uid"))
+        return dealt.filter("NOT _suspect").unionByName(join_ids(doubtful, landed(losers, "losers", keep=True), "_uid", "left_anti"))
+
+    with scratch(docs.sparkSession):
+        return under_own_names(docs, step)
