@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,6 +68,15 @@ def landed(df: DataFrame, name: str, by: str | None = None, keep: bool = False)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """`df` with a column `name` that tells its rows apart and is the same whenever they are read: the place in its file of a row that
+    is read from Parquet; rows of another origin are written with a number."""
+    try:
+        return df.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name))
+    except AnalysisException:
+        return landed(df.withColumn(name, F.monotonically_increasing_id()), "numbered", keep=True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_ids, landed, read_table, scratch, under_own_names
+from .common import join_ids, landed, numbered, read_table, scratch, under_own_names
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -122,19 +122,19 @@ def plan_mix(
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of `docs` that the mix takes, once for each copy, range-sorted by position; the columns of `docs`. Rows are numbered and
-    written first; the plan is made of sizes and numbers alone, and texts are shuffled to be sorted by position only, or once more where the plan
+    """The rows of `docs` that the mix takes, once for each copy, range-sorted by position; the columns of `docs`. The plan is made of
+    sizes and of the rows' places in their files (or of numbers, with which rows of another origin are written first), and texts are shuffled to be sorted by position only, or once more where the plan
     is too large to broadcast."""
 
     def step(d: DataFrame, c: dict[str, str]) -> DataFrame:
-        numbered = landed(d.withColumn("_row", F.monotonically_increasing_id()), "numbered", keep=True)
-        plan = plan_mix(numbered, doc_id=c[doc_id], text=c[text], source=c[source], row="_row", **options)
-        plan = landed(plan.filter("taken > 0").select(F.col("row_key").alias("_row"), "positions"), "plan", keep=True)
-        taken = join_ids(numbered, plan, "_row", "inner").withColumn("_position", F.explode("positions"))
-        return taken.orderBy("_position", "_row")
+        row = c["_row_of_mix"]
+        plan = plan_mix(d, doc_id=c[doc_id], text=c[text], source=c[source], row=row, **options)
+        plan = landed(plan.filter("taken > 0").select(F.col("row_key").alias(row), "positions"), "plan", keep=True)
+        taken = join_ids(d, plan, row, "inner").withColumn("_position", F.explode("positions"))
+        return taken.orderBy("_position", row)
 
     with scratch(docs.sparkSession):
-        return under_own_names(docs, step)
+        return under_own_names(numbered(docs, "_row_of_mix"), step, without=("_row_of_mix",))
 
 
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
