@@ -1,4 +1,9 @@
-"""A training corpus from documents, in stages that are each written and read again."""
+"""A training corpus from documents, in stages that are each written and read again.
+
+All stages but the last return the columns they get, whatever their names; the last returns doc_id, start, n_tokens and ids_crc32. Null and empty texts have
+no language and go in the first stage; a null doc_id, lang or source is a value like any other. Equal rows and equal texts are copies, of which near_duplicates keeps one;
+ties go to the smallest doc_id, then to any one. An empty table gives an empty table in every stage.
+"""
 
 from __future__ import annotations
 

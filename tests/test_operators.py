@@ -87,6 +87,18 @@ def test_smoothing_needs_points(spark):
     assert len(listed(paths.smooth(four, spark.createDataFrame([(1, 1)], "path_id long, flags int"), 3))) == 3
 
 
+def test_smoothed_points_are_numbered_densely(spark):
+    rows = [(p, i, float(i * i % 7), float(p), float(i)) for p in range(8) for i in range(p)]
+    points = spark.createDataFrame(rows, "path_id long, seq int, x double, y double, z double")
+    flags = spark.createDataFrame([(p, p) for p in range(8)], "path_id long, flags int")
+    got = {}
+    for r in paths.smooth(points, flags).collect():
+        got.setdefault(r.path_id, []).append(r.seq)
+    assert all(sorted(v) == list(range(len(v))) for v in got.values())
+    # 0 points none; 1 and 2 too few; 3, 5 and 7 by Chaikin, 4 by Bezier, 6 by Catmull-Rom
+    assert {p: len(v) for p, v in got.items()} == {1: 1, 2: 2, 3: 6, 4: 8, 5: 10, 6: 13, 7: 14}
+
+
 def test_path_stats_and_legs(spark):
     r = paths.stats(polyline(spark, [(0.0, 0.0, 0.0), (3.0, 4.0, 0.0), (3.0, 4.0, 12.0)])).first()
     assert (r.points, r.length, r.min_x, r.max_z) == (3, 17.0, 0.0, 12.0)
