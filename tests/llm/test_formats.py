@@ -130,6 +130,26 @@ def test_re_pair_round_trip_and_random_access():
         assert a != tokens.END
 
 
+def test_re_pair_goes_on_to_the_end():
+    ids = np.full(100_000, 7, np.uint32)
+    symbols, counts, rules = tokens.pack(ids, np.array([len(ids)]), 50257)
+    assert len(symbols) + len(rules) < 60 and counts.tolist() == [len(symbols)] and (tokens.expand(symbols, rules, 50257) == ids).all()
+    ids = np.append(np.tile(np.arange(10, 74), 4000), tokens.END).astype(np.uint32)
+    symbols, _, rules = tokens.pack(ids, np.array([len(ids)]), 50257)
+    assert len(symbols) + len(rules) < 200 and (tokens.expand(symbols, rules, 50257) == ids).all()
+    r = np.random.default_rng(3)
+    for _ in range(30):
+        docs = [np.append(r.choice([5, 5, 5, 6, 7, 8], r.integers(0, 60)), tokens.END) for _ in range(20)]
+        ids = np.concatenate(docs).astype(np.uint32)
+        symbols, counts, rules = tokens.pack(ids, np.array([len(d) for d in docs]), 50257, least=2)
+        at = 0
+        for d, n in zip(docs, counts.tolist(), strict=True):
+            assert (tokens.expand(symbols[at : at + n], rules, 50257) == d).all()
+            at += n
+        left = [(a, b) for a, b in zip(symbols.tolist(), symbols[1:].tolist(), strict=False) if tokens.END not in (a, b) and a != b]
+        assert len(left) == len(set(left))
+
+
 @pytest.mark.parametrize("block", [tokens.BLOCK, 100])
 def test_shards_round_trip(spark, library, monkeypatch, block):
     monkeypatch.setattr(tokens, "BLOCK", block)

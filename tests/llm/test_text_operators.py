@@ -188,6 +188,18 @@ def test_cross_parsing_matches_brute_force(monkeypatch):
     assert (model.phrases(symbols) >= got).all()
 
 
+def test_strips_give_the_phrases_of_the_plain_parse(monkeypatch):
+    r = random.Random(3)
+    text = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    model = langid.Model({"a": [text(3000, "abcde ")], "b": [text(3000, "aabbcf ")], "c": ["abc" * 150]})
+    symbols = [langid.symbols_of(t, model.codes) for t in [*(text(n, "abcdef ") for n in (0, 1, 5, 100, 3000)), "abc" * 1000, "a" * 2000]]
+    monkeypatch.setattr(langid, "STRIP", 10**9)
+    want = model.phrases(symbols)
+    for strip in (16, 100, 999):
+        monkeypatch.setattr(langid, "STRIP", strip)
+        assert (model.phrases(symbols) == want).all()
+
+
 LANGS = {"en": "the quick brown fox jumps over the lazy dog and then it sleeps in the warm sun", "de": "der schnelle braune fuchs springt über den faulen hund und schläft dann in der sonne"}
 
 
