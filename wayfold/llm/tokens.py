@@ -61,6 +61,8 @@ PIECE = re.compile(
 )
 #: Put before the first unit of a text, which has no space before it.
 FIRST = "\x00"
+#: The space in the names of byte-level BPE's ids.
+SPACE = "Ġ"
 #: Marks that no plain text has: before each unit, and between pieces.
 MARK, SEPARATOR = "\x01", "\x02"
 MARKED_PIECE = re.compile(MARK + "|" + PIECE.pattern.replace(rf"[^{SPACES}{LETTERS}{NUMBERS}]", rf"[^{MARK}{SPACES}{LETTERS}{NUMBERS}]").replace(rf"(?![^{SPACES}])", rf"(?![^{MARK}{SPACES}])"))
@@ -70,6 +72,8 @@ PIECES = 250_000
 LONG = 1 << 20
 #: Texts that are encoded together.
 SOME = 2048
+#: Pieces that the library is given as one text.
+TOGETHER = 512
 
 
 def _as_list(values: pa.Array) -> pa.ListArray:
@@ -135,13 +139,33 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.spaced = np.zeros(self.vocabulary, bool)
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token[:1] == SPACE]] = True
         self.pieces = Memory(PIECES)
 
     def _library(self, pieces: list[str]) -> list[bytes]:
         return [array("I", code.ids).tobytes() for code in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of a plain text's pieces. Pieces of a space and what isn't one are given to the library as one text, which cuts it into
+        these pieces again; each has one id that begins with a space, its first."""
+        out, spaced, others = [b""] * len(pieces), [], []
+        for i, piece in enumerate(pieces):
+            (spaced if piece[0] == " " and piece[1:2].strip() else others).append(i)
+        groups = [spaced[at : at + TOGETHER] for at in range(0, len(spaced), TOGETHER)]
+        for group, raw in zip(groups, self._library(["".join(map(pieces.__getitem__, g)) for g in groups]), strict=True):
+            first = np.flatnonzero(self.spaced[np.frombuffer(raw, "<u4")]) * 4
+            if len(first) == len(group):
+                for i, a, b in zip(group, first.tolist(), [*first[1:].tolist(), len(raw)], strict=True):
+                    out[i] = raw[a:b]
+            else:
+                others += group
+        for i, code in zip(others, self._library([pieces[i] for i in others]), strict=True):
+            out[i] = code
+        return out
+
     def _joined(self, lists: list[list[str]]) -> list[bytes]:
-        known = self.pieces.of(set().union(*lists), self._library)
+        known = self.pieces.of(set().union(*lists), self._of_pieces)
         return [b"".join(map(known.__getitem__, parts)) for parts in lists]
 
     def _by_unit(self, texts: list[str]) -> list[bytes]:
@@ -153,7 +177,7 @@ class Encoder:
         marked = (MARK + " " + pc.binary_join(_as_list(units.dictionary), MARK + " ")[0].as_py()).replace(MARK + " " + FIRST, MARK)
         pieces = pc.split_pattern(pa.scalar(SEPARATOR.join(MARKED_PIECE.findall(marked))), SEPARATOR).values.dictionary_encode()
         names, at = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
-        known = self.pieces.of({n for n in names if n != MARK}, self._library)
+        known = self.pieces.of({n for n in names if n != MARK}, self._of_pieces)
         codes = [b"" if n == MARK else known[n] for n in names]
         ids, ends = _placed(codes, at)
         heads = np.flatnonzero(at == names.index(MARK)) if names else at
@@ -221,10 +245,11 @@ def pack(ids: np.ndarray, lengths: np.ndarray, vocabulary: int, end: int = END,
     seq, ends, rules, top = ids.astype(np.uint32), np.cumsum(lengths), [], vocabulary
     inner = seq != end
     at = np.flatnonzero(inner[:-1] & inner[1:]).astype(np.uint32)
+    left, right = seq[at], seq[at + np.uint32(1)]
     while len(at) >= least and top < 1 << SYMBOL_BITS:
-        packed = seq[at].astype(np.uint64)
+        packed = left.astype(np.uint64)
         packed <<= np.uint64(SYMBOL_BITS)
-        packed |= seq[at + np.uint32(1)]
+        packed |= right
         packed <<= np.uint64(PLACE_BITS)
         packed |= at
         packed.sort()
@@ -262,12 +287,14 @@ def pack(ids: np.ndarray, lengths: np.ndarray, vocabulary: int, end: int = END,
         before = hit.astype(np.int64) - 1
         before[~stay[before]] -= 1
         again[before] = True
-        moved = np.cumsum(stay, dtype=np.int32)
-        ends = np.where(ends > 0, moved[ends - 1], 0)
-        seq, again = seq[stay], again[:-1][stay]
+        stay = np.flatnonzero(stay)
+        ends = np.searchsorted(stay, ends)
+        seq, again = seq.take(stay), again.take(stay)
         again[-1] = False
         at = np.flatnonzero(again).astype(np.uint32)
-        at = at[(seq[at] != end) & (seq[at + np.uint32(1)] != end)]
+        left, right = seq.take(at), seq.take(at + np.uint32(1))
+        inner = (left != end) & (right != end)
+        at, left, right = at[inner], left[inner], right[inner]
         rules.append(np.stack([a[chosen], b[chosen]], axis=1))
         top += int(chosen.sum())
     all_rules = np.concatenate(rules) if rules else np.zeros((0, 2))
