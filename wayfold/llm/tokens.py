@@ -68,10 +68,10 @@ MARK, SEPARATOR = "\x01", "\x02"
 MARKED_PIECE = re.compile(MARK + "|" + PIECE.pattern.replace(rf"[^{SPACES}{LETTERS}{NUMBERS}]", rf"[^{MARK}{SPACES}{LETTERS}{NUMBERS}]").replace(rf"(?![^{SPACES}])", rf"(?![^{MARK}{SPACES}])"))
 GAP = re.compile(rf"[{SPACES}][{SPACES}]")
 #: Entries of each half of a worker's memory, about 200 bytes each.
-PIECES = 250_000
+PIECES = 400_000
 LONG = 1 << 20
 #: Texts that are encoded together.
-SOME = 2048
+SOME = 4096
 #: Pieces that the library is given as one text.
 TOGETHER = 512
 
@@ -177,10 +177,10 @@ class Encoder:
         marked = (MARK + " " + pc.binary_join(_as_list(units.dictionary), MARK + " ")[0].as_py()).replace(MARK + " " + FIRST, MARK)
         pieces = pc.split_pattern(pa.scalar(SEPARATOR.join(MARKED_PIECE.findall(marked))), SEPARATOR).values.dictionary_encode()
         names, at = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
-        known = self.pieces.of({n for n in names if n != MARK}, self._of_pieces)
-        codes = [b"" if n == MARK else known[n] for n in names]
-        ids, ends = _placed(codes, at)
-        heads = np.flatnonzero(at == names.index(MARK)) if names else at
+        # the first of all is a mark
+        known = self.pieces.of(set(names[1:]), self._of_pieces)
+        ids, ends = _placed([b"", *map(known.__getitem__, names[1:])], at)
+        heads = np.flatnonzero(at == 0)
         of_unit = np.concatenate(([0], ends))[np.append(heads, len(at))]
         ids, ends = _gathered(ids, of_unit[:-1], np.diff(of_unit), units.indices.to_numpy())
         bounds = np.concatenate(([0], ends))[split.offsets.to_numpy()]
@@ -495,7 +495,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 crc = n = 0
                 start = None
                 for block in blocks(raw.as_buffer()):
-                    ids, rows, at = block.ids().tobytes(), [], 0
+                    ids, rows, at = memoryview(block.ids()).cast("B"), [], 0
                     for key, flag, length in zip(block.doc_ids.tolist(), block.flags.tolist(), block.lengths.tolist(), strict=True):
                         start = block.before + at // 4 if start is None else start
                         crc, n, at = zlib.crc32(ids[at : at + 4 * length], crc), n + length, at + 4 * length
