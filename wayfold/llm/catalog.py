@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import curriculum, decontaminate, langid, matroska, quality, simhash, sitetree, tokens, toxicity, warc
+from . import curriculum, decontaminate, hard_negatives, langid, matroska, prefix_trie, quality, simhash, sitetree, token_counts, tokens, toxicity, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,5 +18,8 @@ QUERIES = {
     "op9_toxicity_zstd": toxicity.op9_toxicity_zstd,
     "op10_repair_tokens": tokens.op10_repair_tokens,
     "op8_curriculum_mix": curriculum.op8_curriculum_mix,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_token_counts": token_counts.op13_token_counts,
 }
-ORACLES = {"op1_arc_to_warc": warc.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL}
+ORACLES = {"op1_arc_to_warc": warc.OP1_SQL, "op2_decontaminate": decontaminate.OP2_SQL, "op11_hard_negatives": hard_negatives.OP11_SQL, "op12_prefix_trie": prefix_trie.OP12_SQL}

@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -40,18 +41,24 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/wayfold/{name}-{uuid.uuid4().hex}"
 
 
-#: Paths of the tables that each open scratch() has, the innermost last.
-_SCRATCH: list[list[str]] = []
+class _Scopes(threading.local):
+    """Paths of the tables that each open scratch() of this thread has, the innermost last."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_SCRATCH = _Scopes()
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are landed inside are deleted at the end, but for those that are kept."""
-    _SCRATCH.append([])
+    _SCRATCH.open.append([])
     try:
         yield
     finally:
-        for name in _SCRATCH.pop():
+        for name in _SCRATCH.open.pop():
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -61,20 +68,30 @@ def landed(df: DataFrame, name: str, by: str | None = None, keep: bool = False)
     with `keep` the table outlives the scratch() around it."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    scopes = _SCRATCH[:-1] if keep else _SCRATCH
+    scopes = _SCRATCH.open[:-1] if keep else _SCRATCH.open
     if scopes:
         scopes[-1].append(path)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _rows_of_one_scan(df: DataFrame) -> bool:
+    """Whether each row of `df` is another row of one folder or file: columns are chosen and rows filtered, nothing else."""
+    plan = df._jdf.queryExecution().analyzed()
+    while (kind := plan.getClass().getSimpleName()) in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    return kind == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation" and plan.relation().location().rootPaths().size() == 1
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """`df` with a column `name` that tells its rows apart and is the same whenever they are read: the place in its file of a row that
-    is read from Parquet; rows of another origin are written with a number."""
-    try:
-        return df.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name))
-    except AnalysisException:
-        return landed(df.withColumn(name, F.monotonically_increasing_id()), "numbered", keep=True)
+    """`df` with a column `name` that tells its rows apart and is the same whenever they are read: of a plain scan, the place of a
+    row in its file; rows of any other origin (exploded, joined, put together, not from a file) are written with a number."""
+    if _rows_of_one_scan(df):
+        try:
+            return df.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name))
+        except AnalysisException:  # a format without row numbers
+            pass
+    return landed(df.withColumn(name, F.monotonically_increasing_id()), "numbered", keep=True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
