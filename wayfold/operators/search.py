@@ -93,11 +93,13 @@ def _apart(p: str, q: str) -> Column:
     return F.sqrt(sum(((F.col(f"{p}{v}") - F.col(f"{q}{v}")) * (F.col(f"{p}{v}") - F.col(f"{q}{v}")) for v in "xyz"), F.lit(0.0)))
 
 
-def routes(requests: DataFrame, doors: DataFrame, costs: DataFrame) -> DataFrame:
+def routes(requests: DataFrame, doors: DataFrame, costs: DataFrame, partial: bool = False) -> DataFrame:
     """(request_id, cost, doors): the cheapest way of each request, doors as an array of (portal, to_ref, ends) in order; the array is empty within one
     polygon; a request without a way isn't returned.
 
-    `requests` has (request_id, start_ref, sx, sy, sz, goal_ref, gx, gy, gz), `costs` (ref, cost) of the polygons that may be entered.
+    `requests` has (request_id, start_ref, sx, sy, sz, goal_ref, gx, gy, gz), `costs` (ref, cost) of the polygons that may be entered. With `partial` a request
+    whose goal can't be reached has the way to that polygon, of all that were reached, whose entrance is nearest to the goal, or none if no entrance is nearer
+    than its start; a polygon is entered by the cheapest portal. Columns end_ref, that polygon, and partial say so, and cost is that of the way to its entrance.
     """
     enter = doors.join(costs.select(F.col("ref").alias("to_ref")), "to_ref", "left_semi")
     on = enter.select(F.col("portal").alias("to_node"), F.col("from_ref").alias("ref"), *(F.col(f"m{v}").alias(f"n{v}") for v in "xyz"))
@@ -107,14 +109,39 @@ def routes(requests: DataFrame, doors: DataFrame, costs: DataFrame) -> DataFrame
     starts = sources.select("source", F.col("start_ref").alias("from_ref"), "sx", "sy", "sz").distinct().join(enter, "from_ref").join(costs.withColumnRenamed("ref", "from_ref"), "from_ref")
     best = relax(starts.select("source", F.col("portal").alias("node"), (_apart("s", "m") * F.col("cost")).alias("cost")), arcs)
     last = enter.select(F.col("portal").alias("node"), F.col("to_ref").alias("goal_ref"), *(f"m{v}" for v in "xyz")).join(costs.withColumnsRenamed({"ref": "goal_ref", "cost": "goal_cost"}), "goal_ref")
-    ways = sources.filter("start_ref <> goal_ref").join(last, "goal_ref").join(best.select("source", "node", F.col("cost").alias("so_far")), ["source", "node"])
+    so_far = best.select("source", "node", F.col("cost").alias("so_far"))
+    ways = sources.filter("start_ref <> goal_ref").join(last, "goal_ref").join(so_far, ["source", "node"])
     chosen = ways.groupBy("request_id", "source").agg(F.min(F.struct((F.col("so_far") + _apart("m", "g") * F.col("goal_cost")).alias("cost"), "node")).alias("w"))
     chosen = cut(chosen.select("request_id", "source", "w.cost", F.col("w.node").alias("goal")))
-    steps = trace(best, chosen)
+    extra = []
+    if partial:
+        extra = ["end_ref", "partial"]
+        chosen = chosen.join(requests.select("request_id", F.col("goal_ref").alias("end_ref")), "request_id").withColumn("partial", F.lit(False))
+        stuck = sources.filter("start_ref <> goal_ref").join(chosen.select("request_id"), "request_id", "left_anti").join(costs.select(F.col("ref").alias("start_ref")), "start_ref", "left_semi")
+        # what the search settled on the way, each polygon where it's entered most cheaply, and how far from the goal that is
+        settled = so_far.join(enter.select(F.col("portal").alias("node"), F.col("to_ref").alias("end_ref"), *(f"m{v}" for v in "xyz")), "node")
+        settled = settled.groupBy("source", "end_ref").agg(F.min(F.struct("so_far", "mx", "my", "mz", "node")).alias("e")).select("source", "end_ref", "e.*")
+        seen = stuck.join(settled, "source").filter("end_ref <> start_ref").select("request_id", "source", F.struct(_apart("m", "g").alias("left"), F.col("so_far").alias("cost"), "end_ref", "node").alias("w"))
+        stay = stuck.select("request_id", "source", F.struct(_apart("s", "g").alias("left"), F.lit(0.0).alias("cost"), F.col("start_ref").alias("end_ref"), F.lit(None).cast("long").alias("node")).alias("w"))
+        nearest_seen = seen.unionByName(stay).groupBy("request_id", "source").agg(F.min("w").alias("w"))
+        nearest_seen = nearest_seen.select("request_id", "source", "w.cost", F.col("w.node").alias("goal"), "w.end_ref", F.lit(True).alias("partial"))
+        chosen = cut(chosen.unionByName(nearest_seen))
+    steps = trace(best, chosen.filter("goal IS NOT NULL"))
     door = F.struct((-F.col("step")).alias("order"), "portal", "to_ref", *(f"{p}{v}" for p in "ab" for v in "xyz"))
     lists = steps.join(enter.withColumn("node", F.col("portal")), "node").groupBy("source", "goal").agg(F.array_sort(F.collect_list(door)).alias("doors"))  # a way's doors
-    within = sources.filter("start_ref = goal_ref").join(costs.withColumnRenamed("ref", "start_ref"), "start_ref").select("request_id", (_apart("s", "g") * F.col("cost")).alias("cost"), F.array().cast(dict(lists.dtypes)["doors"]).alias("doors"))
-    return chosen.join(lists, ["source", "goal"]).select("request_id", "cost", "doors").unionByName(within)
+    none = F.array().cast(dict(lists.dtypes)["doors"])
+    within = sources.filter("start_ref = goal_ref").join(costs.withColumnRenamed("ref", "start_ref"), "start_ref").select("request_id", (_apart("s", "g") * F.col("cost")).alias("cost"), none.alias("doors"), *([F.col("goal_ref").alias("end_ref"), F.lit(False).alias("partial")] if partial else []))
+    found = chosen.join(lists, ["source", "goal"], "left" if partial else "inner").withColumn("doors", F.coalesce("doors", none))
+    return found.select("request_id", "cost", "doors", *extra).unionByName(within)
+
+
+def with_ends(requests: DataFrame, found: DataFrame, edges: DataFrame) -> DataFrame:
+    """`requests` of the routes() that were `found` with `partial`, each goal that isn't reached moved to the point of the route's last polygon that is nearest to it."""
+    ends = requests.join(found.select("request_id", "end_ref", "partial"), "request_id")
+    pairs = ends.filter("partial").select("request_id", *(F.col(f"g{v}").alias(f"p{v}") for v in "xyz"), F.col("end_ref").alias("ref"))
+    moved = closest_points(pairs, edges).select("request_id", *(F.col(v).alias(f"e{v}") for v in "xyz"))
+    ends = ends.join(moved, "request_id", "left")
+    return ends.select(*(c for c in requests.columns if c not in ("gx", "gy", "gz")), *(F.coalesce(f"e{v}", f"g{v}").alias(f"g{v}") for v in "xyz"), "end_ref", "partial")
 
 
 def pull(start: tuple, goal: tuple, doors: list[tuple]) -> list[tuple]:

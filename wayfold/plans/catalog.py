@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fields, meshes, requests
+from . import decks, fields, meshes, requests
 
-QUERIES = {**fields.QUERIES, **meshes.QUERIES, **requests.QUERIES}
-ORACLES = {**fields.ORACLES, **meshes.ORACLES, **requests.ORACLES}
+QUERIES = {**fields.QUERIES, **meshes.QUERIES, **requests.QUERIES, **decks.QUERIES}
+ORACLES = {**fields.ORACLES, **meshes.ORACLES, **requests.ORACLES, **decks.ORACLES}

@@ -146,17 +146,8 @@ def wall_edges(spark, d):
     return M.wall_edges(edges, M.internal_links(edges)).select("ref", "edge")
 
 
-BORDER_SQL = """bp AS (SELECT s_suppkey AS k, CAST(s_suppkey % 4 AS BIGINT) AS tx, CAST(s_suppkey // 4 % 3 AS BIGINT) AS ty, (s_suppkey * 37 % 100) / 10.0::DOUBLE AS lo, (s_suppkey * 37 % 100) / 10.0::DOUBLE + 1 + s_suppkey % 3 AS hi, s_acctbal / 2000 AS h FROM supplier),
-e AS (SELECT k * 2 AS ref, tx, ty, 2 AS side, tx * 10.0 + 10 AS line, lo, hi, h FROM bp UNION ALL SELECT k * 2 + 1, tx + 1, ty, 0, tx * 10.0 + 10.004, lo + 0.5, hi + 0.5, h + 0.3 FROM bp)"""
-
-
-@query(
-    "ext_links",
-    f"""WITH {BORDER_SQL}, j AS (SELECT a.ref AS from_ref, b.ref AS to_ref, a.lo AS alo, a.hi AS ahi, greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi FROM e a JOIN e b ON b.ty = a.ty AND b.tx = a.tx + CASE a.side WHEN 2 THEN 1 ELSE -1 END AND b.side = (a.side + 2) % 4
-      WHERE abs(a.line - b.line) <= 0.01 AND greatest(a.lo, b.lo) + 0.01 <= least(a.hi, b.hi) - 0.01 AND abs(a.h - b.h) <= 2.4)
-    SELECT from_ref, to_ref, CAST(0 AS INT) AS edge, CAST(floor((lo - alo) / (ahi - alo) * 255 + 0.5) AS INT) AS bmin, CAST(floor((hi - alo) / (ahi - alo) * 255 + 0.5) AS INT) AS bmax FROM j""",
-)
-def ext_links(spark, d):
+def border_edges(spark, d):
+    """Suppliers as two edges each on either side of a tile's border."""
     k = F.col("s_suppkey")
     base = W.table(spark, d, "supplier").select(k, (k % 4).alias("tx"), (F.floor(k / 4) % 3).alias("ty"), (k * 37 % 100 / 10.0).alias("lo"), (k * 37 % 100 / 10.0 + 1 + k % 3).alias("hi"), (F.col("s_acctbal") / 2000).alias("h"))
 
@@ -164,8 +155,21 @@ def ext_links(spark, d):
         h = F.col("h") + rise
         return base.select(ref.alias("ref"), F.lit(0).alias("edge"), tile_x.alias("tile_x"), F.col("ty").alias("tile_y"), F.lit(nei).alias("nei"), line.alias("ax"), h.alias("ay"), (F.col("lo") + shift).alias("az"), line.alias("bx"), h.alias("by"), (F.col("hi") + shift).alias("bz"))
 
-    edges = side(k * 2, F.col("tx"), -4, F.col("tx") * 10.0 + 10, 0.0, 0.0).unionByName(side(k * 2 + 1, F.col("tx") + 1, -2, F.col("tx") * 10.0 + 10.004, 0.5, 0.3))
-    return M.border_links(edges, 1.2)
+    return side(k * 2, F.col("tx"), -4, F.col("tx") * 10.0 + 10, 0.0, 0.0).unionByName(side(k * 2 + 1, F.col("tx") + 1, -2, F.col("tx") * 10.0 + 10.004, 0.5, 0.3))
+
+
+BORDER_SQL = """bp AS (SELECT s_suppkey AS k, CAST(s_suppkey % 4 AS BIGINT) AS tx, CAST(s_suppkey // 4 % 3 AS BIGINT) AS ty, (s_suppkey * 37 % 100) / 10.0::DOUBLE AS lo, (s_suppkey * 37 % 100) / 10.0::DOUBLE + 1 + s_suppkey % 3 AS hi, s_acctbal / 2000 AS h FROM supplier),
+e AS (SELECT k * 2 AS ref, tx, ty, 2 AS side, tx * 10.0 + 10 AS line, lo, hi, h FROM bp UNION ALL SELECT k * 2 + 1, tx + 1, ty, 0, tx * 10.0 + 10.004, lo + 0.5, hi + 0.5, h + 0.3 FROM bp)"""
+
+
+BORDER_LINKS_SQL = """j AS (SELECT a.ref AS from_ref, b.ref AS to_ref, a.lo AS alo, a.hi AS ahi, greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi FROM e a JOIN e b ON b.ty = a.ty AND b.tx = a.tx + CASE a.side WHEN 2 THEN 1 ELSE -1 END AND b.side = (a.side + 2) % 4
+      WHERE abs(a.line - b.line) <= 0.01 AND greatest(a.lo, b.lo) + 0.01 <= least(a.hi, b.hi) - 0.01 AND abs(a.h - b.h) <= 2.4),
+bl AS (SELECT from_ref, to_ref, CAST(0 AS INT) AS edge, CAST(floor((lo - alo) / (ahi - alo) * 255 + 0.5) AS INT) AS bmin, CAST(floor((hi - alo) / (ahi - alo) * 255 + 0.5) AS INT) AS bmax FROM j)"""
+
+
+@query("ext_links", f"WITH {BORDER_SQL}, {BORDER_LINKS_SQL} SELECT * FROM bl")
+def ext_links(spark, d):
+    return M.border_links(border_edges(spark, d), 1.2)
 
 
 @query("border_snap", "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_partkey % 81 < 2 THEN 0 WHEN l_partkey % 81 > 78 THEN 80 ELSE l_partkey % 81 END AS BIGINT) AS x FROM lineitem")

@@ -130,3 +130,89 @@ def walkers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WALKERS_SQL = "w AS (SELECT event_id AS request_id, value / 100 + 0.00037 AS x, (event_id % 100) / 25.0::DOUBLE AS y, user_id % 150 / 30::DOUBLE + 0.01234 AS z FROM events)"
+
+
+# --- decks: parts as the cells of two floors, with bent walls, tiles of eight columns, and links over the tiles' borders that cover part of an edge
+
+DECK_COLUMNS = 40
+DECK_COSTS = (1.0, 1.6, 4.0)
+
+
+def decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ref, c, r, floor, cost) of the cells that are open; the others are holes."""
+    key = F.col("p_partkey")
+    cell = F.floor(key / 2)
+    cost = F.element_at(F.array(*map(F.lit, DECK_COSTS)), (F.col("p_size") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "part").filter("p_size % 9 <> 0").select(key.alias("ref"), (cell % DECK_COLUMNS).alias("c"), F.floor(cell / DECK_COLUMNS).alias("r"), (key % 2).alias("floor"), cost.alias("cost"))
+
+
+def _corner(c, r, floor):
+    x = c * 10.0 + ((c * 7 + r * 13) % 5 - 2) * 0.5
+    z = r * 10.0 + ((c * 11 + r * 3) % 5 - 2) * 0.5
+    return x, (c * 5 + r * 3) % 4 * 0.4 + floor * 8.0, z
+
+
+def deck_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the cells; nei is -1, or -2 - side on a tile's border (side 0 is x-, 2 is x+)."""
+    cells = decks(spark, sf_dir)
+    around = ((0, 0, 0, 1), (0, 1, 1, 1), (1, 1, 1, 0), (1, 0, 0, 0))
+    sides = []
+    for edge, (c0, r0, c1, r1) in enumerate(around):
+        a, b = (_corner(F.col("c") + dc, F.col("r") + dr, F.col("floor")) for dc, dr in ((c0, r0), (c1, r1)))
+        nei = F.when((F.col("c") % 8 == 0) & F.lit(edge == 0), -2).when((F.col("c") % 8 == 7) & F.lit(edge == 2), -4).otherwise(-1)
+        sides.append(F.struct(F.lit(edge).alias("edge"), *(v.alias(f"{p}{n}") for p, q in (("a", a), ("b", b)) for n, v in zip("xyz", q, strict=True)), nei.cast("long").alias("nei")))
+    return cells.select("ref", F.explode(F.array(*sides)).alias("s")).select("ref", "s.*")
+
+
+def deck_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(from_ref, to_ref, edge, bmin, bmax): whole edges within a tile; over a border one part of an edge, or two."""
+    cells = decks(spark, sf_dir)
+    steps = F.array(*(F.struct(F.lit(e).alias("edge"), F.lit(k).alias("dk"), F.lit(dc).alias("dc")) for e, k, dc in ((0, -2, -1), (1, 2 * DECK_COLUMNS, 0), (2, 2, 1), (3, -2 * DECK_COLUMNS, 0))))
+    mine = cells.withColumn("s", F.explode(steps)).select("ref", "c", "r", F.col("s.edge").alias("edge"), F.col("s.dc").alias("dc"), (F.col("ref") + F.col("s.dk")).alias("to_ref"))
+    both = mine.join(cells.select(F.col("ref").alias("to_ref"), F.col("c").alias("to_c")), "to_ref").filter("to_c = c + dc")
+    border = ((F.col("edge") == 2) & (F.col("c") % 8 == 7)) | ((F.col("edge") == 0) & (F.col("c") % 8 == 0))
+    low_ref = F.least("ref", "to_ref")
+    start = low_ref * 37 % 120
+    stop = start + 60 + low_ref % 3 * 15
+    ranges = F.when(border, F.when(low_ref % 4 == 0, F.array(F.struct(start.alias("lo"), stop.alias("hi")), F.struct((stop + 20).alias("lo"), (stop + 40).alias("hi")))).otherwise(F.array(F.struct(start.alias("lo"), stop.alias("hi")))))
+    ranges = F.coalesce(ranges, F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.lit(255).cast("long").alias("hi"))))
+    out = both.withColumn("b", F.explode(ranges))
+    flip = F.col("edge") == 0
+    return out.select(F.col("ref").alias("from_ref"), "to_ref", "edge", F.when(flip, 255 - F.col("b.hi")).otherwise(F.col("b.lo")).cast("int").alias("bmin"), F.when(flip, 255 - F.col("b.lo")).otherwise(F.col("b.hi")).cast("int").alias("bmax"))
+
+
+def deck_stairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links as of deck_links() from every tenth column's cells to the next cell of the other floor."""
+    cells = decks(spark, sf_dir)
+    mine = cells.filter("c % 10 = 5").select(F.col("ref").alias("from_ref"), (F.col("ref") + 3 - 2 * F.col("floor")).alias("to_ref"))
+    return mine.join(cells.select(F.col("ref").alias("to_ref")), "to_ref").select("from_ref", "to_ref", F.lit(2).alias("edge"), F.lit(0).alias("bmin"), F.lit(255).alias("bmax"))
+
+
+def _corner_sql(c: str, r: str, p: str) -> str:
+    return f"""({c}) * 10.0::DOUBLE + ((({c}) * 7 + ({r}) * 13) % 5 - 2) * 0.5::DOUBLE AS "{p}x", ((({c}) * 5 + ({r}) * 3) % 4) * 0.4::DOUBLE + f * 8.0::DOUBLE AS "{p}y",
+  ({r}) * 10.0::DOUBLE + ((({c}) * 11 + ({r}) * 3) % 5 - 2) * 0.5::DOUBLE AS "{p}z\""""
+
+
+_RANGED_SQL = "least(ref, to_ref) * 37 % 120"
+DECKS_SQL = f"""dk AS (SELECT p_partkey AS ref, p_partkey // 2 % {DECK_COLUMNS} AS c, p_partkey // 2 // {DECK_COLUMNS} AS r, p_partkey % 2 AS f, [1.0::DOUBLE, 1.6, 4.0][p_size % 3 + 1] AS cost FROM part WHERE p_size % 9 <> 0),
+de AS (SELECT ref, 0 AS edge, {_corner_sql("c", "r", "a")}, {_corner_sql("c", "r + 1", "b")} FROM dk UNION ALL SELECT ref, 1, {_corner_sql("c", "r + 1", "a")}, {_corner_sql("c + 1", "r + 1", "b")} FROM dk
+  UNION ALL SELECT ref, 2, {_corner_sql("c + 1", "r + 1", "a")}, {_corner_sql("c + 1", "r", "b")} FROM dk UNION ALL SELECT ref, 3, {_corner_sql("c + 1", "r", "a")}, {_corner_sql("c", "r", "b")} FROM dk),
+dp AS (SELECT a.ref, b.ref AS to_ref, edge, ((edge = 2 AND a.c % 8 = 7) OR (edge = 0 AND a.c % 8 = 0)) AS border FROM dk a, (VALUES (0, -2, -1), (1, {2 * DECK_COLUMNS}, 0), (2, 2, 1), (3, {-2 * DECK_COLUMNS}, 0)) AS s(edge, dk, dc) JOIN dk b ON b.ref = a.ref + s.dk AND b.c = a.c + s.dc),
+dr AS (SELECT ref, to_ref, edge, 0 AS lo, 255 AS hi FROM dp WHERE NOT border UNION ALL SELECT ref, to_ref, edge, {_RANGED_SQL}, {_RANGED_SQL} + 60 + least(ref, to_ref) % 3 * 15 FROM dp WHERE border
+  UNION ALL SELECT ref, to_ref, edge, {_RANGED_SQL} + 80 + least(ref, to_ref) % 3 * 15, {_RANGED_SQL} + 100 + least(ref, to_ref) % 3 * 15 FROM dp WHERE border AND least(ref, to_ref) % 4 = 0),
+dl AS (SELECT ref AS from_ref, to_ref, edge, CASE WHEN edge = 0 THEN 255 - hi ELSE lo END AS bmin, CASE WHEN edge = 0 THEN 255 - lo ELSE hi END AS bmax FROM dr)"""
+
+
+def deck_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as rays over the decks from the customer's cell: (request_id, start_ref, sx .. gz)."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    cell = F.floor(cust / 2)
+    sx, sz, sy = cell % DECK_COLUMNS * 10.0 + 5.13, F.floor(cell / DECK_COLUMNS) * 10.0 + 4.87, cust % 2 * 8.0 + 0.3
+    return table(spark, sf_dir, "orders").select(
+        key.alias("request_id"), cust.alias("start_ref"), sx.alias("sx"), sy.alias("sy"), sz.alias("sz"),
+        (sx + (key * 17 % 61 - 30) * 1.003).alias("gx"), sy.alias("gy"), (sz + (key * 29 % 53 - 26) * 1.007).alias("gz"),
+    )
+
+
+DECK_RAYS_SQL = f"""ray AS (SELECT o_orderkey AS request_id, o_custkey AS start_ref, (o_custkey // 2 % {DECK_COLUMNS}) * 10.0::DOUBLE + 5.13 AS sx, (o_custkey % 2) * 8.0::DOUBLE + 0.3 AS sy, (o_custkey // 2 // {DECK_COLUMNS}) * 10.0::DOUBLE + 4.87 AS sz,
+  (o_orderkey * 17 % 61 - 30) * 1.003::DOUBLE AS dx, (o_orderkey * 29 % 53 - 26) * 1.007::DOUBLE AS dz FROM orders)"""
