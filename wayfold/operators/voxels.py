@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import WALKER_RADIUS
@@ -87,3 +87,44 @@ def erode(spans: DataFrame, links: DataFrame, radius: int = WALKER_RADIUS) -> Da
     """The walkable spans that are at least `radius` cells from any edge."""
     far = edge_distance(spans, links).filter(F.col("distance") >= 2 * radius).select("x", "z", "layer")
     return spans.join(far, ["x", "z", "layer"], "left_semi")
+
+
+def _turned(direction: str, by: int) -> Column:
+    return (F.col(direction) + by) % 4
+
+
+def _step_targets(links: DataFrame) -> DataFrame:
+    """(node, dir, to_node) of columns.neighbour_links."""
+    step = F.element_at(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dz).alias("dz")) for dx, dz in ((-1, 0), (0, 1), (1, 0), (0, -1)))), F.col("dir") + 1)
+    return links.select(F.struct("x", "z", "layer").alias("node"), "dir", F.struct((F.col("x") + step["dx"]).alias("x"), (F.col("z") + step["dz"]).alias("z"), F.col("to_layer").alias("layer")).alias("to_node"))
+
+
+def distance_field(spans: DataFrame, links: DataFrame) -> DataFrame:
+    """(x, z, layer, distance): how far each walkable span (x, z, layer, area) is from the next border of its area, in halves of a cell: the least sum over ways of
+    links, 2 for one and 3 for two at right angles. A span without four neighbours of its own area is a border; one that no border can be reached from, by links,
+    isn't returned. Only what became nearer is moved on in a round."""
+    steps = _step_targets(links)
+    area = spans.select(F.struct("x", "z", "layer").alias("node"), "area")
+    alike = steps.join(area, "node").join(area.select(F.col("node").alias("to_node"), F.col("area").alias("to_area")), "to_node").filter("area = to_area")
+    inner = alike.groupBy("node").agg(F.count("*").alias("n")).filter("n = 4").select("node")
+    turn = steps.select(F.col("node").alias("to_node"), F.col("dir").alias("dir2"), F.col("to_node").alias("end"))
+    diagonal = steps.join(turn, "to_node").filter(F.col("dir2") == _turned("dir", 3)).select(F.col("end").alias("node"), F.col("node").alias("to_node"), F.lit(float(DIAGONAL)).alias("weight"))
+    arcs = steps.select(F.col("to_node").alias("node"), F.col("node").alias("to_node"), F.lit(float(STRAIGHT)).alias("weight")).unionByName(diagonal)
+    arcs = arcs.groupBy("node", "to_node").agg(F.min("weight").alias("weight"))
+    rim = area.select("node").join(inner, "node", "left_anti").select(F.lit(0).alias("source"), "node", F.lit(0.0).alias("cost"))
+    return relax(rim, arcs).select("node.x", "node.z", "node.layer", F.col("cost").cast("int").alias("distance"))
+
+
+def blurred(distances: DataFrame, links: DataFrame, threshold: int = 1) -> DataFrame:
+    """`distances` with each that is above twice the `threshold` replaced by the rounded mean of it and its eight neighbours'; a neighbour that no link leads
+    to counts as the span itself, a missing straight one also for the diagonal behind it."""
+    steps = _step_targets(links)
+    own = distances.select(F.struct("x", "z", "layer").alias("node"), F.col("distance").alias("own"))
+    value = own.select(F.col("node").alias("to_node"), F.col("own").alias("value"))
+    asked = own.filter(F.col("own") > 2 * threshold).withColumn("dir", F.explode(F.array(*map(F.lit, range(4)))))
+    straight = asked.join(steps, ["node", "dir"], "left").join(value, "to_node", "left").withColumn("dir2", _turned("dir", 1))
+    behind = steps.select(F.col("node").alias("to_node"), F.col("dir").alias("dir2"), F.col("to_node").alias("end"))
+    both = straight.join(behind, ["to_node", "dir2"], "left").join(value.select(F.col("to_node").alias("end"), F.col("value").alias("value2")), "end", "left")
+    total = F.sum(F.coalesce("value", "own") + F.coalesce("value2", "own"))
+    mean = both.groupBy("node").agg(F.floor((total + F.first("own") + 5) / 9).cast("int").alias("mean"))
+    return own.join(mean, "node", "left").select("node.x", "node.z", "node.layer", F.coalesce("mean", "own").alias("distance"))

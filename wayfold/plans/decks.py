@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import around as N
+from ..operators import offmesh as O
 from ..operators import search as S
 from ..operators import walls as L
 from ..operators.meshes import border_links
@@ -150,6 +151,14 @@ _ISLANDS_SQL = f"""{W.GRID_SQL}, ar(area, cost) AS (VALUES (1, 1.0::DOUBLE), (7,
 )
 def partial_route(spark, d):
     """Routes of the orders over the islands; those whose goal lies on another island end at the nearest point that was reached."""
+    asked, edges, costs = _island_requests(spark, d)
+    found = cut(S.routes(asked, R.doors(spark, d), costs, partial=True))
+    ends = S.with_ends(asked, found, edges).join(found.select("request_id", "cost"), "request_id")
+    return ends.select("request_id", "end_ref", "partial", *(G.quantised(F.col(v)).alias(v) for v in ("cost", "gx", "gy", "gz")))
+
+
+def _island_requests(spark, d):
+    """(requests of the orders with both ends on the islands, the islands' edges, their costs)."""
     dry = W.grid_areas(spark, d).filter(_ISLANDS).select("ref")
     edges = W.grid_edges(spark, d).join(dry, "ref", "left_semi")
     costs = R.costs(spark, d).join(dry, "ref", "left_semi")
@@ -157,10 +166,7 @@ def partial_route(spark, d):
     ends = asked.select("request_id", F.explode(F.array(*(F.struct(F.lit(p).alias("side"), *(F.col(f"{p}{v}").alias(v) for v in "xyz")) for p in "sg"))).alias("p"))
     at = S.nearest(ends.select(F.struct("request_id", "p.side").alias("request_id"), "p.x", "p.y", "p.z"), edges, CLIMB)
     at = at.select("request_id.request_id", "request_id.side", "ref", *"xyz").groupBy("request_id").agg(*(F.max(F.when(F.col("side") == p, F.col(v))).alias(n) for p, r in (("s", "start_ref"), ("g", "goal_ref")) for v, n in (("ref", r), *((v, f"{p}{v}") for v in "xyz"))))
-    asked = cut(at.filter("start_ref IS NOT NULL AND goal_ref IS NOT NULL"))
-    found = cut(S.routes(asked, R.doors(spark, d), costs, partial=True))
-    ends = S.with_ends(asked, found, edges).join(found.select("request_id", "cost"), "request_id")
-    return ends.select("request_id", "end_ref", "partial", *(G.quantised(F.col(v)).alias(v) for v in ("cost", "gx", "gy", "gz")))
+    return cut(at.filter("start_ref IS NOT NULL AND goal_ref IS NOT NULL")), edges, costs
 
 
 # --- shapes
@@ -249,3 +255,41 @@ def local_neighbourhood(spark, d):
     around = L.faces(W.deck_edges(spark, d), links, W.decks(spark, d).select("ref", "cost"))
     points = _customers(spark, d).select("request_id", F.col("start_ref").alias("ref"), F.col("sx").alias("x"), F.col("sz").alias("z"))
     return N.local_neighbourhood(points, around, 18.0)
+
+
+# --- off-mesh connections
+
+
+def _connections(spark, d):
+    """Suppliers as jumps between places of the grid."""
+    k = F.col("s_suppkey")
+    a, b = (k % 5 + 0.55, F.lit(0.5), F.floor(k / 5) % 5 + 0.45), ((k * 3 + 2) % 5 + 0.4, F.lit(0.5), F.floor(k * 7 / 3) % 5 + 0.6)
+    return W.table(spark, d, "supplier").select(k.alias("id"), *(v.cast("double").alias(f"{p}{n}") for p, q in (("a", a), ("b", b)) for n, v in zip("xyz", q, strict=True)), F.lit(0.7).alias("radius"), (k % 2 == 0).alias("both"), (1.0 + k % 3).alias("cost"))
+
+
+@query(
+    "off_mesh_route",
+    f"""WITH RECURSIVE {_ISLANDS_SQL}, oc AS (SELECT s_suppkey AS id, s_suppkey % 5 + 0.55::DOUBLE AS ax, s_suppkey // 5 % 5 + 0.45::DOUBLE AS az, (s_suppkey * 3 + 2) % 5 + 0.4::DOUBLE AS bx, s_suppkey * 7 // 3 % 5 + 0.6::DOUBLE AS bz, s_suppkey % 2 = 0 AS two_way, 1.0::DOUBLE + s_suppkey % 3 AS cost FROM supplier),
+    oe AS (SELECT id, 's' AS side, ax AS x, az AS z FROM oc UNION ALL SELECT id, 'e', bx, bz FROM oc),
+    on1 AS (SELECT id, side, ref, h, x, z, least(greatest(x, c), c + 1) AS nx, least(greatest(z, r), r + 1) AS nz, x BETWEEN c AND c + 1 AND z BETWEEN r AND r + 1 AS over FROM oe JOIN k ON c <= x + 0.7 AND c + 1 >= x - 0.7 AND r <= z + 0.7 AND r + 1 >= z - 0.7 AND h BETWEEN 0.5 - 1.2 AND 0.5 + 1.2),
+    on2 AS (SELECT *, CASE WHEN over THEN greatest(abs(h - 0.5) - 1.2, 0) ** 2 ELSE (nx - x) ** 2 + (h - 0.5) ** 2 + (nz - z) ** 2 END AS d FROM on1),
+    on3 AS (SELECT id, side, any_value(x) AS x0, any_value(z) AS z0, arg_min(ref, (d, ref)) AS ref, arg_min(nx, (d, ref)) AS x, arg_min(h, (d, ref)) AS y, arg_min(nz, (d, ref)) AS z FROM on2 GROUP BY id, side),
+    on4 AS (SELECT * FROM on3 WHERE (x - x0) ** 2 + (z - z0) ** 2 <= 0.7::DOUBLE * 0.7::DOUBLE),
+    os AS (SELECT oc.id, two_way, oc.cost, s.ref AS sref, s.x AS sx0, s.y AS sy0, s.z AS sz0, ks.cost AS sc, e.ref AS eref, e.x AS ex0, e.y AS ey0, e.z AS ez0, ke.cost AS ec FROM oc JOIN on4 s ON s.id = oc.id AND s.side = 's' JOIN on4 e ON e.id = oc.id AND e.side = 'e' JOIN k ks ON ks.ref = s.ref JOIN k ke ON ke.ref = e.ref),
+    da AS (SELECT fr, tr, fc, tc, mx, my, mz FROM dd UNION ALL SELECT sref, -1 - id, sc, cost, sx0, sy0, sz0 FROM os UNION ALL SELECT -1 - id, eref, cost, ec, ex0, ey0, ez0 FROM os
+      UNION ALL SELECT eref, -1 - id, ec, cost, ex0, ey0, ez0 FROM os WHERE two_way UNION ALL SELECT -1 - id, sref, cost, sc, sx0, sy0, sz0 FROM os WHERE two_way),
+    dn AS (SELECT *, row_number() OVER (ORDER BY fr, tr, mx, mz) AS node FROM da),
+    best(source, node, cost) USING KEY (source, node) AS (SELECT source, node, sqrt((mx - sx) ** 2 + (my - sy) ** 2 + (mz - sz) ** 2) * fc FROM src JOIN dn ON fr = sr
+      UNION SELECT n.source, n.node, min(n.cost) FROM (SELECT b.source, e.node, b.cost + sqrt((e.mx - d.mx) ** 2 + (e.my - d.my) ** 2 + (e.mz - d.mz) ** 2) * e.fc AS cost FROM best b JOIN dn d ON d.node = b.node JOIN dn e ON e.fr = d.tr) n
+      LEFT JOIN recurring.best o ON o.source = n.source AND o.node = n.node WHERE o.cost IS NULL OR n.cost < o.cost - 1e-12 GROUP BY n.source, n.node),
+    w AS (SELECT q.*, source FROM q JOIN src USING (sr, sx, sy, sz)),
+    way AS (SELECT request_id, min(b.cost + sqrt((gx - mx) ** 2 + (gy - my) ** 2 + (gz - mz) ** 2) * tc) AS cost FROM w JOIN dn ON tr = gr JOIN best b ON b.source = w.source AND b.node = dn.node WHERE sr <> gr GROUP BY request_id
+      UNION ALL SELECT request_id, sqrt((gx - sx) ** 2 + (gy - sy) ** 2 + (gz - sz) ** 2) * cost FROM w JOIN k ON k.ref = sr WHERE sr = gr)
+    SELECT request_id, {Q("cost")} AS cost FROM way""",
+)
+def off_mesh_route(spark, d):
+    """Routes of the orders over the islands and the jumps between them."""
+    asked, edges, costs = _island_requests(spark, d)
+    doors, jumps = O.off_mesh_doors(cut(O.snap_connections(_connections(spark, d), edges, CLIMB)))
+    found = S.routes(asked, R.doors(spark, d).join(costs.select(F.col("ref").alias("from_ref")), "from_ref", "left_semi").unionByName(doors), costs.unionByName(jumps))
+    return found.select("request_id", G.quantised(F.col("cost")).alias("cost"))
