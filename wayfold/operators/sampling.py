@@ -19,12 +19,14 @@ def _draw(seed: int, *key: Column) -> Column:
 
 
 def candidates(outlines: DataFrame, radius: float, seed: int = 0, fineness: int = FINENESS) -> DataFrame:
-    """(id, i, j, x, z, rank): a place at random in each square of a lattice of radius / fineness, where it lies in the outline (id, corners); rank is a random order without ties."""
-    step = radius / fineness
-    spans = {v: F.sequence(F.floor(F.array_min(f"corners.{v}") / step), F.floor(F.array_max(f"corners.{v}") / step)) for v in "xz"}
-    squares = outlines.withColumn("i", F.explode(spans["x"])).withColumn("j", F.explode(spans["z"]))
+    """(id, i, j, x, z, rank): a place at random in each square of a lattice, where it lies in the outline (id, corners); rank is a random order without ties. Squares are
+    radius / fineness wide, or narrower in an outline of little width, so that it has some; one without width has none."""
+    reach = {v: F.array_max(f"corners.{v}") - F.array_min(f"corners.{v}") for v in "xz"}
+    sized = outlines.select("id", "corners", F.least(F.lit(radius / fineness), *(w / (2 * fineness) for w in reach.values())).alias("step")).filter("step > 0")
+    for n, v in (("i", "x"), ("j", "z")):
+        sized = sized.withColumn(n, F.explode(F.sequence(F.floor(F.array_min(f"corners.{v}") / F.col("step")), F.floor(F.array_max(f"corners.{v}") / F.col("step")))))
     key = [F.col("id"), F.col("i"), F.col("j")]
-    placed = squares.withColumns({"x": (F.col("i") + _draw(seed, *key)) * step, "z": (F.col("j") + _draw(seed + 1, *key)) * step})
+    placed = sized.withColumns({"x": (F.col("i") + _draw(seed, *key)) * F.col("step"), "z": (F.col("j") + _draw(seed + 1, *key)) * F.col("step")})
     return placed.filter(in_outline(F.col("x"), F.col("z"), F.col("corners"))).select("id", "i", "j", "x", "z", F.struct(F.xxhash64(F.lit(seed + 2), *key).alias("draw"), "i", "j").alias("rank"))
 
 

@@ -56,7 +56,8 @@ def mark_volumes(spans: DataFrame, volumes: DataFrame, cell: float = 1.0, height
 
 
 def offset_outline(corners: Column, offset: Column | float) -> Column:
-    """A convex outline (structs with x and z) with each side moved out by `offset`; a corner that would stick out too far is cut in two."""
+    """A convex outline (structs with x and z) that turns from x to z, with each side moved out by `offset`; a corner that would stick out too far is cut in two. The sides
+    of an outline that turns the other way move in."""
     grow = offset if isinstance(offset, Column) else F.lit(offset)
 
     def unit(a: Column, b: Column) -> tuple[Column, Column]:
