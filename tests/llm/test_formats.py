@@ -299,3 +299,41 @@ def test_wrappers_named_for_furniture_keep_their_articles():
     assert Page("<p>Read <span class='ad'>buy</span>on.</p>").main(set()) == "Read on."
     teasers = "<article><p>Read more.</p></article>" * 3
     assert Page(f"<body>{text}{teasers}</body>").main(set()).startswith("A long text")
+
+
+def test_importance_is_that_of_plain_entropies(spark):
+    import math
+    import random
+    from collections import Counter, defaultdict
+
+    r = random.Random(2)
+    rows = [(p, r.choice([1, 2]), n, r.choice([1, 2, 3]), sorted({r.randint(0, 9) for _ in range(r.randint(1, 4))}), 0, 0) for p in range(40) for n in range(4) if r.random() < 0.8] + [(99, 3, 7, 1, [1, 2], 0, 0)]
+    got = {(x.host, x.node): (x.pages, x.importance) for x in sitetree.importance(spark.createDataFrame(rows, "page long, host long, node long, style long, units array<long>, root long, prior long")).collect()}
+    styles, units, pages = defaultdict(Counter), defaultdict(Counter), Counter()
+    for _, host, node, style, found, *_ in rows:
+        pages[host, node] += 1
+        styles[host, node][style] += 1
+        units[host, node].update(found)
+
+    def surprise(counts, n):
+        total = sum(counts.values())
+        return 1.0 if n == 1 else 1 - sum(c / total * math.log(c) for c in counts.values()) / math.log(n)
+
+    assert set(got) == set(pages)
+    for key, n in pages.items():
+        want = surprise(units[key], n) * (1 + surprise(styles[key], n)) / 2
+        assert got[key][0] == n and got[key][1] == pytest.approx(want, abs=1e-12)
+
+
+def test_pages_decide_and_priors_only_where_pages_are_few(spark, monkeypatch):
+    words = "one two three four five six seven eight nine ten".split()
+    text = lambda i: " ".join(words[(i * 7 + k) % 10] + str(i) for k in range(12))
+    menu = lambda i: "".join(f"<li class='m{k}'>item {k if k else i}</li>" for k in range(6))
+    page = lambda i, kind, repeated: f"<body><article><p>{text(i)}</p></article><div class='{kind}'><p>{'the same on all pages' if repeated else text(i + 500)}</p></div><div class='box'><ul>{menu(i)}</ul></div></body>"
+    rows = [(i, "http://many/a", page(i, "plain", True)) for i in range(12)] + [(20 + i, "http://new/a", page(i, "promo", False)) for i in range(12)]
+    rows += [(50, "http://alone/a", page(50, "promo", False)), (51, "http://single/a", page(51, "plain", False))]
+    got = {x.page_id: x.main_text.split("\n") for x in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == [text(3)]  # no class word says so, but all pages repeat it, and the menu but for an item
+    assert got[23] == [text(3), text(503)]  # called a promotion, but new on every page
+    assert got[50] == [text(50), *(f"item {k if k else 50}" for k in range(6))]  # of one page, the word alone tells
+    assert got[51][:2] == [text(51), text(551)]

@@ -3,13 +3,13 @@
 The pages of a host are merged into one style tree. A node is named by the path of tags and classes that leads to it; nodes are judged
 where the markup groups or names something: sections, divs, lists, tables, and whatever has a class or id. Over the pages that have it,
 a node has two entropies, both over the logarithm of the number of those pages: presentation, of the elements below it in order, and
-content, of its text. A node of one page has entropies of 1. Its importance is content x (1 + presentation) / 2: what every page repeats is
+content, of its units of text, so that a menu of which one item changes is still a menu. Its importance is content x (1 + presentation) / 2: what every page repeats is
 worth nothing, new text in one layout half as much as new text in changing layouts.
 
 What a page loses. A node's importance is taken relative to that of the page's main node (its article or main element with the most text, or
-its largest top-level branch), so that a host of copies keeps its text. A branch below LOW goes. A class or id word such as "sidebar" or "comments" is
-a prior: it multiplies the importance by PRIOR, unless the element holds the page's article, or more than half of its text where no article is
-elsewhere, for a layout's wrapper is often named for what else it holds. To be beside the page's article or main element is another, OUTSIDE.
+its largest top-level branch), so that a host of copies keeps its text. A branch below LOW goes. That is what pages tell; of a node that few pages have they tell little, so a
+prior counts as much as DOUBT further pages: 1, or SUSPECT for a class or id word such as "sidebar" or "comments", times OUTSIDE beside the page's article or main element. A node of one
+page is judged by its prior alone. An element that holds the page's article, or more than half of its text where no article is elsewhere, is no suspect, for a layout's wrapper is often named for what else it holds.
 Tags and roles that say what they are (nav, footer, aside, form, script ...) are rules of markup and go at once; text that stands in no judged
 node goes if articles have at least as much as the rest.
 
@@ -35,8 +35,10 @@ from pyspark.sql import types as T
 
 from .common import append_columns, join_ids, landed, read_table, under_own_names
 
-#: A node goes if its importance, relative to that of the page's main node, times PRIOR for a suspect and OUTSIDE beside the page's article, is below LOW.
-LOW, PRIOR, OUTSIDE = 0.4, 0.25, 0.5
+#: A node goes if its importance relative to that of the page's main node, averaged over its pages but one and DOUBT pages of its prior, is below LOW.
+LOW, DOUBT = 0.8, 1.0
+#: Priors of a suspect and beside the page's article.
+SUSPECT, OUTSIDE = 0.25, 0.85
 
 # Elements of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -250,10 +252,10 @@ class Page:
             kept = [x for x in kept if x[1] or x[2]]
         return "\n".join(words for words, _, _ in kept)
 
-    def nodes(self) -> Iterator[tuple[int, int, int, int, int]]:
-        """(node, hash of the styles below it, hash of its text, main node, priors) of each judged node with text; priors are 1 for a suspect that
+    def nodes(self) -> Iterator[tuple[int, int, list[int], int, int]]:
+        """(node, hash of the styles below it, hashes of its different units of text, main node, priors) of each judged node with text; priors are 1 for a suspect that
         isn't trusted, and 2 beside the page's article."""
-        texts: dict[int, list[str]] = {}
+        texts: dict[int, dict[int, None]] = {}
         articles: dict[int, int] = {}
         branches: dict[int, int] = {}
         priors: set[int] = set()
@@ -264,8 +266,9 @@ class Page:
                 priors.update(untrusted)
                 if not words:
                     continue
+                unit = _hash(words)
                 for node in dict.fromkeys((*path, *suspects)):
-                    texts.setdefault(node, []).append(words)
+                    texts.setdefault(node, {})[unit] = None
                 if not untrusted:
                     for sizes, node in ((articles, content), (branches, path[0] if path else None)):
                         if node is not None:
@@ -273,38 +276,44 @@ class Page:
         sizes = {k: v for k, v in articles.items() if k in texts} or branches
         root = max(sizes, key=lambda k: (sizes[k], k)) if sizes else 0
         about = {n for path, _, content in self.blocks if content == root for n in path} if root in articles else None
-        for node, parts in texts.items():
-            yield node, _hash(" ".join(self.children.get(node, ()))), _hash("\n".join(parts)), root, (node in priors) + 2 * (about is not None and node not in about)
+        for node, units in texts.items():
+            yield node, _hash(" ".join(self.children.get(node, ()))), list(units), root, (node in priors) + 2 * (about is not None and node not in about)
 
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
+_NODES = {"page": pa.int64(), "host": pa.int64(), "node": pa.int64(), "style": pa.int64(), "units": pa.list_(pa.int64()), "root": pa.int64(), "prior": pa.int64()}
+
+
 def style_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(page, host, node, style, content, root, prior) for each judged node with text of each page; `pages` has page, host and html."""
+    """(page, host, node, style, units, root, prior) for each judged node with text of each page; `pages` has page, host and html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for page, host, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if body:
-                    rows.extend((page, host, *map(_signed, node)) for node in Page(body).nodes())
+                    rows.extend((page, host, _signed(node), _signed(style), list(map(_signed, units)), _signed(root), prior) for node, style, units, root, prior in Page(body).nodes())
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["page", "host", "node", "style", "content", "root", "prior"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _NODES.values(), strict=True)], names=list(_NODES))
 
-    return pages.select("page", "host", html).mapInArrow(run, "page long, host long, node long, style long, content long, root long, prior long")
+    return pages.select("page", "host", html).mapInArrow(run, "page long, host long, node long, style long, units array<long>, root long, prior long")
 
 
 def importance(nodes: DataFrame) -> DataFrame:
-    """(host, node, importance): content x (1 + presentation) / 2, normalised entropies over the pages that have the node."""
-    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("style").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("k")
-    counts = nodes.select("host", "node", kinds).groupBy("host", "node", "k").agg(F.count("*").alias("n"))
-    sums = counts.groupBy("host", "node", "k.kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    entropy = F.when(F.col("pages") > 1, F.greatest(1 - F.col("nlogn") / (F.col("pages") * F.log("pages")), F.lit(0.0))).otherwise(1.0)
-    of = {name: F.max(F.when(F.col("kind") == kind, entropy)) for kind, name in enumerate(("presentation", "content"))}
-    scored = sums.groupBy("host", "node").agg(*(c.alias(name) for name, c in of.items()))
-    return scored.select("host", "node", (F.col("content") * (1 + F.col("presentation")) / 2).alias("importance"))
+    """(host, node, pages, importance): content x (1 + presentation) / 2, entropies over the pages that have the node: 1 where each has styles, or units, of its own, 0 where all have the same."""
+
+    def surprise(values: DataFrame, name: str) -> DataFrame:
+        counts = values.groupBy("host", "node", "value").agg(F.count("*").alias("n"))
+        return counts.groupBy("host", "node").agg(F.sum("n").alias(f"{name}_n"), F.sum(F.col("n") * F.log("n")).alias(name))
+
+    styles = surprise(nodes.select("host", "node", F.col("style").alias("value")), "style")
+    units = surprise(nodes.select("host", "node", F.explode("units").alias("value")), "unit")
+    pages = F.col("style_n")  # a node has one style a page
+    of = {n: F.when(pages > 1, F.greatest(1 - F.col(n) / (F.col(f"{n}_n") * F.log(pages)), F.lit(0.0))).otherwise(1.0) for n in ("style", "unit")}
+    return styles.join(units, ["host", "node"]).select("host", "node", pages.alias("pages"), (of["unit"] * (1 + of["style"]) / 2).alias("importance"))
 
 
 def decisions(nodes: DataFrame) -> DataFrame:
@@ -312,9 +321,10 @@ def decisions(nodes: DataFrame) -> DataFrame:
     scored = landed(importance(nodes), "importance")
     of_root = scored.select("host", F.col("node").alias("root"), F.col("importance").alias("of_root"))
     both = join_ids(join_ids(nodes.select("page", "host", "node", "root", "prior"), scored, ["host", "node"], "left"), of_root, ["host", "root"], "left")
-    relative = F.when(F.col("of_root") > 0, F.col("importance") / F.col("of_root")).otherwise(1.0)
+    relative = F.when(F.col("of_root") > 0, F.least(F.col("importance") / F.col("of_root"), F.lit(1.0))).otherwise(1.0)
     suspect, outside = (F.col("prior").bitwiseAND(bit) != 0 for bit in (1, 2))
-    low = relative * F.when(suspect, PRIOR).otherwise(1.0) * F.when(outside, OUTSIDE).otherwise(1.0) < LOW
+    prior = F.when(suspect, SUSPECT).otherwise(1.0) * F.when(outside, OUTSIDE).otherwise(1.0)
+    low = ((F.col("pages") - 1) * relative + DOUBT * prior) / (F.col("pages") - 1 + DOUBT) < LOW
     both = both.withColumn("low", low).filter(suspect != F.col("low"))  # else the page says the same
     lists = [F.collect_set(F.when(F.col("low") == which, F.col("node"))).alias(name) for name, which in (("low", True), ("high", False))]
     return both.groupBy("page").agg(*lists)  # a page's nodes
