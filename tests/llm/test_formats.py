@@ -242,6 +242,19 @@ def test_mix_meets_its_targets(spark):
     assert curriculum.plan_mix(docs.limit(0)).count() == 0
 
 
+def test_the_mix_has_each_planned_copy_once_whatever_the_rows_come_from(spark, tmp_path):
+    from collections import Counter
+
+    rows = [(i, " ".join(["w"] * (i % 9)), "en", "ab"[i % 2]) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/docs")
+    read = spark.read.parquet(f"{tmp_path}/docs")
+    for docs in (read, read.withColumn("lang", F.explode(F.array(*map(F.lit, "xyz")))), read.unionByName(read), read.join(read.select("doc_id").unionAll(read.select("doc_id")), "doc_id")):
+        planned = curriculum.plan_mix(docs.withColumn("row", F.monotonically_increasing_id()), row="row").agg(F.sum(F.size("positions"))).first()[0]
+        mixed = Counter(tuple(x) for x in curriculum.mix(docs).collect())
+        given = Counter(tuple(x) for x in docs.collect())
+        assert abs(sum(mixed.values()) - planned) <= 8 and all(n <= 2 * given[x] for x, n in mixed.items())
+
+
 def test_due_times_invert_the_schedule(spark):
     for i, factors in enumerate(curriculum.SCHEDULES):
         rows = spark.range(101).select((F.col("id") / 100).alias("done"), F.lit(i).alias("rank"))

@@ -1,12 +1,12 @@
 """Quality by voting of nearest labelled documents in a latent-semantic space.
 
-Terms are pairs of neighbouring characters, folded to classes (upper and lower letters, digits, white space, each ASCII sign),
-and words that repeat the word before them. A document's vector holds the square roots of its term shares, weighted by inverse
-document frequency; a singular value decomposition of labelled documents gives RANK latent dimensions. Labelled vectors of unit
+Terms are of two kinds: pairs of neighbouring characters, folded to classes (upper and lower letters, digits, white space, each ASCII sign), with
+words that repeat the word before them; and words, A-Z in lower case, hashed to WORD_TERMS terms. A document's vector holds the square roots of its term shares, of each kind by
+itself, words with WORD_WEIGHT, weighted by inverse document frequency; a singular value decomposition of labelled documents gives RANK latent dimensions. Labelled vectors of unit
 length are broadcast; every document takes its cosine with all of them, exactly and in blocks, and its NEIGHBOURS nearest vote
 with weight similarity ** POWER.
 
-Fitting takes a bounded sample of labelled documents, about SAMPLE of each label by hash and of at most SAMPLE_CHARS characters: SAMPLE x
+Fitting takes a bounded sample of labelled documents, about SAMPLE of each label by hash, a passage of those longer than SAMPLE_CHARS: SAMPLE x
 2 vectors of RANK floats are all that is broadcast. Votes are scaled back to the labels' own shares. Scoring reads whole texts.
 
 Defined results: a null, empty or one-character text has no terms and scores the share of label 1; so does every document if no label
@@ -45,21 +45,58 @@ def _classes() -> np.ndarray:
 
 CLASSES = _classes()
 KINDS = int(CLASSES.max()) + 1
-TERMS = KINDS * KINDS + 1
+PAIRS = KINDS * KINDS + 1
+WORD_TERMS, WORD_WEIGHT = 512, 0.5
+TERMS = PAIRS + WORD_TERMS
+#: Letters, digits and bytes of other letters make words; lower-case letters stand for capitals.
+IN_WORD = np.isin(CLASSES, CLASSES[[0x30, 0x41, 0x61]])
+LOWER = np.arange(256, dtype=np.uint64)
+LOWER[0x41:0x5B] += 0x20
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a text that are hashed together; a word over the end of a part counts as two.
+PART = 1 << 16
+POWERS = np.cumprod(np.full(PART, FACTOR, np.uint64))
+
+
+def word_counts(text: np.ndarray) -> np.ndarray:
+    """How often each hashed word is in a text's bytes. A word's hash is a polynomial in FACTOR of its bytes, from sums over the text."""
+    out = np.zeros(WORD_TERMS, np.float32)
+    for at in range(0, len(text), PART):
+        part = text[at : at + PART]
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], IN_WORD[part], [False]))))
+        starts, ends = edges[::2], edges[1::2]
+        # bytes times powers that fall along the text, so that a word's sum is its hash times the power at its end
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(LOWER[part] * POWERS[: len(part)][::-1], dtype=np.uint64)))
+        hashes = (sums[ends] - sums[starts]) * INVERSES[len(part) - ends]
+        hashes ^= hashes >> np.uint64(29)
+        hashes *= FACTOR
+        out += np.bincount((hashes >> np.uint64(64 - 9)).astype(np.int64), minlength=WORD_TERMS)
+    return out
+
+
+def _inverses() -> np.ndarray:
+    return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(PART, pow(int(FACTOR), -1, 1 << 64), np.uint64))))
+
+
+INVERSES = _inverses()
 
 
 def term_counts(text: bytes) -> np.ndarray:
-    kinds = CLASSES[np.frombuffer(text, np.uint8)]
+    raw = np.frombuffer(text, np.uint8)
+    kinds = CLASSES[raw]
     out = np.bincount(kinds[:-1] * KINDS + kinds[1:], minlength=TERMS).astype(np.float32)
     words = text.split()
     repeats = sum(map(operator.eq, words, words[1:]))
     # a repeated word counts as its bytes, the measure of the other terms
-    out[-1] = repeats * len(text) / max(1, len(words))
+    out[PAIRS - 1] = repeats * len(text) / max(1, len(words))
+    if len(raw) > 1:
+        out[PAIRS:] = word_counts(raw)
     return out
 
 
 def weighted(counts: np.ndarray) -> np.ndarray:
-    return np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
+    parts = [np.sqrt(part / np.maximum(part.sum(1, keepdims=True), 1)) for part in (counts[:, :PAIRS], counts[:, PAIRS:])]
+    return np.concatenate((parts[0], parts[1] * np.float32(WORD_WEIGHT)), axis=1)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:

@@ -12,7 +12,8 @@ of bytes. The margin and the rates of hits in toxic and ordinary text are calibr
 dictionary: of all margins, that with the largest divergence of the two rates. The score is the posterior of a document's count
 of hits among its windows under two Poisson rates.
 
-Fitting takes a bounded sample of labelled documents: about SAMPLE of each label by hash, of at most SAMPLE_CHARS characters.
+Fitting takes a bounded sample of labelled documents: about SAMPLE of each label by hash; a text of more than SAMPLE_CHARS
+characters gives a passage of PASSAGE_CHARS.
 Scoring reads whole texts.
 
 Defined results: a null or empty text has no window and scores the share of toxic documents among the labelled; with labels of one kind or
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 from .common import append_columns, fold, read_table, utf8
 
 SAMPLE = 2000
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS, PASSAGE_CHARS = 20_000, 2000
 GRAMS, SUPPORT, RATIO = (5, 7, 9), 1e-4, 6.0
 DICTIONARY, MARKS = 16_384, 2048
 MIN_MATCH = 4
@@ -163,14 +164,17 @@ class Model:
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, size: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[DataFrame, float]:
-    """(text, label) of about `size` documents of each label, by hash, and the share of label 1 among the learnable labels."""
+    """(doc_id, text, label) of about `size` documents of each label, by hash, a passage of those longer than `chars`, and the share of label 1 among the learnable labels."""
     usable = labels.filter(learnable & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("label"))
     counts = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     limit = F.when(F.col("label") == 1, F.lit(int(min(1.0, size / max(1, counts.get(1, 0))) * (1 << 30)))).otherwise(F.lit(int(min(1.0, size / max(1, counts.get(0, 0))) * (1 << 30))))
     chosen = usable.filter(place < limit)  # 2 x size rows or so: a bounded broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.length("text") <= chars)
-    return texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label"), counts.get(1, 0) / max(1, sum(counts.values()))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # a longer text gives a short passage, that begins where its hash says: it can't outweigh the others
+    start = 1 + F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.length("text") - PASSAGE_CHARS + 1, F.lit(1)))
+    bounded = F.when(F.length("text") <= chars, F.col("text")).otherwise(F.substring("text", start.cast("int"), F.lit(min(PASSAGE_CHARS, chars))))
+    return texts.select("doc_id", bounded.alias("text"), "label"), counts.get(1, 0) / max(1, sum(counts.values()))
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, learnable: Column) -> Model:
