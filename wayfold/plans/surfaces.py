@@ -241,3 +241,57 @@ def box_tree_search(spark, d):
     tiles = {v: F.sequence(F.floor((F.col(f"min{v}") * _STEP - 1.5) / 80), F.floor((F.col(f"max{v}") * _STEP + 1.5) / 80)) for v in "xz"}
     asked = whole.withColumn("tx", F.explode(tiles["x"])).withColumn("tz", F.explode(tiles["z"])).withColumn("tile", F.col("tx") + 8 * F.col("tz")).filter("tx >= 0 AND tx < 5 AND tz >= 0").drop("tx", "tz")
     return B.search_trees(asked, cut(B.build_trees(_boxes(spark, d))))
+
+
+# --- terrain files
+
+
+def _tile_files(spark, d):
+    """Parts as the chunks of terrain tiles, written as files' bytes: (path, content), at most 256 chunks in each."""
+    import pandas as pd
+
+    from ..sources import chunks as K
+
+    k, size = F.col("p_partkey"), F.col("p_size")
+    parts = W.table(spark, d, "part").select(F.floor(k / 256).alias("tile"), (k % 256).cast("int").alias("n"), size.alias("size"), k.alias("key"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        body = K.chunk("MVER", (18).to_bytes(4, "little"))
+        for r in pdf.sort_values("n").itertuples():
+            heights = [float(r.size) + i * 0.25 for i in range(145)] if r.size % 7 else None
+            layers = [(int(r.key) * 3 + i, i, i * 64, 7) for i in range(r.size % 4)]
+            tiles = [15 if (i + r.size) % 5 == 0 else i % 8 for i in range(64)]
+            liquid = (0.0, 9.0, [float(r.size) + i * 0.5 for i in range(81)], tiles) if r.size % 3 == 0 else None
+            body += K.terrain_bytes(int(r.n) % 16, int(r.n) // 16, int(r.key), [0, 4, 8, 16, 32][r.size % 5], int(r.size) * 1317 % 65536, (float(r.n), float(r.size), 1.5), heights, layers, liquid)
+        return pd.DataFrame({"path": [f"tile_{pdf.tile.iloc[0]}.adt"], "content": [body]})
+
+    return parts.groupBy("tile").applyInPandas(pack, "path string, content binary")
+
+
+@query(
+    "terrain_files",
+    """SELECT 'tile_' || p_partkey // 256 || '.adt' AS path, CAST(p_partkey % 16 AS INT) AS cx, CAST(p_partkey % 256 // 16 AS INT) AS cy, CAST(p_partkey AS BIGINT) AS area_id, CAST(p_size * 1317 % 65536 AS INT) AS holes, CAST(p_partkey % 256 AS BIGINT) AS x,
+      CASE WHEN p_size % 7 <> 0 THEN CAST(145 * p_size * 4 + 145 * 72 AS BIGINT) END AS quarters, CASE WHEN p_size % 4 > 0 THEN CAST((p_size % 4) * p_partkey * 3 + (p_size % 4) * (p_size % 4 - 1) // 2 AS BIGINT) END AS textures, false AS damaged FROM part""",
+)
+def terrain_files(spark, d):
+    """The chunks of the parts' tiles, written and read again."""
+    from ..sources import chunks as K
+
+    add = lambda name: F.aggregate(name, F.lit(0.0), lambda t, h: t + h)
+    read = K.read_terrain(_tile_files(spark, d))
+    textures = F.aggregate("layers.texture_id", F.lit(0).cast("long"), lambda t, v: t + v)
+    return read.select("path", "cx", "cy", "area_id", "holes", F.col("x").cast("long").alias("x"), (add("heights") * 4).cast("long").alias("quarters"), F.when(F.size("layers") > 0, textures).alias("textures"), F.col("error").isNotNull().alias("damaged"))
+
+
+@query(
+    "old_liquid",
+    f"""WITH c AS (SELECT 'tile_' || p_partkey // 256 || '.adt' AS path, CAST(p_partkey % 16 AS INT) AS cx, CAST(p_partkey % 256 // 16 AS INT) AS cy, p_size, p_partkey % 256 AS n FROM part WHERE p_size % 3 = 0 AND p_size % 5 <> 0)
+    SELECT path, cx, cy, CAST(i // 8 AS INT) AS row, CAST(i % 8 AS INT) AS col, ['water', 'ocean', 'magma', 'slime'][CAST(p_size % 5 AS INT)] AS kind, {Q("n - (i // 8) * (533.33333::DOUBLE / 128)")} AS x, CAST(2 * p_size + (i // 8) * 9 + i % 8 AS BIGINT) AS nw2, CAST(2 * p_size + (i // 8 + 1) * 9 + i % 8 + 1 AS BIGINT) AS se2
+    FROM c, range(64) AS r(i) WHERE (i + p_size) % 5 <> 0""",
+)
+def old_liquid(spark, d):
+    """Liquid quads of the parts' tiles."""
+    from ..sources import chunks as K
+
+    quads = K.old_liquid_quads(K.read_terrain(_tile_files(spark, d)))
+    return quads.select("path", "cx", "cy", "row", "col", "kind", G.quantised(F.col("x")).alias("x"), (F.col("nw") * 2).cast("long").alias("nw2"), (F.col("se") * 2).cast("long").alias("se2"))
