@@ -175,3 +175,48 @@ def test_archives_in_the_order_they_are_loaded(spark):
     got = [r.p for r in spark.createDataFrame([(n,) for n in names], "p string").orderBy(natural_key(F.col("p"))).collect()]
     assert got[:2] == ["Data/enUS/locale.MPQ", "Data\\enUS\\patch-enUS-3.MPQ"]
     assert got[2:8] == ["Data/common.MPQ", "Data/patch-0.MPQ", "Data/patch.MPQ", "Data/common-2.MPQ", "Data/patch-2.MPQ", "Data/patch-10.MPQ"]
+
+
+def test_paths_are_validated_as_their_flags_say(spark):
+    from wayfold.operators import paths as P
+
+    edges, links = row_of_squares(4)
+    e, k, c = tables(spark, edges, links)
+    line = [(0.5, 0.2), (1.5, 1.8), (2.5, -1.0), (3.5, 0.5)]
+    rows = [(flags, i, x, 0.0, z) for flags in (0, P.SNAP, P.CHAIKIN, P.CHAIKIN | P.SNAP, P.CHAIKIN | P.WALK, P.CHAIKIN | P.SNAP | P.WALK) for i, (x, z) in enumerate(line)]
+    paths = spark.createDataFrame(rows, "path_id long, seq int, x double, y double, z double")
+    flags = paths.selectExpr("path_id", "cast(path_id AS int) AS flags").distinct()
+    out = {}
+    for r in S.answer_paths(paths, flags, e, S.portals(k, e), 1.0).orderBy("path_id", "seq").collect():
+        out.setdefault(r.path_id, []).append((r.x, r.z))
+    assert out[0] == out[P.SNAP] == line  # what isn't smoothed isn't validated
+    smoothed = out[P.CHAIKIN]
+    assert len(smoothed) > 4 and any(not 0 <= z <= 1 for _, z in smoothed)
+    inside = [(x, min(max(z, 0.0), 1.0)) for x, z in smoothed]
+    assert [v for p in out[P.CHAIKIN | P.SNAP] for v in p] == pytest.approx([v for p in inside for v in p]) and out[P.CHAIKIN | P.SNAP | P.WALK] == out[P.CHAIKIN | P.SNAP]
+    assert [p[0] for p in out[P.CHAIKIN | P.WALK]] == pytest.approx([p[0] for p in inside]) and all(0 <= z <= 1 for _, z in out[P.CHAIKIN | P.WALK][1:])
+    every = S.answer_paths(paths, flags, e, S.portals(k, e), 1.0, validate_all=True).filter(f"path_id = {P.SNAP}").collect()
+    assert sorted((r.x, r.z) for r in every) == [(x, min(max(z, 0.0), 1.0)) for x, z in line]
+
+
+def test_refs_of_tiles_that_were_replaced_or_are_short(spark):
+    from wayfold.functions import geometry as G
+    from wayfold.operators import meshes as M
+
+    rows = [(1, 1, 5, 0), (2, 2, 5, 0), (3, 1, 5, 9), (4, 1, 5, 10), (5, 1, 6, 0), (6, 0, 0, 0)]
+    refs = spark.createDataFrame(rows, "n int, salt int, tile int, poly long").withColumn("ref", G.encode_ref(F.col("salt"), F.col("tile"), F.col("poly")))
+    tiles = spark.createDataFrame([(5, 1, 10), (0, 0, 5)], "tile int, salt int, polys long")
+    assert sorted(r.n for r in M.valid_refs(refs.select("n", "ref"), tiles).collect()) == [1, 3]
+
+
+def test_points_are_uniform_over_the_mesh(spark):
+    edges = square(1, 0, 0, 0.0, 1.0) + square(2, 10, 0, 0.0, 3.0) + [(3, i, 5.0, 0.0, 5.0, 5.0, 0.0, 5.0, -1) for i in range(4)]
+    e = tables(spark, edges, [])[0]
+    asked = spark.range(4000).selectExpr("id AS request_id")
+    rows = S.random_points_anywhere(asked, e, seed=3).collect()
+    assert sorted(rows) == sorted(S.random_points_anywhere(asked.repartition(7), e.repartition(3), seed=3).collect()) and len(rows) == 4000
+    big = [r for r in rows if r.ref == 2]
+    assert abs(len(big) / 4000 - 0.9) < 0.02 and {r.ref for r in rows} == {1, 2}
+    assert all(10 <= r.x <= 13 and 0 <= r.z <= 3 for r in big)
+    assert abs(sum(r.x < 11.5 for r in big) / len(big) - 0.5) < 0.04 and abs(sum(r.z < 1 for r in big) / len(big) - 1 / 3) < 0.04
+    assert S.random_points_anywhere(asked, e.filter("ref = 3")).collect() == [] and S.random_points_anywhere(asked.limit(0), e).collect() == []

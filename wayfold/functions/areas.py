@@ -48,3 +48,24 @@ def default_costs(spark: SparkSession, faction_cost: float = FACTION_COST) -> Da
                 cost *= faction_cost
             rows.append((state, area, cost))
     return spark.createDataFrame(rows, "state string, area int, cost double")
+
+
+# Fixed values of the older tile formats: bits of their areas, those that walkers take and refuse, and costs, which are kept under the bit as area number.
+MMAP_BITS = {"335a": {"ground": 1, "steep": 2, "water": 4, "magma_slime": 8}, "548": {"ground": 1, "magma": 2, "slime": 4, "water": 8}}
+MMAP_REFUSED = ("steep",)
+MMAP_WATER_COST, MMAP_LIQUID_COST = 1.3, 4.0
+
+
+def mmap_rows(water: float = MMAP_WATER_COST, liquid: float = MMAP_LIQUID_COST) -> list[tuple[str, str, int, int, dict[int, float]]]:
+    """(format, state, include, exclude, costs other than 1 by area number) of the filters that tiles of the older formats start with; the dead pay nothing extra."""
+    rows = []
+    for kind, bits in MMAP_BITS.items():
+        refused = sum(b for n, b in bits.items() if n in MMAP_REFUSED)
+        costs = {b: water if n == "water" else liquid for n, b in bits.items() if n not in (*MMAP_REFUSED, "ground")}
+        rows += [(kind, state, sum(bits.values()) - refused, refused, {} if state == "dead" else costs) for state in STATES]
+    return rows
+
+
+def mmap_filters(spark: SparkSession, water: float = MMAP_WATER_COST, liquid: float = MMAP_LIQUID_COST) -> DataFrame:
+    """mmap_rows() as a table (format, state, include, exclude, costs): one row for each format and state."""
+    return spark.createDataFrame(mmap_rows(water, liquid), "format string, state string, include int, exclude int, costs map<int,double>")

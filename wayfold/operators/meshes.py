@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import overlaps, rotate_zyx
+from ..functions.geometry import decode_ref, overlaps, rotate_zyx
 
 # The steepest slope, the deepest look-up of parents, city flags, and tolerances of border links.
 MAX_SLOPE = 55.0
@@ -86,6 +86,14 @@ def replace_tiles(tiles: DataFrame, new: DataFrame) -> DataFrame:
     return tiles.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
+def valid_refs(refs: DataFrame, tiles: DataFrame) -> DataFrame:
+    """The rows of `refs` (ref, ...) whose polygon is there: their tile's number is one of `tiles` (tile, salt, polys), it still has the ref's salt, and the polygon's number is below its polys."""
+    at = decode_ref(F.col("ref"))
+    known = tiles.select(F.col("tile").cast("long").alias("_tile"), F.col("salt").cast("long").alias("_salt"), F.col("polys").alias("_polys"))
+    found = refs.withColumns({"_tile": at["tile"].cast("long"), "_salt": at["salt"].cast("long"), "_poly": at["poly"]}).join(known, ["_tile", "_salt"])
+    return found.filter((F.col("ref") > 0) & (F.col("_poly") < F.col("_polys"))).select(*refs.columns)
+
+
 def centroids(edges: DataFrame) -> DataFrame:
     """(ref, x, y, z): the mean of each polygon's corners."""
     return edges.groupBy("ref").agg(*(F.avg(f"a{v}").alias(v) for v in "xyz"))

@@ -9,11 +9,11 @@ portal midpoints whatever the costs. The one sequential part, pulling a route ti
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cross_2d, crosses_edge, segment_t, triangle_height
-from .paths import split_legs
+from .paths import MAX_POINTS, SNAP, WALK, number_points, smooth, smoothing_of, split_legs, truncate, whole_path
 from .rounds import cut, relax, trace
 
 # Extents of the search for the polygon of a point, and for its height.
@@ -282,26 +282,82 @@ def walk(paths: DataFrame, edges: DataFrame, doors: DataFrame, climb: float, lon
     return out
 
 
+def snap_paths(paths: DataFrame, edges: DataFrame, climb: float) -> DataFrame:
+    """Each point of a path moved to its nearest polygon; points that have none go."""
+    points = paths.withColumn("request_id", F.struct("path_id", "seq")).select("request_id", *"xyz")
+    found = nearest(points, edges, climb).select(F.col("request_id.path_id").alias("path_id"), F.col("request_id.seq").alias("n"), *"xyz")
+    return number_points(found, "path_id", ["n"])
+
+
+def answer_paths(paths: DataFrame, flags: DataFrame, edges: DataFrame, doors: DataFrame, climb: float, validate_all: bool = False, max_points: int = MAX_POINTS) -> DataFrame:
+    """Paths as their flags (path_id, flags) ask for them: smoothed, and then, what was smoothed (with `validate_all` every path, as random ones are), snapped to the mesh by SNAP or walked along it by
+    WALK; SNAP goes before WALK. At most max_points of each; paths without flags are left out."""
+    counted = paths.join(flags, "path_id").withColumn("kind", smoothing_of(F.col("flags"), F.count("*").over(whole_path())))
+    checked = (F.col("kind") != 0) | F.lit(validate_all)
+    check = F.when(checked & (F.col("flags").bitwiseAND(SNAP) != 0), SNAP).when(checked & (F.col("flags").bitwiseAND(WALK) != 0), WALK).otherwise(0)
+    checks = counted.groupBy("path_id").agg(F.max(check).alias("check"))
+    smoothed = cut(smooth(paths, flags, max_points).join(checks, "path_id"))
+
+    def part(value: int) -> DataFrame:
+        return smoothed.filter(F.col("check") == value).drop("check")
+
+    out = part(0).unionByName(snap_paths(part(SNAP), edges, climb)).unionByName(walk(part(WALK), edges, doors, climb))
+    return truncate(out, max_points)
+
+
 def _uniform(seed: int, *key: Column) -> Column:
     """A number above 0 and at most 1 that depends on the key and the seed alone: reruns agree."""
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11).cast("double") + 1) / float(1 << 53)
 
 
+def _fans(edges: DataFrame) -> DataFrame:
+    """Polygons cut into triangles about their first corner: (ref, edge, weight, ox .. bz), those with ground; weight is the area."""
+    first = edges.filter("edge = 0").select("ref", *(F.col(f"a{v}").alias(f"o{v}") for v in "xyz"))
+    area = F.abs(cross_2d(F.col("ox"), F.col("oz"), F.col("ax"), F.col("az"), F.col("bx"), F.col("bz"))) / 2
+    return edges.join(first, "ref").withColumn("weight", area).filter("weight > 0").select("ref", "edge", "weight", *(f"{p}{v}" for p in "oab" for v in "xyz"))
+
+
+def _point_in(triangle: str, seed: int) -> list[Column]:
+    """A uniform point of the triangle in the struct `triangle`, for a request."""
+    s, v = F.sqrt(_uniform(seed + 1, F.col("request_id"))), _uniform(seed + 2, F.col("request_id"))
+    return [((1 - s) * F.col(f"{triangle}.o{k}") + s * (1 - v) * F.col(f"{triangle}.a{k}") + s * v * F.col(f"{triangle}.b{k}")).alias(k) for k in "xyz"]
+
+
 def random_points(choices: DataFrame, edges: DataFrame, seed: int = 0) -> DataFrame:
     """(request_id, ref, x, y, z): a point for each request, uniform over the ground of its polygons; `choices` has (request_id, ref).
 
     Polygons are cut into triangles about their first corner. The triangle with the largest u ** (1 / area) is taken, which picks
     it with a chance in proportion to its area in one aggregation, and the point in it is uniform.
     """
-    first = edges.filter("edge = 0").select("ref", *(F.col(f"a{v}").alias(f"o{v}") for v in "xyz"))
-    fans = edges.join(first, "ref")
-    area = F.abs(cross_2d(F.col("ox"), F.col("oz"), F.col("ax"), F.col("az"), F.col("bx"), F.col("bz"))) / 2
-    fans = fans.withColumn("weight", area).filter("weight > 0").select("ref", "edge", "weight", *(f"{p}{v}" for p in "oab" for v in "xyz"))
-    drawn = choices.join(fans, "ref").withColumn("draw", F.log(_uniform(seed, F.col("request_id"), F.col("ref"), F.col("edge"))) / F.col("weight"))
+    drawn = choices.join(_fans(edges), "ref").withColumn("draw", F.log(_uniform(seed, F.col("request_id"), F.col("ref"), F.col("edge"))) / F.col("weight"))
     best = drawn.groupBy("request_id").agg(F.max_by(F.struct("ref", *(f"{p}{v}" for p in "oab" for v in "xyz")), F.struct("draw", "ref", "edge")).alias("t"))
-    s, v = F.sqrt(_uniform(seed + 1, F.col("request_id"))), _uniform(seed + 2, F.col("request_id"))
-    point = [((1 - s) * F.col(f"t.o{k}") + s * (1 - v) * F.col(f"t.a{k}") + s * v * F.col(f"t.b{k}")).alias(k) for k in "xyz"]
-    return best.select("request_id", "t.ref", *point)
+    return best.select("request_id", "t.ref", *_point_in("t", seed))
+
+
+#: Parts of a mesh whose areas are summed apart.
+SUMMED = 256
+
+
+def random_points_anywhere(requests: DataFrame, edges: DataFrame, seed: int = 0) -> DataFrame:
+    """As random_points, over the whole mesh: one draw for each request (request_id) along the summed areas of all triangles, which meets its triangle by an equi-join on slots, about as
+    many as triangles; a large triangle covers several. No request meets all polygons."""
+    along = Window.partitionBy("part").orderBy("ref", "edge")
+    fans = _fans(edges).withColumn("part", F.pmod(F.xxhash64("ref"), F.lit(SUMMED))).withColumn("end", F.sum("weight").over(along))
+    # each triangle begins where the one before it ends, to the last bit, so that no place falls between two
+    fans = cut(fans.withColumn("begin", F.coalesce(F.lag("end").over(along), F.lit(0.0))))
+    parts = fans.groupBy("part").agg(F.max("end").alias("part_end"), F.count("*").alias("part_n")).withColumn("ends", F.sum("part_end").over(Window.orderBy("part")))
+    everything = Window.partitionBy()  # SUMMED rows at most
+    offsets = parts.select("part", F.coalesce(F.lag("ends").over(Window.orderBy("part")), F.lit(0.0)).alias("offset"), F.max("ends").over(everything).alias("total"), F.sum("part_n").over(everything).alias("slots"))
+    placed = fans.join(F.broadcast(offsets), "part").withColumn("low", F.col("offset") + F.col("begin")).withColumn("high", F.col("offset") + F.col("end"))
+    slot = lambda at: F.floor(at / F.col("total") * F.col("slots"))
+    triangle = F.struct("ref", "edge", *(f"{p}{v}" for p in "oab" for v in "xyz")).alias("t")
+    lanes = placed.select("low", "high", triangle, F.explode(F.sequence(slot(F.col("low")), slot(F.col("high")))).alias("slot"))
+    asked = requests.select("request_id", _uniform(seed, F.col("request_id")).alias("u")).join(F.broadcast(offsets.select("total", "slots").limit(1)))
+    asked = asked.withColumn("at", F.col("u") * F.col("total")).withColumn("slot", slot(F.col("u") * F.col("total")))
+    # a place on a border belongs to the triangle that begins there
+    met = asked.join(lanes, "slot").filter((F.col("low") <= F.col("at")) & (F.col("at") <= F.col("high")))
+    best = met.groupBy("request_id").agg(F.max_by("t", F.struct("low", "t.ref", "t.edge")).alias("t"))
+    return best.select("request_id", "t.ref", *_point_in("t", seed))
 
 
 def random_points_around(requests: DataFrame, edges: DataFrame, doors: DataFrame, seed: int = 0) -> DataFrame:

@@ -72,6 +72,22 @@ def filter_defaults(spark, d):
     return A.default_costs(spark).select("state", "area", G.quantised(F.col("cost")).alias("cost"))
 
 
+_MMAP_SQL = ", ".join(f"('{k}', '{st}', {inc}, {exc}, {costs.get(1, 1.0)}::DOUBLE, {costs.get(2, 1.0)}::DOUBLE, {costs.get(4, 1.0)}::DOUBLE, {costs.get(8, 1.0)}::DOUBLE)" for k, st, inc, exc, costs in A.mmap_rows())
+
+
+@query(
+    "mmap_filter",
+    f"""WITH f(format, state, inc, exc, c1, c2, c4, c8) AS (VALUES {_MMAP_SQL})
+    SELECT p_partkey, format, state, CASE p_size % 10 WHEN 1 THEN c1 WHEN 2 THEN c2 WHEN 4 THEN c4 WHEN 8 THEN c8 ELSE 1.0::DOUBLE END AS cost FROM part, f WHERE (p_size % 16) & inc <> 0 AND (p_size % 16) & exc = 0""",
+)
+def mmap_filter(spark, d):
+    """Parts as polygons of the older formats: which walkers may enter each, and at what cost."""
+    polys = W.table(spark, d, "part").select("p_partkey", (F.col("p_size") % 16).alias("flags"), (F.col("p_size") % 10).alias("area"))
+    asked = polys.join(F.broadcast(A.mmap_filters(spark)))  # eight filters
+    kept = asked.filter(G.passes(F.col("flags"), F.col("include"), F.col("exclude")))
+    return kept.select("p_partkey", "format", "state", F.coalesce(F.try_element_at("costs", F.col("area")), F.lit(1.0)).alias("cost"))
+
+
 @query(
     "filter_override",
     f"""WITH {DEFAULTS_SQL}, last AS (SELECT user_id AS client_id, CAST(event_id % 27 + 1 AS INT) AS area, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL),

@@ -86,9 +86,9 @@ def quad_triangulate(spark, d):
     return tris.groupBy("chunk").agg(F.count("*").alias("tris"), F.sum("b").cast("long").alias("centres"), F.sum("a").cast("long").alias("corners"))
 
 
-@query("terrain_heights", f"SELECT p_partkey AS chunk, i, {Q('CAST(p_retailprice AS DOUBLE) + i * 0.25')} AS z FROM part, (SELECT unnest(range(145)) AS i) WHERE p_partkey % 10 = 0")
+@query("terrain_heights", f"SELECT p_partkey AS chunk, i, {Q('CAST(p_retailprice AS DOUBLE) + i * 0.25')} AS z FROM part, (SELECT unnest(range(145)) AS i)")
 def terrain_heights(spark, d):
-    chunks = W.table(spark, d, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("chunk"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("p_retailprice").alias("z"), F.transform(F.sequence(F.lit(0), F.lit(144)), lambda i: i * 0.25).alias("heights"))
+    chunks = W.table(spark, d, "part").select(F.col("p_partkey").alias("chunk"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("p_retailprice").alias("z"), F.transform(F.sequence(F.lit(0), F.lit(144)), lambda i: i * 0.25).alias("heights"))
     return M.terrain_vertices(chunks).select("chunk", F.col("i").cast("long").alias("i"), G.quantised(F.col("z")).alias("z"))
 
 
@@ -220,6 +220,29 @@ def valid_refs(spark, d):
     return W.table(spark, d, "lineitem").join(parts, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber")
 
 
+@query(
+    "ref_validity",
+    """WITH r AS (SELECT l_orderkey, l_linenumber, 1 + l_orderkey % 3 AS salt, l_suppkey % 2097152 AS tile, l_partkey AS poly FROM lineitem), t AS (SELECT s_suppkey AS tile, 1 + s_nationkey % 3 AS salt, CAST(abs(s_acctbal) AS BIGINT) AS polys FROM supplier WHERE s_nationkey <> 7)
+    SELECT l_orderkey, l_linenumber, (salt::BIGINT << 52) | (tile << 31) | poly AS ref FROM r JOIN t USING (tile, salt) WHERE poly < polys""",
+)
+def ref_validity(spark, d):
+    """Line items as refs into suppliers' tiles, of which some are gone, others were replaced since, and all have a number of polygons."""
+    ref = G.encode_ref(1 + F.col("l_orderkey") % 3, F.col("l_suppkey") % 2097152, F.col("l_partkey"))
+    refs = W.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", ref.alias("ref"))
+    tiles = W.table(spark, d, "supplier").filter("s_nationkey <> 7").select(F.col("s_suppkey").alias("tile"), (1 + F.col("s_nationkey") % 3).alias("salt"), F.round(F.abs("s_acctbal")).cast("long").alias("polys"))
+    return M.valid_refs(refs, tiles)
+
+
+TEXTURES = ("Road", "Grass", "CobbleStone", "Dirt", "oldbrick", "Paved", "Rock", "FlagStone", "broad")
+
+
+@query("texture_roads", f"SELECT p_partkey, name FROM (SELECT p_partkey, 'tileset/' || {list(TEXTURES)}[p_partkey % 9 + 1] || p_size || '.blp' AS name FROM part) WHERE regexp_matches(lower(name), '{ROADS}')")
+def texture_roads(spark, d):
+    """Textures that are roads by their names."""
+    name = F.concat(F.lit("tileset/"), F.element_at(F.array(*map(F.lit, TEXTURES)), (F.col("p_partkey") % 9 + 1).cast("int")), F.col("p_size").cast("string"), F.lit(".blp"))
+    return W.table(spark, d, "part").select("p_partkey", name.alias("name")).filter(F.lower("name").rlike(ROADS))
+
+
 @query("seg_intersect", f"""WITH {W.CORNERS_SQL}, s AS (SELECT o_orderkey, bx - ax AS ux, bz - az AS uz, 50 - cx AS vx, 40 - cz AS vz, ax - cx AS wx, az - cz AS wz FROM t), e AS (SELECT *, ux * vz - uz * vx AS det FROM s)
     SELECT o_orderkey, {Q("(vx * wz - vz * wx) / det")} AS s, {Q("(ux * wz - uz * wx) / det")} AS t FROM e WHERE abs(det) >= 1e-6""")
 def seg_intersect(spark, d):
@@ -234,17 +257,18 @@ def poly_centroid(spark, d):
 
 @query(
     "place_models",
-    f"""WITH p AS (SELECT s_suppkey AS placement, s_suppkey % 7 AS model, s_suppkey % 13 / 4.0::DOUBLE AS rx, s_suppkey % 11 / 5.0::DOUBLE AS ry, s_suppkey % 17 / 6.0::DOUBLE AS rz, 1 + s_suppkey % 3 / 2.0::DOUBLE AS k, s_acctbal AS px FROM supplier),
-    m AS (SELECT p_partkey % 7 AS model, p_partkey AS vid, p_size * 1.0::DOUBLE AS x, p_retailprice / 100 AS y, p_size % 5 * 1.0::DOUBLE AS z FROM part WHERE p_partkey <= 70),
+    f"""WITH p AS (SELECT s_suppkey AS placement, s_suppkey * 20 % (SELECT max(p_partkey) // 10 + 1 FROM part) AS model, s_suppkey % 13 / 4.0::DOUBLE AS rx, s_suppkey % 11 / 5.0::DOUBLE AS ry, s_suppkey % 17 / 6.0::DOUBLE AS rz, 1 + s_suppkey % 3 / 2.0::DOUBLE AS k, s_acctbal AS px FROM supplier),
+    m AS (SELECT p_partkey // 10 AS model, p_partkey AS vid, p_size * 1.0::DOUBLE AS x, p_retailprice / 100 AS y, p_size % 5 * 1.0::DOUBLE AS z FROM part),
     a AS (SELECT placement, vid, rx, ry, px, x * k * cos(rz) - y * k * sin(rz) AS x1, x * k * sin(rz) + y * k * cos(rz) AS y1, z * k AS z1 FROM p JOIN m USING (model)),
     b AS (SELECT *, x1 * cos(ry) + z1 * sin(ry) AS x2, z1 * cos(ry) - x1 * sin(ry) AS z2 FROM a)
     SELECT placement, vid, {Q("x2 + px")} AS x, {Q("y1 * cos(rx) - z2 * sin(rx)")} AS y, {Q("y1 * sin(rx) + z2 * cos(rx)")} AS z FROM b""",
 )
 def place_models(spark, d):
     k = F.col("s_suppkey")
-    placements = W.table(spark, d, "supplier").select(k.alias("placement"), (k % 7).alias("model"), (k % 13 / 4.0).alias("rx"), (k % 11 / 5.0).alias("ry"), (k % 17 / 6.0).alias("rz"), (1 + k % 3 / 2.0).alias("scale"), F.col("s_acctbal").alias("px"), F.lit(0.0).alias("py"), F.lit(0.0).alias("pz"))
+    models = W.table(spark, d, "part").agg((F.floor(F.max("p_partkey") / 10) + 1).alias("models"))  # one row
+    placements = W.table(spark, d, "supplier").join(F.broadcast(models)).select(k.alias("placement"), (k * 20 % F.col("models")).alias("model"), (k % 13 / 4.0).alias("rx"), (k % 11 / 5.0).alias("ry"), (k % 17 / 6.0).alias("rz"), (1 + k % 3 / 2.0).alias("scale"), F.col("s_acctbal").alias("px"), F.lit(0.0).alias("py"), F.lit(0.0).alias("pz"))
     size = F.col("p_size")
-    verts = W.table(spark, d, "part").filter("p_partkey <= 70").select((F.col("p_partkey") % 7).alias("model"), F.col("p_partkey").alias("vid"), (size * 1.0).alias("x"), (F.col("p_retailprice") / 100).alias("y"), (size % 5 * 1.0).alias("z"))
+    verts = W.table(spark, d, "part").select(F.floor(F.col("p_partkey") / 10).alias("model"), F.col("p_partkey").alias("vid"), (size * 1.0).alias("x"), (F.col("p_retailprice") / 100).alias("y"), (size % 5 * 1.0).alias("z"))
     return M.place(verts, placements).select("placement", "vid", *(G.quantised(F.col(v)).alias(v) for v in "xyz"))
 
 

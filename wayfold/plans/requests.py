@@ -75,17 +75,10 @@ def grid_polylines(spark, d):
     SELECT path_id, CAST(row_number() OVER (PARTITION BY path_id ORDER BY seq) - 1 AS BIGINT) AS seq, {Q("x")} AS x, {Q("y")} AS y, {Q("z")} AS z FROM b""",
 )
 def cpop_snap(spark, d):
-    out = snap_path(grid_polylines(spark, d), W.grid_edges(spark, d))
+    out = S.snap_paths(grid_polylines(spark, d), W.grid_edges(spark, d), CLIMB)
     return out.select("path_id", F.col("seq").cast("long").alias("seq"), *(G.quantised(F.col(v)).alias(v) for v in "xyz"))
 
 
-def snap_path(paths, edges):
-    """Each point of a path moved to its nearest polygon; points that have none go."""
-    points = paths.withColumn("request_id", F.struct("path_id", "seq")).select("request_id", *"xyz")
-    found = S.nearest(points, edges, CLIMB).select(F.col("request_id.path_id").alias("path_id"), F.col("request_id.seq").alias("seq"), *"xyz")
-    return P.number_points(found.withColumnRenamed("seq", "n"), "path_id", ["n"])
-
-
 @query(
     "grid_shortest_path",
     f"""WITH RECURSIVE {W.GRID_SQL}, ar(area, cost) AS (VALUES (1, 1.0::DOUBLE), (16, 1.6), (7, 1.0), (22, 4.0), (10, 1.0)), k AS (SELECT ref, c, r, cost FROM g JOIN ar USING (area)),
@@ -120,8 +113,10 @@ def placed(spark, d, requests):
 
 
 def straight_paths(spark, d):
+    """The orders' requests and their paths; one whose goal can't be reached leads to where it's nearest."""
     requests = cut(placed(spark, d, journeys(spark, d)))
-    return requests, S.pull_tight(requests, S.routes(requests, doors(spark, d), costs(spark, d)))
+    found = cut(S.routes(requests, doors(spark, d), costs(spark, d), partial=True))
+    return requests, S.pull_tight(S.with_ends(requests, found, W.grid_edges(spark, d)), found)
 
 
 @query("path_request")
@@ -205,9 +200,8 @@ def move_along_surface(spark, d):
 @query("random_point")
 def random_point(spark, d):
     """RANDOM_POINT for each customer over the whole grid."""
-    refs = W.grid_areas(spark, d).select(F.collect_list("ref").alias("refs"))  # 25 polygons
-    choices = W.table(spark, d, "customer").select(F.col("c_custkey").alias("request_id")).join(F.broadcast(refs)).select("request_id", F.explode("refs").alias("ref"))
-    return _snapped(S.random_points(choices, W.grid_edges(spark, d)))
+    asked = W.table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"))
+    return _snapped(S.random_points_anywhere(asked, W.grid_edges(spark, d)))
 
 
 @query("random_point_around")
@@ -227,3 +221,14 @@ def polys_around_circle(spark, d):
     grid = W.grid_edges(spark, d).filter("edge = 0")
     circles = grid.select(F.col("ref").alias("request_id"), (F.col("ax") + 0.5).alias("cx"), (F.col("az") + 0.5).alias("cz"), F.lit(0.55).alias("radius"))
     return S.reach(circles, doors(spark, d), grid.select(F.col("ref").alias("request_id"), "ref"))
+
+
+@query("path_answers")
+def path_answers(spark, d):
+    """Customers' polylines of four points over and beyond the grid, smoothed and validated by the flags of their keys."""
+    k = F.col("c_custkey")
+    points = W.table(spark, d, "customer").select(k.alias("path_id"), F.posexplode(F.array(*(F.struct((k * (3 + i) % 7 - 0.7).alias("x"), F.lit(0.5).alias("y"), (k * (5 - i) % 6 - 0.3).alias("z")) for i in range(4)))).alias("seq", "p")).select("path_id", "seq", "p.x", "p.y", "p.z")
+    points = points.withColumns({v: F.col(v).cast("double") for v in "xyz"})
+    flags = W.table(spark, d, "customer").select(k.alias("path_id"), (k % 32).cast("int").alias("flags"))
+    out = S.answer_paths(points, flags, W.grid_edges(spark, d), doors(spark, d), CLIMB)
+    return out.select("path_id", "seq", *(G.quantised(F.col(v)).alias(v) for v in "xyz"))
