@@ -47,6 +47,34 @@ def test_conversion_round_trip(spark):
     assert {x.arc_version for x in warc.read_arc(spark, arcs).collect()} == {1, 2}
 
 
+def test_damaged_archives_give_rows_with_errors(spark, tmp_path):
+    import gzip
+
+    arc = b"http://ok 0.0.0.0 20010203040506 text/html 3\nabc\n"
+    bad = b"short line\nanother\n" + b"http://x 0.0.0.0 20010203040506 text/html xx\n" + b"http://x 0.0.0.0 20010203040506 text/html -5\n"
+    zipped = gzip.compress(warc.version_block(1, "z") + (arc * 4000))
+    contents = {"a": warc.version_block(1, "a") + arc + bad + arc, "b": b"filedesc://b 0.0.0.0 20040101000000 text/plain 9\n1 0\n" + arc, "c": zipped[:-30], "d": b"", "e": warc.version_block(1, "e") + arc[:-3]}
+    (tmp_path / "arc").mkdir()
+    for name, raw in contents.items():
+        (tmp_path / "arc" / f"part-{name}").write_bytes(raw)
+    rows = warc.read_arc(spark, str(tmp_path / "arc")).collect()
+    good, wrong = [r for r in rows if r.error is None], [r for r in rows if r.error is not None]
+    assert {bytes(r.payload) for r in good} == {b"abc", b"a"} and sum(r.truncated for r in good) == 1 and len(good) > 3 and 3 <= len(wrong) <= 4
+    assert all(r.url is None and bytes(r.payload) == b"" for r in wrong)
+    warc.convert(spark, str(tmp_path / "arc"), str(tmp_path / "from_arc"))
+    assert warc.read_warc(spark, str(tmp_path / "from_arc")).filter("error IS NULL").count() == len(good)
+
+    one = warc.warc_record([("WARC-Type", "response"), ("WARC-Record-ID", "<1>"), ("WARC-Date", "d"), ("WARC-Payload-Digest", warc._digest(hashlib.sha1(b"x").hexdigest()))], b"x") + b"\r\n\r\n"
+    lacking = one.replace(b"WARC-Date: d\r\n", b"")
+    files = {"a": one + b"junk\nmore\n" + one, "b": b"WARC/1.1\r\nWARC-Type: response\r\n\r\nbody\n" + one, "c": one[:-8], "d": lacking + one.replace(b"sha1:", b"sha1:!") + one, "e": one.replace(b"response", b"metadata")}
+    (tmp_path / "warc").mkdir()
+    for name, raw in files.items():
+        (tmp_path / "warc" / f"part-{name}").write_bytes(raw)
+    rows = warc.read_warc(spark, str(tmp_path / "warc")).collect()
+    assert sum(r.error is None for r in rows) == 4 and all(r.payload_bytes == 1 and r.sound for r in rows if r.error is None)
+    assert len([r for r in rows if r.error]) >= 4
+
+
 def test_empty_pages_give_empty_archives(spark):
     arcs, warcs = work_path(spark, "arc"), work_path(spark, "warc")
     warc.write_arc(spark.createDataFrame([], PAGES).repartition(1), arcs)
@@ -95,6 +123,9 @@ def test_packet_table(spark):
     rows = matroska.add_packets(files, keep=["doc_id"]).select("doc_id", F.explode("packets").alias("p")).collect()
     assert sorted((r.doc_id, r.p.size) for r in rows) == [(1, 512)] * 4 + [(2, 64)] * 2
     assert matroska.add_packets(spark.createDataFrame([(1, None)], "doc_id long, media binary")).first().packets == []
+    whole = matroska.write_pcm(bytes(640))
+    damaged = matroska.add_packets(spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate((whole, whole[:-5], b"\x00", b"text", b""))], "doc_id long, media binary")).orderBy("doc_id").collect()
+    assert [r.error is None for r in damaged][:3] == [True, False, False] and damaged[0].packets and not any(r.packets for r in damaged[1:])
 
 
 # --- token shards

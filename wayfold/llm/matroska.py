@@ -5,7 +5,7 @@ of laced blocks, and cues. read() parses any Matroska bytes: variable-length ids
 Blocks in groups, and no, Xiph, fixed and EBML lacing, into packets with track, time and byte range.
 
 Defined results: a null text is an empty one; payloads have a positive multiple of 64 bytes; equal texts give equal bytes, for nothing
-in the file depends on time or chance; null media has no packets; bytes that end within an element raise ValueError.
+in the file depends on time or chance; null media has no packets; bytes that end within an element raise ValueError in read(), and are a row with an error in add_packets().
 """
 
 from __future__ import annotations
@@ -275,15 +275,26 @@ PACKET = "array<struct<track:bigint,time_ns:bigint,offset:bigint,size:bigint,key
 
 
 def add_packets(files: DataFrame, *, media: str = "media", keep: list[str] | None = None) -> DataFrame:
-    """`files` with packets, the packet table of each file; explode it for a row a packet."""
+    """`files` with packets, the packet table of each file (explode it for a row a packet), and error: what is wrong with a file whose bytes end within an element or aren't elements, and which so has no
+    packets; else null."""
     kind = T._parse_datatype_string(PACKET)
     arrow = pa.list_(pa.struct([("track", pa.int64()), ("time_ns", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("key", pa.bool_()), ("lacing", pa.string())]))
     names = [f.name for f in kind.elementType]
 
     def make():
-        return lambda batch: [pa.array([[] if x is None else [dict(zip(names, p, strict=True)) for p in read(x).packets] for x in batch.column(media).to_pylist()], arrow)]
+        def one(data: bytes | None) -> tuple[list[dict], str | None]:
+            try:
+                return ([] if data is None else [dict(zip(names, p, strict=True)) for p in read(data).packets]), None
+            except (ValueError, IndexError) as wrong:
+                return [], f"{type(wrong).__name__}: {wrong}"
 
-    return append_columns(files, [media], [T.StructField("packets", kind)], make, keep)
+        def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+            found = [one(x) for x in batch.column(media).to_pylist()]
+            return [pa.array([p for p, _ in found], arrow), pa.array([e for _, e in found], pa.string())]
+
+        return compute
+
+    return append_columns(files, [media], [T.StructField("packets", kind), T.StructField("error", T.StringType())], make, keep)
 
 
 def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:

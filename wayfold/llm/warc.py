@@ -11,7 +11,8 @@ so they are committed as any Spark output and go to any file system.
 
 Defined results: a null payload is an empty one; a null URL is about:blank; white space in URLs is percent-encoded; a null key is kept as no
 key, and such a record is a response only if no equal payload has one; repeated rows are records of their own, and the one
-identifier they share is a response in each; bytes that a file lacks make a record truncated, not lost.
+identifier they share is a response in each; bytes that an ARC file lacks make a record truncated, not lost; damage (a line that is no header, a length that is no number, a broken
+compression, a WARC record without a header it needs or with too few bytes) is a row with an error, and reading goes on at the next record.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ import hashlib
 import io
 import re
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
 import pyarrow as pa
@@ -44,8 +46,8 @@ NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "wayfold:arc")
 EPOCH = datetime(2004, 1, 1)
 FLUSH = 8 << 20
 
-ARC_SCHEMA = "key long, url string, ip string, date string, content_type string, arc_version int, http binary, payload binary, payload_bytes long, payload_digest string, truncated boolean"
-WARC_SCHEMA = "record_type string, record_id string, url string, date string, key long, refers_to long, refers_to_id string, payload_bytes long, payload_digest string, sound boolean"
+ARC_SCHEMA = "key long, url string, ip string, date string, content_type string, arc_version int, http binary, payload binary, payload_bytes long, payload_digest string, truncated boolean, error string"
+WARC_SCHEMA = "record_type string, record_id string, url string, date string, key long, refers_to long, refers_to_id string, payload_bytes long, payload_digest string, sound boolean, error string"
 
 
 def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], weigh) -> Iterator[pa.RecordBatch]:
@@ -103,22 +105,45 @@ def write_arc(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "
     chosen.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("compression", "gzip").text(path)
 
 
+def _length(value: str) -> int:
+    if not value.isascii() or not value.isdigit():
+        raise ValueError(f"no length: {value[:20]!r}")
+    return int(value)
+
+
 def arc_records(stream: io.BufferedIOBase) -> Iterator[dict]:
-    """The records of an ARC file: its header fields by name, version, body, and whether the file ends within it."""
-    version, fields = 1, ARC_FIELDS[1].split()
+    """The records of an ARC file: its header fields by name, version, body, and whether the file ends within it. Where a header line is expected and there is none, one record has an error alone,
+    and lines are passed over until the next that is one."""
+    version, fields, lost = 1, ARC_FIELDS[1].split(), False
     while line := stream.readline():
         line = line.strip(b"\r\n")
         if not line:
             continue
-        if line.startswith(b"filedesc://"):
-            about = stream.read(int(line.rsplit(b" ", 1)[1])).split(b"\n")
-            version, fields = int(about[0].split()[0]), about[1].decode().split()
+        try:
+            if line.startswith(b"filedesc://"):
+                about = stream.read(_length(line.rsplit(b" ", 1)[-1].decode("latin-1"))).split(b"\n")
+                if len(about) < 2 or b"Archive-length" not in about[1].split():
+                    raise ValueError("a version block without its fields")
+                version, fields, lost = int(about[0].split(b" ")[0]), about[1].decode("utf-8", "replace").split(), False
+                continue
+            record = dict(zip(fields, line.decode("utf-8", "replace").rsplit(" ", len(fields) - 1), strict=True))
+            length = _length(record["Archive-length"])
+        except ValueError as wrong:
+            if not lost:
+                yield {"error": f"{wrong} in {line[:40]!r}"}
+            lost = True
             continue
-        values = line.decode("utf-8", "replace").rsplit(" ", len(fields) - 1)
-        record = dict(zip(fields, values, strict=True))
-        length = int(record["Archive-length"])
+        lost = False
         body = stream.read(length)
-        yield record | {"version": version, "body": body, "truncated": len(body) < length}
+        yield record | {"version": version, "body": body, "truncated": len(body) < length, "error": None}
+
+
+def until_damage(records: Iterator, lost: Callable[[str], object]) -> Iterator:
+    """`records`, and lost(what is wrong) where their file can't be unpacked further."""
+    try:
+        yield from records
+    except (EOFError, OSError, zlib.error) as wrong:
+        yield lost(f"{type(wrong).__name__}: {wrong}")
 
 
 HTTP_END = re.compile(rb"\r?\n\r?\n")
@@ -149,18 +174,22 @@ def _opened(raw: pa.Scalar) -> io.BufferedIOBase:
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the ARC files below `path`, gzipped or not."""
+    """The records of the ARC files below `path`, gzipped or not; what isn't a record is a row with an error, whose other columns are null but for an empty payload."""
     names = [x.split()[0] for x in ARC_SCHEMA.split(", ")]
-    types = [pa.int64(), *[pa.string()] * 4, pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
+    types = [pa.int64(), *[pa.string()] * 4, pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
                 for raw in batch.column(0):
-                    for r in arc_records(_opened(raw)):
+                    for r in until_damage(arc_records(_opened(raw)), lambda wrong: {"error": wrong}):
+                        if r["error"] is not None:
+                            yield (*[None] * 5, None, None, b"", None, None, None, r["error"])
+                            continue
                         http, payload = split_http(r["body"])
                         key = http_value(http, KEY_HEADER)
-                        yield (None if key is None else int(key), r["URL"], r["IP-address"], r["Archive-date"], r["Content-type"], r["version"], http, payload, len(payload), hashlib.sha1(payload).hexdigest(), r["truncated"])
+                        whole = key is not None and re.fullmatch(r"-?[0-9]{1,18}", key)
+                        yield (int(key) if whole else None, r.get("URL", "about:blank"), r.get("IP-address", "0.0.0.0"), r.get("Archive-date", ""), r.get("Content-type"), r["version"], http, payload, len(payload), hashlib.sha1(payload).hexdigest(), r["truncated"], None)
 
         yield from _batches(rows(), names, types, lambda r: len(r[7]))
 
@@ -240,45 +269,68 @@ def write_warc(records: DataFrame, path: str) -> None:
 
 
 def warc_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers, by lower-case name, and block of each record."""
+    """Headers, by lower-case name, and block of each record. Where a record is expected and there is none, or one without a length, the headers are {"error": what is wrong}, and lines are
+    passed over until the next record."""
+    lost = False
     while line := stream.readline():
         if not line.strip():
             continue
         if not line.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record: {line[:40]!r}")
-        headers = {}
+            if not lost:
+                yield {"error": f"no WARC record: {line[:40]!r}"}, b""
+            lost = True
+            continue
+        headers, lost = {}, False
         while (line := stream.readline()).strip():
-            name, _, value = line.decode().partition(":")
+            name, _, value = line.decode("utf-8", "replace").partition(":")
             headers[name.strip().lower()] = value.strip()
-        yield headers, stream.read(int(headers["content-length"]))
+        try:
+            length = _length(headers.get("content-length", ""))
+        except ValueError as wrong:
+            yield {"error": str(wrong)}, b""
+            lost = True
+            continue
+        block = stream.read(length)
+        yield (headers, block) if len(block) == length else ({"error": f"{length} bytes declared, {len(block)} left"}, b"")
+
+
+def _warc_row(headers: dict[str, str], block: bytes) -> tuple:
+    """A response or revisit record as a row of WARC_SCHEMA."""
+
+    def number(name: str) -> int | None:
+        found = headers.get(name.lower())
+        return None if found is None else int(found)
+
+    kind = headers["warc-type"]
+    told = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:")).hex()
+    size, digest = number(f"{KEY_HEADER}-Length"), told
+    sound = _digest(hashlib.sha1(block).hexdigest()) == headers["warc-block-digest"]
+    if kind == "response":
+        payload = split_http(block)[1]
+        size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+        sound &= digest == told
+    return (kind, headers["warc-record-id"], headers.get("warc-target-uri"), headers["warc-date"], number(KEY_HEADER), number(f"{KEY_HEADER}-Refers-To"), headers.get("warc-refers-to"), size, digest, sound, None)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The response and revisit records of the WARC files below `path`. Digest and size of responses come from the stored payload, those of
-    revisits from the headers; sound tells whether digests of the stored bytes are those of the headers."""
+    revisits from the headers; sound tells whether digests of the stored bytes are those of the headers. What isn't a record, or lacks a header, is a row with an error alone."""
     names = [x.split()[0] for x in WARC_SCHEMA.split(", ")]
-    types = [*[pa.string()] * 4, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
+    types = [*[pa.string()] * 4, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def number(headers: dict, name: str) -> int | None:
-            found = headers.get(name.lower())
-            return None if found is None else int(found)
-
         def rows():
             for batch in batches:
                 for raw in batch.column(0):
-                    for headers, block in warc_records(_opened(raw)):
-                        kind = headers["warc-type"]
-                        if kind not in ("response", "revisit"):
-                            continue
-                        told = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:")).hex()
-                        size, digest = number(headers, f"{KEY_HEADER}-Length"), told
-                        sound = _digest(hashlib.sha1(block).hexdigest()) == headers["warc-block-digest"]
-                        if kind == "response":
-                            payload = split_http(block)[1]
-                            size, digest = len(payload), hashlib.sha1(payload).hexdigest()
-                            sound &= digest == told
-                        yield (kind, headers["warc-record-id"], headers.get("warc-target-uri"), headers["warc-date"], number(headers, KEY_HEADER), number(headers, f"{KEY_HEADER}-Refers-To"), headers.get("warc-refers-to"), size, digest, sound)
+                    for headers, block in until_damage(warc_records(_opened(raw)), lambda wrong: ({"error": wrong}, b"")):
+                        if "error" in headers:
+                            yield (*[None] * 10, headers["error"])
+                        elif headers.get("warc-type") in ("response", "revisit"):
+                            try:
+                                row = _warc_row(headers, block)
+                            except (KeyError, ValueError) as wrong:
+                                row = (*[None] * 10, f"{type(wrong).__name__}: {wrong}")
+                            yield row
 
         yield from _batches(rows(), names, types, lambda r: 200)
 
@@ -286,8 +338,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST) -> None:
-    """WARC files of the ARC files below `arc_path`."""
-    write_warc(with_originals(read_arc(spark, arc_path), least), warc_path)
+    """WARC files of the ARC files below `arc_path`; what isn't a record there has none here."""
+    write_warc(with_originals(read_arc(spark, arc_path).filter("error IS NULL"), least), warc_path)
 
 
 def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,7 +347,7 @@ def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs, warcs = work_path(spark, "arc"), work_path(spark, "warc")
     write_arc(read_table(spark, sf_dir, "pages"), arcs)
     convert(spark, arcs, warcs)
-    found = read_warc(spark, warcs)
+    found = read_warc(spark, warcs).filter("error IS NULL")
     return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
