@@ -220,3 +220,24 @@ def test_points_are_uniform_over_the_mesh(spark):
     assert all(10 <= r.x <= 13 and 0 <= r.z <= 3 for r in big)
     assert abs(sum(r.x < 11.5 for r in big) / len(big) - 0.5) < 0.04 and abs(sum(r.z < 1 for r in big) / len(big) - 1 / 3) < 0.04
     assert S.random_points_anywhere(asked, e.filter("ref = 3")).collect() == [] and S.random_points_anywhere(asked.limit(0), e).collect() == []
+
+
+def test_closest_points_on_triangles_and_boundaries(spark):
+    from wayfold.functions import geometry as G
+    from wayfold.operators import meshes as M
+
+    r = random.Random(12)
+    rows = [tuple(r.uniform(-5, 5) for _ in range(12)) for _ in range(60)] + [(1.0, 2.0, 3.0) + (0.0, 0.0, 0.0) * 3, (1.0, 2.0, 3.0) + (0.0, 0.0, 0.0) * 2 + (4.0, 0.0, 0.0)]
+    names = [f"{p}{v}" for p in "pabc" for v in "xyz"]
+    at = G.closest_on_triangle(*(tuple(F.col(f"{p}{v}") for v in "xyz") for p in "pabc"))
+    got = [tuple(x.q) for x in spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, " + ", ".join(f"{n} double" for n in names)).select("i", at.alias("q")).orderBy("i").collect()]
+    for row, q in zip(rows, got, strict=True):
+        p, a, b, c = (row[i : i + 3] for i in range(0, 12, 3))
+        best = min(math.dist(p, [a[k] + s / 40 * (b[k] - a[k]) + t / 40 * (c[k] - a[k]) for k in range(3)]) for s in range(41) for t in range(41 - s))
+        assert math.dist(p, q) <= best + 1e-9 and best - math.dist(p, q) < 0.3
+    e = tables(spark, square(1, 0, 0, 2.0, 4.0), [])[0]
+    pairs = spark.createDataFrame([(1, 1.0, 9.0, 1.0, 1), (2, 6.0, 9.0, 1.0, 1)], "request_id long, px double, py double, pz double, ref long")
+    assert {x.request_id: (x.inside, x.x, x.y, x.z) for x in S.boundary_points(pairs, e).collect()} == {1: (True, 1.0, 9.0, 1.0), 2: (False, 4.0, 2.0, 1.0)}
+    polys = spark.createDataFrame([(1, 1, 4, "a"), (2, 1, 4, "b")], "ref long, area int, flags int, name string")
+    changes = spark.createDataFrame([(1, 1, 5, None), (1, 2, None, 8), (1, 0, 9, 9), (7, 1, 1, 1)], "ref long, seq long, area int, flags int")
+    assert sorted(tuple(x) for x in M.set_polygons(polys, changes).collect()) == [(1, 5, 8, "a"), (2, 1, 4, "b")]

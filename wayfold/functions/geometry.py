@@ -127,3 +127,31 @@ def decode_ref(ref: Column) -> Column:
     """A reference's salt, tile and poly."""
     tile = F.shiftrightunsigned(ref, POLY_BITS).bitwiseAND(F.lit((1 << TILE_BITS) - 1))
     return F.struct(F.shiftrightunsigned(ref, POLY_BITS + TILE_BITS).alias("salt"), tile.alias("tile"), ref.bitwiseAND(F.lit((1 << POLY_BITS) - 1)).alias("poly"))
+
+
+def closest_on_segment(p: tuple, a: tuple, b: tuple) -> tuple[Column, ...]:
+    """The point of segment a b (x, y, z each) that is nearest to p in space."""
+    d = [q - r for q, r in zip(b, a, strict=True)]
+    length = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+    along = (p[0] - a[0]) * d[0] + (p[1] - a[1]) * d[1] + (p[2] - a[2]) * d[2]
+    t = F.when(length > 0, clamp(along / F.when(length > 0, length))).otherwise(0.0)
+    return tuple(r + t * q for q, r in zip(d, a, strict=True))
+
+
+def closest_on_triangle(p: tuple, a: tuple, b: tuple, c: tuple) -> Column:
+    """The point (struct x, y, z) of triangle a b c that is nearest to p: below or above it the foot on its plane, else the nearest point of its sides, the first of equals in the order ab, bc, ca. A
+    triangle without area has sides alone."""
+    u, v, w = ([q[i] - a[i] for i in range(3)] for q in (b, c, p))
+    uu, uv, vv, wu, wv = (sum((x * y for x, y in zip(m[1:], n[1:], strict=True)), m[0] * n[0]) for m, n in ((u, u), (u, v), (v, v), (w, u), (w, v)))
+    det = uu * vv - uv * uv
+    safe = F.when(det > SEGMENT_EPSILON, det)
+    s, t = (vv * wu - uv * wv) / safe, (uu * wv - uv * wu) / safe
+    foot = F.struct(*((a[i] + s * u[i] + t * v[i]).alias(n) for i, n in enumerate("xyz")))
+
+    def on_side(i: int, q: tuple, r: tuple) -> Column:
+        at = closest_on_segment(p, q, r)
+        apart = (at[0] - p[0]) * (at[0] - p[0]) + (at[1] - p[1]) * (at[1] - p[1]) + (at[2] - p[2]) * (at[2] - p[2])
+        return F.struct(apart.alias("d"), F.lit(i).alias("i"), F.struct(*(x.alias(n) for x, n in zip(at, "xyz", strict=True))).alias("p"))
+
+    beside = F.least(*(on_side(i, q, r) for i, (q, r) in enumerate(((a, b), (b, c), (c, a)))))["p"]
+    return F.when((s >= 0) & (t >= 0) & (s + t <= 1), foot).otherwise(beside)

@@ -94,6 +94,12 @@ def valid_refs(refs: DataFrame, tiles: DataFrame) -> DataFrame:
     return found.filter((F.col("ref") > 0) & (F.col("_poly") < F.col("_polys"))).select(*refs.columns)
 
 
+def set_polygons(polys: DataFrame, changes: DataFrame) -> DataFrame:
+    """`polys` (ref, area, flags, ...) with the area and flags that `changes` (ref, seq, area, flags) set: for each of both the last by seq that isn't null; changes of refs that aren't there do nothing."""
+    last = [F.max_by(v, F.when(F.col(v).isNotNull(), F.col("seq"))).alias(f"_{v}") for v in ("area", "flags")]
+    return polys.join(changes.groupBy("ref").agg(*last), "ref", "left").withColumns({v: F.coalesce(f"_{v}", v) for v in ("area", "flags")}).select(*polys.columns)
+
+
 def centroids(edges: DataFrame) -> DataFrame:
     """(ref, x, y, z): the mean of each polygon's corners."""
     return edges.groupBy("ref").agg(*(F.avg(f"a{v}").alias(v) for v in "xyz"))

@@ -66,6 +66,13 @@ def closest_points(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return found.select("request_id", "px", "py", "pz", "ref", "over", F.when(over, F.col("px")).otherwise(F.col("near.p.x")).alias("x"), F.when(over, F.coalesce("top.h", "near.p.y")).otherwise(F.col("near.p.y")).alias("y"), F.when(over, F.col("pz")).otherwise(F.col("near.p.z")).alias("z"))
 
 
+def boundary_points(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """For pairs (request_id, px, py, pz, ref): (request_id, ref, inside, x, y, z), the point itself where it lies over the polygon, at its own height, else the nearest point of the polygon's edges over the
+    ground, at the edge's height."""
+    found = closest_points(pairs, edges)
+    return found.select("request_id", "ref", F.col("over").alias("inside"), "x", F.when(F.col("over"), F.col("py")).otherwise(F.col("y")).alias("y"), "z")
+
+
 def nearest(points: DataFrame, edges: DataFrame, climb: float, extents: tuple[float, float, float] = EXTENTS) -> DataFrame:
     """(request_id, ref, x, y, z, over) of the polygon nearest to each point, the smallest ref of equals; points without one are left out.
 

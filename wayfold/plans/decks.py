@@ -293,3 +293,68 @@ def off_mesh_route(spark, d):
     doors, jumps = O.off_mesh_doors(cut(O.snap_connections(_connections(spark, d), edges, CLIMB)))
     found = S.routes(asked, R.doors(spark, d).join(costs.select(F.col("ref").alias("from_ref")), "from_ref", "left_semi").unionByName(doors), costs.unionByName(jumps))
     return found.select("request_id", G.quantised(F.col("cost")).alias("cost"))
+
+
+# --- points on polygons and triangles, changes of polygons
+
+
+@query(
+    "boundary_points",
+    f"""WITH {W.DECKS_SQL}, {W.DECK_RAYS_SQL}, q AS (SELECT request_id, start_ref AS ref, sx + (request_id % 17 - 8) * 1.07 AS x, sy AS y, sz + (request_id % 11 - 5) * 1.13 AS z FROM ray JOIN dk ON dk.ref = start_ref),
+    s AS (SELECT request_id, q.ref, x, y, z, edge, ax, ay, az, bx, "by", bz, {_ALONG_SQL} AS k, CASE WHEN ((az > z) <> (bz > z)) AND x < (bx - ax) * (z - az) / (CASE WHEN bz <> az THEN bz - az END) + ax THEN 1 ELSE 0 END AS hit FROM q JOIN de USING (ref)),
+    n AS (SELECT *, {_NEAR_SQL} AS d FROM s),
+    b AS (SELECT request_id, ref, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z, sum(hit) % 2 = 1 AS inside, arg_min(ax + k * (bx - ax), (d, edge)) AS ex, arg_min(ay + k * ("by" - ay), (d, edge)) AS ey, arg_min(az + k * (bz - az), (d, edge)) AS ez FROM n GROUP BY request_id, ref)
+    SELECT request_id, ref, inside, {Q("CASE WHEN inside THEN x ELSE ex END")} AS x, {Q("CASE WHEN inside THEN y ELSE ey END")} AS y, {Q("CASE WHEN inside THEN z ELSE ez END")} AS z FROM b""",
+)
+def boundary_points(spark, d):
+    """Places of the orders, those beside their cell moved onto its boundary."""
+    key = F.col("request_id")
+    pairs = W.deck_rays(spark, d).select("request_id", (F.col("sx") + (key % 17 - 8) * 1.07).alias("px"), F.col("sy").alias("py"), (F.col("sz") + (key % 11 - 5) * 1.13).alias("pz"), F.col("start_ref").alias("ref"))
+    found = S.boundary_points(pairs, W.deck_edges(spark, d))
+    return found.select("request_id", "ref", "inside", *(G.quantised(F.col(v)).alias(v) for v in "xyz"))
+
+
+def _side_sql(a: str, b: str) -> str:
+    d = {v: f"({b}{v} - {a}{v})" for v in "xyz"}
+    return f"least(greatest(((px - {a}x) * {d['x']} + (py - {a}y) * {d['y']} + (pz - {a}z) * {d['z']}) / ({d['x']} * {d['x']} + {d['y']} * {d['y']} + {d['z']} * {d['z']}), 0.0), 1.0)"
+
+
+_SIDES3_SQL = " UNION ALL ".join(
+    f"SELECT o_orderkey, {i} AS i, px, py, pz, {a}x + k * ({b}x - {a}x) AS x, {a}y + k * ({b}y - {a}y) AS y, {a}z + k * ({b}z - {a}z) AS z FROM (SELECT *, {_side_sql(a, b)} AS k FROM w)" for i, (a, b) in enumerate((("a", "q"), ("q", "c"), ("c", "a")))
+)
+
+
+@query(
+    "closest_on_triangle",
+    f"""WITH {W.CORNERS_SQL}, w AS (SELECT o_orderkey, ax, ay, az, bx AS qx, b_y AS qy, bz AS qz, cx, cy, cz, (o_orderkey * 31 % 97)::DOUBLE AS px, (o_orderkey * 13 % 41)::DOUBLE AS py, (o_orderkey * 17 % 89)::DOUBLE AS pz FROM t),
+    e AS (SELECT *, (qx - ax) * (qx - ax) + (qy - ay) * (qy - ay) + (qz - az) * (qz - az) AS uu, (qx - ax) * (cx - ax) + (qy - ay) * (cy - ay) + (qz - az) * (cz - az) AS uv, (cx - ax) * (cx - ax) + (cy - ay) * (cy - ay) + (cz - az) * (cz - az) AS vv,
+      (px - ax) * (qx - ax) + (py - ay) * (qy - ay) + (pz - az) * (qz - az) AS wu, (px - ax) * (cx - ax) + (py - ay) * (cy - ay) + (pz - az) * (cz - az) AS wv FROM w),
+    f AS (SELECT *, (vv * wu - uv * wv) / (CASE WHEN uu * vv - uv * uv > 1e-6 THEN uu * vv - uv * uv END) AS s, (uu * wv - uv * wu) / (CASE WHEN uu * vv - uv * uv > 1e-6 THEN uu * vv - uv * uv END) AS t FROM e),
+    sd AS ({_SIDES3_SQL}), n AS (SELECT o_orderkey, arg_min(x, ((x - px) * (x - px) + (y - py) * (y - py) + (z - pz) * (z - pz), i)) AS x, arg_min(y, ((x - px) * (x - px) + (y - py) * (y - py) + (z - pz) * (z - pz), i)) AS y, arg_min(z, ((x - px) * (x - px) + (y - py) * (y - py) + (z - pz) * (z - pz), i)) AS z FROM sd GROUP BY o_orderkey),
+    res AS (SELECT o_orderkey, coalesce(s >= 0 AND t >= 0 AND s + t <= 1, false) AS within, CASE WHEN s >= 0 AND t >= 0 AND s + t <= 1 THEN ax + s * (qx - ax) + t * (cx - ax) ELSE n.x END AS x, CASE WHEN s >= 0 AND t >= 0 AND s + t <= 1 THEN ay + s * (qy - ay) + t * (cy - ay) ELSE n.y END AS y, CASE WHEN s >= 0 AND t >= 0 AND s + t <= 1 THEN az + s * (qz - az) + t * (cz - az) ELSE n.z END AS z FROM f JOIN n USING (o_orderkey))
+    SELECT o_orderkey, {Q("x")} AS x, {Q("y")} AS y, {Q("z")} AS z FROM res""",
+)
+def closest_on_triangle(spark, d):
+    """The point of each orders' triangle that is nearest to a place in space."""
+    key = F.col("o_orderkey")
+    place = tuple((key * m % n).cast("double") for m, n in ((31, 97), (13, 41), (17, 89)))
+    at = G.closest_on_triangle(place, *(tuple(F.col(f"{c}{v}") for v in "xyz") for c in "abc"))
+    return W.corners(spark, d).select("o_orderkey", at.alias("p")).select("o_orderkey", *(G.quantised(F.col(f"p.{v}")).alias(v) for v in "xyz"))
+
+
+@query(
+    "set_polygons",
+    """WITH c AS (SELECT l_partkey AS ref, l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_quantity > 25 THEN CAST(l_suppkey % 27 + 1 AS INT) END AS area, CASE WHEN l_returnflag = 'R' THEN CAST(l_linenumber AS INT) END AS flags FROM lineitem),
+    a AS (SELECT ref, max(area) AS area FROM c JOIN (SELECT ref, max(seq) AS seq FROM c WHERE area IS NOT NULL GROUP BY ref) USING (ref, seq) WHERE area IS NOT NULL GROUP BY ref), f AS (SELECT ref, max(flags) AS flags FROM c JOIN (SELECT ref, max(seq) AS seq FROM c WHERE flags IS NOT NULL GROUP BY ref) USING (ref, seq) WHERE flags IS NOT NULL GROUP BY ref)
+    SELECT p_partkey AS ref, coalesce(a.area, 1) AS area, coalesce(f.flags, 4) AS flags FROM part LEFT JOIN a ON a.ref = p_partkey LEFT JOIN f ON f.ref = p_partkey""",
+)
+def set_polygons(spark, d):
+    """Parts as polygons, line items as changes of their area and flags."""
+    from ..operators import meshes as M
+
+    polys = W.table(spark, d, "part").select(F.col("p_partkey").alias("ref"), F.lit(1).alias("area"), F.lit(4).alias("flags"))
+    items = W.table(spark, d, "lineitem")
+    changes = items.select(F.col("l_partkey").alias("ref"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.when(F.col("l_quantity") > 25, (F.col("l_suppkey") % 27 + 1).cast("int")).alias("area"), F.when(F.col("l_returnflag") == "R", F.col("l_linenumber").cast("int")).alias("flags"))
+    # of changes of one seq, those of the greatest values count
+    changes = changes.groupBy("ref", "seq").agg(F.max("area").alias("area"), F.max("flags").alias("flags"))
+    return M.set_polygons(polys, changes)
