@@ -117,6 +117,8 @@ def test_span_merge(spark):
     got = columns.coalesce_spans(spans(spark, [(0, 0, 0, 5, 1), (0, 0, 4, 9, 4), (0, 0, 9, 30, 2), (0, 0, 40, 41, 7), (1, 0, 3, 4, 0)])).orderBy("x", "layer").collect()
     assert [(r.x, r.layer, r.smin, r.smax, r.area) for r in got] == [(0, 0, 0, 30, 2), (0, 1, 40, 41, 7), (1, 0, 3, 4, 0)]
     assert columns.coalesce_spans(spans(spark, [(0, 0, 0, 5, 1), (0, 0, 4, 9, 4)])).first().area == 4
+    same = columns.coalesce_spans(spans(spark, [(0, 0, 0, 1, a % 9) for a in range(300)] + [(0, 0, 3, 4, a % 7) for a in range(300)]).repartition(7)).orderBy("layer").collect()
+    assert [(r.layer, r.smin, r.smax, r.area) for r in same] == [(0, 0, 1, 8), (1, 3, 4, 6)]
 
 
 def test_column_filters(spark):

@@ -23,6 +23,8 @@ def _column() -> WindowSpec:
 def coalesce_spans(spans: DataFrame) -> DataFrame:
     """(x, z, layer, smin, smax, area): spans that overlap or touch are one; its area is the largest among those whose top is within
     a climb of its own."""
+    # equal spans are one from here on, so the order below has no ties and both windows agree
+    spans = spans.groupBy("x", "z", "smin", "smax").agg(F.max("area").alias("area"))
     before = Window.partitionBy("x", "z").orderBy("smin", "smax").rowsBetween(Window.unboundedPreceding, -1)
     marked = spans.withColumn("starts", F.coalesce(F.col("smin") > F.max("smax").over(before), F.lit(True)).cast("int"))
     islands = marked.withColumn("layer", F.sum("starts").over(_column().rowsBetween(Window.unboundedPreceding, 0)) - 1)
