@@ -155,3 +155,44 @@ def test_routes_that_can_t_be_finished_end_near_their_goal(spark):
     paths = S.pull_tight(S.with_ends(asked, found, e), found).collect()
     assert max(p.x for p in paths if p.path_id == 1) == 3.0 and ends[3].gz == 0.2
     assert {x.request_id for x in S.routes(asked, S.portals(k, e), c).collect()} == {2, 4}
+
+
+def test_nearest_of_many_polygons_in_one_bucket(spark):
+    """More polygons in a bucket than a row packs."""
+    from wayfold.operators import search
+
+    n = 3 * search.PACKED
+    corners = ((0, 0, 0, 1), (0, 1, 1, 1), (1, 1, 1, 0), (1, 0, 0, 0))
+    rows = [(i, e, i % 12 * 1.0 + a, 0.25 * (i // 12), float(b), i % 12 * 1.0 + c, 0.25 * (i // 12), float(d)) for i in range(n) for e, (a, b, c, d) in enumerate(corners)]
+    edges = spark.createDataFrame(rows, "ref long, edge int, ax double, ay double, az double, bx double, by double, bz double")
+    points = [(k, k * 0.37 - 1.1, k % 9 * 0.3, k % 5 * 0.6 - 0.7) for k in range(40)] + [(99, 500.0, 0.0, 0.0), (100, None, 0.0, 0.0)]
+    found = search.nearest(spark.createDataFrame(points, "request_id long, x double, y double, z double"), edges, 0.2)
+
+    def plain(x, y, z):
+        best = []
+        for i in range(n):
+            c, h = i % 12, 0.25 * (i // 12)
+            if not (c <= x + 6 and c + 1 >= x - 6 and 0 <= z + 6 and 1 >= z - 6 and y - 6 <= h <= y + 6):
+                continue
+            over = c <= x < c + 1 and 0 <= z < 1
+            px, pz = min(max(x, c), c + 1), min(max(z, 0), 1)
+            d = max(abs(h - y) - 0.2, 0) ** 2 if over else (px - x) ** 2 + (h - y) ** 2 + (pz - z) ** 2
+            best.append((round(d, 9), i))
+        return min(best)[1] if best else None
+
+    expected = {k: plain(x, y, z) for k, x, y, z in points if x is not None}
+    assert {r.request_id: r.ref for r in found.collect()} == {k: v for k, v in expected.items() if v is not None}
+
+
+def test_equal_journeys_and_equal_connections_are_worked_once(spark):
+    from wayfold.operators import offmesh
+    from wayfold.plans import requests
+
+    asked = spark.createDataFrame([(i, i % 3 * 1.0, 0.5, 0.5, 2.0, 0.5, 0.5) for i in range(30)], "request_id long, sx double, sy double, sz double, gx double, gy double, gz double")
+    different, members = requests.same_journeys(asked)
+    assert different.count() == 3 and members.count() == 30
+    paths = different.selectExpr("request_id AS path_id", "0 AS seq", "sx AS x", "sy AS y", "sz AS z")
+    assert {r.path_id: r.x for r in requests.of_members(members, paths).collect()} == {i: i % 3 * 1.0 for i in range(30)}
+    row = [0.7, True, 2.0, 5, 6, 0.0, 0.5, 0.0, 1.0, 0.5, 1.0]
+    snapped = spark.createDataFrame([(i, *row) for i in range(4)] + [(9, *row[:2], 3.0, *row[3:])], "id long, radius double, both boolean, cost double, start_ref long, end_ref long, sx double, sy double, sz double, ex double, ey double, ez double")
+    assert sorted(r.id for r in offmesh.without_copies(snapped).collect()) == [0, 9]

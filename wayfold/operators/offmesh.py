@@ -33,6 +33,13 @@ def snap_connections(connections: DataFrame, edges: DataFrame, climb: float) ->
     return connections.select("id", "radius", "both", "cost").join(sides, "id")
 
 
+def without_copies(snapped: DataFrame) -> DataFrame:
+    """Of the connections of snap_connections() that lead from one place to the same other one, in the same directions and at the same cost, that with the smallest id: no route gets cheaper by the
+    others, and doors of a polygon meet each other in pairs."""
+    same = ["both", "cost", "start_ref", "end_ref", *(f"{p}{v}" for p in "se" for v in "xyz")]
+    return snapped.groupBy(*same).agg(F.min("id").alias("id"), F.max("radius").alias("radius")).select(*snapped.columns)
+
+
 def off_mesh_doors(snapped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doors, costs) to be put to search.portals() and to the costs of polygons: in at the start and out at the end, and the other way round where `both` is true."""
     virtual = virtual_ref(F.col("id"))

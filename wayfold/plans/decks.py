@@ -151,22 +151,22 @@ _ISLANDS_SQL = f"""{W.GRID_SQL}, ar(area, cost) AS (VALUES (1, 1.0::DOUBLE), (7,
 )
 def partial_route(spark, d):
     """Routes of the orders over the islands; those whose goal lies on another island end at the nearest point that was reached."""
-    asked, edges, costs = _island_requests(spark, d)
+    asked, edges, costs, members = _island_requests(spark, d)
     found = cut(S.routes(asked, R.doors(spark, d), costs, partial=True))
-    ends = S.with_ends(asked, found, edges).join(found.select("request_id", "cost"), "request_id")
-    return ends.select("request_id", "end_ref", "partial", *(G.quantised(F.col(v)).alias(v) for v in ("cost", "gx", "gy", "gz")))
+    ends = cut(S.with_ends(asked, found, edges).join(found.select("request_id", "cost"), "request_id").withColumnRenamed("request_id", "path_id"))
+    return R.of_members(members, ends).select(F.col("path_id").alias("request_id"), "end_ref", "partial", *(G.quantised(F.col(v)).alias(v) for v in ("cost", "gx", "gy", "gz")))
 
 
 def _island_requests(spark, d):
-    """(requests of the orders with both ends on the islands, the islands' edges, their costs)."""
+    """(different journeys of the orders with both ends on the islands, the islands' edges, their costs, the orders that take each journey)."""
     dry = W.grid_areas(spark, d).filter(_ISLANDS).select("ref")
     edges = W.grid_edges(spark, d).join(dry, "ref", "left_semi")
     costs = R.costs(spark, d).join(dry, "ref", "left_semi")
-    asked = R.journeys(spark, d)
+    asked, members = R.same_journeys(R.journeys(spark, d))
     ends = asked.select("request_id", F.explode(F.array(*(F.struct(F.lit(p).alias("side"), *(F.col(f"{p}{v}").alias(v) for v in "xyz")) for p in "sg"))).alias("p"))
     at = S.nearest(ends.select(F.struct("request_id", "p.side").alias("request_id"), "p.x", "p.y", "p.z"), edges, CLIMB)
     at = at.select("request_id.request_id", "request_id.side", "ref", *"xyz").groupBy("request_id").agg(*(F.max(F.when(F.col("side") == p, F.col(v))).alias(n) for p, r in (("s", "start_ref"), ("g", "goal_ref")) for v, n in (("ref", r), *((v, f"{p}{v}") for v in "xyz"))))
-    return cut(at.filter("start_ref IS NOT NULL AND goal_ref IS NOT NULL")), edges, costs
+    return cut(at.filter("start_ref IS NOT NULL AND goal_ref IS NOT NULL")), edges, costs, members
 
 
 # --- shapes
@@ -289,10 +289,11 @@ def _connections(spark, d):
 )
 def off_mesh_route(spark, d):
     """Routes of the orders over the islands and the jumps between them."""
-    asked, edges, costs = _island_requests(spark, d)
-    doors, jumps = O.off_mesh_doors(cut(O.snap_connections(_connections(spark, d), edges, CLIMB)))
+    asked, edges, costs, members = _island_requests(spark, d)
+    doors, jumps = O.off_mesh_doors(cut(O.without_copies(O.snap_connections(_connections(spark, d), edges, CLIMB))))
     found = S.routes(asked, R.doors(spark, d).join(costs.select(F.col("ref").alias("from_ref")), "from_ref", "left_semi").unionByName(doors), costs.unionByName(jumps))
-    return found.select("request_id", G.quantised(F.col("cost")).alias("cost"))
+    found = cut(found.select(F.col("request_id").alias("path_id"), G.quantised(F.col("cost")).alias("cost")))
+    return R.of_members(members, found).select(F.col("path_id").alias("request_id"), "cost")
 
 
 # --- points on polygons and triangles, changes of polygons

@@ -112,45 +112,60 @@ def placed(spark, d, requests):
     return requests
 
 
+def same_journeys(asked):
+    """(different, members): each different journey once, as a request whose request_id is the journey itself, and (request_id, journey) of all that ask for it."""
+    journey = F.struct(*(f"{p}{v}" for p in "sg" for v in "xyz"))
+    different = cut(asked.select(journey.alias("request_id")).distinct())
+    return different.select("request_id", "request_id.*"), asked.select("request_id", journey.alias("journey"))
+
+
 def straight_paths(spark, d):
-    """The orders' requests and their paths; one whose goal can't be reached leads to where it's nearest."""
-    requests = cut(placed(spark, d, journeys(spark, d)))
+    """(members, paths): the path of each different journey of the orders, as path_id, and the orders that take it; a journey whose goal can't be reached leads to where it's nearest."""
+    different, members = same_journeys(journeys(spark, d))
+    requests = cut(placed(spark, d, different))
     found = cut(S.routes(requests, doors(spark, d), costs(spark, d), partial=True))
-    return requests, S.pull_tight(S.with_ends(requests, found, W.grid_edges(spark, d)), found)
+    return members, cut(S.pull_tight(S.with_ends(requests, found, W.grid_edges(spark, d)), found))
+
+
+def of_members(members, paths):
+    """What was found for journeys (path_id), for each order (path_id) that takes one."""
+    return members.withColumnRenamed("request_id", "member").join(paths.withColumnRenamed("path_id", "journey"), "journey").drop("journey").withColumnRenamed("member", "path_id")
 
 
 @query("path_request")
 def path_request(spark, d):
     """PATH for each order: snapped, routed, pulled tight, smoothed by corner cutting, with stats."""
-    requests, paths = straight_paths(spark, d)
-    return P.stats(P.truncate(P.chaikin(paths))).select(F.col("path_id").alias("request_id"), "points", G.quantised(F.col("length")).alias("length"))
+    members, paths = straight_paths(spark, d)
+    stats = cut(P.stats(P.truncate(P.chaikin(paths))).select("path_id", "points", G.quantised(F.col("length")).alias("length")))
+    return of_members(members, stats).select(F.col("path_id").alias("request_id"), "points", "length")
 
 
 @query("path_points")
 def path_points(spark, d):
-    _, paths = straight_paths(spark, d)
-    return paths.select("path_id", "seq", *(G.quantised(F.col(v)).alias(v) for v in "xyz"))
+    members, paths = straight_paths(spark, d)
+    return of_members(members, paths).select("path_id", "seq", *(G.quantised(F.col(v)).alias(v) for v in "xyz"))
 
 
 @query("random_path")
 def random_path(spark, d):
     """RANDOM_PATH: inner points of each path moved to a random point of the polygons around them."""
-    _, paths = straight_paths(spark, d)
-    paths = cut(paths)
-    inner = paths.withColumn("n", F.count("*").over(P.whole_path())).withColumn("request_id", F.struct("path_id", "seq"))
-    asked = inner.filter("seq > 0 AND seq < n - 1").select("request_id", *"xyz")
-    at = S.nearest(asked, W.grid_edges(spark, d), CLIMB).select("request_id", F.col("ref").alias("start_ref"), F.col("x").alias("sx"), F.col("z").alias("sz"), F.lit(1.0).alias("radius"))
-    moved = S.random_points_around(at, W.grid_edges(spark, d), doors(spark, d)).select("request_id", *(F.col(v).alias(f"r{v}") for v in "xyz"))
-    out = inner.join(moved, "request_id", "left")
-    return out.select("path_id", "seq", *(G.quantised(F.coalesce(f"r{v}", v)).alias(v) for v in "xyz"))
+    members, paths = straight_paths(spark, d)
+    inner = paths.withColumn("n", F.count("*").over(P.whole_path())).withColumn("at", F.struct("path_id", "seq"))
+    asked = inner.filter("seq > 0 AND seq < n - 1").select(F.col("at").alias("request_id"), *"xyz")
+    near = S.nearest(asked, W.grid_edges(spark, d), CLIMB).select(F.col("request_id").alias("at"), F.col("ref").alias("start_ref"), F.col("x").alias("sx"), F.col("z").alias("sz"))
+    every = of_members(members, cut(inner.join(near, "at", "left").drop("at", "n")))
+    at = every.filter("start_ref IS NOT NULL").select(F.struct("path_id", "seq").alias("request_id"), "start_ref", "sx", "sz", F.lit(1.0).alias("radius"))
+    moved = S.random_points_around(at, W.grid_edges(spark, d), doors(spark, d)).select("request_id.*", *"xyz")
+    kept = every.filter("start_ref IS NULL").select("path_id", "seq", *"xyz")
+    return kept.unionByName(moved).select("path_id", "seq", *(G.quantised(F.col(v)).alias(v) for v in "xyz"))
 
 
 @query("mas_validate")
 def mas_validate(spark, d):
     """Paths of the orders, walked along the surface."""
-    _, paths = straight_paths(spark, d)
-    out = S.walk(paths, W.grid_edges(spark, d), doors(spark, d), CLIMB)
-    return out.select("path_id", "seq", *(G.quantised(F.col(v)).alias(v) for v in "xyz"))
+    members, paths = straight_paths(spark, d)
+    out = cut(S.walk(paths, W.grid_edges(spark, d), doors(spark, d), CLIMB))
+    return of_members(members, out).select("path_id", "seq", *(G.quantised(F.col(v)).alias(v) for v in "xyz"))
 
 
 INNER_WALLS = "(ref = 7 AND edge = 2) OR (ref = 8 AND edge = 0) OR (ref = 16 AND edge = 1) OR (ref = 21 AND edge = 3) OR (ref = 12 AND edge = 1) OR (ref = 17 AND edge = 3)"
@@ -190,11 +205,11 @@ def wall_distance(spark, d):
 @query("move_along_surface", f"WITH {JOURNEYS_SQL} SELECT request_id, {Q('least(greatest(gx * 1.3 - 0.5, 0.0), 5.0)')} AS x, {Q('least(greatest(gz * 1.3 - 0.5, 0.0), 5.0)')} AS z FROM j")
 def move_along_surface(spark, d):
     """Moves toward goals that may lie beyond the grid: a walker ends at the point of the grid next to its goal."""
-    asked = journeys(spark, d).withColumns({"gx": F.col("gx") * 1.3 - 0.5, "gz": F.col("gz") * 1.3 - 0.5})
+    asked, members = same_journeys(journeys(spark, d).withColumns({"gx": F.col("gx") * 1.3 - 0.5, "gz": F.col("gz") * 1.3 - 0.5}))
     edges = W.grid_edges(spark, d)
     start = S.nearest(asked.select("request_id", F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("sz").alias("z")), edges, CLIMB).select("request_id", F.col("ref").alias("start_ref"))
-    found = S.move_along(asked.join(start, "request_id"), edges, doors(spark, d))
-    return found.select("request_id", G.quantised(F.col("x")).alias("x"), G.quantised(F.col("z")).alias("z"))
+    found = cut(S.move_along(asked.join(start, "request_id"), edges, doors(spark, d)).withColumnRenamed("request_id", "path_id"))
+    return of_members(members, found).select(F.col("path_id").alias("request_id"), G.quantised(F.col("x")).alias("x"), G.quantised(F.col("z")).alias("z"))
 
 
 @query("random_point")
@@ -208,8 +223,10 @@ def random_point(spark, d):
 def random_point_around(spark, d):
     edges = W.grid_edges(spark, d)
     asked = journeys(spark, d)
-    start = S.nearest(asked.select("request_id", F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("sz").alias("z")), edges, CLIMB).select("request_id", F.col("ref").alias("start_ref"))
-    return _snapped(S.random_points_around(asked.join(start, "request_id").withColumn("radius", F.lit(0.6)), edges, doors(spark, d)))
+    places = asked.select(F.struct("sx", "sy", "sz").alias("request_id")).distinct().select("request_id", *(F.col(f"request_id.s{v}").alias(v) for v in "xyz"))
+    start = cut(S.nearest(places, edges, CLIMB).select(F.col("request_id").alias("place"), F.col("ref").alias("start_ref")))
+    at = asked.withColumn("place", F.struct("sx", "sy", "sz")).join(start, "place").withColumn("radius", F.lit(0.6))
+    return _snapped(S.random_points_around(at, edges, doors(spark, d)))
 
 
 @query(
@@ -227,8 +244,10 @@ def polys_around_circle(spark, d):
 def path_answers(spark, d):
     """Customers' polylines of four points over and beyond the grid, smoothed and validated by the flags of their keys."""
     k = F.col("c_custkey")
-    points = W.table(spark, d, "customer").select(k.alias("path_id"), F.posexplode(F.array(*(F.struct((k * (3 + i) % 7 - 0.7).alias("x"), F.lit(0.5).alias("y"), (k * (5 - i) % 6 - 0.3).alias("z")) for i in range(4)))).alias("seq", "p")).select("path_id", "seq", "p.x", "p.y", "p.z")
-    points = points.withColumns({v: F.col(v).cast("double") for v in "xyz"})
-    flags = W.table(spark, d, "customer").select(k.alias("path_id"), (k % 32).cast("int").alias("flags"))
-    out = S.answer_paths(points, flags, W.grid_edges(spark, d), doors(spark, d), CLIMB)
-    return out.select("path_id", "seq", *(G.quantised(F.col(v)).alias(v) for v in "xyz"))
+    corners = F.array(*(F.struct((k * (3 + i) % 7 - 0.7).cast("double").alias("x"), F.lit(0.5).alias("y"), (k * (5 - i) % 6 - 0.3).cast("double").alias("z")) for i in range(4)))
+    # equal polylines of equal flags have one answer
+    members = W.table(spark, d, "customer").select(k.alias("request_id"), F.struct(corners.alias("corners"), (k % 32).cast("int").alias("flags")).alias("journey"))
+    different = cut(members.select(F.col("journey").alias("path_id")).distinct())
+    points = different.select("path_id", F.posexplode("path_id.corners").alias("seq", "p")).select("path_id", "seq", "p.x", "p.y", "p.z")
+    out = cut(S.answer_paths(points, different.select("path_id", "path_id.flags"), W.grid_edges(spark, d), doors(spark, d), CLIMB))
+    return of_members(members, out).select("path_id", "seq", *(G.quantised(F.col(v)).alias(v) for v in "xyz"))
