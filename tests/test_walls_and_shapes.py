@@ -196,3 +196,13 @@ def test_equal_journeys_and_equal_connections_are_worked_once(spark):
     row = [0.7, True, 2.0, 5, 6, 0.0, 0.5, 0.0, 1.0, 0.5, 1.0]
     snapped = spark.createDataFrame([(i, *row) for i in range(4)] + [(9, *row[:2], 3.0, *row[3:])], "id long, radius double, both boolean, cost double, start_ref long, end_ref long, sx double, sy double, sz double, ex double, ey double, ez double")
     assert sorted(r.id for r in offmesh.without_copies(snapped).collect()) == [0, 9]
+
+
+def test_tables_of_a_large_mesh_are_not_broadcast(spark):
+    """Portals and links are joined without a table of all polygons going through the driver."""
+    from wayfold.operators import search
+    from wayfold.plans import world
+
+    data = "/root/testdata/sf0.001"
+    for found in (world.deck_links(spark, data), search.portals(world.deck_links(spark, data), world.deck_edges(spark, data))):
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()

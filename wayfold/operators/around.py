@@ -102,11 +102,12 @@ def polygons_around(requests: DataFrame, doors: DataFrame, costs: DataFrame, mee
 
     `doors` is search.portals(), `costs` has (ref, cost) of polygons that may be entered. A round moves only what was reached more cheaply than before.
     """
-    enter = doors.join(costs.select(F.col("ref").alias("to_ref")), "to_ref", "left_semi").join(costs.select(F.col("ref").alias("from_ref"), F.col("cost").alias("ground")), "from_ref")
-    enter = enter.select("from_ref", "to_ref", "portal", "ground", *_DOOR, *(f"m{v}" for v in "xyz"))
+    enter = doors.join(costs.select(F.col("ref").alias("to_ref")).hint("merge"), "to_ref", "left_semi").join(costs.select(F.col("ref").alias("from_ref"), F.col("cost").alias("ground")).hint("merge"), "from_ref")
+    # what is read from few bytes of keys is taken for small and broadcast through the driver, so these joins are merges, and what rounds join is a table of its real size
+    enter = cut(enter.select("from_ref", "to_ref", "portal", "ground", *_DOOR, *(f"m{v}" for v in "xyz")))
     carried = [F.col(f"_{i}") for i in range(len(carry))]
     names = [f"_{i}" for i in range(len(carry))]
-    at = cut(requests.join(costs.select(F.col("ref").alias("start_ref")), "start_ref", "left_semi").select("request_id", F.col("start_ref").alias("ref"), *(F.col(f"s{v}").alias(f"p{v}") for v in "xyz"), F.lit(0.0).alias("cost"), *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True))))
+    at = cut(requests.join(costs.select(F.col("ref").alias("start_ref")).hint("merge"), "start_ref", "left_semi").select("request_id", F.col("start_ref").alias("ref"), *(F.col(f"s{v}").alias(f"p{v}") for v in "xyz"), F.lit(0.0).alias("cost"), *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True))))
     reached = [at.select("request_id", "ref", F.lit(None).cast("long").alias("portal"), "cost")]
     known = None
     while not at.isEmpty():
