@@ -52,7 +52,10 @@ def faces(edges: DataFrame, links: DataFrame, costs: DataFrame) -> DataFrame:
     return out.withColumn("doors", F.coalesce("doors", F.array().cast(dict(doors.dtypes)["doors"])))
 
 
-def _distance_2d(side: Column, x: Column, z: Column) -> Column:
+_SIDE = ("ax", "az", "bx", "bz")
+
+
+def _distance_2d(side: Column | dict[str, Column], x: Column, z: Column) -> Column:
     t = segment_t(x, z, side["ax"], side["az"], side["bx"], side["bz"])
     dx, dz = side["ax"] + t * (side["bx"] - side["ax"]) - x, side["az"] + t * (side["bz"] - side["az"]) - z
     return F.sqrt(dx * dx + dz * dz)
@@ -65,29 +68,27 @@ def reachable_wall(points: DataFrame, around: DataFrame, radius: float) -> DataF
     distance of an edge on the way. A wall counts from where both its polygon is entered and it's touched; walls of another floor, or behind
     the wall, don't. An edge with a link isn't a wall. Each round enters polygons from those that were entered nearer than before.
     """
-    walls = F.filter("sides", lambda s: ~F.exists("doors", lambda d: d["edge"] == s["edge"]))
-    here = around.select("ref", walls.alias("walls"), F.transform("doors", lambda d: F.struct(d["to_ref"].alias("to_ref"), F.get(F.filter("sides", lambda s: s["edge"] == d["edge"]), 0).alias("side"))).alias("doors"))
+    around = cut(around)
+    # flat rows, so that distances are compiled and nothing of a polygon is carried that a round doesn't use
+    sides = around.select("ref", F.explode(F.filter("sides", lambda s: ~F.exists("doors", lambda d: d["edge"] == s["edge"]))).alias("s"))
+    walls = cut(sides.select("ref", *(F.col(f"s.{v}").alias(v) for v in ("edge", *_SIDE))))
+    doors = around.select("ref", F.explode(F.transform("doors", lambda d: F.struct(d["to_ref"].alias("to_ref"), F.get(F.filter("sides", lambda s: s["edge"] == d["edge"]), 0).alias("side")))).alias("d"))
+    doors = cut(doors.select("ref", "d.to_ref", *(F.col(f"d.side.{v}").alias(v) for v in _SIDE)).distinct())
+    x, z, side = F.col("x"), F.col("z"), {v: F.col(v) for v in _SIDE}
     frontier = cut(points.select("request_id", "ref", "x", "z", F.lit(0.0).alias("entered")))
-    met, known = [], frontier.select("request_id", "ref", "entered")
-    x, z = F.col("x"), F.col("z")
+    known = frontier
     while not frontier.isEmpty():
-        at = frontier.join(here, "ref")
-        hit = F.array_min(F.transform("walls", lambda w: F.struct(_distance_2d(w, x, z).alias("distance"), w["edge"].alias("edge"))))
-        met.append(cut(at.select("request_id", "ref", "entered", hit.alias("hit")).filter(F.col("hit.distance") <= radius)))
-        offered = at.select("request_id", "x", "z", "entered", F.explode("doors").alias("door"))
-        offered = offered.select("request_id", "x", "z", F.col("door.to_ref").alias("ref"), F.greatest("entered", _distance_2d(F.col("door.side"), x, z)).alias("entered")).filter(F.col("entered") <= radius)
+        offered = frontier.join(doors, "ref").select("request_id", "x", "z", F.col("to_ref").alias("ref"), F.greatest("entered", _distance_2d(side, x, z)).alias("entered")).filter(F.col("entered") <= radius)
         offered = offered.groupBy("request_id", "x", "z", "ref").agg(F.min("entered").alias("entered"))
         before = known.groupBy("request_id", "ref").agg(F.min("entered").alias("before"))
         better = offered.join(before, ["request_id", "ref"], "left").filter("before IS NULL OR entered < before")
         frontier = cut(better.select("request_id", "ref", "x", "z", "entered"))
-        known = known.unionByName(frontier.select("request_id", "ref", "entered"))
-    if not met:
-        return points.select("request_id", F.lit(0.0).alias("distance"), "ref", F.lit(0).alias("edge")).limit(0)
-    out = met[0]
-    for part in met[1:]:
-        out = out.unionByName(part)
-    first = F.min(F.struct(F.greatest("entered", "hit.distance").alias("at"), "hit.distance", "ref", "hit.edge")).alias("w")
-    return out.groupBy("request_id").agg(first).select("request_id", "w.distance", "w.ref", "w.edge")
+        known = known.unionByName(frontier)
+    # a polygon's walls are met once, from where it was entered at the least
+    entered = known.groupBy("request_id", "ref", "x", "z").agg(F.min("entered").alias("entered"))
+    hit = entered.join(walls, "ref").select("request_id", "ref", "edge", "entered", _distance_2d(side, x, z).alias("distance")).filter(F.col("distance") <= radius)
+    first = F.min(F.struct(F.greatest("entered", "distance").alias("at"), "distance", "ref", "edge")).alias("w")
+    return hit.groupBy("request_id").agg(first).select("request_id", "w.distance", "w.ref", "w.edge")
 
 
 _STATE = "request_id ref sx sy sz gx gy gz t px py pz cost polys".split()
@@ -101,6 +102,7 @@ def walk_rays(rays: DataFrame, around: DataFrame) -> DataFrame:
     is clear. cost is the length over the ground times each polygon's cost, polys the polygons entered, ref the last. Rays that are under way are one table; a round takes all of
     them one polygon on. A ray whose start isn't in its polygon ends at once, without a normal; one whose polygon isn't in `around` isn't returned.
     """
+    around = cut(around)  # rounds read it; it isn't worked out anew in each
     c = {n: F.col(n) for n in (*_STATE, "sides", "doors")}
     dx, dz = c["gx"] - c["sx"], c["gz"] - c["sz"]
 
