@@ -136,8 +136,9 @@ def local_neighbourhood(points: DataFrame, around: DataFrame, radius: float) ->
     Rings are decided one after the other, and within a ring the smaller ref goes first: in each round, candidates without an undecided
     smaller rival are taken, and those that overlap a taken polygon without a link go. A polygon that went isn't asked again.
     """
-    body = around.select("ref", F.transform("sides", lambda s: F.struct(s["ax"].alias("x"), s["az"].alias("z"))).alias("corners"), F.transform("doors", lambda d: d["to_ref"]).alias("near"))
-    doors = around.select("ref", F.explode(F.transform("doors", lambda d: F.struct(d["to_ref"].alias("to_ref"), F.get(F.filter("sides", lambda s: s["edge"] == d["edge"]), 0).alias("s")))).alias("d")).select("ref", "d.to_ref", *(F.col(f"d.s.{v}").alias(v) for v in _DOOR))
+    around = cut(around)
+    body = cut(around.select("ref", F.transform("sides", lambda s: F.struct(s["ax"].alias("x"), s["az"].alias("z"))).alias("corners"), F.transform("doors", lambda d: d["to_ref"]).alias("near")))
+    doors = cut(around.select("ref", F.explode(F.transform("doors", lambda d: F.struct(d["to_ref"].alias("to_ref"), F.get(F.filter("sides", lambda s: s["edge"] == d["edge"]), 0).alias("s")))).alias("d")).select("ref", "d.to_ref", *(F.col(f"d.s.{v}").alias(v) for v in _DOOR)))
     asked = points.select("request_id", "x", "z")
     taken = cut(points.select("request_id", "ref").join(body, "ref").withColumn("ring", F.lit(0)))
     last, seen, ring = taken, taken.select("request_id", "ref"), 0
