@@ -32,6 +32,7 @@ def relax(starts: DataFrame, arcs: DataFrame, max_rounds: int = 10_000, max_cost
     them and keeps the minimum for each node, so it moves the frontier alone and sums before it shuffles. Sources are
     independent keys: many are worked at once. `max_cost` leaves out what is farther.
     """
+    arcs = cut(arcs)  # each round reads them; what they come from is worked out once
     best = cut(starts.groupBy("source", "node").agg(F.min("cost").alias("cost")).withColumn("parent", F.lit(None).cast(dict(starts.dtypes)["node"])))
     frontier = best
     for _ in range(max_rounds):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import WALKER_RADIUS
-from .rounds import relax
+from .rounds import cut, relax
 
 # The highest voxel, and steps of the chamfer distance to straight and diagonal neighbours.
 MAX_HEIGHT, STRAIGHT, DIAGONAL = 8191, 2, 3
@@ -74,6 +74,7 @@ def edge_distance(spans: DataFrame, links: DataFrame) -> DataFrame:
     dirs = {0: (-1, 0), 1: (0, 1), 2: (1, 0), 3: (0, -1)}
     dx = F.element_at(F.array(*(F.lit(dirs[i][0]) for i in range(4))), F.col("dir") + 1)
     dz = F.element_at(F.array(*(F.lit(dirs[i][1]) for i in range(4))), F.col("dir") + 1)
+    links = cut(links)
     steps = links.select(node.alias("node"), "dir", F.struct((F.col("x") + dx).alias("x"), (F.col("z") + dz).alias("z"), F.col("to_layer").alias("layer")).alias("to_node"))
     turn = steps.select(F.col("node").alias("to_node"), F.col("dir").alias("dir2"), F.col("to_node").alias("end"))
     diagonal = steps.join(turn, "to_node").filter((F.col("dir") + F.col("dir2")) % 2 == 1).select("node", F.col("end").alias("to_node"), F.lit(float(DIAGONAL)).alias("weight")).distinct()
