@@ -64,7 +64,7 @@ def _walkable(spark, d):
 
     spans = terrace(spark, d)
     layer = F.row_number().over(Window.partitionBy("x", "z").orderBy("smin", "smax")) - 1
-    return spans.filter("area > 0").withColumn("layer", layer).select("x", "z", "layer", "area"), C.neighbour_links(spans)
+    return spans.filter("area > 0").withColumn("layer", layer).select("x", "z", "layer", "area"), cut(C.neighbour_links(spans))
 
 
 @query("distance_field", f"WITH RECURSIVE {TERRACE_SQL} SELECT x, z, layer, CAST(distance AS INT) AS distance FROM df")
