@@ -241,3 +241,28 @@ def test_closest_points_on_triangles_and_boundaries(spark):
     polys = spark.createDataFrame([(1, 1, 4, "a"), (2, 1, 4, "b")], "ref long, area int, flags int, name string")
     changes = spark.createDataFrame([(1, 1, 5, None), (1, 2, None, 8), (1, 0, 9, 9), (7, 1, 1, 1)], "ref long, seq long, area int, flags int")
     assert sorted(tuple(x) for x in M.set_polygons(polys, changes).collect()) == [(1, 5, 8, "a"), (2, 1, 4, "b")]
+
+
+def test_outline_is_grown_by_an_expression_of_bounded_size(spark):
+    # what a lambda names twice is worked out twice; the expression over a column grew to thousands of such
+    from wayfold.operators.volumes import offset_outline
+
+    square = spark.createDataFrame([([(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)],)], "corners array<struct<x:double,z:double>>")
+    grown = square.select(offset_outline(F.col("corners"), 1.0).alias("c"))
+    assert grown._jdf.queryExecution().optimizedPlan().toString().count("lambda") < 400
+    assert len(grown.first().c) == 8
+
+
+def test_samples_of_small_and_large_outlines_agree_and_candidates_are_not_written(spark, tmp_path):
+    import os
+
+    from wayfold.operators.sampling import poisson_disk
+
+    rows = [(k, [(k * 3.0, 0.0), (k * 3.0 + 1 + k % 5 * 4, 0.7), (k * 3.0 + 7, 9.0 + k), (k * 3.0 - 1, 5.0)]) for k in range(40)] + [(99, [(0.0, 0.0), (0.0, 0.0)]), (98, None)]
+    outlines = spark.createDataFrame(rows, "id long, corners array<struct<x:double,z:double>>").repartition(3)
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") + "/wayfold"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    local = sorted(map(tuple, poisson_disk(outlines, 2.0).collect()))
+    assert len(set(os.listdir(folder)) - before) == 1
+    assert len(local) > 300 and local == sorted(map(tuple, poisson_disk(outlines, 2.0, most=0).collect()))
+    assert local == sorted(map(tuple, poisson_disk(outlines, 2.0, most=150).collect()))
