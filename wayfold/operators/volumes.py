@@ -60,21 +60,33 @@ def offset_outline(corners: Column, offset: Column | float) -> Column:
     of an outline that turns the other way move in."""
     grow = offset if isinstance(offset, Column) else F.lit(offset)
 
-    def unit(a: Column, b: Column) -> tuple[Column, Column]:
+    def unit(a: Column, b: Column) -> Column:
         dx, dz = b["x"] - a["x"], b["z"] - a["z"]
-        square = dx * dx + dz * dz
-        scale = F.when(square > NO_LENGTH, 1 / F.sqrt(square)).otherwise(1.0)
-        return dx * scale, dz * scale
+        return F.transform(F.array(F.struct(dx.alias("x"), dz.alias("z"), (dx * dx + dz * dz).alias("square"))), scaled)[0]
 
-    def corner(p: Column, i: Column) -> Column:
-        (x0, z0), (x1, z1) = unit(_next(corners, i, -1), p), unit(p, _next(corners, i, 1))
+    def scaled(d: Column) -> Column:
+        scale = F.when(d["square"] > NO_LENGTH, 1 / F.sqrt(d["square"])).otherwise(1.0)
+        return F.struct((d["x"] * scale).alias("x"), (d["z"] * scale).alias("z"))
+
+    # a lambda's expressions are worked out anew wherever they're named, so each step is a pass of its own that keeps what the next one names more than once
+    def turned(p: Column, i: Column) -> Column:
+        (x0, z0), (x1, z1) = ((u["x"], u["z"]) for u in (p["before"], p["after"]))
         mx, mz = (-z0 - z1) * 0.5, (x0 + x1) * 0.5
-        square = mx * mx + mz * mz
+        return F.struct(p["x"].alias("x"), p["z"].alias("z"), x0.alias("x0"), z0.alias("z0"), x1.alias("x1"), z1.alias("z1"), mx.alias("mx"), mz.alias("mz"), ((1.0 - (x0 * x1 + z0 * z1)) * 0.5).alias("d"))
+
+    def measured(p: Column) -> Column:
+        square = p["mx"] * p["mx"] + p["mz"] * p["mz"]
+        return F.struct(p.alias("p"), square.alias("square"))
+
+    def corner(m: Column) -> Column:
+        p, square = m["p"], m["square"]
+        x0, z0, x1, z1, mx, mz, d = (p[n] for n in ("x0", "z0", "x1", "z1", "mx", "mz", "d"))
         scale = F.when(square > NO_LENGTH, 1 / square).otherwise(1.0)
         cut = (square * (MITER_LIMIT * MITER_LIMIT) < 1.0) & (x1 * z0 - x0 * z1 < 0)
-        d = (1.0 - (x0 * x1 + z0 * z1)) * 0.5
         one = F.array(F.struct((p["x"] - mx * scale * grow).alias("x"), (p["z"] - mz * scale * grow).alias("z")))
         two = F.array(*(F.struct((p["x"] + x * grow).alias("x"), (p["z"] + z * grow).alias("z")) for x, z in ((z0 + x0 * d, -x0 + z0 * d), (z1 - x1 * d, -x1 - z1 * d))))
         return F.when(cut, two).otherwise(one)
 
-    return F.flatten(F.transform(corners, corner))
+    ends = F.transform(corners, lambda p, i: F.struct(p["x"].alias("x"), p["z"].alias("z"), unit(_next(corners, i, -1), p).alias("before"), unit(p, _next(corners, i, 1)).alias("after")))
+    measures = F.transform(F.transform(ends, turned), measured)
+    return F.flatten(F.transform(measures, corner))
