@@ -53,3 +53,15 @@ def test_arcs_are_worked_out_once(spark):
     best = rounds.relax(spark.createDataFrame([(0, 0, 0.0)], "source int, node long, cost double"), arcs)
     assert sorted((r.node, r.cost) for r in best.select("node", F.col("cost")).collect()) == [(i, float(i)) for i in range(5)]
     assert seen.value == 4
+
+
+def test_pairs_of_one_border_are_dealt_to_tasks(spark):
+    from wayfold.operators.meshes import border_links
+
+    rows = [(2 * k + s, 0, s, 0, -4 if s == 0 else -2, 10.0, 0.0, k * 0.5, 10.0, 0.0, k * 0.5 + 1) for k in range(40) for s in (0, 1)]
+    edges = spark.createDataFrame(rows, "ref long, edge int, tile_x int, tile_y int, nei int, ax double, ay double, az double, bx double, by double, bz double")
+    found = border_links(edges, 1.2)
+    assert len(found.withColumn("task", F.spark_partition_id()).select("task").distinct().collect()) > 4
+    want = {(2 * a + s, 2 * b + 1 - s) for a in range(40) for b in range(40) for s in (0, 1) if abs(a - b) < 2}
+    got = [(r.from_ref, r.to_ref) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
