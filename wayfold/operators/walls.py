@@ -31,7 +31,9 @@ def wall_segments(edges: DataFrame, links: DataFrame, with_portals: bool = False
     """
     covers = _ranged(links).withColumnsRenamed({"from_ref": "ref"}).filter("bmin < bmax")
     every = edges.select("ref", "edge", F.lit(LINK_STEPS).alias("bmin"), F.lit(LINK_STEPS).alias("bmax"), F.lit(None).cast("long").alias("to_ref"))
-    events = covers.select(*every.columns).unionByName(every)
+    # of ranges from one step the longest covers the others, so an edge has one row for each step, however many links
+    longest = covers.groupBy("ref", "edge", "bmin").agg(F.max("bmax").alias("bmax"))
+    events = longest.unionByName(every.select(*longest.columns))
     before = Window.partitionBy("ref", "edge").orderBy("bmin", "bmax").rowsBetween(Window.unboundedPreceding, -1)
     gaps = events.withColumn("start", F.coalesce(F.max("bmax").over(before), F.lit(0))).filter("start < bmin")
     parts = gaps.select("ref", "edge", F.col("start").alias("bmin"), F.col("bmin").alias("bmax"), F.lit(None).cast("long").alias("to_ref"))
