@@ -133,7 +133,9 @@ def mark_volumes(spark, d):
 )
 def offset_outline(spark, d):
     """The customers' pentagons, grown by 1.5."""
-    grown = _customers(spark, d).select("request_id", F.posexplode(V.offset_outline(F.col("corners"), 1.5)).alias("seq", "p"))
+    # few bytes a row and much work, so rows are dealt by number
+    customers = _customers(spark, d).select("request_id", "corners").repartition(64, "request_id")
+    grown = customers.select("request_id", F.posexplode(V.offset_outline(F.col("corners"), 1.5)).alias("seq", "p"))
     return grown.select("request_id", "seq", G.quantised(F.col("p.x")).alias("x"), G.quantised(F.col("p.z")).alias("z"))
 
 
