@@ -154,6 +154,62 @@ def test_rasterised_spans_cover_a_slope():
     assert set(got) >= {(x, z) for x in range(4) for z in range(4) if x + z < 4} and got[0, 0] == (0, 2) and got[3, 0] == (6, 8)
 
 
+def _spans_one_by_one(corners, cell, height):
+    """What spans_of() has, cut corner by corner."""
+    import math
+
+    def cut(poly, axis, low, high):
+        for side, plane in ((1, low), (-1, high)):
+            out = []
+            for p, q in zip(poly, poly[1:] + poly[:1], strict=True):
+                dp, dq = side * (p[axis] - plane), side * (q[axis] - plane)
+                out += [p] if dp >= 0 else []
+                if (dp < 0) != (dq < 0):
+                    out.append(tuple(a + (b - a) * (dp / (dp - dq)) for a, b in zip(p, q, strict=True)))
+            poly = out if len(out) > 2 else []
+        return poly
+
+    for z in range(math.floor(min(c[2] for c in corners) / cell), math.floor(max(c[2] for c in corners) / cell) + 1):
+        row = cut(corners, 2, z * cell, (z + 1) * cell)
+        for x in range(math.floor(min(c[0] for c in row) / cell), math.floor(max(c[0] for c in row) / cell) + 1) if row else ():
+            if piece := cut(row, 0, x * cell, (x + 1) * cell):
+                low = min(max(math.floor(min(c[1] for c in piece) / height), 0), voxels.MAX_HEIGHT)
+                yield x, z, low, min(max(math.ceil(max(c[1] for c in piece) / height), low + 1), voxels.MAX_HEIGHT)
+
+
+def test_triangles_are_cut_side_by_side_and_dealt_to_tasks(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    random.seed(5)
+    rows = [[random.choice((random.uniform(-3, 9), float(random.randrange(-3, 9)), random.randrange(12) / 2)) for _ in range(9)] for _ in range(60)] + [[0.0] * 9]
+    want = sorted((i, *s, i % 3) for i, r in enumerate(rows) for s in _spans_one_by_one([tuple(r[k : k + 3]) for k in (0, 3, 6)], 0.5, 0.7))
+    monkeypatch.setattr(voxels, "PIECES", 50)
+    assert sorted((i, *s, i % 3) for i, r in enumerate(rows) for s in voxels.spans_of([tuple(r[k : k + 3]) for k in (0, 3, 6)], 0.5, 0.7)) == want
+    names = [f"{c}{v}" for c in "abc" for v in "xyz"]
+    tris = spark.createDataFrame([(i, *r, i % 3) for i, r in enumerate(rows)], "tile long, " + ", ".join(f"{n} double" for n in names) + ", area int").coalesce(1)
+    found = voxels.rasterize(tris, 0.5, 0.7)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert found.select(F.spark_partition_id().alias("task")).distinct().count() > 4
+
+
+def test_spans_merged_in_a_task_coalesce_to_the_same(spark, monkeypatch):
+    import random
+
+    from wayfold.operators import columns
+
+    random.seed(6)
+    names = [f"{c}{v}" for c in "abc" for v in "xyz"]
+    rows = [(0, *(random.uniform(0, 9) * (1 if k % 3 != 1 else 4) for k in range(9)), random.choice((None, 0, 1, 5, 63))) for _ in range(150)]
+    tris = spark.createDataFrame(rows, "tile long, " + ", ".join(f"{n} double" for n in names) + ", area int")
+    want = columns.coalesce_spans(voxels.rasterize(tris, 1.0, 0.5).drop("tile")).collect()
+    merged = voxels.rasterize(tris, 1.0, 0.5, merge=True).drop("tile")
+    assert sorted(map(str, columns.coalesce_spans(merged).collect())) == sorted(map(str, want)) and len(want) > 90
+    monkeypatch.setattr(voxels, "TASKS", 1)
+    assert voxels.rasterize(tris, 1.0, 0.5, merge=True).count() < voxels.rasterize(tris, 1.0, 0.5).count() / 2
+
+
 def test_rasterize_skips_nulls(spark):
     names = [f"{c}{v}" for c in "abc" for v in "xyz"]
     tris = spark.createDataFrame([(1, *[0.0] * 9, 1), (1, *[None] * 9, 1)], "tile long, " + ", ".join(f"{n} double" for n in names) + ", area int")
