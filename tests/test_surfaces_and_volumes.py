@@ -170,6 +170,23 @@ def test_trees_find_what_a_scan_finds(spark):
     assert B.build_trees(spark.createDataFrame([], schema)).collect() == []
 
 
+def test_trees_are_searched_in_one_pass_over_batches(spark, monkeypatch):
+    rnd = random.Random(4)
+    box = lambda size: [*(at := [rnd.randrange(60) for _ in range(3)]), *(a + rnd.randrange(size) for a in at)]
+    boxes = [(t, t * 100 + i, *box(9)) for t in range(5) for i in range(1 + 9 * t)]
+    asked = [(i, rnd.randrange(7), *box(20)) for i in range(200)] + [(200, None, *box(20)), (201, 1, *[None] * 6)]
+    columns = ", ".join(f"{b} int" for b in B.BOUNDS)
+    trees = B.build_trees(spark.createDataFrame(boxes, "tile int, ref long, " + columns))
+    want = sorted((q[0], b[1]) for q in asked[:200] for b in boxes if b[0] == q[1] and all(q[2 + k] <= b[5 + k] and q[5 + k] >= b[2 + k] for k in range(3)))
+    monkeypatch.setattr(B, "cut", None)  # no round is written
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = B.search_trees(spark.createDataFrame(asked, "request_id long, tile int, " + columns), trees).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(tuple(r) for r in got) == want and len(want) > 20
+
+
 def test_archives_in_the_order_they_are_loaded(spark):
     names = ["Data/common.MPQ", "Data/common-2.MPQ", "Data/patch.MPQ", "Data/patch-2.MPQ", "Data/patch-10.MPQ", "Data\\enUS\\patch-enUS-3.MPQ", "Data/enUS/locale.MPQ", "Data/patch-0.MPQ", "", "x", "9" * 50 + ".MPQ"]
     got = [r.p for r in spark.createDataFrame([(n,) for n in names], "p string").orderBy(natural_key(F.col("p"))).collect()]

@@ -7,11 +7,16 @@ a walk goes on that leaves the subtree out; ref is the polygon of a leaf. A tree
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rounds import cut
 
+#: Tasks that a tile's queries are dealt to.
+SHARES = 4
+
 BOUNDS = [f"{n}{v}" for n in ("min", "max") for v in "xyz"]
 
 
@@ -46,25 +51,55 @@ def build_trees(boxes: DataFrame) -> DataFrame:
     return out
 
 
-def search_trees(queries: DataFrame, trees: DataFrame) -> DataFrame:
-    """(request_id, ref): the leaves whose box meets that of each query (request_id, tile, and whole bounds), touching ones included. All queries go down one level in a round, and only into nodes they meet."""
-    asked = queries.select("request_id", "tile", *(F.col(b).alias(f"q_{b}") for b in BOUNDS))
-    meets = F.lit(True)
-    for v in "xyz":
-        meets = meets & (F.col(f"q_min{v}") <= F.col(f"max{v}")) & (F.col(f"q_max{v}") >= F.col(f"min{v}"))
-    at = asked.withColumn("node", F.lit(0))
-    parts = []
-    while True:
-        met = cut(at.join(trees, ["tile", "node"]).filter(meets).select(*asked.columns, "node", "escape", "ref"))
-        if met.isEmpty():
-            break
-        parts.append(met.filter("ref IS NOT NULL").select("request_id", "ref"))
+def _walk(trees: dict[str, np.ndarray], root: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the query, place of the leaf) of the leaves that queries (columns of `asked`) meet, all queries a level further down at once, and only into nodes they meet. Trees
+    lie one after another, in the order of their nodes; a query's begins at its `root`."""
+    found = []
+    query, node = np.arange(len(root)), root
+    while len(query):
+        box, mine = trees["bounds"][:, node], asked[:, query]
+        met = np.flatnonzero((mine[:3] <= box[3:]).all(axis=0) & (mine[3:] >= box[:3]).all(axis=0))
+        query, node = query[met], node[met]
+        escape = trees["escape"][node]
+        leaf = escape == 1
+        found.append((query[leaf], node[leaf]))
+        query, node, escape = query[~leaf], node[~leaf], escape[~leaf]
         # a node of n boxes has 2 n - 1 nodes below and at it; its left half has n // 2 boxes
-        left = F.floor((F.col("escape") + 1) / 4).cast("int")
-        at = met.filter("ref IS NULL").withColumn("node", F.explode(F.array(F.col("node") + 1, F.col("node") + 2 * left))).drop("escape", "ref")
-    if not parts:
-        return queries.select("request_id", F.lit(None).cast(dict(trees.dtypes)["ref"]).alias("ref")).limit(0)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        query, node = np.concatenate([query, query]), np.concatenate([node + 1, node + 2 * ((escape + 1) // 4)])
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (query, node)
+
+
+def search_trees(queries: DataFrame, trees: DataFrame) -> DataFrame:
+    """(request_id, ref): the leaves whose box meets that of each query (request_id, tile, and whole bounds), touching ones included. Queries and trees are shuffled once, by tile; a task reads each tile's nodes,
+    of which a mesh has a bounded number, and then its queries, which it takes down the tree as they come. A tile's queries are dealt to SHARES tasks, each with the tree."""
+    share = F.pmod(F.xxhash64("request_id"), F.lit(SHARES)).cast("int")
+    numbers = [F.col(b).cast("int").alias(b) for b in BOUNDS]
+    asked, ref = dict(queries.dtypes)["request_id"], dict(trees.dtypes)["ref"]
+    nodes = trees.select("tile", F.explode(F.array(*map(F.lit, range(SHARES)))).alias("share"), "node", "escape", "ref", F.lit(None).cast(asked).alias("request_id"), *numbers)
+    both = nodes.unionByName(queries.select("tile", share.alias("share"), F.lit(None).cast("int").alias("node"), F.lit(None).cast("int").alias("escape"), F.lit(None).cast(ref).alias("ref"), "request_id", *numbers))
+
+    def run(batches):
+        kept = None  # the nodes of the last tile so far
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            if kept is not None:
+                table = pa.concat_tables([kept, table])
+            table = table.combine_chunks()
+            is_node = table["escape"].is_valid().to_numpy()
+            tile = table["tile"].to_numpy()
+            share = table["share"].to_numpy()
+            first = np.ones(len(tile), bool)
+            first[1:] = (tile[1:] != tile[:-1]) | (share[1:] != share[:-1])
+            begins = np.flatnonzero(first)[np.cumsum(first) - 1]
+            place = np.flatnonzero(~is_node & is_node[begins])  # a query of a tile without a tree meets nothing
+            bounds = np.stack([table[b].to_numpy() for b in BOUNDS])
+            found = _walk({"bounds": bounds, "escape": table["escape"].fill_null(0).to_numpy()}, begins[place], bounds[:, place])
+            yield pa.RecordBatch.from_arrays([table["request_id"].take(pa.array(place[found[0]])).combine_chunks(), table["ref"].take(pa.array(found[1])).combine_chunks()], names=["request_id", "ref"])
+            rest = np.flatnonzero(is_node & (np.arange(len(tile)) >= begins[-1]))
+            kept = table.take(pa.array(rest))
+
+    # a tile's nodes come in their order, before its queries
+    sorted_rows = both.repartition("tile", "share").sortWithinPartitions("tile", "share", F.col("node").asc_nulls_last())
+    return sorted_rows.mapInArrow(run, f"request_id {asked}, ref {ref}")
