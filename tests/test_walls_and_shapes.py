@@ -206,3 +206,14 @@ def test_tables_of_a_large_mesh_are_not_broadcast(spark):
     data = "/root/testdata/sf0.001"
     for found in (world.deck_links(spark, data), search.portals(world.deck_links(spark, data), world.deck_edges(spark, data))):
         assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlaps_of_shapes_are_tested_side_by_side():
+    import pyarrow as pa
+
+    from wayfold.operators import around
+
+    square, corner = [(0, 0), (0, 2), (2, 2), (2, 0)], [(1, 1), (4, 1), (4, 4)]
+    shapes = [(square, corner), (square, [(2, 0), (2, 2), (4, 1)]), (corner, square), (square, [(5, 5), (5, 6), (6, 5)]), (square, [(1, 1), (None, 1), (4, 4)]), (None, square), ([], square)]
+    of = lambda k: pa.array([s[k] and [{"x": x, "z": z} for x, z in s[k]] if s[k] != [] else [] for s in shapes], pa.list_(pa.struct({"x": pa.float64(), "z": pa.float64()})))
+    assert around._overlap(of(0), of(1)).to_pylist() == [True, False, True, False, None, None, None]

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,20 +32,44 @@ def _sides(corners: Column) -> Column:
     return F.transform(corners, lambda p, i: F.struct(p["x"].alias("ax"), p["z"].alias("az"), F.get(corners, (i + 1) % F.size(corners))["x"].alias("bx"), F.get(corners, (i + 1) % F.size(corners))["z"].alias("bz")))
 
 
-def _apart_on_sides(of: Column, other: Column) -> Column:
-    """Whether an edge of `of` has a normal on which the two shapes' shadows don't meet."""
-
-    def apart(s: Column) -> Column:
-        nx, nz = s["bz"] - s["az"], s["ax"] - s["bx"]
-        here, there = (F.transform(c, lambda p: nx * p["x"] + nz * p["z"]) for c in (of, other))
-        return (F.array_min(here) + TOUCH > F.array_max(there)) | (F.array_max(here) - TOUCH < F.array_min(there))
-
-    return F.exists(_sides(of), apart)
+def _above(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """p > q as Spark has it: what isn't a number is above all numbers."""
+    return (p > q) | (np.isnan(p) & ~np.isnan(q))
+
+
+def _apart_on_sides(ofx: np.ndarray, ofz: np.ndarray, otherx: np.ndarray, otherz: np.ndarray) -> np.ndarray:
+    """Whether an edge of the first shape of each pair (arrays: corner, pair) has a normal on which the two shapes' shadows don't meet."""
+    apart = np.zeros(ofx.shape[1], bool)
+    for i in range(len(ofx)):
+        nx, nz = ofz[(i + 1) % len(ofx)] - ofz[i], ofx[i] - ofx[(i + 1) % len(ofx)]
+        here, there = nx * ofx + nz * ofz, nx * otherx + nz * otherz
+        apart |= _above(np.fmin.reduce(here) + TOUCH, there.max(axis=0)) | _above(np.fmin.reduce(there), here.max(axis=0) - TOUCH)
+    return apart
+
+
+def _overlap(a: pa.Array, b: pa.Array) -> pa.Array:
+    """convex_overlap() of pairs of shapes; pairs with as many corners are taken side by side, and null stands where a corner is missing."""
+    shapes = []
+    for s in (a, b):
+        corners, size = s.flatten(), s.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        x, z = (pc.struct_field(corners, v) for v in "xz")
+        known = pc.and_(x.is_valid(), z.is_valid()).to_numpy(zero_copy_only=False)
+        shapes.append((size, np.cumsum(size) - size, *(v.cast(pa.float64()).fill_null(0.0).to_numpy() for v in (x, z)), known))
+    (size, start, x, z, known), (size2, start2, x2, z2, known2) = shapes
+    out, whole = np.zeros(len(a), bool), np.zeros(len(a), bool)
+    for n, m in {*zip(size.tolist(), size2.tolist(), strict=True)}:
+        if n and m:
+            at = np.flatnonzero((size == n) & (size2 == m))
+            of, other = start[at] + np.arange(n)[:, None], start2[at] + np.arange(m)[:, None]
+            one, two = (x[of], z[of]), (x2[other], z2[other])
+            out[at] = ~_apart_on_sides(*one, *two) & ~_apart_on_sides(*two, *one)
+            whole[at] = known[of].all(axis=0) & known2[other].all(axis=0)
+    return pa.array(out, mask=~whole)
 
 
 def convex_overlap(a: Column, b: Column) -> Column:
-    """Whether two convex shapes overlap: no edge normal of either separates them. Shapes that only touch don't."""
-    return ~_apart_on_sides(a, b) & ~_apart_on_sides(b, a)
+    """Whether two convex shapes overlap: no edge normal of either separates them. Shapes that only touch don't; null where a shape has no corners or lacks a coordinate."""
+    return F.arrow_udf(_overlap, "boolean")(a, b)
 
 
 def overlapping(left: DataFrame, right: DataFrame, bucket: float = 16.0) -> DataFrame:
