@@ -323,6 +323,6 @@ def path_truncate(spark, d):
     SELECT {COARSE} FROM every JOIN kinds USING (path_id, kind) WHERE seq < 512""")
 def path_smooth_flags(spark, d):
     """Smoothing by flags: the flags of a path are its id modulo 8."""
-    paths = W.polylines(spark, d)
+    paths = W.polylines(spark, d, 128)  # the sorts of all smoothers stay in a task's memory, so it has few paths
     flags = paths.select("path_id", (F.col("path_id") % 8).cast("int").alias("flags")).distinct()
     return _coarse(P.smooth(paths, flags))
