@@ -442,3 +442,12 @@ def test_models_are_scaled_turned_and_moved(spark):
     verts = spark.createDataFrame([(1, 0, 1.0, 0.0, 0.0)], "model int, vid int, x double, y double, z double")
     placed = meshes.place(verts, spark.createDataFrame([(7, 1, 0.0, 0.0, math.pi / 2, 2.0, 10.0, 20.0, 30.0), (8, 2, *[0.0] * 7)], "placement int, model int, rx double, ry double, rz double, scale double, px double, py double, pz double")).collect()
     assert [(r.placement, r.x, r.y, r.z) for r in placed] == [(7, pytest.approx(10), pytest.approx(22), 30.0)]
+
+
+def test_ancestors_hold_no_table_of_all_rounds_in_one_task(spark):
+    from wayfold.operators.meshes import ancestors
+
+    areas = spark.createDataFrame([(1, 0, 8, 0), (2, 1, 1, 5), (3, 2, 1, 0), (4, 9, 1, 0), (-1, 3, 1, 0)], "id long, parent long, flags int, faction int")
+    found = ancestors(areas)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [(-1, 5, True), (1, 0, True), (2, 5, True), (3, 5, True), (4, 0, False)]
