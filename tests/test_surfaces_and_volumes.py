@@ -110,6 +110,55 @@ def test_heights_come_from_detail_triangles(spark):
     assert (got[4].over, got[4].y) == (True, 1.0) and (got[5].x, got[5].z) == (14.0, 2.0) and got[6].y == pytest.approx(0.4)
 
 
+def plain_surface_point(px, pz, outline, tris):
+    """over, x, y, z by loops; None for no point."""
+    over = False
+    for (ax, _, az), (bx, _, bz) in zip(outline, outline[-1:] + outline[:-1], strict=True):
+        over ^= (az > pz) != (bz > pz) and px < (bx - ax) * (pz - az) / (bz - az) + ax
+    near, height = None, None
+    for *t, flags in tris:
+        (ax, ay, az), (bx, by, bz), (cx, cy, cz) = t
+        v0x, v0z, v1x, v1z, v2x, v2z = cx - ax, cz - az, bx - ax, bz - az, px - ax, pz - az
+        det = v0x * v1z - v0z * v1x
+        u, v = (math.copysign(1.0, det) * w for w in (v1z * v2x - v1x * v2z, v0x * v2z - v0z * v2x))
+        if height is None and abs(det) > 1e-6 and u >= 0 and v >= 0 and u + v <= abs(det):
+            height = ay + ((cy - ay) * u + (by - ay) * v) / abs(det)
+        for i, j, bit in ((2, 0, 16), (0, 1, 1), (1, 2, 4)):
+            if over or flags & bit:
+                p, q = t[i], t[j]
+                dx, dz = q[0] - p[0], q[2] - p[2]
+                k = min(max(((px - p[0]) * dx + (pz - p[2]) * dz) / (dx * dx + dz * dz), 0.0), 1.0) if dx or dz else 0.0
+                on = [a + k * (b - a) for a, b in zip(p, q, strict=True)]
+                d = (on[0] - px) * (on[0] - px) + (on[2] - pz) * (on[2] - pz)
+                near = (d, on) if near is None or d < near[0] else near
+    on = near[1] if near else [None] * 3
+    return (True, px, on[1] if height is None else height, pz) if over else (False, *on)
+
+
+def test_points_on_surfaces_are_dealt_by_polygon(spark):
+    r = random.Random(3)
+    place = lambda: (float(r.randint(-4, 4)), r.uniform(0, 3), float(r.randint(-4, 4)))  # noqa: E731  # many equal distances, corners and sides without length
+    edges, details, want = [], [], {}
+    for ref in range(40):
+        outline, points = [place() for _ in range(r.randint(3, 6))], [place() for _ in range(r.randint(0, 3))]
+        every = outline + points
+        edges += [(ref, e, *a, *b, -1) for e, (a, b) in enumerate(zip(outline, outline[1:] + outline[:1], strict=True))]
+        tris = [[*(r.randrange(len(every)) for _ in "abc"), r.choice([0, 1, 5, 16, 21])] for _ in range(r.randint(0, 6))]
+        details.append((ref, [dict(zip("xyz", p, strict=True)) for p in points], [dict(zip(("a", "b", "c", "flags"), t, strict=True)) for t in tris]))
+        want[ref] = outline, [(*(every[i] for i in t[:3]), t[3]) for t in tris]
+    edges.append((99, 0, *(0.0, 1.0, 0.0), *(1.0, 1.0, 0.0), -1))  # neither triangles nor a point
+    e = spark.createDataFrame(edges, "ref long, edge int, ax double, ay double, az double, bx double, by double, bz double, nei long")
+    d = spark.createDataFrame(details, "ref long, points array<struct<x:double,y:double,z:double>>, tris array<struct<a:int,b:int,c:int,flags:int>>")
+    pairs = [(i, float(r.randint(-5, 5)) + r.choice([0.0, 0.25]), 0.0, r.uniform(-5, 5) if i % 2 else float(r.randint(-5, 5)), i % 40) for i in range(2500)] + [(-1, 0.5, 0.0, 0.5, 99), (-2, None, 0.0, 1.0, 99), (-3, 0.0, 0.0, 0.0, 77)]
+    found = D.surface_points(spark.createDataFrame(pairs, "request_id long, px double, py double, pz double, ref long"), D.surfaces(e, d))
+    got = {x.request_id: (x.over, x.x, x.y, x.z) for x in found.collect()}
+    assert got.pop(-1) == got.pop(-2) == (False, None, None, None)
+    assert got == {i: plain_surface_point(px, pz, *want[ref]) for i, px, _, pz, ref in pairs if i >= 0}
+    # the work of a pair is far more than its bytes: pairs don't stay in the few tasks that read them
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "MapInArrow" in plan
+
+
 @pytest.mark.parametrize("radius", [1.0, 30.0])
 def test_samples_keep_apart_and_leave_no_room(spark, radius):
     outlines = spark.createDataFrame([(1, as_shape([(-6, -6), (-6, 2), (3, 2), (3, -6)])), (2, as_shape([(0, 0), (2, 5), (7, 1)])), (3, as_shape([(0, 0), (0, 0), (0, 0)]))], f"id long, corners {SHAPE}")
