@@ -148,6 +148,26 @@ def test_encoder_agrees_with_the_library(library):
             assert np.frombuffer(b"".join(code), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text[:50])
 
 
+def test_plain_words_are_cut_together_and_recent_pieces_kept(library, monkeypatch):
+    encoder, pattern, cut, asked = tokens.Encoder(tokens.default_tokenizer()), tokens.MARKED_PIECE, [], []
+    given = encoder._library
+    monkeypatch.setattr(tokens, "MARKED_PIECE", type("Counted", (), {"findall": lambda self, text: cut.append(text) or pattern.findall(text)})())
+    monkeypatch.setattr(encoder, "_library", lambda pieces: asked.extend(pieces) or given(pieces))
+    texts = ["one two, three... don't", "the word", "", "a", "two, word!'s x1", " led", "ends ", "ünd ßß— “q”", "new\nline", "the the two,' 12 ,"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    encoded = lambda some: [np.frombuffer(b"".join(c), "<u4").tolist() for c in encoder.encode(some)]
+    assert encoded(texts) == want
+    # a word with or without something after it, but a text's first, is no matter of the pattern
+    assert not any(w in "".join(cut) for w in ("three", "ßß", " the")) and "don't" in "".join(cut)
+    asked.clear()
+    assert encoded(texts[::-1]) == want[::-1] and asked == []
+    # a memory that is full begins anew
+    encoder.pieces.most = 3
+    assert encoded(texts) == want and asked and [encoded([t])[0] for t in texts] == want
+    # where all units are plain, and where none is
+    assert encoded(["only words here"])[0] == library.encode("only words here").ids and encoded(["", "1"])[1] == library.encode("1").ids
+
+
 def test_re_pair_round_trip_and_random_access():
     r = np.random.default_rng(9)
     ids = np.concatenate([r.integers(0, 6, 20_000), np.tile([7, 8, 9, 9, 9], 500)]).astype(np.uint32)

@@ -25,7 +25,7 @@ import threading
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +67,10 @@ SPACE = "Ġ"
 MARK, SEPARATOR = "\x01", "\x02"
 MARKED_PIECE = re.compile(MARK + "|" + PIECE.pattern.replace(rf"[^{SPACES}{LETTERS}{NUMBERS}]", rf"[^{MARK}{SPACES}{LETTERS}{NUMBERS}]").replace(rf"(?![^{SPACES}])", rf"(?![^{MARK}{SPACES}])"))
 GAP = re.compile(rf"[{SPACES}][{SPACES}]")
-#: Entries of each half of a worker's memory, about 200 bytes each.
-PIECES = 400_000
+#: Most units are a word and what stands after it.
+WORD = rf"^(?P<word>[{LETTERS}]+)(?P<rest>[^{SPACES}{LETTERS}{NUMBERS}]*)$"
+#: Entries of a worker's memory, about 200 bytes each.
+PIECES = 800_000
 LONG = 1 << 20
 #: Texts that are encoded together.
 SOME = 4096
@@ -81,6 +83,10 @@ def _as_list(values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def has_gap(text: str) -> bool:
     """Whether white space stands beside white space in a plain text."""
     if "\t" in text or "\r" in text:
@@ -88,7 +94,7 @@ def has_gap(text: str) -> bool:
     return "  " in text or "\n\n" in text or " \n" in text or "\n " in text
 
 
-def _gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
     """The runs of `ids` (start and size each) numbered `at`, one after the other, and where each ends."""
     n = sizes[at]
     ends = np.cumsum(n, dtype=np.int32 if int(n.sum(dtype=np.int64)) < 1 << 31 else np.int64)
@@ -97,31 +103,42 @@ def _gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.nda
     return ids[places], ends
 
 
-def _placed(codes: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the codes numbered `at`, one after the other, and where each ends."""
-    sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
-    return _gathered(np.frombuffer(b"".join(codes), "<u4"), np.cumsum(sizes) - sizes, sizes, at)
-
-
 class Memory:
-    """What was worked out for recent keys. When the newer half is full, it takes the place of the older half; a key that is asked
-    for again is moved to the newer half."""
-
-    def __init__(self, half: int) -> None:
-        self.half, self.new, self.old = half, {}, {}
-
-    def of(self, keys: set, work_out: Callable[[list], list]) -> dict:
-        """A dictionary that has all of `keys`."""
-        if len(self.new) > self.half:
-            self.old, self.new = self.new, {}
-        absent = []
-        for key in keys.difference(self.new):
-            if (value := self.old.get(key)) is None:
-                absent.append(key)
-            else:
-                self.new[key] = value
-        self.new.update(zip(absent, work_out(absent), strict=True))
-        return self.new
+    """The ids of recent pieces, one after the other in an array. When it is full, all are forgotten."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        # what has no ids has number 0
+        self.numbers, self.ids, self.ends = {"": 0, MARK: 0}, np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64)
+
+    def of(self, pieces: list[str], work_out: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The numbers of pieces; `work_out` gives new ones in an order of its own, all their ids and how many each has."""
+        if len(self.numbers) > self.most:
+            self.forget()
+        found = list(map(self.numbers.get, pieces))
+        absent = [i for i, n in enumerate(found) if n is None]
+        if absent:
+            known, ids, sizes = work_out(list(dict.fromkeys(map(pieces.__getitem__, absent))))
+            n = len(self.numbers) - 1  # numbers in use but 0, which two have
+            end = int(self.ends[n - 1])
+            if end + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids[:end], np.zeros(end + 2 * len(ids), "<u4")])
+            if n + len(sizes) > len(self.ends):
+                self.ends = np.concatenate([self.ends[:n], np.zeros(n + 2 * len(sizes), np.int64)])
+            self.ids[end : end + len(ids)] = ids
+            self.ends[n : n + len(sizes)] = end + np.cumsum(sizes)
+            self.numbers.update(zip(known, range(n, n + len(known)), strict=True))
+            for i in absent:
+                found[i] = self.numbers[pieces[i]]
+        return np.array(found, np.int64)
+
+    def placed(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered pieces, one after the other, and where each ends."""
+        starts = self.ends[np.maximum(numbers - 1, 0)]
+        return _gathered(self.ids, starts, self.ends[numbers] - starts, slice(None))
 
 
 class Encoder:
@@ -146,43 +163,59 @@ class Encoder:
     def _library(self, pieces: list[str]) -> list[bytes]:
         return [array("I", code.ids).tobytes() for code in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each of a plain text's pieces. Pieces of a space and what isn't one are given to the library as one text, which cuts it into
-        these pieces again; each has one id that begins with a space, its first."""
-        out, spaced, others = [b""] * len(pieces), [], []
-        for i, piece in enumerate(pieces):
-            (spaced if piece[0] == " " and piece[1:2].strip() else others).append(i)
+    def _of_pieces(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """A plain text's pieces in some order, all their ids, and how many each has. Pieces of a space and what isn't one are given to the library as one
+        text, which cuts it into these pieces again; each has one id that begins with a space, its first."""
+        order, spaced, others = [], [], []
+        for piece in pieces:
+            (spaced if piece[0] == " " and piece[1:2].strip() else others).append(piece)
+        ids, sizes = [], []
         groups = [spaced[at : at + TOGETHER] for at in range(0, len(spaced), TOGETHER)]
-        for group, raw in zip(groups, self._library(["".join(map(pieces.__getitem__, g)) for g in groups]), strict=True):
-            first = np.flatnonzero(self.spaced[np.frombuffer(raw, "<u4")]) * 4
+        for group, raw in zip(groups, self._library(["".join(g) for g in groups]), strict=True):
+            codes = np.frombuffer(raw, "<u4")
+            first = np.flatnonzero(self.spaced[codes])
             if len(first) == len(group):
-                for i, a, b in zip(group, first.tolist(), [*first[1:].tolist(), len(raw)], strict=True):
-                    out[i] = raw[a:b]
+                order += group
+                ids.append(codes)
+                sizes.append(np.diff(first, append=len(codes)))
             else:
                 others += group
-        for i, code in zip(others, self._library([pieces[i] for i in others]), strict=True):
-            out[i] = code
-        return out
+        raws = self._library(others)
+        ids.append(np.frombuffer(b"".join(raws), "<u4"))
+        sizes.append(np.fromiter(map(len, raws), np.int64, len(raws)) // 4)
+        return order + others, np.concatenate(ids), np.concatenate(sizes)
 
     def _joined(self, lists: list[list[str]]) -> list[bytes]:
-        known = self.pieces.of(set().union(*lists), self._of_pieces)
-        return [b"".join(map(known.__getitem__, parts)) for parts in lists]
+        ids, ends = self.pieces.placed(self.pieces.of(list(chain.from_iterable(lists)), self._of_pieces))
+        bounds = np.concatenate(([0], ends))[np.cumsum([0, *map(len, lists)])]
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
     def _by_unit(self, texts: list[str]) -> list[bytes]:
         """Texts of single white space. Each different unit is cut once, each different piece of those is looked up once, and
         ids are put together for units and then for texts."""
         split = pc.split_pattern(pa.array([FIRST + t for t in texts], pa.string()), " ")
         units = split.flatten().dictionary_encode()
-        # a unit's pieces follow a mark; units but the first of a text have a space before them
-        marked = (MARK + " " + pc.binary_join(_as_list(units.dictionary), MARK + " ")[0].as_py()).replace(MARK + " " + FIRST, MARK)
+        # first the units that are a word, then those with something after it, then the others
+        bare = pc.utf8_is_alpha(units.dictionary)
+        more = units.dictionary.filter(pc.invert(bare))
+        words = pc.extract_regex(more, WORD)
+        ended, others = words.drop_null(), more.filter(words.is_null())
+        heads = pa.concat_arrays([units.dictionary.filter(bare), ended.field("word")]).dictionary_encode()
+        rests = ended.field("rest").dictionary_encode()
+        # the pieces of other units follow a mark; units but the first of a text have a space before them
+        marked = (MARK + " " + pc.binary_join(_as_list(others), MARK + " ")[0].as_py()).replace(MARK + " " + FIRST, MARK) if len(others) else ""
         pieces = pc.split_pattern(pa.scalar(SEPARATOR.join(MARKED_PIECE.findall(marked))), SEPARATOR).values.dictionary_encode()
-        names, at = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
-        # the first of all is a mark
-        known = self.pieces.of(set(names[1:]), self._of_pieces)
-        ids, ends = _placed([b"", *map(known.__getitem__, names[1:])], at)
-        heads = np.flatnonzero(at == 0)
-        of_unit = np.concatenate(([0], ends))[np.append(heads, len(at))]
-        ids, ends = _gathered(ids, of_unit[:-1], np.diff(of_unit), units.indices.to_numpy())
+        names = [_strings(pc.binary_join_element_wise("", heads.dictionary, " ")), _strings(rests.dictionary), _strings(pieces.dictionary)]
+        numbers = np.split(self.pieces.of(list(chain.from_iterable(names)), self._of_pieces), np.cumsum([len(n) for n in names[:2]]))
+        of_heads, of_rests, of_pieces = (n[x.indices.to_numpy()] for n, x in zip(numbers, (heads, rests, pieces), strict=True))
+        n = len(heads) - len(rests)
+        ids, ends = self.pieces.placed(np.concatenate([of_heads[:n], np.stack([of_heads[n:], of_rests], axis=1).ravel(), of_pieces]))
+        marks, m = np.flatnonzero(of_pieces == 0)[: len(others)], n + 2 * len(rests)
+        bounds = np.concatenate(([0], ends))[np.concatenate([np.arange(n), np.arange(n, m, 2), m + marks, [m + len(of_pieces)]])]
+        flags, absent = (v.to_numpy(zero_copy_only=False) for v in (bare, words.is_null()))
+        run = np.empty(len(flags), np.int64)
+        run[np.concatenate([np.flatnonzero(flags), np.flatnonzero(~flags)[np.argsort(absent, kind="stable")]])] = np.arange(len(flags))
+        ids, ends = _gathered(ids, bounds[:-1], np.diff(bounds), run[units.indices.to_numpy()])
         bounds = np.concatenate(([0], ends))[split.offsets.to_numpy()]
         return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
