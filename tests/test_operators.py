@@ -232,6 +232,13 @@ def test_marking_order(spark):
     assert {r.span_id: r.area for r in high.collect()}[0] == 1
 
 
+def test_water_counts_a_top_at_its_very_limit(spark):
+    # 63 cells of 0.2 are 12.6, as high as the corner and the tolerance; 64 are not
+    spans = spark.createDataFrame([(1, 0.5, 0.5, 63, 63), (2, 0.5, 0.5, 64, 63)], "span_id long, x double, z double, y int, area int")
+    water = spark.createDataFrame([(1, 0.0, 1.0, 0.0, 1.0, 9.1, 10.1, 11.1, 12.1, 16)], "rect_seq long, minx double, maxx double, minz double, maxz double, h0 double, h1 double, h2 double, h3 double, type int")
+    assert {r.span_id: r.area for r in regions.mark_water(spans, water, 0.2).collect()} == {1: 16, 2: 63}
+
+
 def test_highest_water(spark):
     rect = "rect_seq long, minx double, maxx double, minz double, maxz double, h0 double, h1 double, h2 double, h3 double, type int"
     rects = spark.createDataFrame([(1, 0.0, 10.0, 0.0, 10.0, 0.0, 10.0, 0.0, 10.0, 16), (2, 0.0, 10.0, 0.0, 10.0, 4.0, 4.0, 4.0, 4.0, 22)], rect)

@@ -7,6 +7,8 @@ touches few; a bucket of very many points is a skewed key of a join that adaptiv
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +72,9 @@ def mark_water(spans: DataFrame, rects: DataFrame, cell_height: float) -> DataFr
     """
     open_area = ~F.col("area").between(WATER, LAST_LIQUID) & ~F.col("area").between(WMO, LAST_DOODAD)
     top = F.greatest("h0", "h1", "h2", "h3") + WATER_TOLERANCE
-    wet = _first_rect(spans.filter(open_area), rects, ["type"], F.col("y") * cell_height <= top)
+    # a cell's height is a decimal fraction, so whole cells are taken times it without its error as a double: 63 cells of 0.2 are 12.6
+    step = Fraction(str(cell_height))
+    wet = _first_rect(spans.filter(open_area), rects, ["type"], F.col("y") * float(step.numerator) / float(step.denominator) <= top)
     above = spans.filter(F.col("area").between(WMO, LAST_DOODAD)).select("x", "z", F.col("y").alias("y_above"))
     near = (F.col("y_above") > F.col("y")) & ((F.col("y_above") - F.col("y")) * cell_height <= 3 * cell_height)
     bridges = spans.join(above, ["x", "z"]).filter(near).select("span_id").distinct()
