@@ -78,6 +78,53 @@ def test_the_nearest_wall_is_one_that_can_be_reached(spark):
     assert L.reachable_wall(spark.createDataFrame(points, "request_id long, ref long, x double, z double"), L.faces(e, k, c), 0.2).collect() == []
 
 
+def plain_walls(points, edges, links, radius):
+    """The first wall of each point by entering the polygon of least entry over and over."""
+    linked = {(a, e) for a, _, e, *_ in links}
+
+    def far(edge, x, z):
+        ax, az, bx, bz = edge[2], edge[4], edge[5], edge[7]
+        t = min(max(((x - ax) * (bx - ax) + (z - az) * (bz - az)) / ((bx - ax) ** 2 + (bz - az) ** 2), 0.0), 1.0)
+        return math.hypot(ax + t * (bx - ax) - x, az + t * (bz - az) - z)
+
+    out = {}
+    for request, ref, x, z in points:
+        entered, todo, met = {}, [(0.0, ref)], []
+        while todo:
+            at, here = min(todo)
+            todo.remove((at, here))
+            if here in entered:
+                continue
+            entered[here] = at
+            for e in (e for e in edges if e[0] == here and far(e, x, z) <= radius):
+                if (here, e[1]) in linked:
+                    todo += [(max(at, far(e, x, z)), b) for a, b, k, *_ in links if (a, k) == (here, e[1])]
+                else:
+                    met.append((max(at, far(e, x, z)), far(e, x, z), here, e[1]))
+        if met:
+            out[request] = min(met)
+    return out
+
+
+def test_circles_of_many_tiles_and_crowded_ones_spread_in_their_tasks(spark, monkeypatch):
+    r = random.Random(5)
+    n, radius = 12, 2.3
+    cells = [(i, j) for i in range(n) for j in range(n)]
+    edges = [e for i, j in cells for e in square(i * n + j, i * 3 - 20, j * 3 - 17, size=3)]
+    links = [(i * n + j, (i + di) * n + j + dj, k, 0, 255) for i, j in cells for k, (di, dj) in enumerate(((-1, 0), (0, 1), (1, 0), (0, -1))) if 0 <= i + di < n and 0 <= j + dj < n and r.random() < 0.8]
+    links += [(5, 140, 1, 0, 255), (140, 5, 3, 0, 255)]  # a way to the other end
+    points = [(k, i * n + j, i * 3 - 20 + r.uniform(0, 3), j * 3 - 17 + r.uniform(0, 3)) for k, (i, j) in enumerate(r.choice(cells) for _ in range(150))]
+    points += [(150, None, 0.0, 0.0), (151, 5, None, 0.0), (152, 5, float("nan"), 0.0), (153, 5, 0.0, math.inf), (154, 999, 0.0, 0.0)]
+    monkeypatch.setattr(L, "CROWD", 20)
+    written, cut = [], L.cut
+    monkeypatch.setattr(L, "cut", lambda df: written.append(df) or cut(df))
+    e, k, c = tables(spark, edges, links)
+    got = {x.request_id: (x.ref, x.edge, x.distance) for x in L.reachable_wall(spark.createDataFrame(points, "request_id long, ref long, x double, z double"), L.faces(e, k, c), radius).collect()}
+    want = plain_walls(points[:150], edges, links, radius)
+    assert {q: (x[2], x[3], pytest.approx(x[1])) for q, x in want.items()} == got and 100 < len(got) < 150
+    assert len(written) == 3  # polygons, points and crowded tiles; no table for each round
+
+
 def convex(r, n):
     angles = sorted(r.uniform(0, 2 * math.pi) for _ in range(n))
     x, z, size = r.uniform(0, 30), r.uniform(0, 30), r.uniform(1, 6)

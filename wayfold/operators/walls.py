@@ -6,10 +6,14 @@ bmin to bmax in 255ths. Links to polygons that a walker may not enter are left o
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import segment_t
 from .meshes import LINK_STEPS
 from .rounds import cut
 
@@ -55,12 +59,83 @@ def faces(edges: DataFrame, links: DataFrame, costs: DataFrame) -> DataFrame:
 
 
 _SIDE = ("ax", "az", "bx", "bz")
+#: Points of a tile that one task takes, and pairs of a point and a polygon that are worked at once.
+CROWD, PAIRS = 100_000, 1 << 20
+
+
+def _distance_2d(side: list[np.ndarray], x: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """From each point to its side (ax, az, bx, bz), over the ground, as by segment_t()."""
+    ax, az, bx, bz = side
+    ex, ez = bx - ax, bz - az
+    length = ex * ex + ez * ez
+    t = np.where(length > 0, np.minimum(np.maximum(((x - ax) * ex + (z - az) * ez) / np.where(length > 0, length, 1.0), 0.0), 1.0), 0.0)
+    dx, dz = ax + t * ex - x, az + t * ez - z
+    return np.sqrt(dx * dx + dz * dz)
+
+
+class _Sides:
+    """Sides of a tile by their polygon's number: rows of `of`, which is put in order, with their coordinates and what else is given for each."""
+
+    def __init__(self, n: int, of: np.ndarray, coordinates: list[np.ndarray], more: np.ndarray):
+        order = np.argsort(of, kind="stable")
+        self.of, self.coordinates, self.more = of[order], [c[order] for c in coordinates], more[order]
+        self.count = np.bincount(of, minlength=n)
+        self.first = np.cumsum(self.count) - self.count
+
+    def met(self, polygons: np.ndarray, point: np.ndarray, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in `polygons`, row, distance) of each side of each of `polygons`, which are asked for a point each."""
+        n = self.count[polygons]
+        place = np.repeat(np.arange(len(polygons)), n)
+        row = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n) + self.first[polygons][place]
+        at = point[place]
+        return place, row, _distance_2d([c[row] for c in self.coordinates], x[at], z[at])
+
+
+def _first_walls(start: np.ndarray, x: np.ndarray, z: np.ndarray, doors: _Sides, walls: _Sides, n: int, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(point, row of the wall, at, distance) for those of the points, in polygons `start` of `n`, that meet a wall. A round enters polygons from those that were entered nearer than before, all points at once."""
+    point, ref, entered = np.arange(len(start)), start, np.zeros(len(start))
+    keys, least = point * n + ref, entered.copy()  # what is entered so far, in order
+    while len(point):
+        place, row, far = doors.met(ref, point, x, z)
+        near = np.flatnonzero(far <= radius)
+        key, by = point[place[near]] * n + doors.more[row[near]], np.maximum(entered[place[near]], far[near])
+        order = np.lexsort((by, key))
+        order = order[np.diff(key[order], prepend=-1) != 0]
+        key, by = key[order], by[order]
+        at = np.searchsorted(keys, key)
+        known = keys[np.minimum(at, len(keys) - 1)] == key
+        better = ~known
+        better[known] = by[known] < least[at[known]]
+        least[at[known & better]] = by[known & better]
+        keys, least = np.insert(keys, at[~known], key[~known]), np.insert(least, at[~known], by[~known])
+        point, ref, entered = key[better] // n, key[better] % n, by[better]
+    # a polygon's walls are met once, from where it was entered at the least
+    point = keys // n
+    place, row, far = walls.met(keys % n, point, x, z)
+    near = np.flatnonzero(far <= radius)
+    point, row, far, at = point[place[near]], row[near], far[near], np.maximum(least[place[near]], far[near])
+    order = np.lexsort((walls.more[row], walls.of[row], far, at, point))
+    best = order[np.diff(point[order], prepend=-1) != 0]
+    return point[best], row[best], at[best], far[best]
 
 
-def _distance_2d(side: Column | dict[str, Column], x: Column, z: Column) -> Column:
-    t = segment_t(x, z, side["ax"], side["az"], side["bx"], side["bz"])
-    dx, dz = side["ax"] + t * (side["bx"] - side["ax"]) - x, side["az"] + t * (side["bz"] - side["az"]) - z
-    return F.sqrt(dx * dx + dz * dz)
+def _walls_of_tile(sides: pa.Table, points: pa.Table, radius: float):
+    """Batches (request_id, at, distance, ref, edge) of what the points of a tile meet among its sides; polygons are numbered in their own order."""
+    refs = pc.unique(sides["ref"].combine_chunks())
+    refs = refs.take(pc.sort_indices(refs))
+    number = lambda column: pc.index_in(column, refs).fill_null(-1).to_numpy().astype(np.int64)
+    of, to, edge = number(sides["ref"]), number(sides["to_ref"]), sides["edge"].fill_null(-1).to_numpy().astype(np.int64)
+    is_wall, known = sides["to_ref"].is_null().to_numpy(), to >= 0  # what is beyond a door without sides here has none in reach
+    coordinates = [sides[v].to_numpy() for v in _SIDE]
+    doors, walls = (_Sides(len(refs), of[s], [c[s] for c in coordinates], more[s]) for s, more in ((~is_wall & known, to), (is_wall, edge)))
+    start, x, z = number(points["ref"]), points["ax"].to_numpy(), points["az"].to_numpy()
+    some = np.flatnonzero(start >= 0)
+    rows = max(1, PAIRS // len(refs))
+    for i in range(0, len(some), rows):
+        mine = some[i : i + rows]
+        point, row, at, far = _first_walls(start[mine], x[mine], z[mine], doors, walls, len(refs), radius)
+        request = points["request_id"].take(pa.array(mine[point])).combine_chunks()
+        yield pa.RecordBatch.from_arrays([request, pa.array(at), pa.array(far), refs.take(pa.array(walls.of[row])), pa.array(walls.more[row])], names=["request_id", "at", "distance", "ref", "edge"])
 
 
 def reachable_wall(points: DataFrame, around: DataFrame, radius: float) -> DataFrame:
@@ -68,29 +143,61 @@ def reachable_wall(points: DataFrame, around: DataFrame, radius: float) -> DataF
 
     A circle spreads from its polygon through the edges it touches that have a link, so a polygon is entered at the least, over all ways to it, of the greatest
     distance of an edge on the way. A wall counts from where both its polygon is entered and it's touched; walls of another floor, or behind
-    the wall, don't. An edge with a link isn't a wall. Each round enters polygons from those that were entered nearer than before.
+    the wall, don't. An edge with a link isn't a wall. An edge without a place, or not a number, is touched by none.
+
+    Only edges within `radius` of a point have a part in it, whatever way leads to them, so points and edges are shuffled once, by tile: an edge to each tile that is within `radius` of it, a point to
+    its own. A task reads a tile's edges, of which a mesh has a bounded number, and then its points, as they come. The points of a crowded tile are dealt to several tasks, each with the edges.
     """
-    around = cut(around)
-    # flat rows, so that distances are compiled and nothing of a polygon is carried that a round doesn't use
+    around = cut(around)  # walls and links read it
     sides = around.select("ref", F.explode(F.filter("sides", lambda s: ~F.exists("doors", lambda d: d["edge"] == s["edge"]))).alias("s"))
-    walls = cut(sides.select("ref", *(F.col(f"s.{v}").alias(v) for v in ("edge", *_SIDE))))
-    doors = around.select("ref", F.explode(F.transform("doors", lambda d: F.struct(d["to_ref"].alias("to_ref"), F.get(F.filter("sides", lambda s: s["edge"] == d["edge"]), 0).alias("side")))).alias("d"))
-    doors = cut(doors.select("ref", "d.to_ref", *(F.col(f"d.side.{v}").alias(v) for v in _SIDE)).distinct())
-    x, z, side = F.col("x"), F.col("z"), {v: F.col(v) for v in _SIDE}
-    frontier = cut(points.select("request_id", "ref", "x", "z", F.lit(0.0).alias("entered")))
-    known = frontier
-    while not frontier.isEmpty():
-        offered = frontier.join(doors, "ref").select("request_id", "x", "z", F.col("to_ref").alias("ref"), F.greatest("entered", _distance_2d(side, x, z)).alias("entered")).filter(F.col("entered") <= radius)
-        offered = offered.groupBy("request_id", "x", "z", "ref").agg(F.min("entered").alias("entered"))
-        before = known.groupBy("request_id", "ref").agg(F.min("entered").alias("before"))
-        better = offered.join(before, ["request_id", "ref"], "left").filter("before IS NULL OR entered < before")
-        frontier = cut(better.select("request_id", "ref", "x", "z", "entered"))
-        known = known.unionByName(frontier)
-    # a polygon's walls are met once, from where it was entered at the least
-    entered = known.groupBy("request_id", "ref", "x", "z").agg(F.min("entered").alias("entered"))
-    hit = entered.join(walls, "ref").select("request_id", "ref", "edge", "entered", _distance_2d(side, x, z).alias("distance")).filter(F.col("distance") <= radius)
-    first = F.min(F.struct(F.greatest("entered", "distance").alias("at"), "distance", "ref", "edge")).alias("w")
-    return hit.groupBy("request_id").agg(first).select("request_id", "w.distance", "w.ref", "w.edge")
+    walls = sides.select("ref", F.lit(None).cast(dict(around.dtypes)["ref"]).alias("to_ref"), *(F.col(f"s.{v}").alias(v) for v in ("edge", *_SIDE)))
+    doors = F.transform("doors", lambda d: F.struct(d["to_ref"].alias("to_ref"), F.get(F.filter("sides", lambda s: s["edge"] == d["edge"]), 0).alias("side")))
+    doors = around.select("ref", F.explode(F.array_distinct(doors)).alias("d"))
+    doors = doors.select("ref", "d.to_ref", *(F.col(f"d.side.{v}").alias(v) for v in ("edge", *_SIDE))).filter("to_ref IS NOT NULL")
+    there = lambda *names: [F.abs(F.col(v)) < float("inf") for v in names]
+    sides = reduce(DataFrame.filter, there(*_SIDE), walls.unionByName(doors)).filter("ref IS NOT NULL")
+    # tiles aren't much smaller than an edge, so an edge is in few
+    long = sides.agg(F.avg(F.greatest(F.abs(F.col("ax") - F.col("bx")), F.abs(F.col("az") - F.col("bz"))))).first()[0]
+    size = max(8.0 * radius, long or 0.0) or 1.0
+
+    def spread(p: str, q: str) -> Column:
+        low, high = F.least(p, q) - radius, F.greatest(p, q) + radius
+        # a little wider, so that rounding loses no tile; the exact test follows
+        return F.explode(F.sequence(F.floor((low - F.abs(low) * 1e-12 - 1e-9) / size), F.floor((high + F.abs(high) * 1e-12 + 1e-9) / size)))
+
+    at = cut(reduce(DataFrame.filter, there("x", "z"), points.select("request_id", "ref", F.col("x").cast("double").alias("x"), F.col("z").cast("double").alias("z"))))
+    at = at.withColumns({"tx": F.floor(F.col("x") / size), "tz": F.floor(F.col("z") / size)})
+    # tiles of more than CROWD points are few: no more than points, divided by CROWD
+    crowded = cut(at.groupBy("tx", "tz").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("shares")).filter("shares > 1"))
+    shares = F.coalesce("shares", F.lit(1))
+    dealt = at.join(F.broadcast(crowded), ["tx", "tz"], "left").withColumn("share", F.pmod(F.xxhash64("request_id"), shares).cast("int"))
+    laid = sides.withColumn("tx", spread("ax", "bx")).withColumn("tz", spread("az", "bz")).join(F.broadcast(crowded), ["tx", "tz"], "left").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
+    asked, ref = dict(points.dtypes)["request_id"], dict(around.dtypes)["ref"]
+    tile = ["tx", "tz", "share"]
+    rows = laid.select(*tile, F.lit(False).alias("is_point"), F.lit(None).cast(asked).alias("request_id"), "ref", "to_ref", F.col("edge").cast("long").alias("edge"), *(F.col(v).cast("double").alias(v) for v in _SIDE))
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("to_ref", ref), ("edge", "long"))]
+    rows = rows.unionByName(dealt.select(*tile, F.lit(True).alias("is_point"), "request_id", F.col("ref").cast(ref).alias("ref"), *nothing, F.col("x").alias("ax"), F.col("z").alias("az"), F.lit(0.0).alias("bx"), F.lit(0.0).alias("bz")))
+
+    def run(batches):
+        kept = None  # the sides of the last tile so far
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            table = (table if kept is None else pa.concat_tables([kept, table])).combine_chunks()
+            numbers = np.stack([table[t].to_numpy() for t in tile])
+            begins = np.flatnonzero(np.concatenate(([True], (numbers[:, 1:] != numbers[:, :-1]).any(axis=0))))
+            is_point = table["is_point"].to_numpy(zero_copy_only=False)
+            for begin, end in zip(begins, [*begins[1:], table.num_rows], strict=True):
+                n = end - begin - is_point[begin:end].sum()
+                kept = table.slice(begin, n)
+                if 0 < n < end - begin:
+                    yield from _walls_of_tile(kept, table.slice(begin + n, end - begin - n), radius)
+
+    # a tile's sides come before its points
+    found = rows.repartition(*tile).sortWithinPartitions(*tile, "is_point").mapInArrow(run, f"request_id {asked}, at double, distance double, ref {ref}, edge long")
+    first = F.min(F.struct("at", "distance", "ref", "edge")).alias("w")
+    return found.groupBy("request_id").agg(first).select("request_id", "w.distance", "w.ref", F.col("w.edge").cast(dict(sides.dtypes)["edge"]).alias("edge"))
 
 
 _STATE = "request_id ref sx sy sz gx gy gz t px py pz cost polys".split()
