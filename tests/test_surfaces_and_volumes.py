@@ -265,6 +265,34 @@ def test_paths_are_validated_as_their_flags_say(spark):
     assert sorted((r.x, r.z) for r in every) == [(x, min(max(z, 0.0), 1.0)) for x, z in line]
 
 
+def test_walks_send_no_table_by_path_through_the_driver(spark, monkeypatch):
+    plans, cut = [], S.cut
+    monkeypatch.setattr(S, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    edges, links = row_of_squares(4)
+    e, k, _ = tables(spark, edges, links)
+    paths = spark.createDataFrame([(1, 0, 0.5, 0.0, 0.5), (1, 1, 2.5, 0.0, 3.0), (2, 0, 1.5, 0.0, 0.5), (2, 1, -2.0, 0.0, 0.25)], "path_id long, seq int, x double, y double, z double")
+    got = sorted((r.path_id, r.seq, r.x, r.z) for r in S.walk(paths, e, S.portals(k, e), 1.0).collect())
+    assert got == [(1, 0, 0.5, 0.5), (1, 1, 2.5, 1.0), (2, 0, 1.5, 0.5), (2, 1, 0.0, 0.25)]
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line]
+    sent = [line for line in joins if "BroadcastHashJoin" in line]
+    # the tables of the walkers are small files here, as they are where very many rows are alike
+    assert len(joins) > 4 and not [line for line in sent if "[request_id#" in line or "[bx#" in line and "BuildLeft" in line]
+
+
+def test_paths_of_the_same_points_and_flags_are_answered_once(spark, tmp_path, monkeypatch):
+    from wayfold.plans import requests as R
+
+    n = 1500
+    spark.range(n).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, 0)], "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    asked = []
+    monkeypatch.setattr(R.S, "answer_paths", lambda paths, flags, *_: asked.extend((paths, flags)) or paths)
+    got = {(r.path_id, r.seq): (r.x, r.z) for r in R.path_answers(spark, str(tmp_path)).collect()}
+    want = {(c, i): (c * (3 + i) % 7 - 0.7, c * (5 - i) % 6 - 0.3) for c in range(n) for i in range(4)}
+    assert got == {p: tuple(math.floor(v * 1e6 + 0.371) for v in at) for p, at in want.items()}
+    assert [t.select("path_id").distinct().count() for t in asked] == [672, 672] and asked[1].filter("path_id.flags NOT BETWEEN 0 AND 31").isEmpty()
+
+
 def test_refs_of_tiles_that_were_replaced_or_are_short(spark):
     from wayfold.functions import geometry as G
     from wayfold.operators import meshes as M

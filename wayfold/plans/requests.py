@@ -244,8 +244,11 @@ def polys_around_circle(spark, d):
 def path_answers(spark, d):
     """Customers' polylines of four points over and beyond the grid, smoothed and validated by the flags of their keys."""
     k = F.col("c_custkey")
-    points = W.table(spark, d, "customer").select(k.alias("path_id"), F.posexplode(F.array(*(F.struct((k * (3 + i) % 7 - 0.7).alias("x"), F.lit(0.5).alias("y"), (k * (5 - i) % 6 - 0.3).alias("z")) for i in range(4)))).alias("seq", "p")).select("path_id", "seq", "p.x", "p.y", "p.z")
-    points = points.withColumns({v: F.col(v).cast("double") for v in "xyz"})
-    flags = W.table(spark, d, "customer").select(k.alias("path_id"), (k % 32).cast("int").alias("flags"))
-    out = S.answer_paths(points, flags, W.grid_edges(spark, d), doors(spark, d), CLIMB)
-    return out.select("path_id", "seq", *(G.quantised(F.col(v)).alias(v) for v in "xyz"))
+    corners = F.array(*(F.struct((k * (3 + i) % 7 - 0.7).cast("double").alias("x"), F.lit(0.5).alias("y"), (k * (5 - i) % 6 - 0.3).cast("double").alias("z")) for i in range(4)))
+    journey = F.struct(corners.alias("corners"), (k % 32).cast("int").alias("flags"))
+    members = W.table(spark, d, "customer").filter("c_custkey IS NOT NULL").select(k.alias("request_id"), journey.alias("journey"))
+    # paths of the same points and flags, 672 at most, are answered once
+    different = cut(members.select(F.col("journey").alias("path_id")).distinct())
+    points = different.select("path_id", F.posexplode("path_id.corners").alias("seq", "p")).select("path_id", "seq", "p.x", "p.y", "p.z")
+    out = cut(S.answer_paths(points, different.select("path_id", "path_id.flags"), W.grid_edges(spark, d), doors(spark, d), CLIMB))
+    return of_members(members, out).select("path_id", "seq", *(G.quantised(F.col(v)).alias(v) for v in "xyz"))
